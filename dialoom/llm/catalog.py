@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from dialoom.llm import oracles
+from dialoom.llm.decontaminate import op3_decontaminate
+from dialoom.llm.pii import op5_pii
 from dialoom.llm.token_binary import op4_token_binary
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_binary": op4_token_binary,
+    "op5_pii": op5_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_decontaminate": oracles.OP3,
+}

@@ -55,3 +55,34 @@ def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body`, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, or that with underscores before it until no column has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def extend(df: DataFrame, fields: str, compute) -> DataFrame:
+    """`df` with the columns of DDL `fields`, made batch by batch in an Arrow worker.
+
+    `compute()` is called once in each task and returns a function from a
+    RecordBatch to one Arrow array for each new column.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    more = T.StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = compute()
+        for batch in batches:
+            made = work(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *more.names])
+
+    arrow_batches(df.sparkSession)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))
