@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from dialoom.llm import oracles
+from dialoom.llm.chat import op1_chat_format
 from dialoom.llm.decontaminate import op3_decontaminate
+from dialoom.llm.mixing import op2_mixing
 from dialoom.llm.pii import op5_pii
 from dialoom.llm.token_binary import op4_token_binary
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_mixing": op2_mixing,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_binary": op4_token_binary,
     "op5_pii": op5_pii,
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": oracles.OP1,
+    "op2_mixing": oracles.OP2,
     "op3_decontaminate": oracles.OP3,
 }
