@@ -7,6 +7,7 @@ from dialoom.llm.chat import op1_chat_format
 from dialoom.llm.decontaminate import op3_decontaminate
 from dialoom.llm.mixing import op2_mixing
 from dialoom.llm.pii import op5_pii
+from dialoom.llm.quality import op8_quality
 from dialoom.llm.token_binary import op4_token_binary
 
 QUERIES = {
@@ -15,10 +16,12 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_binary": op4_token_binary,
     "op5_pii": op5_pii,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": oracles.OP1,
     "op2_mixing": oracles.OP2,
     "op3_decontaminate": oracles.OP3,
+    "op8_quality": oracles.OP8,
 }

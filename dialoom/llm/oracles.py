@@ -58,3 +58,25 @@ k AS (SELECT rid, sum(size) AS taken FROM c WHERE used <= (SELECT sum(size) * 1.
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM q LEFT JOIN k USING (rid)
 """
+
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+u AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+p AS (SELECT rid, count(DISTINCT x) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS x FROM u) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+      FROM d JOIN l USING (rid) LEFT JOIN p USING (rid)),
+f AS (SELECT *, n_words < 50 AS r1, 100 * n_repeat_words > 50 * n_words AS r2, 10 * n_symbols > n_words AS r3, 10 * n_dup_lines > 3 * n_lines AS r4 FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (r1) AS r1, count(*) FILTER (r2) AS r2, count(*) FILTER (r3) AS r3, count(*) FILTER (r4) AS r4 FROM f GROUP BY source),
+long AS (SELECT source, n, unnest([r1, r2, r3, r4]) AS x, unnest([0.9, 0.5, 0.5, 0.5]) AS lim, unnest([1, 2, 3, 4]) AS rule FROM h),
+s AS (SELECT rule, sum(x) / sum(n) AS mean, var_pop(x / n) AS var FROM long GROUP BY rule),
+k AS (SELECT rule, mean, CASE WHEN var > 0 THEN greatest(2.0, least(10000.0, mean * (1 - mean) / var - 1)) ELSE 10000.0 END AS k FROM s),
+v AS (SELECT source, bool_or((x + mean * k) / (n + k) > lim) AS bad FROM long JOIN k USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed, NOT (r1 OR r2 OR r3 OR r4 OR bad) AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
