@@ -71,7 +71,7 @@ m AS (SELECT rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
              CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
       FROM d JOIN l USING (rid) LEFT JOIN p USING (rid)),
-f AS (SELECT *, n_words < 50 AS r1, 100 * n_repeat_words > 50 * n_words AS r2, 10 * n_symbols > n_words AS r3, 10 * n_dup_lines > 3 * n_lines AS r4 FROM m),
+f AS (SELECT *, n_words < 50 AS r1, 100 * n_repeat_words > 50 * n_words AS r2, 10 * n_symbols > n_words AS r3, 2 * n_dup_lines > n_lines AS r4 FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (r1) AS r1, count(*) FILTER (r2) AS r2, count(*) FILTER (r3) AS r3, count(*) FILTER (r4) AS r4 FROM f GROUP BY source),
 long AS (SELECT source, n, unnest([r1, r2, r3, r4]) AS x, unnest([0.9, 0.5, 0.5, 0.5]) AS lim, unnest([1, 2, 3, 4]) AS rule FROM h),
 s AS (SELECT rule, sum(x) / sum(n) AS mean, var_pop(x / n) AS var FROM long GROUP BY rule),

@@ -74,7 +74,7 @@ def rule_failures(m: Column) -> dict[str, Column]:
         "short": m["n_words"] < 50,
         "repetitive": 100 * m["n_repeat_words"] > 50 * m["n_words"],
         "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "dup_lines": 10 * m["lines"]["dup"] > 3 * m["lines"]["n"],
+        "dup_lines": 2 * m["lines"]["dup"] > m["lines"]["n"],
     }
 
 
