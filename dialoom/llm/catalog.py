@@ -5,6 +5,7 @@ from __future__ import annotations
 from dialoom.llm import oracles
 from dialoom.llm.chat import op1_chat_format
 from dialoom.llm.decontaminate import op3_decontaminate
+from dialoom.llm.lm import op7_lm_score
 from dialoom.llm.mixing import op2_mixing
 from dialoom.llm.pii import op5_pii
 from dialoom.llm.quality import op8_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_binary": op4_token_binary,
     "op5_pii": op5_pii,
+    "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
 }
 
