@@ -10,6 +10,7 @@ from dialoom.llm.mixing import op2_mixing
 from dialoom.llm.pii import op5_pii
 from dialoom.llm.quality import op8_quality
 from dialoom.llm.token_binary import op4_token_binary
+from dialoom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
