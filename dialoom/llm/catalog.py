@@ -7,6 +7,7 @@ from dialoom.llm.chat import op1_chat_format
 from dialoom.llm.decontaminate import op3_decontaminate
 from dialoom.llm.lm import op7_lm_score
 from dialoom.llm.mixing import op2_mixing
+from dialoom.llm.near_dedup import op6_near_dedup
 from dialoom.llm.pii import op5_pii
 from dialoom.llm.quality import op8_quality
 from dialoom.llm.token_binary import op4_token_binary
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_binary": op4_token_binary,
     "op5_pii": op5_pii,
+    "op6_near_dedup": op6_near_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
     "op10_toxicity": op10_toxicity,
