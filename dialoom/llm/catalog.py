@@ -12,6 +12,7 @@ from dialoom.llm.pii import op5_pii
 from dialoom.llm.quality import op8_quality
 from dialoom.llm.token_binary import op4_token_binary
 from dialoom.llm.toxicity import op10_toxicity
+from dialoom.llm.warc import op9_warc_revisit
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
+    "op9_warc_revisit": op9_warc_revisit,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -30,4 +32,5 @@ ORACLE_SQL = {
     "op2_mixing": oracles.OP2,
     "op3_decontaminate": oracles.OP3,
     "op8_quality": oracles.OP8,
+    "op9_warc_revisit": oracles.OP9,
 }

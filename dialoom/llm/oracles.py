@@ -80,3 +80,32 @@ v AS (SELECT source, bool_or((x + mean * k) / (n + k) > lim) AS bad FROM long JO
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed, NOT (r1 OR r2 OR r3 OR r4 OR bad) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
+
+OP9 = r"""
+WITH p AS (SELECT page_id AS p, url, html, substr(md5(coalesce(html, '')), 1, 16) AS tag FROM pages),
+c AS (
+  SELECT p * 2 AS record_id, url, p * 10 AS ts, 'full' AS kind, sha256(html) AS body, CAST(p * 10 AS VARCHAR) AS date, 'max-age=60' AS cc,
+         CASE WHEN p % 4 < 2 THEN '"' || tag || '"' END AS etag, CASE WHEN p % 4 >= 2 THEN 'day ' || p END AS lm FROM p
+  UNION ALL
+  SELECT p * 2 + 1, url || '#again', p * 10 + 5 + p % 7 * 1000, 'revisit', NULL, CAST(p * 10 + 5 + p % 7 * 1000 AS VARCHAR), 'max-age=120',
+         CASE p % 4 WHEN 0 THEN 'W/"' || tag || '"' WHEN 1 THEN '"other"' END, CASE WHEN p % 4 = 2 THEN 'day ' || p END FROM p),
+u AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c),
+v AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^[^@]*@|:(80|443)$', '', 'g'), '^www\.', '')
+             || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS hp,
+             array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+                             lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&') AS q FROM u),
+k AS (SELECT *, hp || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM v),
+w AS (SELECT *, last_value(CASE WHEN kind = 'full' THEN {'id': record_id, 'etag': etag, 'lm': lm, 'body': body} END IGNORE NULLS)
+             OVER (PARTITION BY key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM k),
+o AS (SELECT *, CASE WHEN kind = 'full' THEN 'full' WHEN s IS NULL THEN 'missing'
+                     WHEN etag IS NOT NULL AND s.etag IS NOT NULL THEN CASE WHEN ltrim(etag, 'W/') = s.etag THEN 'resolved' ELSE 'changed' END
+                     WHEN lm IS NOT NULL AND s.lm IS NOT NULL THEN CASE WHEN lm = s.lm THEN 'resolved' ELSE 'changed' END
+                     ELSE 'resolved' END AS outcome FROM w),
+h AS (SELECT *, CASE WHEN outcome = 'resolved' THEN coalesce(etag, s.etag) ELSE etag END AS e, CASE WHEN outcome = 'resolved' THEN s.lm ELSE lm END AS l FROM o)
+SELECT record_id, key AS canonical, ts, outcome, CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN s.id END AS source_id,
+       CASE outcome WHEN 'resolved' THEN s.body ELSE body END AS body_sha256,
+       sha256('cache-control: ' || cc || CASE WHEN outcome IN ('missing', 'changed') THEN chr(10) || 'content-length: 0' ELSE '' END
+              || CASE WHEN outcome IN ('full', 'resolved') THEN chr(10) || 'content-type: text/html' ELSE '' END || chr(10) || 'date: ' || date
+              || coalesce(chr(10) || 'etag: ' || e, '') || coalesce(chr(10) || 'last-modified: ' || l, '')) AS headers_sha256
+FROM h
+"""
