@@ -15,6 +15,7 @@ words of a text, which no longer n-gram can hold, are joined to their counts.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ SHARE = 1e-5
 WORD_SHARE = 5e-7
 DISCOUNT = 0.5
 #: Tokens counted together in a task, and n-grams counted in one pass.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 PASS = 2_000_000
 COUNTED = pa.schema([("gram", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 COUNTED_DDL = "gram string, size int, n long"
@@ -82,29 +83,31 @@ def count_words(train: DataFrame, text_col: str, order: int, share: float, chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[bytes, int] = {}
-        ids: list[int] = []
-        lengths: list[int] = []
+        ids, lengths = array("q"), array("q")
 
         def counted() -> Iterator[pa.RecordBatch]:
             words, base = list(names), len(names)
-            flat = np.array(ids, np.int64)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            rows = [(w.decode("utf-8", "surrogatepass"), 1, int(n)) for w, n in zip(words, np.bincount(flat, minlength=base), strict=True)]
+            flat = np.frombuffer(ids, np.int64)
+            own = np.bincount(flat, minlength=base)
+            for i in range(0, base, 50_000):
+                part = words[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.ones(len(part), np.int32)), pa.array(own[i : i + 50_000])], schema=COUNTED)
+            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), np.frombuffer(lengths, np.int64))
             for size in range(2, order + 1):
                 found, n = np.unique(_keys(flat, doc, size, base), return_counts=True)
                 often = n >= share * len(flat)
-                rows += [(_gram(int(k), size, base, words), size, int(c)) for k, c in zip(found[often], n[often], strict=True)]
-            for i in range(0, len(rows), 20_000):
-                yield _batch(rows[i : i + 20_000])
+                rows = [(_gram(int(k), size, base, words), size, int(c)) for k, c in zip(found[often], n[often], strict=True)]
+                for i in range(0, len(rows), 20_000):
+                    yield _batch(rows[i : i + 20_000])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 own = tokens(text)
-                ids += [names.setdefault(w, len(names)) for w in own]
+                ids.extend([names.setdefault(w, len(names)) for w in own])
                 lengths.append(len(own))
                 if len(ids) >= chunk:
                     yield from counted()
-                    names.clear(), ids.clear(), lengths.clear()
+                    names, ids, lengths = {}, array("q"), array("q")
         if ids:
             yield from counted()
 
