@@ -15,7 +15,8 @@ The start index gives any range of ids without decoding the blocks before it.
 
 from __future__ import annotations
 
-import re
+import gc
+import os
 import struct
 import uuid
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,37 +75,38 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(k, BLOCK)
 
 
-def encode_values(values: np.ndarray, percentile: float = 0.95) -> tuple[np.ndarray, bytes]:
-    """Block starts (one more than blocks) and the blocks' bytes."""
-    n = len(values)
-    n_blocks = -(-n // BLOCK)
-    starts = np.zeros(n_blocks + 1, "<u8")
-    if not n:
-        return starts, b""
-    full = np.empty(n_blocks * BLOCK, np.uint32)
-    full[:n] = values
-    full[n:] = values[-1]
-    full = full.reshape(n_blocks, BLOCK)
+def encode_blocks(full: np.ndarray, percentile: float) -> list[bytes]:
+    """Bytes of each block of `full`, (blocks, BLOCK)."""
     low = full.min(axis=1)
     diff = full - low[:, None]
     at = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
     widths = _bits(np.partition(diff, at, axis=1)[:, at])
     over = diff >= (np.uint64(1) << widths.astype(np.uint64))[:, None]
     counts = over.sum(axis=1)
-    packed: list[bytes] = [b""] * n_blocks
+    packed: list[bytes] = [b""] * len(full)
     for width in np.unique(widths):
         if width:
             group = np.flatnonzero(widths == width)
             for i, words in zip(group, _pack(np.where(over[group], 0, diff[group]), int(width)), strict=True):
                 packed[i] = words.tobytes()
-    blocks = []
-    for i in range(n_blocks):
-        block = BLOCK_HEAD.pack(int(low[i]), int(widths[i]), int(counts[i])) + packed[i]
-        if counts[i]:
-            where = np.flatnonzero(over[i])
-            block += where.astype("<u2").tobytes() + diff[i][where].astype("<u4").tobytes()
-        blocks.append(block)
-        starts[i + 1] = int(starts[i]) + len(block)
+    out = []
+    for i, body in enumerate(packed):
+        where = np.flatnonzero(over[i]) if counts[i] else np.zeros(0, np.int64)
+        out.append(BLOCK_HEAD.pack(int(low[i]), int(widths[i]), int(counts[i])) + body + where.astype("<u2").tobytes() + diff[i][where].astype("<u4").tobytes())
+    return out
+
+
+def encode_values(values: np.ndarray, percentile: float = 0.95, together: int = 256) -> tuple[np.ndarray, bytes]:
+    """Block starts (one more than blocks) and the blocks' bytes, some blocks at a time."""
+    n_blocks = -(-len(values) // BLOCK)
+    blocks: list[bytes] = []
+    for first in range(0, n_blocks, together):
+        part = values[first * BLOCK : (first + together) * BLOCK]
+        full = np.full(-(-len(part) // BLOCK) * BLOCK, part[-1], np.uint32)
+        full[: len(part)] = part
+        blocks += encode_blocks(full.reshape(-1, BLOCK), percentile)
+    starts = np.zeros(n_blocks + 1, "<u8")
+    np.cumsum([len(b) for b in blocks], out=starts[1:])
     return starts, b"".join(blocks)
 
 
@@ -169,60 +172,111 @@ class Shard:
 
 # ------------------------------------------------------------ the tokenizer
 
-#: White space, a space, then white space or the end: there the pieces between
-#: single spaces aren't independent of each other.
-_JOINED = re.compile(r"\s (?=\s|\Z)|\A (?=\s|\Z)")
+#: A stop or comma between a letter or digit of Latin-1 and a space or the end is a piece of its own.
+_STOP = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,])( |\n|$)"
+#: Marks of pieces that no space stands before: a stop, the start of a line.
+_IS_STOP, _IS_LINE = "\x01", "\x03"
 
 
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
-    A byte-level pre-tokenizer attaches one space to the word after it, so a
-    text's ids are those of its pieces `" word"` in order, except where white
-    space runs hold two spaces, or an added token stands in the text: such
-    texts are encoded whole. Pieces are remembered up to `limit`, then anew.
+    A byte-level pre-tokenizer attaches one space to the word after it, and
+    parts a word from a stop or comma after it and from a line's end. So a
+    text's ids are those of its words, stops and line starts in order, except
+    where white space runs are longer or an added token stands in the text:
+    such texts are encoded whole. Short words are remembered, up to `limit`,
+    then anew.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    #: Words up to this length come again; most longer ones don't, and aren't remembered.
+    SHORT = 10
+
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.limit, self.seen = limit, {}
+        self.limit = limit
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab()
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        self.opens[[i for w, i in vocab.items() if w[0] == "Ġ"]] = True
+        self.opens = {lead: np.zeros(max(vocab.values()) + 1, bool) for lead in " \n"}
+        for lead, mark in ((" ", "Ġ"), ("\n", "Ċ")):
+            self.opens[lead][[i for w, i in vocab.items() if w[0] == mark]] = True
+        self.seen: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of unseen pieces from one call: a piece starts where an id starts with a space."""
-        if "" in pieces:
-            self.seen[""] = self.whole(" ").tobytes()
-        words = [p for p in pieces if p]
-        ids = self.whole("".join(f" {p}" for p in words))
-        cuts = np.flatnonzero(self.opens[ids])
-        if len(cuts) != len(words):
-            self.seen.update((p, self.whole(f" {p}").tobytes()) for p in words)
-            return
-        data, at = ids.tobytes(), 0
-        for p, end in zip(words, [*(4 * cuts[1:]).tolist(), len(data)][: len(words)], strict=True):
-            self.seen[p] = data[at:end]
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str], lead: str) -> Iterator[bytes]:
+        """Ids of words after `lead`, many to a call: each starts where an id starts with `lead`."""
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        joined = ["".join([lead + w for w in g]) for g in groups]
+        for group, found in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.opens[lead][ids])
+            if len(cuts) != len(group):
+                yield from (self.whole(lead + w).tobytes() for w in group)
+                continue
+            data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+            yield from [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of marked pieces; short ones are remembered."""
+        if len(self.seen) + len(pieces) > self.limit:
+            self.seen.clear()
+        out: dict[str, bytes] = {}
+        lines = [p for p in pieces if p[:1] == _IS_LINE]
+        out.update(zip(lines, self._learn([p[1:] for p in lines], "\n"), strict=True))
+        out.update((p, self.whole(p[1:]).tobytes()) for p in pieces if p[:1] == _IS_STOP)
+        words = [p for p in pieces if p[:1] not in (_IS_LINE, _IS_STOP)]
+        out.update(zip(words, self._learn(words, " "), strict=True))
+        self.seen.update((p, ids) for p, ids in out.items() if len(p) <= self.SHORT)
+        return out
+
+    def encode(self, texts: pa.Array, chars: int = 4_000_000) -> Iterator[np.ndarray]:
+        """Ids of each text (null: none), in groups of some `chars` bytes."""
+        texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, "right")))
+            yield from self._encode(texts.slice(at, end - at))
             at = end
 
-    def encode(self, text: str) -> np.ndarray:
-        if _JOINED.search(text) or any(t in text for t in self.added):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        seen = self.seen
-        missing = {p for p in rest if p not in seen}
-        if missing:
-            if len(seen) + len(missing) > self.limit:
-                seen.clear()
-                missing = set(rest)
-            self.learn(missing)
-        return np.frombuffer(self.whole(head).tobytes() + b"".join(map(seen.__getitem__, rest)), "<u4")
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Pieces are told apart by Arrow; what a group needs is learnt before it is put together."""
+        alone = np.zeros(len(texts), bool)
+        for t in (*self.added, _IS_STOP, _IS_LINE):
+            alone |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring(pc.replace_substring_regex(texts, _STOP, f"\\1 {_IS_STOP}\\2\\3"), "\n", f" {_IS_LINE}")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        index, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads = bounds[:-1]
+        # White space that isn't one space or newline between words touches one of these.
+        odd = [i for i, p in enumerate(pieces) if not p or p[-1].isspace() or p[0].isspace() or p[0] == _IS_LINE and (len(p) == 1 or p[1].isspace())]
+        if odd:
+            alone |= np.logical_or.reduceat(np.isin(index, odd), heads)
+        got = list(map(self.seen.get, pieces))
+        if None in got:
+            fresh = self.learn([p for p, g in zip(pieces, got, strict=True) if g is None])
+            got = [fresh[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
+        pool, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        first = np.cumsum(size) - size
+        # Heads stand without a space before them, so they are encoded by themselves.
+        sizes = size[index]
+        sizes[heads] = 0
+        ends = np.cumsum(sizes)
+        flat = pool[np.repeat(first[index] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], ends))[bounds]
+        opening = [texts[i].as_py() if a else pieces[h] for i, (h, a) in enumerate(zip(index[heads].tolist(), alone.tolist(), strict=True))]
+        out = []
+        for i, head in enumerate(self.tok.encode_batch_fast(opening, add_special_tokens=False)):
+            ids = np.array(head.ids, "<u4")
+            out.append(ids if alone[i] else np.concatenate((ids, flat[ends[i] : ends[i + 1]])))
+        return out
 
 
 _KEPT: dict[str, PieceEncoder] = {}
@@ -231,6 +285,7 @@ _KEPT: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process."""
     if path not in _KEPT:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         _KEPT[path] = PieceEncoder(path)
     return _KEPT[path]
 
@@ -250,7 +305,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
     executors leave no wrong shard behind.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, 2048)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -272,9 +327,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_values", pa.int64()), ("bytes", pa.int64())]))
 
         end = np.array([end_id], "<u4")
+        gc.disable()  # many small objects live here, in no cycles
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((enc.encode(text), end)) if text else end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                ids = np.concatenate((ids, end))
                 names.append(doc)
                 held.append(ids)
                 size += len(ids)
@@ -283,6 +339,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
                     names, held, size, seq = [], [], 0, seq + 1
         if held:
             yield flush()
+        gc.enable()
 
     tied = F.xxhash64("text")
     ordered = (
