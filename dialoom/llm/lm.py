@@ -30,7 +30,7 @@ from dialoom.llm.common import arrow_batches, materialize, table
 #: The end token as a word: words hold no white space.
 END = "\n"
 SHARE = 1e-5
-WORD_SHARE = 5e-7
+WORD_SHARE = 1e-6
 DISCOUNT = 0.5
 #: Tokens counted together in a task, and n-grams counted in one pass.
 CHUNK = 1_500_000
@@ -235,6 +235,7 @@ def train_model(train: DataFrame, *, text_col: str = "text", order: int = 3, sha
     """Counts over all of `train` (null texts: the end token alone); no rows make a model that knows nothing."""
     spark = train.sparkSession
     arrow_batches(spark)
+    word_share = min(word_share, share)  # the words of a frequent n-gram are frequent
     chars = train.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
     # Some six bytes a token: few enough tasks that a chunk is worth its share.
     together = train.select(text_col).coalesce(max(1, math.ceil(chars / (6 * CHUNK))))
@@ -244,15 +245,17 @@ def train_model(train: DataFrame, *, text_col: str = "text", order: int = 3, sha
     n_tokens, n_words = sums["n"], sums["v"]
     floor = word_share * n_tokens
     # At most 1 / word_share words and 1 / share n-grams of each size come here.
-    words = {r["word"]: r["c"] for r in counts.where(F.col("c") >= floor).collect()}
+    often = counts.where(F.col("c") >= floor).toArrow()
+    words = dict(zip(often["word"].to_pylist(), often["c"].to_pylist(), strict=True))
     maybe = materialize(counted.where("size > 1").select("gram").distinct(), "lm-grams")
     passes = -(-maybe.count() // PASS)
     grams: dict[str, int] = {}
     for k in range(passes):
         # The share of candidates that one pass counts: a bound on what a task holds.
-        own = [r["gram"] for r in maybe.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k).collect()]
+        own = maybe.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k).toArrow()["gram"].to_pylist()
         exact = count_grams(train, text_col, own, order).groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_tokens)
-        grams |= {r["gram"]: r["n"] for r in exact.collect()}
+        found = exact.toArrow()
+        grams |= dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True))
     return Model(build(words, grams, n_tokens, n_words, order), counts, n_tokens, n_words, floor)
 
 

@@ -42,7 +42,7 @@ def http_status(block: Column) -> Column:
 def http_headers(block: Column) -> Column:
     """Map of lower-case field names to values; the first of repeated fields counts, lines without a colon don't."""
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"^[!-9;-~]+:")))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.regexp_extract(x, r"^[^:]*:[ \t]*(.*?)[ \t]*$", 1).alias("v")))
     names = F.transform(pairs, lambda p: p["k"])
     return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
 
