@@ -12,9 +12,13 @@ shingles that its members share, and so lose its own links.
 
 Within a bucket no two members meet unless they must. First each is compared
 with the bucket's leader, the member with most company over all its buckets.
-Then, where a bucket still holds several classes, members outside the leader's
-class are compared with all members of other classes, in blocks. So no pair
-that shares a bucket is left out, while a group of n copies takes n steps.
+Where a bucket still holds several classes, members outside its main class are
+compared with the most typical text of that, and then, as long as they are
+outside, with all members of other classes, in blocks. A text is
+left out of that if more than a fifth of its weight is in shingles that no
+candidate of another class has, and a pair if what its texts can share is too
+little: both are bounds, not guesses. So no similar pair that shares a bucket is lost, while
+a group of n copies takes n steps.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, free_name, materialize, table
+from dialoom.llm.common import arrow_batches, discard, free_name, materialize, table
 from dialoom.llm.decontaminate import words_of
 
 SIZE = 5
@@ -40,6 +44,8 @@ COMMON, IDF_GAIN = 0.01, 0.25
 LEAST_AGREE = 0.5
 #: Documents counted together for common shingles, members of a block.
 CHUNK, BLOCK = 5_000, 256
+#: What bounds give way to rounding.
+SLACK = 1e-5
 #: Hash places that say which texts may be needed; a bound on what is broadcast.
 PLACES = 1 << 18
 
@@ -237,25 +243,35 @@ def _place(doc_id: Column, text_key: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, text_key), F.lit(PLACES))
 
 
-def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """`docs` that may be among `keys` (doc_id, text_key), with key columns k_id and k_text, and those that aren't.
+def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """`docs` that may be among `keys` (doc_id, text_key), with a struct (doc_id, text_key) of the returned name, and those that aren't.
 
     Places of the keys' hashes decide, at most PLACES of them, so only texts
     that may be needed are shuffled.
     """
     places = keys.select(_place(F.col("doc_id"), F.col("text_key")).alias("place")).distinct()
-    keyed = docs.withColumns({"k_id": F.col(f"`{id_col}`").cast("long"), "k_text": F.xxhash64(f"`{text_col}`")}).withColumn("place", _place(F.col("k_id"), F.col("k_text")))
-    return keyed.join(F.broadcast(places), "place", "left_semi").drop("place"), keyed.join(F.broadcast(places), "place", "left_anti").select(*docs.columns)
+    own, place = free_name(docs, "row_key"), free_name(docs, "row_place")
+    keyed = docs.withColumn(own, F.struct(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_key")))
+    keyed = keyed.withColumn(place, _place(F.col(f"{own}.doc_id"), F.col(f"{own}.text_key")))
+    places = F.broadcast(places.withColumnRenamed("place", place))
+    return keyed.join(places, place, "left_semi").drop(place), own, keyed.join(places, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def texts_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, text) of the nodes in `needed`."""
+    keys = materialize(needed.join(nodes.select("node", "doc_id", "text_key"), "node"), "dedup-keys")
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    some, own, _ = split_rows(plain, keys, "id", "text")
+    found = some.join(keys, F.col(f"{own}.doc_id").eqNullSafe(keys["doc_id"]) & (F.col(f"{own}.text_key") == keys["text_key"]))
+    texts = materialize(found.dropDuplicates(["node"]).select("node", "text"), "dedup-texts")
+    discard(keys)
+    return texts
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights, id_col: str, text_col: str, similar: float) -> DataFrame:
     """Pairs (a, b) whose texts have weighted Jaccard similarity of `similar` or more."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = materialize(needed.join(nodes.select("node", "doc_id", "text_key"), "node"), "dedup-keys")
-    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    some, _ = split_rows(plain, keys, "id", "text")
-    texts = some.join(keys, F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_text") == F.col("text_key"))).dropDuplicates(["node"]).select("node", "text")
-    texts = materialize(texts, "dedup-texts")
+    texts = texts_of(needed, nodes, docs, id_col, text_col)
     both = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "text_a", "b", "text_b")
@@ -275,7 +291,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights, id_co
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep, strict=True) if k], pa.binary()), pa.array([x for x, k in zip(b, keep, strict=True) if k], pa.binary())], names=["a", "b"])
 
     arrow_batches(docs.sparkSession, 128)
-    return materialize(both.mapInArrow(run, "a binary, b binary"), "dedup-links")
+    links = materialize(both.mapInArrow(run, "a binary, b binary"), "dedup-links")
+    discard(texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -288,12 +306,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc")
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = materialize(labels.join(near, "node").select("node", F.least("label", "near").alias("low"), "label"), "cc")
-        up = low.select(F.col("node").alias("at"), F.col("low").alias("up"))
-        new = materialize(low.join(up, F.col("low") == F.col("at")).select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), "cc")
-        if not new.where("moved").take(1):
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        low = near.join(labels, "node").select("node", F.least("label", "near").alias("low"), "label")
+        up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
+        new = materialize(low.join(up, F.col("low") == F.col("at")).select("node", F.least("low", "up").alias("label"), (F.least("low", "up") != F.col("label")).alias("moved")), "cc")
+        moved = new.agg(F.coalesce(F.bool_or("moved"), F.lit(False))).first()[0]
+        discard(labels)
+        labels = new
+        if not moved:
+            discard(edges)
+            return labels.select("node", "label")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -301,46 +322,123 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(same) >= int(LEAST_AGREE * BANDS * ROWS)
 
 
+def similar_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sketches may be of similar texts."""
+    sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    return materialize(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_agree(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "dedup-pairs")
+
+
 def leader_pairs(bucketed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each bucket's members with its leader, as far as their sketches may be of similar texts."""
     company = bucketed.groupBy("node").agg(F.sum("n").alias("company"))
     leaders = bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"))
     pairs = bucketed.join(leaders, "key").select(F.col("node").alias("a"), F.col("top.node").alias("b")).where(F.col("a") != F.col("b"))
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    return materialize(ordered.join(sketch("a"), "a").join(sketch("b"), "b").where(_agree(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "dedup-pairs")
+    return similar_sketches(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes)
 
 
-def rest_pairs(bucketed: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket, compared in blocks; those in `done` left out."""
+def mixed_members(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, node, n, label, outside) of buckets that hold several classes; outside: not of the largest."""
     label = F.coalesce(F.col("label"), F.col("node"))
     placed = bucketed.join(labels, "node", "left").select("key", "node", "n", label.alias("label"))
-    # A bucket's main class is the least of its largest; members of it needn't meet each other.
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", F.col("main.label").alias("main"))
-    members = materialize(
-        placed.join(mixed, "key").join(nodes.select("node", "sketch"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("int")))
-        .withColumn("outside", F.col("label") != F.col("main")), "dedup-members")
-    row = F.collect_list(F.struct("node", "label", "sketch"))
-    all_blocks = members.groupBy("key", "block").agg(row.alias("all"))
-    out_blocks = members.where("outside").groupBy("key", "block").agg(row.alias("out")).select("key", "out")
+    return materialize(placed.join(mixed, "key").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dedup-mixed")
+
+
+def reach(texts: DataFrame, labels: DataFrame, weights, similar: float) -> DataFrame:
+    """Rows (node, w, s): a text's weight, and the part of it in shingles that a candidate of another class has.
+
+    What texts of two classes share is at most the lesser s, which bounds their
+    similarity without comparing them. A text of which s is too little is
+    similar to none outside its class and left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = int(LEAST_AGREE * BANDS * ROWS)
+        idf = weights.value
         for batch in batches:
-            left, right = [], []
-            for out, every in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, y = (np.array([m["sketch"] for m in side], np.int32) for side in (out, every))
-                for i, m in enumerate(out):
-                    for j in np.flatnonzero((y == x[i]).sum(axis=1) >= least):
-                        if every[j]["label"] != m["label"]:
-                            left.append(min(m["node"], every[j]["node"]))
-                            right.append(max(m["node"], every[j]["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            sets = [(sh.view(np.int64), idf.of(sh, counts)) for sh, counts in (shingles(words_of(t)) for t in batch.column(1).to_pylist())]
+            hs, ws = pa.array([h for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in sets], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.sum() for _, w in sets], pa.float64()), hs, ws], names=["node", "w", "hs", "ws"])
+
+    sets = texts.mapInArrow(run, "node binary, w double, hs array<long>, ws array<float>").join(labels, "node", "left")
+    sets = materialize(sets.select("node", "w", "hs", "ws", F.xxhash64(F.coalesce("label", "node")).alias("of"), F.monotonically_increasing_id().alias("id")), "dedup-sets")
+    each = sets.select("id", "of", F.inline(F.arrays_zip("hs", "ws")))
+    in_one = each.groupBy("hs").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low = high").select("hs")
+    own = each.select("id", "hs", "ws").join(in_one, "hs", "left_semi").groupBy("id").agg(F.sum("ws").alias("own"))
+    left = sets.select("id", "node", "w").join(own, "id", "left").select("node", "w", (F.col("w") - F.coalesce("own", F.lit(0.0))).alias("s"))
+    able = materialize(left.where(F.col("s") >= F.col("w") * (similar - SLACK)), "dedup-able")
+    discard(sets)
+    return able
+
+
+def closest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float) -> DataFrame:
+    """Members outside their bucket's main class, each with the one in it that has least of its own."""
+    near = members.join(reached, "node")
+    top = near.where("not outside").groupBy("key").agg(F.max(F.struct(F.col("s") / F.col("w"), "node", "w", "s")).alias("top"))
+    most = F.least("s", "top.s")
+    pairs = near.where("outside").join(top, "key").where(most >= (similar - SLACK) * (F.col("w") + F.col("top.w") - most))
+    ordered = pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+    return similar_sketches(ordered.join(done, ["a", "b"], "left_anti"), nodes)
+
+
+def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (key, out, all): members outside a bucket's main class, and a block of all its members."""
+    ready = materialize(
+        members.join(nodes.select("node", "sketch", "bands"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("int"))), "dedup-members")
+    row = F.collect_list(F.struct("node", "label", "sketch", "bands", "w", "s", "outside"))
+    all_blocks = ready.groupBy("key", "block").agg(row.alias("all"))
+    out_blocks = ready.where("outside").groupBy("key", "block").agg(row.alias("out")).select("key", "out")
+    return out_blocks.join(all_blocks, "key").select("key", "out", "all")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[tuple[dict, dict]]:
+    """Pairs of members of different classes that may be similar, each in the first bucket they share."""
+    least = int(LEAST_AGREE * BANDS * ROWS)
+    for batch in batches:
+        for key, out, every in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            sketch, bands = np.array([m["sketch"] for m in every], np.int32), np.array([m["bands"] for m in every], np.int64)
+            w, s = (np.array([m[k] for m in every]) for k in "ws")
+            for m in out:
+                most = np.minimum(s, m["s"])
+                same = bands == np.array(m["bands"], np.int64)
+                may = (most >= (similar - SLACK) * (w + m["w"] - most)) & ((sketch == np.array(m["sketch"], np.int32)).sum(axis=1) >= least)
+                may &= bands[np.arange(len(bands)), same.argmax(axis=1)] == key
+                for j in np.flatnonzero(may):
+                    x = every[j]
+                    # Of two members that both stand outside, one brings the pair.
+                    if x["label"] != m["label"] and (not x["outside"] or m["node"] < x["node"]):
+                        yield m, x
+
+
+def possible_nodes(members: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """Members of which the sketch may be similar to that of another class's member in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[bytes] = set()
+        for m, x in _compared(batches, similar):
+            found |= {m["node"], x["node"]}
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
+                found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
+
+    arrow_batches(nodes.sparkSession, 16)
+    open_ = members.withColumns({"w": F.lit(1.0), "s": F.lit(1.0)})
+    return materialize(_blocks(open_, nodes).mapInArrow(run, "node binary").distinct(), "dedup-possible")
+
+
+def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different classes that share a bucket and may be similar; those in `done` left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [sorted((m["node"], x["node"])) for m, x in _compared(batches, similar)]
+        for i in range(0, len(pairs), 50_000):
+            a, b = zip(*pairs[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     arrow_batches(nodes.sparkSession, 16)
-    found = out_blocks.join(all_blocks, "key").select("out", "all").mapInArrow(run, "a binary, b binary").distinct()
+    found = _blocks(members.join(reached, "node"), nodes).mapInArrow(run, "a binary, b binary").distinct()
     return materialize(found.join(done, ["a", "b"], "left_anti"), "dedup-rest")
 
 
@@ -366,10 +464,20 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = leader_pairs(bucketed, nodes)
     links = verified(pairs, nodes, docs, weights, id_col, text_col, similar)
     labels = components(links)
-    rest = rest_pairs(bucketed, nodes, labels, pairs)
-    if rest.take(1):
-        links = links.union(verified(rest, nodes, docs, weights, id_col, text_col, similar))
+    members = mixed_members(bucketed, labels)
+    texts = texts_of(possible_nodes(members, nodes, similar), nodes, docs, id_col, text_col)
+    arrow_batches(spark)
+    reached = reach(texts, labels, weights, similar)
+    discard(texts)
+    second = closest_pairs(members, nodes, reached, pairs, similar)
+    more = verified(second, nodes, docs, weights, id_col, text_col, similar)
+    if more.take(1):
+        links, pairs = links.union(more), pairs.union(second)
         labels = components(links)
+        members = mixed_members(bucketed, labels)
+    more = verified(rest_pairs(members, nodes, reached, pairs, similar), nodes, docs, weights, id_col, text_col, similar)
+    if more.take(1):
+        labels = components(links.union(more))
     own = signed.select("doc_id", "text_key", "node").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Ids of a class meet as partial minima; wordless rows have no class.
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
@@ -385,12 +493,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     several = materialize(found.join(first.select(F.col("class_id").alias("c")), F.col("class_id").eqNullSafe(F.col("c"))).select("doc_id", "text_key").distinct(), "several")
     keepers = keepers.withColumn("kept", F.lit(True))
     marks = materialize(several.alias("s").join(keepers.alias("k"), F.col("s.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("s.text_key") == F.col("k.text_key")), "left").select("s.doc_id", "s.text_key", F.coalesce("kept", F.lit(False)).alias("kept")), "marks")
-    may, others = split_rows(docs, marks, id_col, text_col)
-    mark = free_name(docs, "dedup_mark")
+    may, own, others = split_rows(docs, marks, id_col, text_col)
+    mark = free_name(may, "dedup_mark")
     side = marks.select(F.struct("*").alias(mark))
-    joined = may.join(side, F.col("k_id").eqNullSafe(F.col(f"`{mark}`.doc_id")) & (F.col("k_text") == F.col(f"`{mark}`.text_key")), "left")
+    joined = may.join(side, F.col(f"`{own}`.doc_id").eqNullSafe(F.col(f"`{mark}`.doc_id")) & (F.col(f"`{own}`.text_key") == F.col(f"`{mark}`.text_key")), "left")
     untouched = joined.where(F.col(f"`{mark}`").isNull())
-    kept = joined.where(F.col(f"`{mark}`.kept")).dropDuplicates(["k_id", "k_text"])
+    kept = joined.where(F.col(f"`{mark}`.kept")).dropDuplicates([own])
     cols = [F.col(f"`{c}`") for c in docs.columns]
     return others.unionByName(untouched.select(*cols)).unionByName(kept.select(*cols))
 
