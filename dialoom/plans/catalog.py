@@ -26,6 +26,10 @@ def document_text(spark, sf_dir):
     return documents.document_text(fixtures.layout(spark, sf_dir))
 
 
+def page_text(spark, sf_dir):
+    return documents.page_text(fixtures.layout(spark, sf_dir)).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "page_text")
+
+
 def document_info(spark, sf_dir):
     blocks = fixtures.layout(spark, sf_dir)
     filled = text.flatten_lines(F.col("text")) != ""
@@ -198,22 +202,32 @@ def jsonl_roundtrip(spark, sf_dir):
     return jsonl.load(spark, path).where("valid").select("item.question", "item.answer", "item.source_text")
 
 
-def jsonl_count(spark, sf_dir):
+def _lines(spark, sf_dir) -> str:
+    """A text file of blank, bad, scalar, array and object lines."""
     path = _scratch(spark, "lines")
-    rows = documents.table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 3 == 0, " \t").when(F.col("turn") % 3 == 1, "not json").otherwise('{"a": 1}').alias("value"))
-    rows.write.text(path)
-    return jsonl.lines(spark, path).agg(F.count(F.lit(1)).alias("n"))
+    shape, text_ = F.col("turn") % 5, F.to_json(F.struct(F.col("text").alias("question")))
+    rows = documents.table(spark, sf_dir, "conversations")
+    rows.select(F.when(shape == 0, " \t").when(shape == 1, "not json").when(shape == 2, "7").when(shape == 3, F.concat(F.lit(" ["), text_, F.lit("] "))).otherwise(text_).alias("value")).write.text(path)
+    return path
+
+
+def jsonl_count(spark, sf_dir):
+    return jsonl.lines(spark, _lines(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def jsonl_items(spark, sf_dir):
+    return jsonl.load(spark, _lines(spark, sf_dir)).select("value", "valid", F.col("item.question").alias("question"))
 
 
 QUERIES: dict[str, Query] = {
-    "layout_paragraphs": layout_paragraphs, "document_text": document_text, "document_info": document_info,
+    "layout_paragraphs": layout_paragraphs, "document_text": document_text, "page_text": page_text, "document_info": document_info,
     "blocks_default": _blocks(1500, 100), "blocks_small": _blocks(300, 50), "blocks_interview": _blocks(2000, 50, True), "blocks_dropped": blocks_dropped,
     "normalize_markers": normalize_markers, "has_qa": has_qa, "has_qa_parts": has_qa_parts, "sample_prefix": sample_prefix, "filter_then_sample": filter_then_sample,
     "prompts": prompts, "fenced_json": fenced_json, "brace_objects": brace_objects, "parsed_pairs": parsed_pairs, "strict_pairs": strict_pairs,
     "clean_known": _clean(), "clean_fallback": clean_fallback, "clean_custom": _clean(["张三", "投资者 甲"]),
     "block_results": block_results, "qa_records": qa_records, "pair_numbers": pair_numbers, "run_stats": run_stats, "extraction_quality": extraction_quality,
     "text_quality": text_quality, "error_log": error_log, "success_log": success_log, "replay_pipeline": replay_pipeline, "llm_pipeline": llm_pipeline,
-    "jsonl_roundtrip": jsonl_roundtrip, "jsonl_count": jsonl_count,
+    "jsonl_roundtrip": jsonl_roundtrip, "jsonl_count": jsonl_count, "jsonl_items": jsonl_items,
 }
 
 

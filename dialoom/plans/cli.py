@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import argparse
-import logging
 import os
 import sys
 from dataclasses import replace
 
 from dialoom.plans import config as settings
 from dialoom.plans.config import Config
+from dialoom.plans.logs import logger
 
 #: option, setting, type; an option that isn't given leaves the setting alone.
 VALUES = (
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     config = merge(args)
     if not args.pdf_file and not args.validate:
         out.error("a PDF file is needed")
-    logging.basicConfig(level=config.log_level)
+    log = logger(level=config.log_level, path=os.path.join(config.output_dir, "main.log"))
 
     from dialoom.operators.responders import HttpResponder
     from dialoom.plans import pipeline
@@ -100,7 +100,7 @@ def main(argv: list[str] | None = None) -> int:
         figures = run.stats.withColumn("pdf_pages", F.lit(pages)).first()
         stats = figures.asDict() if figures else {"success": False, "message": "No text blocks to process"}
     except Exception:
-        logging.getLogger("dialoom").exception("the run failed")
+        log.exception("the run failed")
         return 1
     print(report(stats, config.output_path))
     return 0 if stats["success"] else 1

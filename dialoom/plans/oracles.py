@@ -157,5 +157,8 @@ SELECT doc_id, turn, CAST(n AS BIGINT) AS chinese, length({_strip("x")}) >= 10 A
 SELECT doc_id, block_idx, good AS success, CASE WHEN NOT known THEN 'LLM call failed' WHEN NOT good THEN 'No Q&A pairs extracted' END AS error, CAST(good AS BIGINT) AS qa_count,
        CASE WHEN good THEN {_clean("('问：' || q0)", C.KNOWN_PREFIXES)} END AS question, CASE WHEN good THEN a0 END AS answer FROM ok""",
     "jsonl_roundtrip": f"WITH {_RESULTS} SELECT question, answer, source_text FROM rec",
-    "jsonl_count": "SELECT count(*) AS n FROM conversations WHERE turn % 3 <> 0",
+    "jsonl_count": "SELECT count(*) AS n FROM conversations WHERE turn % 5 <> 0",
+    "jsonl_items": """WITH j AS (SELECT turn % 5 AS s, text, CAST(to_json({'question': text}) AS VARCHAR) AS o FROM conversations WHERE turn % 5 <> 0)
+SELECT CASE s WHEN 1 THEN 'not json' WHEN 2 THEN '7' WHEN 3 THEN '[' || o || ']' ELSE o END AS value, s <> 1 AS valid, CASE WHEN s = 4 THEN text END AS question FROM j""",
+    "page_text": "SELECT doc_id, 1::BIGINT AS page_no, replace(text, chr(10), '') AS page_text FROM documents WHERE text IS NOT NULL",
 }

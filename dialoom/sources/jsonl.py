@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,12 @@ def load(spark: SparkSession, path: str, schema: str = "question string, answer
     return read.withColumn("item", F.when(F.col("valid") & F.col("value").startswith("{"), F.from_json("value", schema)))
 
 
+def iterate(spark: SparkSession, path: str) -> Iterator[object]:
+    """Values of the valid lines, a partition at a time on the driver."""
+    for row in load(spark, path).where("valid").select("value").toLocalIterator():
+        yield json.loads(row["value"])
+
+
 def save(df: DataFrame, path: str, *, append: bool = False) -> None:
     """One JSON object a row, nulls written; overwrites unless told to append, and commits as a whole."""
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)

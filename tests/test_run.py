@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom.operators.responders import HttpResponder, ReplayResponder, RuleResponder, prompt_key
-from dialoom.plans import cli, config, pipeline
+from dialoom.plans import cli, config, logs, pipeline
 from dialoom.plans.config import Config
 from dialoom.sources import documents, jsonl
 from dialoom.streaming import blocks as streaming
@@ -80,6 +80,7 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"question": "q"}\n\n [1]\n5\nbad\n', encoding="utf-8")
     rows = jsonl.load(spark, path).collect()
     assert sorted((r.value, r.valid, r.item is not None) for r in rows) == [("5", True, False), ("[1]", True, False), ("bad", False, False), ('{"question": "q"}', True, True)]
+    assert sorted(map(str, jsonl.iterate(spark, path))) == ["5", "[1]", "{'question': 'q'}"]
     assert jsonl.count_lines(spark, path) == 4 and jsonl.backup(spark, path) == path + ".bak" and jsonl.file_size(spark, path) > 0
     (tmp_path / "a.tmp").write_text("")
     assert jsonl.cleanup(spark, str(tmp_path)) == 1 and jsonl.cleanup(spark, str(tmp_path / "none")) == 0
@@ -133,6 +134,13 @@ def test_cli(tmp_path, capsys, monkeypatch):
     assert Config(output_filename="/a/b").output_path == "/a/b" and Config().output_path == "output/output_final_qa.jsonl"
 
 
+def test_logger_starts_its_file_anew(tmp_path):
+    path = str(tmp_path / "logs" / "main.log")
+    for _ in range(2):
+        logs.logger("own", path=path).info("line")
+    assert len(open(path, encoding="utf-8").readlines()) == 1
+
+
 def test_streaming(spark, tmp_path):
     docs = spark.createDataFrame([(1, "网友：什么？" * 30 + "\n" + "段永平：这样。" * 30), (2, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
