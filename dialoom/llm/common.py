@@ -50,10 +50,10 @@ def discard(*written: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
     """Bound what a Python worker holds at once: rows and bytes of a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def let(value: Column, body) -> Column:

@@ -233,7 +233,7 @@ class PieceEncoder:
         self.seen.update((p, ids) for p, ids in out.items() if len(p) <= self.SHORT)
         return out
 
-    def encode(self, texts: pa.Array, chars: int = 4_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array, chars: int = 8_000_000) -> Iterator[np.ndarray]:
         """Ids of each text (null: none), in groups of some `chars` bytes."""
         texts = texts.fill_null("")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -305,7 +305,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
     executors leave no wrong shard behind.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 2048)
+    arrow_batches(spark, 4096, 8 << 20)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
