@@ -146,7 +146,9 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def run_stats(spark, sf_dir):
     every = documents.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
-    return _rounded(stats.run_stats(_results(spark, sf_dir), every))
+    found = stats.run_stats(_results(spark, sf_dir), every)
+    # Nullable whole numbers as doubles: engines hand them to clients differently.
+    return _rounded(found.withColumns({c: F.col(c).cast("double") for c in found.columns if c.startswith(("min_", "max_"))}))
 
 
 def extraction_quality(spark, sf_dir):

@@ -140,7 +140,7 @@ t AS (SELECT doc_id, count(*) AS total, count(*) FILTER (success) AS ok, CAST(su
 l AS (SELECT doc_id, avg(length(question)) AS aq, avg(length(answer)) AS aa, min(length(question)) AS nq, max(length(question)) AS xq, min(length(answer)) AS na, max(length(answer)) AS xa FROM rec GROUP BY doc_id)
 SELECT doc_id, coalesce(total, 0) AS total_blocks, coalesce(ok, 0) AS successful_blocks, coalesce(total - ok, 0) AS failed_blocks, round(coalesce(ok / total, 0)::DOUBLE, 6) AS success_rate,
        coalesce(pairs, 0) AS qa_pairs_extracted, round(CASE WHEN ok > 0 THEN pairs / ok ELSE 0 END::DOUBLE, 6) AS avg_qa_per_block, 0::BIGINT AS pdf_pages,
-       round(aq, 6) AS avg_question_length, round(aa, 6) AS avg_answer_length, nq AS min_question_length, xq AS max_question_length, na AS min_answer_length, xa AS max_answer_length,
+       round(aq, 6) AS avg_question_length, round(aa, 6) AS avg_answer_length, nq::DOUBLE AS min_question_length, xq::DOUBLE AS max_question_length, na::DOUBLE AS min_answer_length, xa::DOUBLE AS max_answer_length,
        coalesce(total, 0) > 0 AS success, CASE WHEN coalesce(total, 0) = 0 THEN 'No text blocks to process' END AS message
 FROM ({_DOCS}) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "extraction_quality": f"""WITH {_RESULTS},
