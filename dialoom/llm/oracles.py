@@ -102,7 +102,7 @@ o AS (SELECT *, CASE WHEN kind = 'full' THEN 'full' WHEN s IS NULL THEN 'missing
                      WHEN lm IS NOT NULL AND s.lm IS NOT NULL THEN CASE WHEN lm = s.lm THEN 'resolved' ELSE 'changed' END
                      ELSE 'resolved' END AS outcome FROM w),
 h AS (SELECT *, CASE WHEN outcome = 'resolved' THEN coalesce(etag, s.etag) ELSE etag END AS e, CASE WHEN outcome = 'resolved' THEN s.lm ELSE lm END AS l FROM o)
-SELECT record_id, key AS canonical, ts, outcome, CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN s.id END AS source_id,
+SELECT record_id, key AS canonical, ts, outcome, CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN s.id ELSE -1 END AS source_id,
        CASE outcome WHEN 'resolved' THEN s.body ELSE body END AS body_sha256,
        sha256('cache-control: ' || cc || CASE WHEN outcome IN ('missing', 'changed') THEN chr(10) || 'content-length: 0' ELSE '' END
               || CASE WHEN outcome IN ('full', 'resolved') THEN chr(10) || 'content-type: text/html' ELSE '' END || chr(10) || 'date: ' || date

@@ -130,4 +130,5 @@ def captures(pages: DataFrame) -> DataFrame:
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve_revisits(captures(table(spark, sf_dir, "pages")), width=20_000)
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
-    return found.select("record_id", "canonical", "ts", "outcome", "source_id", "body_sha256", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"))
+    source = F.coalesce("source_id", F.lit(-1)).alias("source_id")  # -1: none
+    return found.select("record_id", "canonical", "ts", "outcome", source, "body_sha256", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"))
