@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -50,12 +53,38 @@ def discard(*written: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 2 << 20) -> None:
     """Bound what a Python worker holds at once: rows and bytes of a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def tidy() -> None:
+    """Give the memory that a task has freed back to the system; workers outlive tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_HELD: dict[str, object] = {}
+
+
+def worker_cache(key: str, make):
+    """What a worker process keeps between tasks: the last operator's cache only.
+
+    Workers outlive stages; without this, each stage would add its cache to
+    those of the stages before it.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        tidy()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body`, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -83,10 +112,14 @@ def extend(df: DataFrame, fields: str, compute) -> DataFrame:
     more = T.StructType.fromDDL(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("", dict)  # other operators' caches go
         work = compute()
         for batch in batches:
             made = work(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *more.names])
+            del batch, made
+        del work
+        tidy()
 
     arrow_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))

@@ -188,13 +188,26 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-MATCHED = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string())), ("cut", pa.string())])
+FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,cut:string>"
 
 
-def _one_pass(docs: DataFrame, text_col: str, name: str, items: list[tuple[str, str]], window: int) -> DataFrame:
+def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """`text` without its word spans."""
+    if not spans:
+        return text
+    at, pieces = 0, []
+    for a, b in char_spans(text, spans):
+        pieces.append(text[at:a])
+        at = b
+    return "".join([*pieces, text[at:]])
+
+
+def _one_pass(docs: DataFrame, text_col: str, name: str, items: list[tuple[str, str]], window: int, cutting: bool = False) -> DataFrame:
+    """`docs` with struct `name`; `cut`, the text without its spans, is made only on demand and where there are any."""
     held = docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
     place = docs.columns.index(text_col)
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def compute():
         matcher = held.value
@@ -203,12 +216,19 @@ def _one_pass(docs: DataFrame, text_col: str, name: str, items: list[tuple[str,
             rows = []
             for text in batch.column(place).to_pylist():
                 n, spans, found = matcher.match(text)
-                rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(found)})
-            return [pa.array(rows, kind)]
+                rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(found), "cut": cut(text, spans) if cutting and spans else None})
+            return [pa.array(rows, _FOUND)]
 
         return work
 
-    return extend(docs, f"`{name}` struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>", compute)
+    return extend(docs, f"`{name}` {FOUND}", compute)
+
+
+def _chosen(items: DataFrame, item_id: str, item_text: str, shard_chars: int) -> tuple[DataFrame, int]:
+    """Items with text as (i, t), and into how many automata they go."""
+    chosen = items.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
+    total = chosen.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
+    return chosen, -(-total // shard_chars) or 1
 
 
 def match_items(docs: DataFrame, items: DataFrame, *, name: str = "matched", text_col: str = "text", item_id: str = "item_id",
@@ -222,9 +242,7 @@ def match_items(docs: DataFrame, items: DataFrame, *, name: str = "matched", tex
     is dealt by a hash of its text into automata of that size, one pass each,
     whose spans and items are united.
     """
-    chosen = items.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
-    total = chosen.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
-    shards = -(-total // shard_chars) or 1
+    chosen, shards = _chosen(items, item_id, item_text, shard_chars)
     if shards == 1:
         return _one_pass(docs, text_col, name, [tuple(r) for r in chosen.collect()], window)
     out = docs
@@ -243,36 +261,33 @@ def match_items(docs: DataFrame, items: DataFrame, *, name: str = "matched", tex
     return out.withColumn(name, united).drop(*parts)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = 10, max_coverage: float = 0.5, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = 10, max_coverage: float = 0.5,
+                  item_id: str = "item_id", item_text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """`docs` without benchmark passages: matching spans are cut from the text.
 
     Every span of `window` words or more (or a whole shorter item) is removed;
     a document of which more than `max_coverage` of the words were hit goes
     entirely. Texts without a hit are returned unchanged, null ones included.
+    With one automaton, matching and cutting are one pass of one worker.
     """
     name = free_name(docs, "matched")
-    found = match_items(docs, items, name=name, text_col=text_col, window=window, **options)
-    hit = F.aggregate(F.col(f"`{name}`.spans"), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    kept = found.where(hit <= F.col(f"`{name}`.n_words") * max_coverage)
-    clean = free_name(kept, "clean")
-    text_at, hit_at = kept.columns.index(text_col), kept.columns.index(name)
-
-    def compute():
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = []
-            for text, got in zip(batch.column(text_at).to_pylist(), batch.column(hit_at).to_pylist(), strict=True):
-                if got["spans"]:
-                    at, pieces = 0, []
-                    for a, b in char_spans(text, [(s["start"], s["end"]) for s in got["spans"]]):
-                        pieces.append(text[at:a])
-                        at = b
-                    text = "".join([*pieces, text[at:]])
-                out.append(text)
-            return [pa.array(out, pa.string())]
+    chosen, shards = _chosen(items, item_id, item_text, shard_chars)
+    if shards == 1:
+        found = _one_pass(docs, text_col, name, [tuple(r) for r in chosen.collect()], window, True)
+        clean = F.col(f"`{name}`.cut")
+    else:
+        found = materialize(match_items(docs, items, name=name, text_col=text_col, window=window, item_id=item_id, item_text=item_text, shard_chars=shard_chars), "matched")
+        text_at, hit_at, made = found.columns.index(text_col), found.columns.index(name), free_name(found, "cut")
 
-        return work
+        def compute():
+            rows = lambda b: zip(b.column(text_at).to_pylist(), b.column(hit_at).to_pylist(), strict=True)
+            return lambda b: [pa.array([cut(t, [(s["start"], s["end"]) for s in m["spans"]]) if m["spans"] else None for t, m in rows(b)], pa.string())]
 
-    return extend(kept, f"`{clean}` string", compute).withColumn(text_col, F.col(f"`{clean}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        found, clean = extend(found, f"`{made}` string", compute), F.col(f"`{made}`")
+    hit = F.aggregate(F.col(f"`{name}`.spans"), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    kept = found.where(hit <= F.col(f"`{name}`.n_words") * max_coverage)
+    text = F.when(hit > 0, clean).otherwise(F.col(f"`{text_col}`")).alias(text_col)
+    return kept.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, materialize, table
+from dialoom.llm.common import arrow_batches, materialize, table, worker_cache
 
 #: The end token as a word: words hold no white space.
 END = "\n"
@@ -82,6 +82,7 @@ def count_words(train: DataFrame, text_col: str, order: int, share: float, chunk
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("", dict)
         names: dict[bytes, int] = {}
         ids, lengths = array("q"), array("q")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, discard, free_name, materialize, table
+from dialoom.llm.common import arrow_batches, discard, free_name, materialize, table, tidy, worker_cache
 from dialoom.llm.decontaminate import words_of
 
 SIZE = 5
@@ -43,7 +43,9 @@ COMMON, IDF_GAIN = 0.01, 0.25
 #: and a half standard deviations below what similarity 0.8 makes one expect.
 LEAST_AGREE = 0.5
 #: Documents counted together for common shingles, members of a block.
-CHUNK, BLOCK = 5_000, 256
+CHUNK, BLOCK = 2_500, 256
+#: Shingles counted exactly in one pass over the texts.
+PASS = 2_000_000
 #: What bounds give way to rounding.
 SLACK = 1e-5
 #: Hash places that say which texts may be needed; a bound on what is broadcast.
@@ -56,15 +58,12 @@ class _Hashes(dict):
     """Word hashes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
 
 
-_WORDS = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
@@ -72,7 +71,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of five-word shingles and their counts; a shorter text is one shingle."""
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
     n = min(SIZE, len(h))
     if not n:
         return h, np.zeros(0, np.int64)
@@ -149,50 +148,60 @@ def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> list[tuple[i
     """(hash, documents) of all shingles in a share of COMMON of the texts or more.
 
     A shingle with that share of all texts has it in some chunk, so those that
-    have it in a chunk hold all of them; a second pass counts these exactly.
-    There are at most (mean distinct shingles of a text) / COMMON.
+    have it in a chunk hold all of them; these are counted exactly, up to PASS
+    of them at a time. At most (mean distinct shingles of a text) / COMMON stay.
     """
     spark = docs.sparkSession
     texts = docs.select(text_col)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        docs = size = 0
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n >= max(2, COMMON * docs)].view(np.int64))], names=["h"])
+        def out(sets: list[np.ndarray]) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n >= COMMON * len(sets)].view(np.int64))], names=["h"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own = shingles(words_of(text or ""))[0]
-                held.append(own)
-                docs, size = docs + 1, size + len(own)
-                if docs >= CHUNK or size >= 6_000_000:
-                    yield out()
-                    held, docs, size = [], 0, 0
-        if held:
-            yield out()
+                held.append(shingles(words_of(text or ""))[0])
+                size += len(held[-1])
+                if len(held) >= CHUNK or size >= 1_000_000:
+                    if full:
+                        yield out(full)
+                    full, held, size = held, [], 0
+        # What is left over would make a chunk in which little is common: it joins the last one.
+        if full or held:
+            yield out(full + held)
+        full, held = [], []
+        tidy()
+
+    def counter(known):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = known.value
+            sums = np.zeros(len(hashes), np.int64)
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    own = shingles(words_of(text or ""))[0]
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    sums[at[hashes[at] == own]] += 1
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(sums[some])], names=["h", "n"])
+            tidy()
+
+        return count
 
     together = texts.coalesce(max(1, -(-n_docs // CHUNK)))
-    found = [r["h"] for r in together.mapInArrow(maybe, "h long").distinct().toLocalIterator()]
-    known = spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
-    if not found:
-        return []
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = known.value
-        sums = np.zeros(len(hashes), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = shingles(words_of(text or ""))[0]
-                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                sums[at[hashes[at] == own]] += 1
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(sums[some])], names=["h", "n"])
-
-    exact = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_docs)
-    return [(r["h"], r["n"]) for r in exact.collect()]
+    found = materialize(together.mapInArrow(maybe, "h long").distinct(), "dedup-common")
+    passes = -(-found.count() // PASS)
+    out: list[tuple[int, int]] = []
+    for k in range(passes):
+        own = found.where(F.pmod("h", F.lit(passes)) == k).toArrow()["h"].to_numpy()
+        known = spark.sparkContext.broadcast(np.sort(own.view(np.uint64)))
+        exact = texts.mapInArrow(counter(known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_docs)
+        out += [(r["h"], r["n"]) for r in exact.collect()]
+    return out
 
 
 # ---------------------------------------------------------- signatures
@@ -231,6 +240,8 @@ def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFram
             whole = iter(zip(bands, sketches, strict=True))
             pairs = [next(whole) if n is not None else (None, None) for n in nodes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array([p[0] for p in pairs], schema.field(3).type), pa.array([p[1] for p in pairs], schema.field(4).type)], schema=schema)
+            del words, sets, bands, sketches, whole, pairs, batch
+        tidy()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     return materialize(picked.mapInArrow(run, SIGNED), "signed")
@@ -289,6 +300,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights, id_co
             a, ta, b, tb = (c.to_pylist() for c in batch.columns)
             keep = [similarity(vector(x), vector(y)) >= similar for x, y in zip(ta, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep, strict=True) if k], pa.binary()), pa.array([x for x, k in zip(b, keep, strict=True) if k], pa.binary())], names=["a", "b"])
+            del a, ta, b, tb, batch
+        vector.cache_clear()
+        tidy()
 
     arrow_batches(docs.sparkSession, 128)
     links = materialize(both.mapInArrow(run, "a binary, b binary"), "dedup-links")
@@ -359,6 +373,8 @@ def reach(texts: DataFrame, labels: DataFrame, weights, similar: float) -> DataF
             sets = [(sh.view(np.int64), idf.of(sh, counts)) for sh, counts in (shingles(words_of(t)) for t in batch.column(1).to_pylist())]
             hs, ws = pa.array([h for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in sets], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.sum() for _, w in sets], pa.float64()), hs, ws], names=["node", "w", "hs", "ws"])
+            del sets, hs, ws, batch
+        tidy()
 
     sets = texts.mapInArrow(run, "node binary, w double, hs array<long>, ws array<float>").join(labels, "node", "left")
     sets = materialize(sets.select("node", "w", "hs", "ws", F.xxhash64(F.coalesce("label", "node")).alias("of"), F.monotonically_increasing_id().alias("id")), "dedup-sets")

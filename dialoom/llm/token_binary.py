@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, fresh_path, materialize, table
+from dialoom.llm.common import arrow_batches, fresh_path, materialize, table, tidy, worker_cache
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -192,7 +192,7 @@ class PieceEncoder:
     #: Words up to this length come again; most longer ones don't, and aren't remembered.
     SHORT = 10
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -233,7 +233,7 @@ class PieceEncoder:
         self.seen.update((p, ids) for p, ids in out.items() if len(p) <= self.SHORT)
         return out
 
-    def encode(self, texts: pa.Array, chars: int = 8_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array, chars: int = 5_000_000) -> Iterator[np.ndarray]:
         """Ids of each text (null: none), in groups of some `chars` bytes."""
         texts = texts.fill_null("")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -263,13 +263,18 @@ class PieceEncoder:
         if None in got:
             fresh = self.learn([p for p, g in zip(pieces, got, strict=True) if g is None])
             got = [fresh[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
-        pool, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
-        first = np.cumsum(size) - size
+        pool, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int32, len(got)) // 4
+        del got
+        wide = np.int32 if len(marked) and pc.sum(pc.binary_length(marked)).as_py() < 2**31 else np.int64
+        first = np.cumsum(size, dtype=wide) - size
         # Heads stand without a space before them, so they are encoded by themselves.
         sizes = size[index]
         sizes[heads] = 0
-        ends = np.cumsum(sizes)
-        flat = pool[np.repeat(first[index] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ends = np.cumsum(sizes, dtype=wide)
+        place = np.repeat(first[index] - (ends - sizes), sizes)
+        place += np.arange(ends[-1], dtype=wide)
+        flat = pool[place]
+        del place
         ends = np.concatenate(([0], ends))[bounds]
         opening = [texts[i].as_py() if a else pieces[h] for i, (h, a) in enumerate(zip(index[heads].tolist(), alone.tolist(), strict=True))]
         out = []
@@ -279,15 +284,10 @@ class PieceEncoder:
         return out
 
 
-_KEPT: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process."""
-    if path not in _KEPT:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        _KEPT[path] = PieceEncoder(path)
-    return _KEPT[path]
+    """The worker process's encoder."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+    return worker_cache(f"encoder {path}", lambda: PieceEncoder(path))
 
 
 # --------------------------------------------------------------- the writer
@@ -305,7 +305,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
     executors leave no wrong shard behind.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 4096, 8 << 20)
+    arrow_batches(spark, 4096, 5 << 20)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -340,6 +340,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
         if held:
             yield flush()
         gc.enable()
+        tidy()
 
     tied = F.xxhash64("text")
     ordered = (

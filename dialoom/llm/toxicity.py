@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, extend, free_name, table
+from dialoom.llm.common import arrow_batches, extend, free_name, table, worker_cache
 from dialoom.llm.decontaminate import words_of
 
 #: Labelled rows that a model is fitted on, at most (by a hash of the id).
@@ -31,7 +31,7 @@ PRIOR = 4.0
 DRIFT = 2.0
 #: Bytes of the prefixes between a word and the corpus.
 PREFIXES = (3, 4, 5, 6, 7)
-_MEMO = 300_000
+_MEMO = 200_000
 UNITS = pa.schema([("unit", pa.binary()), ("y0", pa.int64()), ("y1", pa.int64())])
 
 
@@ -163,6 +163,7 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("", dict)
         sums: dict[bytes, list[int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                 for w in set(words_of(text or "")):
                     for u in units(w):
                         sums.setdefault(u, [0, 0])[1 if y > 0 else 0] += 1
-            if len(sums) > 500_000:
+            if len(sums) > 200_000:
                 yield from out()
         yield from out()
 

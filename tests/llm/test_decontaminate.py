@@ -44,6 +44,7 @@ def test_spans_are_removed_and_covered_documents_dropped(spark):
 
 def test_many_automata_give_the_same_result(spark):
     docs, items = frames(spark)
+    assert sorted(map(str, decontaminate(docs, items, shard_chars=30).collect())) == sorted(map(str, decontaminate(docs, items).collect()))
     items = items.unionByName(spark.createDataFrame([(9, "tail of many other words that stay here in the text", 0), (10, "six seven eight nine ten eleven tail of many other", 0)], items.schema))
     one = match_items(docs, items, name="m").select("doc_id", "m").collect()
     more = match_items(docs, items, name="m", shard_chars=60).select("doc_id", "m").collect()
