@@ -190,9 +190,9 @@ class PieceEncoder:
     """
 
     #: Words up to this length come again; most longer ones don't, and aren't remembered.
-    SHORT = 10
+    SHORT = 9
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -222,7 +222,7 @@ class PieceEncoder:
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of marked pieces; short ones are remembered."""
-        if len(self.seen) + len(pieces) > self.limit:
+        if len(self.seen) + sum(len(p) <= self.SHORT for p in pieces) > self.limit:
             self.seen.clear()
         out: dict[str, bytes] = {}
         lines = [p for p in pieces if p[:1] == _IS_LINE]
