@@ -459,9 +459,10 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: D
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Rows (doc_id, text_key, class_id), one for each of `docs`; class_id is the class's least doc_id.
+    """Rows (doc_id, text_key, class_id, alone, class), one for each of `docs`; class_id is the class's least doc_id.
 
-    Null, empty and wordless texts are alone. Repeated rows are copies of one
+    Only `class` tells classes apart: with null or repeated ids, several may
+    have one class_id. Null, empty and wordless texts are alone. Repeated rows are copies of one
     text. A class of null ids only has a null class_id. Texts of fewer than
     five words are one shingle, so only copies of them are similar.
     """
@@ -497,16 +498,16 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     own = signed.select("doc_id", "text_key", "node").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Ids of a class meet as partial minima; wordless rows have no class.
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return own.join(least, "class", "left").select("doc_id", "text_key", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNull().alias("alone"))
+    return own.join(least, "class", "left").select("doc_id", "text_key", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNull().alias("alone"), "class")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """`docs` with one document of each class: that of the least id, then text hash. Texts without words all stay."""
     found = materialize(near_classes(docs, id_col=id_col, text_col=text_col, similar=similar).where("not alone"), "classes")
-    each = found.groupBy("class_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    first = each.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    each = found.groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("n").alias("n")).where("n > 1")
     keepers = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
-    several = materialize(found.join(first.select(F.col("class_id").alias("c")), F.col("class_id").eqNullSafe(F.col("c"))).select("doc_id", "text_key").distinct(), "several")
+    several = materialize(found.join(first.select("class"), "class", "left_semi").select("doc_id", "text_key").distinct(), "several")
     keepers = keepers.withColumn("kept", F.lit(True))
     marks = materialize(several.alias("s").join(keepers.alias("k"), F.col("s.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("s.text_key") == F.col("k.text_key")), "left").select("s.doc_id", "s.text_key", F.coalesce("kept", F.lit(False)).alias("kept")), "marks")
     may, own, others = split_rows(docs, marks, id_col, text_col)

@@ -76,3 +76,9 @@ def test_dedup_keeps_one_of_each_class(spark):
     texts = corpus(2, 6, 10)
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, place int")
     assert sorted(r.doc_id for r in nd.dedup(docs).collect()) == sorted(set(brute(texts)))
+
+
+def test_dedup_tells_classes_of_one_id_apart(spark):
+    rows = [(None, "a b c d e f"), (None, "q r s t u v"), (None, "q r s t u v"), (3, "g h i j k l"), (3, "m n o p q r"), (4, "m n o p q r")]
+    kept = nd.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "a b c d e f"), (None, "q r s t u v"), (3, "g h i j k l"), (3, "m n o p q r")], key=str)
