@@ -1,40 +1,41 @@
-"""Language-model scores by a weighted backoff automaton.
-
-N-grams that make up at least `share` of the training tokens become arcs: at
-most 1 / share of each order, whatever the corpus. Their contexts are states;
-each state has a failure arc to its longest proper suffix, weighted by the
-backoff mass. One walk over a text's tokens carries the state and adds log10
-probabilities. Unigrams are smoothed by adding one, longer n-grams by absolute
-discounting, and each state's probabilities sum to one.
-
-Counts cover all training texts. Frequent words (at least `word_share` of the
-tokens, so at most 1 / word_share of them) travel to all tasks; the other
-words of a text, which no longer n-gram can hold, are joined to their counts.
+"""Language-model scores by weighted backoff over all repeated n-grams.
+
+Every word and every longer n-gram seen `min_count` times or more is in the
+model, whatever the corpus, so the model grows with it. It is a table, dealt
+by the n-grams' 64-bit keys; no task and no driver holds all of it. An n-gram
+has its log10 probability and, where others extend it, its backoff weight.
+Unigrams are smoothed by adding one, longer n-grams by absolute discounting,
+and each context's probabilities sum to one.
+
+Texts are counted and scored in chunks. A chunk sends its distinct n-grams,
+packed, to the parts of the table that hold them, and adds up what comes back.
+`build` makes the same model as an automaton in memory, for small corpora.
 """
 
 from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, materialize, table, worker_cache
+from dialoom.llm.common import arrow_batches, materialize, table, tidy, worker_cache
 
 #: The end token as a word: words hold no white space.
 END = "\n"
-SHARE = 1e-5
-WORD_SHARE = 1e-6
+#: Occurrences that make an n-gram of two words or more part of the model.
+MIN_COUNT = 2
 DISCOUNT = 0.5
-#: Tokens counted together in a task, and n-grams counted in one pass.
+#: Tokens taken together in a task, and bytes of text to a part of the table.
 CHUNK = 1_500_000
-PASS = 2_000_000
+PART = 12_000_000
 COUNTED = pa.schema([("gram", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 COUNTED_DDL = "gram string, size int, n long"
 
@@ -223,45 +224,187 @@ def build(words: dict[str, int], grams: dict[str, int], n_tokens: int, n_words:
     return Automaton({w.encode("utf-8", "surrogatepass"): i for w, i in names.items()}, base, arcs, logp, to, fail, backoff, first)
 
 
+_A, _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def _joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their first and of their last words."""
+    x = prefix * _A + suffix * _B + _M1
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def _levels(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each size the keys of the n-grams that start at each place."""
+    out = [words]
+    for _ in range(order - 1):
+        out.append(_joined(out[-1][:-1], out[-1][1:]))
+    return out
+
+
+def _inside(doc: np.ndarray, size: int) -> np.ndarray:
+    return doc[: max(len(doc) - size + 1, 0)] == doc[size - 1 :]
+
+
+class _Chunk:
+    """Tokens of some texts as numbers, with the words' keys."""
+
+    def __init__(self) -> None:
+        self.names: dict[bytes, int] = {}
+        self.ids, self.lengths = array("q"), array("q")
+
+    def add(self, text: str | None) -> None:
+        own, names = tokens(text), self.names
+        self.ids.extend([names.setdefault(w, len(names)) for w in own])
+        self.lengths.append(len(own))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, the text each token is of, and the key of each word number."""
+        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), np.frombuffer(self.lengths, np.int64))
+        return np.frombuffer(self.ids, np.int64), doc, np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
+
+
+def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its keys), for each part that has some."""
+    part = keys.view(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    found, start = np.unique(part[order], return_index=True)
+    for p, own in zip(found.tolist(), np.split(order, start[1:]), strict=True):
+        yield p, own
+
+
+PACKED = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
+GRAMS = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("c", pa.int64())])
+
+
+def _packed(chunk: _Chunk, order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The chunk's distinct n-grams with their counts, by part: words that occur, each n-gram's places among them, counts."""
+    ids, doc, hashes = chunk.arrays()
+    for size, level in enumerate(_levels(hashes[ids], order), 1):
+        starts = np.flatnonzero(_inside(doc, size))
+        keys, first, n = np.unique(level[starts], return_index=True, return_counts=True)
+        at = starts[first]
+        rows = []
+        for part, own in _dealt(keys, parts):
+            words, places = np.unique(ids[at[own][None, :] + np.arange(size)[:, None]], return_inverse=True)
+            rows.append((part, size, hashes[words].tobytes(), places.astype("<u2" if len(words) < 65536 else "<u4").tobytes(), n[own].astype("<u4").tobytes()))
+            if len(rows) == 256:
+                yield _columns(rows, PACKED)
+                rows = []
+        yield _columns(rows, PACKED)
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def gram_counts(train: DataFrame, text_col: str, order: int, min_count: int, tasks: int, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows (size, key, prefix, suffix, c) with exact counts: all words, and n-grams seen `min_count` times or more."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("", dict)
+        own = _Chunk()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own.add(text)
+                if len(own.ids) >= chunk:
+                    yield from _packed(own, order, parts)
+                    own = _Chunk()
+        if own.ids:
+            yield from _packed(own, order, parts)
+        del own
+        tidy()
+
+    def count(group: pa.Table) -> pa.Table:
+        out = []
+        for size in range(1, order + 1):
+            own = group.filter(pa.compute.equal(group["size"], size))
+            if not len(own):
+                continue
+            levels, counts = [], []
+            for words, at, n in zip(*[own[c].to_pylist() for c in ("words", "at", "n")], strict=True):
+                hashes, many = np.frombuffer(words, np.uint64), np.frombuffer(n, "<u4")
+                level = list(hashes[np.frombuffer(at, "<u2" if len(hashes) < 65536 else "<u4").reshape(size, len(many))])
+                prefix = suffix = level[0]
+                while len(level) > 1:
+                    prefix, suffix = level[0], level[-1]
+                    level = [_joined(a, b) for a, b in zip(level, level[1:], strict=False)]
+                levels.append((level[0], prefix, suffix))
+                counts.append(many)
+            key, prefix, suffix = (np.concatenate(x) for x in zip(*levels, strict=True))
+            order_ = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], np.diff(key[order_]) != 0)))
+            c = np.add.reduceat(np.concatenate(counts)[order_].astype(np.int64), start)
+            keep = c >= (min_count if size > 1 else 1)
+            at = order_[start[keep]]
+            out.append(pa.table([pa.array(np.full(len(at), size, np.int32)), *[pa.array(x[at].view(np.int64)) for x in (key, prefix, suffix)], pa.array(c[keep])], schema=GRAMS))
+        tidy()
+        return pa.concat_tables(out)
+
+    packed = train.select(text_col).coalesce(tasks).mapInArrow(pack, "part long, size int, words binary, at binary, n binary")
+    return packed.groupBy("part").applyInArrow(count, "size int, key long, prefix long, suffix long, c long")
+
+
 @dataclass
 class Model:
-    automaton: Automaton
-    counts: DataFrame
+    """Rows (key, logp, backoff) of all n-grams in the model; the words' are smoothed by adding one."""
+
+    grams: DataFrame
+    order: int
     n_tokens: int
     n_words: int
-    word_floor: float
+    n_bytes: int
+
+
+def _n_bytes(df: DataFrame, text_col: str) -> int:
+    # An end token for each text, as many bytes as a word has.
+    return df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 6), F.lit(0)).alias("n")).first()["n"]
 
 
-def train_model(train: DataFrame, *, text_col: str = "text", order: int = 3, share: float = SHARE, word_share: float = WORD_SHARE) -> Model:
-    """Counts over all of `train` (null texts: the end token alone); no rows make a model that knows nothing."""
+def train_model(train: DataFrame, *, text_col: str = "text", order: int = 3, min_count: int = MIN_COUNT, share: float = 0.0, word_share: float = 0.0, discount: float = DISCOUNT) -> Model:
+    """Counts over all of `train` (null texts: the end token alone); no rows make a model that knows nothing.
+
+    `share`, if a caller wants a smaller model, leaves out n-grams of a smaller
+    share of all tokens; all words are in the model, whatever `word_share`.
+    """
     spark = train.sparkSession
     arrow_batches(spark)
-    word_share = min(word_share, share)  # the words of a frequent n-gram are frequent
-    chars = train.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    # Some six bytes a token: few enough tasks that a chunk is worth its share.
-    together = train.select(text_col).coalesce(max(1, math.ceil(chars / (6 * CHUNK))))
-    counted = materialize(count_words(together, text_col, order, share), "lm-counts")
-    counts = materialize(counted.where("size = 1").groupBy(F.col("gram").alias("word")).agg(F.sum("n").alias("c")), "lm-words")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_bytes = _n_bytes(train, text_col)
+    tasks, parts = max(1, math.ceil(n_bytes / (6 * CHUNK))), max(1, math.ceil(n_bytes / PART))
+    counted = materialize(gram_counts(train, text_col, order, min_count, tasks, parts), "lm-grams")
+    sums = counted.where("size = 1").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens, n_words = sums["n"], sums["v"]
-    floor = word_share * n_tokens
-    # At most 1 / word_share words and 1 / share n-grams of each size come here.
-    often = counts.where(F.col("c") >= floor).toArrow()
-    words = dict(zip(often["word"].to_pylist(), often["c"].to_pylist(), strict=True))
-    maybe = materialize(counted.where("size > 1").select("gram").distinct(), "lm-grams")
-    passes = -(-maybe.count() // PASS)
-    grams: dict[str, int] = {}
-    for k in range(passes):
-        # The share of candidates that one pass counts: a bound on what a task holds.
-        own = maybe.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k).toArrow()["gram"].to_pylist()
-        exact = count_grams(train, text_col, own, order).groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_tokens)
-        found = exact.toArrow()
-        grams |= dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True))
-    return Model(build(words, grams, n_tokens, n_words, order), counts, n_tokens, n_words, floor)
-
-
-SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("walked", pa.float64()),
-                    ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))])
+    lower = counted.where("size = 1").select("key", "c", ((F.col("c") + 1) / F.lit(float(n_tokens + n_words + 1))).alias("p"))
+    values = [lower.select("key", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))]
+    for size in range(2, order + 1):
+        own = counted.where((F.col("size") == size) & (F.col("c") >= share * n_tokens))
+        totals = lower.select(F.col("key").alias("prefix"), F.col("c").alias("total"))
+        shorter = lower.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
+        # An n-gram's prefix and suffix are seen as often at least, so both are in the model.
+        lower = materialize(own.join(totals, "prefix").join(shorter, "suffix").select("key", "prefix", "c", ((F.col("c") - discount) / F.col("total")).alias("p"), "low"), "lm-level")
+        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+        values.append(lower.select("key", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
+        values.append(lower.groupBy(F.col("prefix").alias("key")).agg(F.log10(left("p") / left("low")).alias("backoff")).select("key", F.lit(None).cast("double").alias("logp"), "backoff"))
+    every = values[0]
+    for more in values[1:]:
+        every = every.unionByName(more)
+    merged = every.groupBy("key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return Model(materialize(merged, "lm-model"), order, n_tokens, n_words, n_bytes)
+
+
+ASKED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())])
+FOUND = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("logp", pa.binary()), ("backoff", pa.binary())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _read(texts: pa.Table) -> _Chunk:
+    own = _Chunk()
+    for batch in texts.to_batches():
+        for text in batch.column("text").to_pylist():
+            own.add(text)
+    return own
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,36 +413,77 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     A null or empty text is the end token alone. Repeated rows are scored each
     by itself; null ids stay null; other columns are not read.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    held = spark.sparkContext.broadcast(model.automaton)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = held.value
-        get, base = auto.words.get, np.array([*auto.base, 0.0])
-        for batch in batches:
-            rows = []
-            for doc, out, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = tokens(text)
-                ids = [get(w, -1) for w in own]
-                rare = Counter(w for w, i in zip(own, ids, strict=True) if i < 0)
-                rows.append((doc, out, len(own), len(own) - rare.total(), float(base[ids].sum()), auto.walk(ids), [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rare.items()]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCORED, strict=True)] if rows else [pa.array([], t.type) for t in SCORED], schema=SCORED)
-
-    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, walked double, rare array<struct<word:string,n:long>>"
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
-    walked = materialize(picked.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-walked")
-    rest = walked.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    counts = model.counts.where(F.col("c") < model.word_floor)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    sums = (
-        rest.join(counts, "word", "left")
-        .groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(model.n_tokens + model.n_words + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    )
-    more = F.coalesce(F.col("more"), F.lit(0.0))
-    return walked.drop("rare").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.col("more_known"), F.lit(0))).alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("walked") + more).alias("score"))
+    arrow_batches(docs.sparkSession)
+    n_bytes = _n_bytes(docs, text_col)
+    chunks, parts = max(1, math.ceil(n_bytes / (6 * CHUNK))), max(1, math.ceil(max(n_bytes, model.n_bytes) / PART))
+    order, unseen = model.order, -math.log10(model.n_tokens + model.n_words + 1)
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    picked = picked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        worker_cache("", dict)
+        chunk = group["chunk"][0].as_py()
+        ids, doc, hashes = _read(group).arrays()
+        keys = np.concatenate([hashes, *[np.unique(level[_inside(doc, size)]) for size, level in enumerate(_levels(hashes[ids], order), 1) if size > 1]])
+        rows = [(part, chunk, np.sort(keys[own]).tobytes()) for part, own in _dealt(keys, parts)]
+        del ids, doc, hashes, keys
+        tidy()
+        return pa.Table.from_batches([_columns(rows, ASKED)])
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(held) or not len(asked):
+            return FOUND.empty_table()
+        known = held["key"].to_numpy().view(np.uint64)
+        by = np.argsort(known)
+        known, logp, backoff = known[by], held["logp"].to_numpy()[by], held["backoff"].to_numpy()[by]
+        rows = []
+        for chunk, keys in zip(asked["chunk"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            want = np.frombuffer(keys, np.uint64)
+            place = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            place = place[known[place] == want]
+            if len(place):
+                rows.append((chunk, known[place].tobytes(), logp[place].tobytes(), backoff[place].tobytes()))
+        return pa.Table.from_batches([_columns(rows, FOUND)])
+
+    def add(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(texts):
+            return SCORED.empty_table()
+        own = _read(texts)
+        ids, doc, hashes = own.arrays()
+        got = [np.concatenate([np.frombuffer(x, kind) for x in found[c].to_pylist()] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint64), ("logp", np.float64), ("backoff", np.float64))]
+        by = np.argsort(got[0])
+        # One more entry stands for what isn't in the model.
+        known, logp, backoff = got[0][by], np.append(got[1][by], np.nan), np.append(got[2][by], np.nan)
+
+        def places(keys: np.ndarray) -> np.ndarray:
+            place = np.searchsorted(known, keys)
+            place[place < len(known)] = np.where(known[place[place < len(known)]] == keys[place < len(known)], place[place < len(known)], len(known))
+            return place
+
+        before = places(hashes)[ids]
+        base = logp[before]
+        is_known = ~np.isnan(base)
+        base[~is_known] = unseen
+        total = base.copy()
+        for size, level in enumerate(_levels(hashes[ids], order), 1):
+            if size == 1 or not len(level):
+                continue
+            inside = _inside(doc, size)
+            place = places(level)
+            longer = logp[place]
+            # The context of the n-gram that starts here is the shorter one that starts here.
+            less = np.nan_to_num(backoff[before[: len(level)]], nan=0.0) + total[size - 1 :]
+            total[size - 1 :] = np.where(inside, np.where(np.isnan(longer), less, longer), total[size - 1 :])
+            before = place
+        n = len(own.lengths)
+        sums = [np.bincount(doc, x, n) for x in (is_known, base, total)]
+        return pa.table([texts["doc_id"], texts["held_out"], pa.array(own.lengths, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=SCORED)
+
+    asked = picked.groupBy("chunk").applyInArrow(ask, "part long, chunk long, keys binary")
+    held = model.grams.select(F.pmod("key", F.lit(parts)).cast("long").alias("part"), "key", "logp", "backoff")
+    found = held.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, keys binary, logp binary, backoff binary")
+    scored = picked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

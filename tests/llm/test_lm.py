@@ -111,6 +111,25 @@ def test_counts_are_exact_in_any_chunks(spark):
     assert exact == {"a b": 4, "b a": 2, "b \n": 2, "a b a": 1}
 
 
+def test_repeated_grams_count_in_a_corpus_of_any_size(spark):
+    pick = random.Random(5)
+    texts = [" ".join(pick.choice("abcdefghij") + pick.choice("klmno") for _ in range(100)) for _ in range(3000)]
+    texts += ["once seen twice"] * 2 + ["ak seen twice once", "seen nowhere else twice once seen", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    grams, words = Counter(), Counter()
+    for t in texts:
+        own = tok(t)
+        words.update(own)
+        grams.update(" ".join(own[i : i + k]) for k in (2, 3) for i in range(len(own) - k + 1))
+    auto = lm.build(dict(words), {g: n for g, n in grams.items() if n >= 2}, words.total(), len(words), 3)
+    more = texts[:40] + texts[-6:] + ["never once seen", "once seen never seen twice"]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(more)), docs.schema), lm.train_model(docs)).collect()}
+    unseen = -math.log10(words.total() + len(words) + 1)
+    for i, t in enumerate(more):
+        ids = [auto.words.get(w, -1) for w in lm.tokens(t)]
+        assert math.isclose(got[i], auto.walk(ids) + ids.count(-1) * unseen, rel_tol=1e-9)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, lm.train_model(docs)).count() == 0
