@@ -93,9 +93,13 @@ class Model:
         beyond = self.log_k + math.log(max(len(words), 1))
         return [(x, a, b) for s, a, b in segments(self.scores(words)) if (x := self.rate * s - beyond) > 0]
 
+    def beyond(self, passages: list[tuple[float, int, int]]) -> float:
+        """What the curve is fitted on and applied to."""
+        return math.log1p(sum(x for x, _, _ in passages))
+
     def probability(self, passages: list[tuple[float, int, int]]) -> float:
         a, b = self.curve
-        return 1 / (1 + math.exp(-(a + b * math.log1p(sum(x for x, _, _ in passages)))))
+        return 1 / (1 + math.exp(-(a + b * self.beyond(passages))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -191,19 +195,30 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [words_of(t or "") for t in batch.column(0).to_pylist()]
-            found = [sorted((s for s, _, _ in segments(own.scores(w))), reverse=True)[:8] for w in texts]
-            return [pa.array(map(len, texts), pa.int64()), pa.array(found, pa.list_(pa.float64()))]
+            top = [max((s for s, _, _ in segments(own.scores(w))), default=0.0) for w in texts]
+            return [pa.array(map(len, texts), pa.int64()), pa.array(top, pa.float64())]
 
         return work
 
-    seen = extend(rows, "n long, best array<double>", best).select("y", "n", "best").collect()
+    seen = extend(rows, "n long, best double", best).select("y", "n", "best").collect()
     y = np.array([r["y"] > 0 for r in seen], float)
     size = np.array([max(r["n"], 1) for r in seen], float)
-    top = np.array([r["best"][0] if r["best"] else 0.0 for r in seen], float)
+    top = np.array([r["best"] for r in seen], float)
     if 0 < y.sum() < len(y):
         model.rate, model.log_k = _gumbel(top[y == 0], size[y == 0])
-        beyond = model.log_k + np.log(size)
-        model.curve = _logistic(np.log1p([sum(max(0.0, model.rate * s - b) for s in r["best"]) for r, b in zip(seen, beyond, strict=True)]), y)
+        # The curve's statistic needs the law: a second walk, of the passages that scoring finds.
+        law = spark.sparkContext.broadcast(Model(model.odds, model.rate, model.log_k))
+
+        def beyond() -> object:
+            own = law.value
+
+            def work(batch: pa.RecordBatch) -> list[pa.Array]:
+                return [pa.array([own.beyond(own.passages(t)) for t in batch.column(0).to_pylist()], pa.float64())]
+
+            return work
+
+        fit = extend(rows, "x double", beyond).select("y", "x").collect()
+        model.curve = _logistic(np.array([r["x"] for r in fit], float), np.array([r["y"] > 0 for r in fit], float))
     return model
 
 

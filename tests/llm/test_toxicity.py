@@ -63,3 +63,14 @@ def test_odd_rows(spark):
     nothing = tx.train_model(docs, labels.limit(0))
     assert all(r.toxicity.score < 0.5 for r in tx.score(docs, nothing).collect())
     assert tx.score(docs.limit(0), nothing).count() == 0 and tx.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_curve_is_fitted_on_what_it_is_applied_to(spark):
+    docs, labels = documents(spark, 400)
+    rows = [(r.doc_id, " ".join([r.text] * (20 if r.doc_id % 16 == 0 else 1)), "x") for r in docs.collect()]
+    model = tx.train_model(spark.createDataFrame(rows, docs.schema), labels)
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    found = {i: model.passages(t) for i, t, _ in rows if i in known}
+    assert max(map(len, found.values())) > 8
+    want = tx._logistic(np.log1p([sum(x for x, _, _ in found[i]) for i in known]), np.array(list(known.values()), float))
+    assert np.allclose(model.curve, want, rtol=1e-6)
