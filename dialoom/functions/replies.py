@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from dialoom.functions.text import strip
 
@@ -100,6 +100,21 @@ def pairs_of(reply: Column) -> Column:
     return F.when(reply.isNotNull(), parsed_pairs(fenced(reply)))
 
 
+@F.pandas_udf(BooleanType())
+def whole_json(replies: pd.Series) -> pd.Series:
+    """Whether a reply is, as a whole, a JSON object with string fields or an array of such."""
+
+    def one(text: str | None) -> bool:
+        try:
+            value = json.loads(text or "")
+        except (ValueError, RecursionError):
+            return False
+        items = value if isinstance(value, list) else [value]
+        return all(isinstance(x, dict) and all(isinstance(x.get(k, ""), str) for k in ("question", "answer")) for x in items)
+
+    return replies.map(one)
+
+
 def strict_pairs(content: Column) -> Column:
     """Valid pairs of content known to be a JSON array or object with string fields, without Python."""
     body = strip(content)

@@ -55,3 +55,13 @@ def test_stats(spark):
     assert (none.total_blocks, none.success_rate, none.success, none.avg_answer_length) == (0, 0.0, False, None) and none.message
     q = {r.doc_id: r for r in stats.extraction_quality(pairs.qa_records(results(spark)), docs).collect()}
     assert q[1].has_duplicates and q[1].quality_score == 0.2 and q[2].quality_score == 0.4 and (q[3].total_pairs, q[3].quality_score) == (0, 0.0)
+
+
+def test_strict_pairs_takes_replies_by_content(spark, monkeypatch):
+    from dialoom.plans import catalog
+
+    texts = [OK, f"[{OK}, {OK}]", "no json", None, f"{OK}\n{OK}", f"[{OK}, 7]", '{"question": 1, "answer": "a"}', f" {OK} "]
+    given = spark.createDataFrame([(8 * i, 0, t) for i, t in enumerate(texts)], "doc_id long, block_idx long, response string")
+    monkeypatch.setattr(catalog.fixtures, "responses", lambda spark, sf_dir: given)
+    got = sorted((r.doc_id, r.pair_idx, r.question, r.answer) for r in catalog.strict_pairs(spark, "").collect())
+    assert got == [(0, 0, "q", "a"), (8, 0, "q", "a"), (8, 1, "q", "a"), (56, 0, "q", "a")]
