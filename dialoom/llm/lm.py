@@ -1,27 +1,36 @@
-"""Language-model scores by weighted backoff over all repeated n-grams.
-
-Every word and every longer n-gram seen `min_count` times or more is in the
-model, whatever the corpus, so the model grows with it. It is a table, dealt
-by the n-grams' 64-bit keys; no task and no driver holds all of it. An n-gram
-has its log10 probability and, where others extend it, its backoff weight.
-Unigrams are smoothed by adding one, longer n-grams by absolute discounting,
-and each context's probabilities sum to one.
-
-Texts are counted and scored in chunks. A chunk sends its distinct n-grams,
-packed, to the parts of the table that hold them, and adds up what comes back.
-`build` makes the same model as an automaton in memory, for small corpora.
+"""Language-model scores by a weighted backoff automaton over all n-grams of the training texts.
+
+A context of known words is a state, a word seen after it an arc, and the next
+shorter context is where its failure arc leads. All n-grams up to `ORDER` words
+are in the model, each as often as it was seen; nothing is pruned at any size.
+Unigrams are smoothed by adding one, longer n-grams by a Dirichlet prior on
+what the shorter context gives: p(w|h) = (c(hw) + k p(w|h')) / (c(h) + k), so an
+unseen word costs k / (c(h) + k) on the failure arc, and each state's
+probabilities sum to one.
+
+No task holds the model. Texts are read once, into chunks of word numbers that
+are written. Each chunk sends its distinct n-grams, as sorted 64-bit keys or
+less, to the parts of the key space; a part adds up what was seen in training
+and sends the sums back in the order asked. With them a chunk has the part of
+the automaton that its texts can reach, and walks it from left to right, all
+texts at once. `Automaton` is the same model in memory, for small corpora.
+
+Keys of words have 64 bits, or as many as leave one chance in thousands that
+any two words of the corpus share one; those of longer n-grams have `SPARE` bits more
+than the corpus has n-grams, so one in 65,536 may share its key, at any size.
+A task holds a chunk (`CHUNK` tokens, or one text if that is longer) or a part
+(some `PART` n-grams).
 """
 
 from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +39,13 @@ from dialoom.llm.common import arrow_batches, materialize, table, tidy, worker_c
 
 #: The end token as a word: words hold no white space.
 END = "\n"
-#: Occurrences that make an n-gram of two words or more part of the model.
-MIN_COUNT = 2
-DISCOUNT = 0.5
-#: Tokens taken together in a task, and bytes of text to a part of the table.
-CHUNK = 1_500_000
-PART = 12_000_000
-COUNTED = pa.schema([("gram", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
-COUNTED_DDL = "gram string, size int, n long"
+ORDER = 3
+#: Weight of what the shorter context gives, by the length of the context.
+PRIOR = (1000.0, 4.0)
+#: Tokens taken together in a task; n-grams, as chunks have them, to a part.
+CHUNK, PART = 2_000_000, 3_000_000
+#: Bytes of text to a token, about; bits of a key beyond those that count the corpus's n-grams.
+TOKEN_BYTES, SPARE = 6.4, 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,179 +57,138 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _keys(ids: np.ndarray, doc: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Keys of the n-grams of `size` words that lie in one text and hold known words only."""
-    if len(ids) < size:
-        return np.zeros(0, np.int64)
-    n = len(ids) - size + 1
-    key, ok = np.zeros(n, np.int64), doc[:n] == doc[size - 1 :]
-    for k in range(size):
-        key = key * base + ids[k : k + n]
-        ok &= ids[k : k + n] >= 0
-    return key[ok]
+class Automaton:
+    """The model of `texts` in memory: states with arcs, failure arcs and their weights; state 0 is the root."""
+
+    def __init__(self, texts: Iterable[str | None], prior: tuple[float, ...] = PRIOR):
+        grams: Counter[tuple[bytes, ...]] = Counter()
+        for text in texts:
+            own = tokens(text)
+            grams.update(tuple(own[i : i + k]) for k in range(1, len(prior) + 2) for i in range(len(own) - k + 1))
+        words = [g for g in grams if len(g) == 1]
+        self.n_tokens, self.n_words = sum(grams[g] for g in words), len(words)
+        self.unseen = math.log10(1 / (self.n_tokens + self.n_words + 1))
+        # The end opens no context.
+        self.states = {(): 0} | {g: i for i, g in enumerate((g for g in grams if len(g) <= len(prior) and g[-1] != b"\n"), 1)}
+        self.fail = [0] * len(self.states)
+        self.weight = [0.0] * len(self.states)
+        for g, s in self.states.items():
+            if g:
+                self.fail[s] = self.states[g[1:]]
+                self.weight[s] = math.log10(prior[len(g) - 1] / (grams[g] + prior[len(g) - 1]))
+        self.arcs: dict[tuple[int, bytes], float] = {}
+        for g in sorted(grams, key=len):
+            *context, w = g
+            s = self.states[tuple(context)]
+            if s:
+                k = prior[len(context) - 1]
+                self.arcs[s, w] = math.log10((grams[g] + k * 10 ** self.cost(self.fail[s], w)) / (grams[tuple(context)] + k))
+            else:
+                self.arcs[0, w] = math.log10((grams[g] + 1) / (self.n_tokens + self.n_words + 1))
+
+    def cost(self, state: int, word: bytes) -> float:
+        """log10 probability of `word` in `state`."""
+        total = 0.0
+        while (state, word) not in self.arcs:
+            if not state:
+                return total + self.unseen
+            total, state = total + self.weight[state], self.fail[state]
+        return total + self.arcs[state, word]
+
+    def walk(self, words: list[bytes]) -> float:
+        """log10 probability of a text's tokens."""
+        context: tuple[bytes, ...] = ()
+        total = 0.0
+        for w in words:
+            total += self.cost(self.states[context], w)
+            context = (*context, w)[-len(PRIOR) :]
+            while context not in self.states:
+                context = context[1:]
+        return total
 
 
-def _gram(key: int, size: int, base: int, names: list[bytes]) -> str:
-    out = []
-    for _ in range(size):
-        key, w = divmod(key, base)
-        out.append(names[w].decode("utf-8", "surrogatepass"))
-    return " ".join(reversed(out))
+# ------------------------------------------------------------------ codecs
 
 
-def _batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, COUNTED, strict=True)], schema=COUNTED)
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers under 256**width, compressed byte by byte."""
+    return pa.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), "zstd", asbytes=True) if len(x) else b""
 
 
-def count_words(train: DataFrame, text_col: str, order: int, share: float, chunk: int = CHUNK) -> DataFrame:
-    """Rows (gram, size, n): all words with their counts; longer n-grams that may be frequent.
+def _unplanes(data: bytes, n: int, width: int = 4) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(data, width * n, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
 
-    An n-gram with `share` of all tokens has that share of some chunk's, so
-    those that have it in a chunk hold all that are frequent, with a count
-    that is too low where other chunks hold them too.
-    """
+
+def _low_bytes(bits: int) -> int:
+    """Bytes of a key that are stored as they are; the rest is small differences of the sorted keys, under 2**32."""
+    return max(bits - 24, 16) // 8 if bits <= 48 else -(-(bits - 32) // 8)
+
+
+def pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys of `bits` bits."""
+    low = _low_bytes(bits)
+    high = _planes(np.diff(keys >> np.uint64(8 * low), prepend=np.uint64(0)))
+    return len(high).to_bytes(4, "little") + high + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].T.tobytes()
+
+
+def unpack_keys(data: bytes, n: int, bits: int) -> np.ndarray:
+    low, size = _low_bytes(bits), int.from_bytes(data[:4], "little")
+    out = np.cumsum(_unplanes(data[4 : 4 + size], n), dtype=np.uint64) << np.uint64(8 * low)
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :low] = np.frombuffer(data, np.uint8, low * n, 4 + size).reshape(low, n).T
+    return out | raw.reshape(-1).view("<u8")
+
+
+# ------------------------------------------------------------------ chunks
+
+CHUNKS = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("n_train", pa.int64()), ("docs", pa.binary()), ("no_id", pa.binary()), ("train", pa.binary()), ("sizes", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
+CHUNKS_DDL = "chunk long, n long, n_train long, docs binary, no_id binary, train binary, sizes binary, n_words long, words binary, ids binary"
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def chunks_of(texts: DataFrame, tasks: int, word_bits: int, chunk: int) -> DataFrame:
+    """Rows of some `chunk` tokens of (doc_id, train, text), whole texts, written: the composition stays whatever is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         worker_cache("", dict)
+        at = TaskContext.get().partitionId() << 32
         names: dict[bytes, int] = {}
-        ids, lengths = array("q"), array("q")
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            words, base = list(names), len(names)
-            flat = np.frombuffer(ids, np.int64)
-            own = np.bincount(flat, minlength=base)
-            for i in range(0, base, 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.ones(len(part), np.int32)), pa.array(own[i : i + 50_000])], schema=COUNTED)
-            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), np.frombuffer(lengths, np.int64))
-            for size in range(2, order + 1):
-                found, n = np.unique(_keys(flat, doc, size, base), return_counts=True)
-                often = n >= share * len(flat)
-                rows = [(_gram(int(k), size, base, words), size, int(c)) for k, c in zip(found[often], n[often], strict=True)]
-                for i in range(0, len(rows), 20_000):
-                    yield _batch(rows[i : i + 20_000])
+        ids, sizes, docs, train = array("i"), array("i"), [], []
+
+        def full() -> pa.RecordBatch:
+            flat, size = np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int32)
+            learnt = np.array(train, bool)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) >> np.uint64(64 - word_bits)
+            row = (at, len(flat), int(size[learnt].sum()), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is None for d in docs], "u1").tobytes(), learnt.tobytes(), size.astype("<u4").tobytes(), len(names), _planes(hashes, 8), _planes(flat))
+            return _columns([row], CHUNKS)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for doc, learn, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own = tokens(text)
                 ids.extend([names.setdefault(w, len(names)) for w in own])
-                lengths.append(len(own))
+                sizes.append(len(own))
+                docs.append(doc)
+                train.append(learn)
                 if len(ids) >= chunk:
-                    yield from counted()
-                    names, ids, lengths = {}, array("q"), array("q")
-        if ids:
-            yield from counted()
-
-    return train.select(text_col).mapInArrow(run, COUNTED_DDL)
-
-
-def count_grams(train: DataFrame, text_col: str, grams: list[str], order: int) -> DataFrame:
-    """Rows (gram, size, n) for each task: exact counts of the given n-grams."""
-    names = sorted({w for g in grams for w in g.split(" ")})
-    index, base = {w: i for i, w in enumerate(names)}, max(len(names), 1)
-    keys: dict[int, np.ndarray] = {}
-    for size in range(2, order + 1):
-        own = [g.split(" ") for g in grams if g.count(" ") == size - 1]
-        got = [sum(index[w] * base ** (size - 1 - i) for i, w in enumerate(g)) for g in own]
-        keys[size] = np.sort(np.array(got, np.int64))
-    held = train.sparkSession.sparkContext.broadcast(({w.encode("utf-8", "surrogatepass"): i for w, i in index.items()}, keys))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, keys = held.value
-        words = list(index)
-        sums = {size: np.zeros(len(k), np.int64) for size, k in keys.items()}
-        for batch in batches:
-            own = [tokens(t) for t in batch.column(0).to_pylist()]
-            flat = np.fromiter((index.get(w, -1) for ws in own for w in ws), np.int64)
-            doc = np.repeat(np.arange(len(own)), [len(ws) for ws in own])
-            for size, known in keys.items():
-                if len(known):
-                    at = _keys(flat, doc, size, base)
-                    place = np.minimum(np.searchsorted(known, at), len(known) - 1)
-                    sums[size] += np.bincount(place[known[place] == at], minlength=len(known))
-        for size, known in keys.items():
-            some = np.flatnonzero(sums[size])
-            rows = [(_gram(int(known[i]), size, base, words), size, int(sums[size][i])) for i in some]
-            for i in range(0, len(rows), 20_000):
-                yield _batch(rows[i : i + 20_000])
-
-    return train.select(text_col).mapInArrow(run, COUNTED_DDL)
-
-
-@dataclass
-class Automaton:
-    """States with arcs, failure arcs and backoff weights; state 0 is the root."""
-
-    words: dict[bytes, int]
-    base: list[float]
-    arcs: dict[int, int]
-    logp: list[float]
-    to: list[int]
-    fail: list[int]
-    backoff: list[float]
-    first: list[int]
-
-    def walk(self, ids: list[int]) -> float:
-        """log10 probability of words `ids`; a negative id leads to the root and adds nothing there."""
-        get, n = self.arcs.get, len(self.words)
-        state, total = 0, 0.0
-        for w in ids:
-            if w < 0:
-                while state:
-                    total += self.backoff[state]
-                    state = self.fail[state]
-                continue
-            arc = None
-            while state and (arc := get(state * n + w)) is None:
-                total += self.backoff[state]
-                state = self.fail[state]
-            if arc is None:
-                total += self.base[w]
-                state = self.first[w]
-            else:
-                total += self.logp[arc]
-                state = self.to[arc]
-        return total
-
+                    yield full()
+                    at += 1
+                    names, ids, sizes, docs, train = {}, array("i"), array("i"), [], []
+        if docs:
+            yield full()
+        names, ids = {}, array("i")
+        tidy()
 
-def build(words: dict[str, int], grams: dict[str, int], n_tokens: int, n_words: int, order: int, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of frequent `words` and `grams` with their counts."""
-    names = {w: i for i, w in enumerate(words)}
-    n = len(names)
-    base = [math.log10((c + 1) / (n_tokens + n_words + 1)) for c in words.values()]
-    by_context: dict[tuple[str, ...], list[tuple[str, int]]] = {}
-    for g, c in sorted(grams.items()):
-        *context, w = g.split(" ")
-        by_context.setdefault(tuple(context), []).append((w, c))
-    states = {c: i for i, c in enumerate(sorted(by_context, key=lambda c: (len(c), c)), 1)}
-    first = [states.get((w,), 0) for w in names]
-
-    def suffix_state(gram: tuple[str, ...]) -> int:
-        return next((states[gram[i:]] for i in range(len(gram)) if gram[i:] in states), 0)
-
-    arcs: dict[int, int] = {}
-    logp: list[float] = []
-    to: list[int] = []
-    fail, backoff = [0] * (len(states) + 1), [0.0] * (len(states) + 1)
-    for context, s in states.items():
-        total = words[context[0]] if len(context) == 1 else grams[" ".join(context)]
-        fail[s] = suffix_state(context[1:])
-        high = low = 0.0
-        for w, c in by_context[context]:
-            arcs[s * n + names[w]] = len(logp)
-            p = (c - discount) / total
-            high += p
-            # What the shorter context gives the word: its arcs are made before.
-            t, back = fail[s], 0.0
-            while t and t * n + names[w] not in arcs:
-                back += backoff[t]
-                t = fail[t]
-            low += 10 ** (back + (logp[arcs[t * n + names[w]]] if t else base[names[w]]))
-            logp.append(math.log10(p))
-            to.append(suffix_state((*context, w)))
-        backoff[s] = math.log10(max(1 - high, 1e-12) / max(1 - low, 1e-12))
-    return Automaton({w.encode("utf-8", "surrogatepass"): i for w, i in names.items()}, base, arcs, logp, to, fail, backoff, first)
+    arrow_batches(texts.sparkSession)
+    return materialize(texts.coalesce(tasks).mapInArrow(run, CHUNKS_DDL), "lm-chunks")
 
 
 _A, _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -235,257 +202,178 @@ def _joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _levels(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each size the keys of the n-grams that start at each place."""
-    out = [words]
-    for _ in range(order - 1):
-        out.append(_joined(out[-1][:-1], out[-1][1:]))
-    return out
-
-
-def _inside(doc: np.ndarray, size: int) -> np.ndarray:
-    return doc[: max(len(doc) - size + 1, 0)] == doc[size - 1 :]
-
-
 class _Chunk:
-    """Tokens of some texts as numbers, with the words' keys."""
-
-    def __init__(self) -> None:
-        self.names: dict[bytes, int] = {}
-        self.ids, self.lengths = array("q"), array("q")
-
-    def add(self, text: str | None) -> None:
-        own, names = tokens(text), self.names
-        self.ids.extend([names.setdefault(w, len(names)) for w in own])
-        self.lengths.append(len(own))
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers, the text each token is of, and the key of each word number."""
-        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), np.frombuffer(self.lengths, np.int64))
-        return np.frombuffer(self.ids, np.int64), doc, np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
-
-
-def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places of its keys), for each part that has some."""
-    part = keys.view(np.int64) % parts
-    order = np.argsort(part, kind="stable")
-    found, start = np.unique(part[order], return_index=True)
-    for p, own in zip(found.tolist(), np.split(order, start[1:]), strict=True):
-        yield p, own
-
-
-PACKED = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
-GRAMS = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("c", pa.int64())])
-
-
-def _packed(chunk: _Chunk, order: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """The chunk's distinct n-grams with their counts, by part: words that occur, each n-gram's places among them, counts."""
-    ids, doc, hashes = chunk.arrays()
-    for size, level in enumerate(_levels(hashes[ids], order), 1):
-        starts = np.flatnonzero(_inside(doc, size))
-        keys, first, n = np.unique(level[starts], return_index=True, return_counts=True)
-        at = starts[first]
-        rows = []
-        for part, own in _dealt(keys, parts):
-            words, places = np.unique(ids[at[own][None, :] + np.arange(size)[:, None]], return_inverse=True)
-            rows.append((part, size, hashes[words].tobytes(), places.astype("<u2" if len(words) < 65536 else "<u4").tobytes(), n[own].astype("<u4").tobytes()))
-            if len(rows) == 256:
-                yield _columns(rows, PACKED)
-                rows = []
-        yield _columns(rows, PACKED)
-
-
-def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-
-def gram_counts(train: DataFrame, text_col: str, order: int, min_count: int, tasks: int, parts: int, chunk: int = CHUNK) -> DataFrame:
-    """Rows (size, key, prefix, suffix, c) with exact counts: all words, and n-grams seen `min_count` times or more."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's words, and the keys of the n-grams that start at its tokens."""
+
+    def __init__(self, row: dict, bits: int):
+        n = row["n"]
+        self.words = _unplanes(row["words"], row["n_words"], 8)
+        self.ids = _unplanes(row["ids"], n).astype(np.int64)
+        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        self.train = np.frombuffer(row["train"], bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sorted, self.rank = np.unique(self.words, return_inverse=True)
+        left = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(n)
+        #: For each size above one: where such n-grams start, and their keys.
+        self.places, self.keys = [], []
+        level = self.words[self.ids]
+        for size in range(2, ORDER + 1):
+            level = _joined(level[:-1], level[1:])
+            at = np.flatnonzero(left[: len(level)] >= size)
+            self.places.append(at)
+            self.keys.append(level[at] >> np.uint64(64 - bits))
+
+    def token_train(self) -> np.ndarray:
+        return np.repeat(self.train, self.sizes)
+
+
+def _bounds(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each part begins among sorted keys, and the end: parts share the key space evenly."""
+    part = (keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+ASKED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("n_grams", pa.int64()), ("grams", pa.binary()), ("gram_counts", pa.binary())])
+ASKED_DDL = "part long, chunk long, n_words long, words binary, word_counts binary, n_grams long, grams binary, gram_counts binary"
+TOLD = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("known", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("n_grams", pa.int64()), ("grams", pa.binary())])
+TOLD_DDL = "part long, chunk long, known long, n_words long, words binary, n_grams long, grams binary"
+
+
+def counts_of(chunks: DataFrame, word_bits: int, bits: int, parts: int) -> DataFrame:
+    """Rows (part, chunk, ...): how often training has each n-gram of a chunk, in the order of its keys; `known`: words it has, told once a part."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("", dict)
-        own = _Chunk()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own.add(text)
-                if len(own.ids) >= chunk:
-                    yield from _packed(own, order, parts)
-                    own = _Chunk()
-        if own.ids:
-            yield from _packed(own, order, parts)
-        del own
+            for row in batch.to_pylist():
+                own = _Chunk(row, bits)
+                learnt = own.token_train()
+                seen = np.bincount(own.rank[own.ids], learnt, len(own.sorted)).astype(np.int64)
+                # The last bit says whether it is seen in training, so plain sorting brings equal keys and their counts together.
+                marked = np.concatenate([k << np.uint64(1) | learnt[at].astype(np.uint64) for at, k in zip(own.places, own.keys, strict=True)])
+                marked.sort()
+                keys = marked >> np.uint64(1)
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first) if len(first) else first
+                keys = keys[first]
+                a, b = _bounds(own.sorted, word_bits, parts), _bounds(keys, bits, parts)
+                rows = []
+                for p in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
+                    w, g = slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
+                    rows.append((p, row["chunk"], w.stop - w.start, pack_keys(own.sorted[w], word_bits), _planes(seen[w]), g.stop - g.start, pack_keys(keys[g], bits), _planes(counts[g])))
+                    if len(rows) == 64:
+                        yield _columns(rows, ASKED)
+                        rows = []
+                yield _columns(rows, ASKED)
+                del own, learnt, marked, keys, counts
+            del batch
         tidy()
 
-    def count(group: pa.Table) -> pa.Table:
-        out = []
-        for size in range(1, order + 1):
-            own = group.filter(pa.compute.equal(group["size"], size))
-            if not len(own):
-                continue
-            levels, counts = [], []
-            for words, at, n in zip(*[own[c].to_pylist() for c in ("words", "at", "n")], strict=True):
-                hashes, many = np.frombuffer(words, np.uint64), np.frombuffer(n, "<u4")
-                level = list(hashes[np.frombuffer(at, "<u2" if len(hashes) < 65536 else "<u4").reshape(size, len(many))])
-                prefix = suffix = level[0]
-                while len(level) > 1:
-                    prefix, suffix = level[0], level[-1]
-                    level = [_joined(a, b) for a, b in zip(level, level[1:], strict=False)]
-                levels.append((level[0], prefix, suffix))
-                counts.append(many)
-            key, prefix, suffix = (np.concatenate(x) for x in zip(*levels, strict=True))
-            order_ = np.argsort(key, kind="stable")
-            start = np.flatnonzero(np.concatenate(([True], np.diff(key[order_]) != 0)))
-            c = np.add.reduceat(np.concatenate(counts)[order_].astype(np.int64), start)
-            keep = c >= (min_count if size > 1 else 1)
-            at = order_[start[keep]]
-            out.append(pa.table([pa.array(np.full(len(at), size, np.int32)), *[pa.array(x[at].view(np.int64)) for x in (key, prefix, suffix)], pa.array(c[keep])], schema=GRAMS))
+    def add(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+
+        def summed(kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+            """Sums in the order of the rows' keys, and of each distinct key."""
+            keys = np.concatenate([unpack_keys(r[f"{kind}s"], r[f"n_{kind}s"], width) for r in rows])
+            counts = np.concatenate([_unplanes(r[f"{kind}_counts"], r[f"n_{kind}s"]) for r in rows])
+            if not len(keys):
+                return counts, counts
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            sums = np.add.reduceat(counts[order], np.flatnonzero(new))
+            out = np.empty(len(keys), np.uint64)
+            out[order] = sums[np.cumsum(new) - 1]
+            return out, sums
+
+        (words, distinct), (grams, _) = summed("word", word_bits), summed("gram", bits)
+        known = int((distinct > 0).sum())
+        out, w, g = [], 0, 0
+        for r in rows:
+            nw, ng = r["n_words"], r["n_grams"]
+            out.append((r["part"], r["chunk"], known, nw, _planes(words[w : w + nw]), ng, _planes(grams[g : g + ng])))
+            known, w, g = 0, w + nw, g + ng
+        del rows, words, grams
         tidy()
-        return pa.concat_tables(out)
-
-    packed = train.select(text_col).coalesce(tasks).mapInArrow(pack, "part long, size int, words binary, at binary, n binary")
-    return packed.groupBy("part").applyInArrow(count, "size int, key long, prefix long, suffix long, c long")
+        return pa.Table.from_batches([_columns(out, TOLD)])
 
+    arrow_batches(chunks.sparkSession)
+    return materialize(chunks.mapInArrow(ask, ASKED_DDL).groupBy("part").applyInArrow(add, TOLD_DDL), "lm-counts")
 
-@dataclass
-class Model:
-    """Rows (key, logp, backoff) of all n-grams in the model; the words' are smoothed by adding one."""
 
-    grams: DataFrame
-    order: int
-    n_tokens: int
-    n_words: int
-    n_bytes: int
+SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _n_bytes(df: DataFrame, text_col: str) -> int:
-    # An end token for each text, as many bytes as a word has.
-    return df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 6), F.lit(0)).alias("n")).first()["n"]
+def walked(own: _Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n_tokens: int, n_words: int) -> list[np.ndarray]:
+    """For each text: known tokens, log10 probability by words alone, and along the automaton.
 
-
-def train_model(train: DataFrame, *, text_col: str = "text", order: int = 3, min_count: int = MIN_COUNT, share: float = 0.0, word_share: float = 0.0, discount: float = DISCOUNT) -> Model:
-    """Counts over all of `train` (null texts: the end token alone); no rows make a model that knows nothing.
-
-    `share`, if a caller wants a smaller model, leaves out n-grams of a smaller
-    share of all tokens; all words are in the model, whatever `word_share`.
+    Step k brings every token to its state of k words: where that context is
+    known the token takes its arc, or the failure arc to what the state of k - 1
+    words gave; elsewhere it stays in that.
     """
-    spark = train.sparkSession
-    arrow_batches(spark)
-    n_bytes = _n_bytes(train, text_col)
-    tasks, parts = max(1, math.ceil(n_bytes / (6 * CHUNK))), max(1, math.ceil(n_bytes / PART))
-    counted = materialize(gram_counts(train, text_col, order, min_count, tasks, parts), "lm-grams")
-    sums = counted.where("size = 1").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_tokens, n_words = sums["n"], sums["v"]
-    lower = counted.where("size = 1").select("key", "c", ((F.col("c") + 1) / F.lit(float(n_tokens + n_words + 1))).alias("p"))
-    values = [lower.select("key", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))]
-    for size in range(2, order + 1):
-        own = counted.where((F.col("size") == size) & (F.col("c") >= share * n_tokens))
-        totals = lower.select(F.col("key").alias("prefix"), F.col("c").alias("total"))
-        shorter = lower.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
-        # An n-gram's prefix and suffix are seen as often at least, so both are in the model.
-        lower = materialize(own.join(totals, "prefix").join(shorter, "suffix").select("key", "prefix", "c", ((F.col("c") - discount) / F.col("total")).alias("p"), "low"), "lm-level")
-        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
-        values.append(lower.select("key", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
-        values.append(lower.groupBy(F.col("prefix").alias("key")).agg(F.log10(left("p") / left("low")).alias("backoff")).select("key", F.lit(None).cast("double").alias("logp"), "backoff"))
-    every = values[0]
-    for more in values[1:]:
-        every = every.unionByName(more)
-    merged = every.groupBy("key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-    return Model(materialize(merged, "lm-model"), order, n_tokens, n_words, n_bytes)
-
-
-ASKED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())])
-FOUND = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("logp", pa.binary()), ("backoff", pa.binary())])
-SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _read(texts: pa.Table) -> _Chunk:
-    own = _Chunk()
-    for batch in texts.to_batches():
-        for text in batch.column("text").to_pylist():
-            own.add(text)
-    return own
-
-
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    A null or empty text is the end token alone. Repeated rows are scored each
-    by itself; null ids stay null; other columns are not read.
+    seen = word_counts.astype(np.float64)[own.rank][own.ids]
+    base = (seen + 1) / (n_tokens + n_words + 1)
+    every = np.concatenate(own.keys)
+    if len(every):
+        order = np.argsort(every)
+        keys = every[order]
+        rank = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
+        counts = np.empty(len(every), np.float64)
+        counts[order] = gram_counts.astype(np.float64)[rank]
+        del order, keys, rank
+    p, context, from_ = base.copy(), seen, 0
+    for size, at in enumerate(own.places, 2):
+        own_counts = counts[from_ : from_ + len(at)] if len(at) else np.zeros(0)
+        from_ += len(at)
+        k, last = PRIOR[size - 2], at + size - 1
+        # The n-gram's context is the shorter one that starts at the same token.
+        whole = context[at]
+        p[last] = np.where(whole > 0, (own_counts + k * p[last]) / (whole + k), p[last])
+        context = np.zeros(len(seen))
+        context[at] = own_counts
+    return [np.add.reduceat(x, own.starts) for x in ((seen > 0).astype(np.int64), np.log10(base), np.log10(p))]
+
+
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
+    """Per row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows where `train` is true.
+
+    A null `train` is false. A null or empty text is the end token alone.
+    Repeated rows count and are scored each by itself; null ids stay null;
+    other columns, whatever their names, are not read. No rows give no rows;
+    without training rows every token is unknown.
     """
-    arrow_batches(docs.sparkSession)
-    n_bytes = _n_bytes(docs, text_col)
-    chunks, parts = max(1, math.ceil(n_bytes / (6 * CHUNK))), max(1, math.ceil(max(n_bytes, model.n_bytes) / PART))
-    order, unseen = model.order, -math.log10(model.n_tokens + model.n_words + 1)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    picked = picked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
-
-    def ask(group: pa.Table) -> pa.Table:
+    # An end token for each text, as many bytes as a word has.
+    n_bytes = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + TOKEN_BYTES), F.lit(0.0)).alias("n")).first()["n"]
+    about = max(1, math.ceil(n_bytes / TOKEN_BYTES))
+    tasks, parts = math.ceil(about / chunk), math.ceil(1.7 * about / part)
+    # Tokens take two bytes at least, so there are fewer than n_bytes of them.
+    word_bits, bits = min(64, max(40, 2 * about.bit_length() + 4)), min(63, max(40, about.bit_length() + 1 + SPARE))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    chunks = chunks_of(texts, tasks, word_bits, chunk)
+    told = counts_of(chunks, word_bits, bits, parts)
+    n_tokens = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
+    n_words = told.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+
+    def walk(rows: pa.Table, counts: pa.Table) -> pa.Table:
         worker_cache("", dict)
-        chunk = group["chunk"][0].as_py()
-        ids, doc, hashes = _read(group).arrays()
-        keys = np.concatenate([hashes, *[np.unique(level[_inside(doc, size)]) for size, level in enumerate(_levels(hashes[ids], order), 1) if size > 1]])
-        rows = [(part, chunk, np.sort(keys[own]).tobytes()) for part, own in _dealt(keys, parts)]
-        del ids, doc, hashes, keys
-        tidy()
-        return pa.Table.from_batches([_columns(rows, ASKED)])
-
-    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(held) or not len(asked):
-            return FOUND.empty_table()
-        known = held["key"].to_numpy().view(np.uint64)
-        by = np.argsort(known)
-        known, logp, backoff = known[by], held["logp"].to_numpy()[by], held["backoff"].to_numpy()[by]
-        rows = []
-        for chunk, keys in zip(asked["chunk"].to_pylist(), asked["keys"].to_pylist(), strict=True):
-            want = np.frombuffer(keys, np.uint64)
-            place = np.minimum(np.searchsorted(known, want), len(known) - 1)
-            place = place[known[place] == want]
-            if len(place):
-                rows.append((chunk, known[place].tobytes(), logp[place].tobytes(), backoff[place].tobytes()))
-        return pa.Table.from_batches([_columns(rows, FOUND)])
-
-    def add(texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(texts):
+        if not len(rows):
             return SCORED.empty_table()
-        own = _read(texts)
-        ids, doc, hashes = own.arrays()
-        got = [np.concatenate([np.frombuffer(x, kind) for x in found[c].to_pylist()] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint64), ("logp", np.float64), ("backoff", np.float64))]
-        by = np.argsort(got[0])
-        # One more entry stands for what isn't in the model.
-        known, logp, backoff = got[0][by], np.append(got[1][by], np.nan), np.append(got[2][by], np.nan)
-
-        def places(keys: np.ndarray) -> np.ndarray:
-            place = np.searchsorted(known, keys)
-            place[place < len(known)] = np.where(known[place[place < len(known)]] == keys[place < len(known)], place[place < len(known)], len(known))
-            return place
-
-        before = places(hashes)[ids]
-        base = logp[before]
-        is_known = ~np.isnan(base)
-        base[~is_known] = unseen
-        total = base.copy()
-        for size, level in enumerate(_levels(hashes[ids], order), 1):
-            if size == 1 or not len(level):
-                continue
-            inside = _inside(doc, size)
-            place = places(level)
-            longer = logp[place]
-            # The context of the n-gram that starts here is the shorter one that starts here.
-            less = np.nan_to_num(backoff[before[: len(level)]], nan=0.0) + total[size - 1 :]
-            total[size - 1 :] = np.where(inside, np.where(np.isnan(longer), less, longer), total[size - 1 :])
-            before = place
-        n = len(own.lengths)
-        sums = [np.bincount(doc, x, n) for x in (is_known, base, total)]
-        return pa.table([texts["doc_id"], texts["held_out"], pa.array(own.lengths, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=SCORED)
-
-    asked = picked.groupBy("chunk").applyInArrow(ask, "part long, chunk long, keys binary")
-    held = model.grams.select(F.pmod("key", F.lit(parts)).cast("long").alias("part"), "key", "logp", "backoff")
-    found = held.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, keys binary, logp binary, backoff binary")
-    scored = picked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        row = rows.to_pylist()[0]
+        own = _Chunk(row, bits)
+        parts_ = sorted(counts.to_pylist(), key=lambda r: r["part"])
+        words, grams = (np.concatenate([_unplanes(r[f"{x}s"], r[f"n_{x}s"]) for r in parts_]) for x in ("word", "gram"))
+        known, base, total = walked(own, words, grams, n_tokens, n_words)
+        ids = pa.array(np.frombuffer(row["docs"], "<i8"), mask=np.frombuffer(row["no_id"], bool))
+        out = pa.table([ids, pa.array(own.train), pa.array(own.sizes), pa.array(known), pa.array(base), pa.array(total)], schema=SCORED)
+        del own, words, grams, row, parts_
+        tidy()
+        return out
+
+    scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(walk, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train_model(docs.where(~held_out(F.col("doc_id")))))
+    found = score(docs, ~held_out(F.col("doc_id")))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

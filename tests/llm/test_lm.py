@@ -3,135 +3,82 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from dialoom.llm import lm
 
 
-def tok(text):
-    return [w.decode() for w in lm.tokens(text)]
+def plain(texts, words, i):
+    """p(w|h) straight from the formula, counting in the texts anew."""
+    own = [lm.tokens(t) for t in texts]
 
+    def count(gram):
+        return sum(t[j : j + len(gram)] == gram for t in own for j in range(len(t) - len(gram) + 1))
 
-def brute_base(train, text):
-    counts = Counter(w for t in train for w in tok(t))
-    n, v = counts.total(), len(counts)
-    return sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tok(text)), sum(counts[w] > 0 for w in tok(text)), n
-
-
-def plain_backoff(auto, counts, words):
-    """log10 probability by looking up the longest known context of each word, without states."""
-    names = {w.decode(): i for w, i in auto.words.items()}
-    contexts = {c for g in counts for c in [tuple(g.split(" ")[:-1])]}
-    n = len(names)
-    total = 0.0
-    for i, w in enumerate(words):
-        context = next((c for k in (2, 1) if (c := tuple(words[max(0, i - k) : i])) in contexts and len(c) == k), ())
-        while context:
-            own = {g.split(" ")[-1]: c for g, c in counts.items() if tuple(g.split(" ")[:-1]) == context}
-            whole = counts[" ".join(context)] if len(context) > 1 else UNI[context[0]]
-            if w in own:
-                total += math.log10((own[w] - lm.DISCOUNT) / whole)
-                break
-            high = sum((c - lm.DISCOUNT) / whole for c in own.values())
-            low = sum(10 ** plain_backoff_word(auto, counts, context[1:], x, names) for x in own)
-            total += math.log10((1 - high) / (1 - low))
-            context = context[1:] if context[1:] in contexts else ()
-        else:
-            total += auto.base[names[w]]
-    assert n
-    return total
-
-
-def plain_backoff_word(auto, counts, context, w, names):
-    if context and context in {tuple(g.split(" ")[:-1]) for g in counts}:
-        own = {g.split(" ")[-1]: c for g, c in counts.items() if tuple(g.split(" ")[:-1]) == context}
-        whole = counts[" ".join(context)] if len(context) > 1 else UNI[context[0]]
-        if w in own:
-            return math.log10((own[w] - lm.DISCOUNT) / whole)
-        high = sum((c - lm.DISCOUNT) / whole for c in own.values())
-        low = sum(10 ** plain_backoff_word(auto, counts, context[1:], x, names) for x in own)
-        return math.log10((1 - high) / (1 - low)) + plain_backoff_word(auto, counts, context[1:], w, names)
-    return auto.base[names[w]]
-
-
-UNI = {"a": 40, "b": 30, "c": 20, "\n": 10}
-
-
-def test_walk_equals_plain_backoff_and_sums_to_one():
-    grams = {"a b": 20, "b a": 8, "b c": 9, "c \n": 6, "a b c": 6, "b a b": 5}
-    auto = lm.build(UNI, grams, 100, 4, 3)
+    n, v = sum(map(len, own)), len({w for t in own for w in t})
+    p = (count([words[i]]) + 1) / (n + v + 1)
+    for k in range(1, min(i, 2) + 1):
+        h = words[i - k : i]
+        if whole := count(h):
+            p = (count(h + [words[i]]) + lm.PRIOR[k - 1] * p) / (whole + lm.PRIOR[k - 1])
+    return p
+
+
+def test_automaton_is_the_formula_and_sums_to_one():
     pick = random.Random(1)
-    for _ in range(300):
-        words = [pick.choice("abc") for _ in range(pick.randint(0, 8))] + ["\n"]
-        assert math.isclose(auto.walk([auto.words[w.encode()] for w in words]), plain_backoff(auto, grams, words), rel_tol=1e-9)
-    unknown = 1 - sum(10**b for b in auto.base)
-    for state in range(1, len(auto.fail)):
-        def mass(w, state=state):
-            total, s = 0.0, state
-            while s and s * 4 + w not in auto.arcs:
-                total += auto.backoff[s]
-                s = auto.fail[s]
-            return 10 ** (total + (auto.logp[auto.arcs[s * 4 + w]] if s else auto.base[w]))
-
-        back, s = 0.0, state
-        while s:
-            back += auto.backoff[s]
-            s = auto.fail[s]
-        assert math.isclose(sum(mass(w) for w in range(4)) + unknown * 10**back, 1, rel_tol=1e-9)
-
-
-def test_scores_of_a_corpus(spark):
+    texts = [" ".join(pick.choice("aabbc") for _ in range(pick.randint(0, 9))) for _ in range(30)] + [None]
+    auto = lm.Automaton(texts)
+    for _ in range(40):
+        words = [pick.choice([b"a", b"b", b"c", b"x"]) for _ in range(pick.randint(0, 6))] + [b"\n"]
+        assert math.isclose(auto.walk(words), sum(math.log10(plain(texts, words, i)) for i in range(len(words))), rel_tol=1e-9)
+    for s in auto.states.values():
+        assert math.isclose(sum(10 ** auto.cost(s, w) for w in (b"a", b"b", b"c", b"\n", b"unknown")), 1, rel_tol=1e-9)
+
+
+def test_scores_are_those_of_the_automaton(spark):
     pick = random.Random(2)
     texts = {i: " ".join(pick.choice(["The", "the", "cat", "sat", "on", "É", f"x{i}"]) for _ in range(pick.randint(0, 60))) for i in range(200)}
     texts[200] = None
-    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(7, texts[7], "x"), (None, "The cat", "x")], "doc_id long, text string, rare string")
-    model = lm.train_model(docs.where(~lm.held_out(docs.doc_id)), share=0.001, word_share=0.01)
-    out = lm.score(docs, model).collect()
-    assert len(out) == 203
-    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    train += [texts[7]] * (zlib.crc32(b"7") % 7 != 2) + ["The cat"] * (zlib.crc32(b"") % 7 != 2)
-    for r in out:
-        base, known, n = brute_base(train, "The cat" if r.doc_id is None else texts[r.doc_id])
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and (r.n_known, r.train_tokens) == (known, n)
-        assert r.held_out == (zlib.crc32(str(r.doc_id or "" if r.doc_id != 0 else 0).encode()) % 7 == 2) and r.score < 0
+    rows = [(i, t, "x") for i, t in texts.items()] + [(7, texts[7], "x"), (None, "The cat", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train string").repartition(3)
+    learnt = [t for i, t, _ in rows if zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2]
+    auto = lm.Automaton(learnt)
+    counts = Counter(w for t in learnt for w in lm.tokens(t))
+    n, v = counts.total(), len(counts)
+    by_text = {i: t for i, t, _ in rows}
+    for chunk, part in ((50, 40), (10**6, 10**6)):
+        out = lm.score(docs, ~lm.held_out(F.col("doc_id")), chunk=chunk, part=part).collect()
+        assert len(out) == 203
+        for r in out:
+            own = lm.tokens(by_text[r.doc_id])
+            assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+            assert math.isclose(r.score, auto.walk(own), rel_tol=1e-9)
+            assert (r.n_known, r.train_tokens, r.n_tokens) == (sum(counts[w] > 0 for w in own), n, len(own))
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_counts_are_exact_in_any_chunks(spark):
-    docs = spark.createDataFrame([("a b a b c",), ("a b",), (None,), ("b a b",)], "text string").repartition(3)
-    for chunk in (1, 5, 100):
-        rows = lm.count_words(docs, "text", 2, 0.2, chunk).collect()
-        words = Counter()
-        for r in rows:
-            if r.size == 1:
-                words[r.gram] += r.n
-        assert words == {"a": 4, "b": 5, "c": 1, "\n": 4}
-        assert "a b" in {r.gram for r in rows}
-    exact = Counter()
-    for r in lm.count_grams(docs, "text", ["a b", "b a", "b \n", "a b a"], 3).collect():
-        exact[r.gram] += r.n
-    assert exact == {"a b": 4, "b a": 2, "b \n": 2, "a b a": 1}
+def test_keys_round_trip():
+    pick = np.random.default_rng(3)
+    for bits in (40, 44, 48, 52, 63, 64):
+        for n in (0, 1, 3, 10_000):
+            keys = np.unique(pick.integers(0, 2**bits, n, dtype=np.uint64))
+            assert (lm.unpack_keys(lm.pack_keys(keys, bits), len(keys), bits) == keys).all()
+            assert lm._bounds(keys, bits, 7)[[0, -1]].tolist() == [0, len(keys)]
 
 
-def test_repeated_grams_count_in_a_corpus_of_any_size(spark):
+def test_long_text_and_held_out_gain(spark):
     pick = random.Random(5)
-    texts = [" ".join(pick.choice("abcdefghij") + pick.choice("klmno") for _ in range(100)) for _ in range(3000)]
-    texts += ["once seen twice"] * 2 + ["ak seen twice once", "seen nowhere else twice once seen", "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    grams, words = Counter(), Counter()
-    for t in texts:
-        own = tok(t)
-        words.update(own)
-        grams.update(" ".join(own[i : i + k]) for k in (2, 3) for i in range(len(own) - k + 1))
-    auto = lm.build(dict(words), {g: n for g, n in grams.items() if n >= 2}, words.total(), len(words), 3)
-    more = texts[:40] + texts[-6:] + ["never once seen", "once seen never seen twice"]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(more)), docs.schema), lm.train_model(docs)).collect()}
-    unseen = -math.log10(words.total() + len(words) + 1)
-    for i, t in enumerate(more):
-        ids = [auto.words.get(w, -1) for w in lm.tokens(t)]
-        assert math.isclose(got[i], auto.walk(ids) + ids.count(-1) * unseen, rel_tol=1e-9)
+    base = [" ".join(pick.choice("abcdefghij") + pick.choice("klmno") for _ in range(30)) for _ in range(40)]
+    rows = [(i, " ".join(pick.choice(base) for _ in range(3))) for i in range(400)] + [(400, " ".join(pick.choice(base) for _ in range(20_000)))]
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), ~lm.held_out(F.col("doc_id")), chunk=5_000).collect()
+    assert len(out) == 401 and max(r.n_tokens for r in out) == 600_001
+    unseen = [r for r in out if not r.train]
+    assert sum(r.score - r.base_score for r in unseen) / sum(r.n_tokens for r in unseen) > 0.5
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert lm.score(docs, lm.train_model(docs)).count() == 0
+    assert lm.score(docs, F.lit(True)).count() == 0
     one = spark.createDataFrame([(1, "a b")], docs.schema)
-    assert lm.score(one, lm.train_model(docs)).first().n_known == 0
+    assert lm.score(one, F.lit(None).cast("boolean")).first().n_known == 0
