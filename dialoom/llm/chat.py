@@ -45,7 +45,7 @@ class Fields:
 
 @dataclass(frozen=True)
 class Listed:
-    """Turns from an array of structs; `order` sorts them, else they keep their order."""
+    """Turns from an array of structs; `order` sorts them, else they keep their order. `aliases`: roles have other systems' names."""
 
     name: str
     array: str
@@ -53,6 +53,7 @@ class Listed:
     text: str
     order: str | None = None
     optional: frozenset[str] = frozenset()
+    aliases: bool = False
 
     @property
     def paths(self) -> set[str]:
@@ -64,8 +65,8 @@ LAYOUTS: tuple[Fields | Listed, ...] = (
     Fields("prompt_response", (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), frozenset({"system"})),
     Fields("instruction", (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), frozenset({"system", "input"})),
     Fields("question", (("user", ("question",)), ("assistant", ("answer",)))),
-    Listed("messages", "messages", "role", "content"),
-    Listed("dialogue", "conversations", "from", "value"),
+    Listed("messages", "messages", "role", "content", aliases=True),
+    Listed("dialogue", "conversations", "from", "value", aliases=True),
     Listed("turns", "turns", "role", "text", "turn"),
 )
 
@@ -94,7 +95,9 @@ def _prints(layout: Fields | Listed) -> list[Column]:
     return [F.xxhash64(F.lit("\n".join(sorted(layout.paths - layout.optional | c)))) for c in chosen]
 
 
-def _role(role: Column) -> Column:
+def _role(role: Column, aliases: bool) -> Column:
+    if not aliases:
+        return F.coalesce(role, F.lit(""))
     alias = F.create_map(*[F.lit(x) for kv in ROLE_ALIASES.items() for x in kv])
     return F.coalesce(F.try_element_at(alias, F.coalesce(role, F.lit(""))), role, F.lit(""))
 
@@ -105,8 +108,8 @@ def _turns(layout: Fields | Listed, record: Column, kind: T.StructType) -> Colum
         items = record.getField(layout.array)
         if layout.order:
             items = F.array_sort(F.transform(items, lambda t: F.struct(t[layout.order].alias("o"), t[layout.role].alias("r"), t[layout.text].alias("t"))))
-            return F.transform(items, lambda t: F.struct(_role(t["r"]).alias("role"), F.coalesce(t["t"], F.lit("")).alias("text")))
-        return F.transform(items, lambda t: F.struct(_role(t[layout.role]).alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text")))
+            return F.transform(items, lambda t: F.struct(_role(t["r"], layout.aliases).alias("role"), F.coalesce(t["t"], F.lit("")).alias("text")))
+        return F.transform(items, lambda t: F.struct(_role(t[layout.role], layout.aliases).alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text")))
     made = []
     for role, paths in layout.turns:
         there = [record.getField(p) for p in paths if p in names]

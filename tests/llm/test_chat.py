@@ -50,3 +50,11 @@ def test_formatted_text_reads_back(spark):
         if turns is not None:
             assert got[i].texts == [t for role, t in turns if role == "assistant"]
             assert sum(x.chars for x in got[i].loss_runs) == len(got[i].formatted)
+
+
+def test_roles_of_turns_stay_as_they_are(spark):
+    rows = spark.createDataFrame([(1, [(0, "human", "hi"), (1, "gpt", "yo"), (2, None, None)])], "id int, turns array<struct<turn:long,role:string,text:string>>")
+    got = canonical_turns(rows.select(F.struct("turns").alias("record")), "record").first()
+    assert [tuple(t) for t in got.canonical] == [("human", "hi"), ("gpt", "yo"), ("", "")]
+    done = format_chat(canonical_turns(rows.select(F.struct("turns").alias("record")), "record")).first()
+    assert not any(r.loss for r in done.loss_runs)
