@@ -7,7 +7,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share, as the session names it; a temporary one only on a local master that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="dialoom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,19 +36,42 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch(spark)}/dialoom-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Bounds an Arrow batch in rows and bytes while an action runs; the session's own options are back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, tag: str, rows: int = 512, size: int = 2 << 20) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back; its workers get batches of `rows` rows and `size` bytes at most.
 
     Cuts lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    with batches(spark, rows, size):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def sliced(arrived: Iterator[pa.RecordBatch], rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """What arrived, in slices of `rows` rows and some `size` bytes: for functions of which the caller starts the action."""
+    for batch in arrived:
+        step = max(1, min(rows, len(batch) * size // max(batch.nbytes, 1)))
+        for i in range(0, len(batch), step):
+            yield batch.slice(i, step)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what `materialize` wrote, once nothing reads it any more."""
     for df in written:
@@ -53,16 +80,8 @@ def discard(*written: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 2 << 20) -> None:
-    """Bound what a Python worker holds at once: rows and bytes of a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def tidy() -> None:
     """Give the memory that a task has freed back to the system; workers outlive tasks."""
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
@@ -104,22 +123,18 @@ def extend(df: DataFrame, fields: str, compute) -> DataFrame:
     `compute()` is called once in each task and returns a function from a
     RecordBatch to one Arrow array for each new column.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
     from pyspark.sql import types as T
 
     more = T.StructType.fromDDL(fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("", dict)  # other operators' caches go
         work = compute()
-        for batch in batches:
+        for batch in sliced(arrived):
             made = work(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *more.names])
             del batch, made
         del work
         tidy()
 
-    arrow_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))

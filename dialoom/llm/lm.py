@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, materialize, table, tidy, worker_cache
+from dialoom.llm.common import materialize, sliced, table, tidy, worker_cache
 
 #: The end token as a word: words hold no white space.
 END = "\n"
@@ -187,7 +187,6 @@ def chunks_of(texts: DataFrame, tasks: int, word_bits: int, chunk: int) -> DataF
         names, ids = {}, array("i")
         tidy()
 
-    arrow_batches(texts.sparkSession)
     return materialize(texts.coalesce(tasks).mapInArrow(run, CHUNKS_DDL), "lm-chunks")
 
 
@@ -245,7 +244,7 @@ def counts_of(chunks: DataFrame, word_bits: int, bits: int, parts: int) -> DataF
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("", dict)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for b in sliced([batch], 1) for r in b.to_pylist()):
                 own = _Chunk(row, bits)
                 learnt = own.token_train()
                 seen = np.bincount(own.rank[own.ids], learnt, len(own.sorted)).astype(np.int64)
@@ -297,7 +296,6 @@ def counts_of(chunks: DataFrame, word_bits: int, bits: int, parts: int) -> DataF
         tidy()
         return pa.Table.from_batches([_columns(out, TOLD)])
 
-    arrow_batches(chunks.sparkSession)
     return materialize(chunks.mapInArrow(ask, ASKED_DDL).groupBy("part").applyInArrow(add, TOLD_DDL), "lm-counts")
 
 

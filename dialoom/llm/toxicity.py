@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, extend, free_name, table, worker_cache
+from dialoom.llm.common import extend, free_name, sliced, table, worker_cache
 from dialoom.llm.decontaminate import words_of
 
 #: Labelled rows that a model is fitted on, at most (by a hash of the id).
@@ -41,24 +41,30 @@ def units(word: bytes) -> list[bytes]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, start, end): only positive scores open or extend one."""
+    """All maximal scoring segments (score, start, end): only positive scores open or extend one.
+
+    One scan, in linear time: each segment knows the nearest one before it
+    whose sum at its start is less, so the search for one goes along that
+    chain and passes by what an earlier search has passed by.
+    """
     if not len(scores):
         return []
     ups = np.flatnonzero(scores > 0)
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    found: list[tuple[float, float, int, int]] = []
+    #: Sums before and after, start, end, place of the nearest one before with a lesser sum before (-1: none).
+    found: list[tuple[float, float, int, int, int]] = []
     for i, left, right in zip(ups.tolist(), total[ups].tolist(), total[ups + 1].tolist(), strict=True):
-        start = i
+        start, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
-                found.append((left, right, start, i + 1))
+                found.append((left, right, start, i + 1, j))
                 break
-            left, start = found[j][0], found[j][2]
+            left, _, start, _, before = found[j]
             del found[j:]
-    return [(r - l, a, b) for l, r, a, b in found]
+            j = before
+    return [(r - l, a, b) for l, r, a, b, _ in found]
 
 
 @dataclass
@@ -159,10 +165,9 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     if one says so. Without any labelled row the model finds nothing toxic.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     part = min(1.0, max_train / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 53)) < int(part * (1 << 53)))
     # At most max_train rows or so, whatever the size of labels.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
 
@@ -177,7 +182,7 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([sums[k][0] for k in own], pa.int64()), pa.array([sums[k][1] for k in own], pa.int64())], schema=UNITS)
             sums.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in set(words_of(text or "")):
                     for u in units(w):
@@ -248,7 +253,12 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """`docs` without those that score `threshold` or more."""
+    """`docs` without those that score `threshold` or more; the model is fitted on `labels`.
+
+    Null and empty texts have the least score and stay, repeated rows go or
+    stay together, all columns are returned, whatever their names. Without a
+    labelled row nothing is toxic.
+    """
     name = free_name(docs, "toxicity")
     model = train_model(docs, labels, text_col=text_col, **options)
     return score(docs, model, text_col=text_col, name=name).where(F.col(f"`{name}`.score") < threshold).drop(name)

@@ -74,3 +74,30 @@ def test_curve_is_fitted_on_what_it_is_applied_to(spark):
     assert max(map(len, found.values())) > 8
     want = tx._logistic(np.log1p([sum(x for x, _, _ in found[i]) for i in known]), np.array(list(known.values()), float))
     assert np.allclose(model.curve, want, rtol=1e-6)
+
+
+def test_scan_is_linear():
+    import time
+
+    for scores in (np.where(np.arange(1_000_000) % 10 == 0, 1.0, -2.0), np.tile([1.0, -2.0, 3.0, -0.5], 250_000), np.concatenate([np.tile([1.0, -1.5], 250_000), np.tile([1.0, -0.5], 250_000)])):
+        began = time.time()
+        found = tx.segments(scores)
+        assert time.time() - began < 3 and found and all(s > 0 for s, _, _ in found)
+
+
+def test_model_parts_by_plain_python():
+    counts = {b"vileword": (1, 9), b"the": (40, 8), b"3^vil": (2, 10), b"4^vile": (1, 9)}
+    odds = tx._log_odds(counts, 4.0)
+    root = (9 + 8 + 1) / (1 + 9 + 40 + 8 + 2)
+    three = (10 + 4 * root) / (12 + 4)
+    four = (9 + 4 * three) / (10 + 4)
+    word = (9 + 4 * four) / (10 + 4)
+    for unit, q in ((b"3^vil", three), (b"4^vile", four), (b"vileword", word), (b"the", (8 + 4 * root) / (48 + 4))):
+        assert abs(odds[unit] - (np.log(q / (1 - q)) - np.log(root / (1 - root)))) < 1e-9
+    rng = np.random.default_rng(3)
+    size = rng.integers(50, 500, 20_000).astype(float)
+    rate, log_k = tx._gumbel(rng.gumbel((np.log(size) - 1.0) / 0.7, 1 / 0.7), size)
+    assert abs(rate - 0.7) < 0.03 and abs(log_k + 1.0) < 0.1
+    x = rng.normal(0, 1, 20_000)
+    a, b = tx._logistic(x, (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))).astype(float))
+    assert abs(a - 0.5) < 0.1 and abs(b - 1.5) < 0.1
