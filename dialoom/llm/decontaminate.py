@@ -204,6 +204,14 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*pieces, text[at:]])
 
 
+def cut_out(matcher: Matcher, text: str, spans: list[tuple[int, int]]) -> str:
+    """`text` without its spans, and without what the words beside a cut make together, until nothing matches."""
+    while spans:
+        text = cut(text, spans)
+        spans = matcher.match(text)[1]
+    return text
+
+
 def _one_pass(docs: DataFrame, text_col: str, name: str, items: list[tuple[str, str]], window: int, cutting: bool = False) -> DataFrame:
     """`docs` with struct `name`; `cut`, the text without its spans, is made only on demand and where there are any."""
     held = docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
@@ -216,7 +224,7 @@ def _one_pass(docs: DataFrame, text_col: str, name: str, items: list[tuple[str,
             rows = []
             for text in batch.column(place).to_pylist():
                 n, spans, found = matcher.match(text)
-                rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(found), "cut": cut(text, spans) if cutting and spans else None})
+                rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(found), "cut": cut_out(matcher, text, spans) if cutting and spans else None})
             return [pa.array(rows, _FOUND)]
 
         return work

@@ -56,3 +56,13 @@ def test_empty_tables(spark):
     docs, items = frames(spark)
     assert decontaminate(docs, items.limit(0)).count() == docs.count()
     assert decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_words_beside_a_cut_make_no_new_passage(spark):
+    from dialoom.llm.decontaminate import decontaminate
+
+    inner, outer = " ".join(f"i{k}" for k in range(10)), [f"o{k}" for k in range(10)]
+    text = " ".join([*[f"x{k}" for k in range(60)], *outer[:5], inner, *outer[5:], "end"])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, inner), (2, " ".join(outer))], "item_id long, text string")
+    assert decontaminate(docs, items).first().text.split() == [*[f"x{k}" for k in range(60)], "end"]
