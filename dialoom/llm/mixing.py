@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import free_name, materialize, table
+from dialoom.llm.common import discard, free_name, materialize, table
 
 WEIGHTS = (3, 1, 2)
 _HEX = 15
@@ -104,7 +104,9 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     last = taken.groupBy("source", "part").agg(*[F.max(F.when(F.col("pass") == e, F.struct("key", "doc_id", "size"))).alias(f"cut{e}") for e in range(max_repeat)])
     ends = last.groupBy("source").agg(*[F.max(f"cut{e}").alias(f"cut{e}") for e in range(max_repeat)])
     cuts = starts.alias("l").join(ends.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.source", "l.part", *[f"r.cut{e}" for e in range(max_repeat)])
-    return placed, materialize(cuts, "mix-cuts")
+    cuts = materialize(cuts, "mix-cuts")
+    discard(narrow, starts)
+    return placed, cuts
 
 
 def _copies(cuts: list[Column], key: Column, doc_id: Column, size: Column) -> Column:
@@ -135,8 +137,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     Documents without words weigh nothing and go once for their source's place in the mix.
     """
-    _, cuts = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    placed, cuts = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     n, fan_out = options.get("max_repeat", 2), options.get("fan_out", 1024)
+    discard(placed)
     key, side = free_name(docs, "mix_key"), free_name(docs, "mix_cut")
     shift = 4 * _HEX - fan_out.bit_length() + 1
     keyed = docs.withColumn(key, shuffle_key(F.col(f"`{id_col}`"), seed))

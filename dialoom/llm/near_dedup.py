@@ -14,11 +14,15 @@ Within a bucket no two members meet unless they must. First each is compared
 with the bucket's leader, the member with most company over all its buckets.
 Where a bucket still holds several classes, members outside its main class are
 compared with the most typical text of that, and then, as long as they are
-outside, with all members of other classes, in blocks. A text is
-left out of that if more than a fifth of its weight is in shingles that no
-candidate of another class has, and a pair if what its texts can share is too
-little: both are bounds, not guesses. So no similar pair that shares a bucket is lost, while
-a group of n copies takes n steps.
+outside, with all members of other classes, in blocks. A text is left out of
+that if more than a fifth of its weight is in shingles that no candidate of
+another class has, and a pair if what its texts can share is too little: both
+are exact bounds. So a group of n copies takes n steps.
+
+What can be lost is lost by sampling, with known odds. At similarity 0.8 a pair
+shares no bucket in (1 - 0.8**3)**12 = 0.00018 of cases, and in 0.00001 its
+sketches agree in fewer than `LEAST_AGREE` of their samples, in which case it
+isn't verified; `least_agree=0` verifies every pair that would be.
 """
 
 from __future__ import annotations
@@ -32,24 +36,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, discard, free_name, materialize, table, tidy, worker_cache
+from dialoom.llm.common import discard, free_name, materialize, table, tidy, worker_cache
 from dialoom.llm.decontaminate import words_of
 
 SIZE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 3
 COMMON, IDF_GAIN = 0.01, 0.25
-#: Sketches that agree in fewer of their samples aren't of similar texts: four
+#: Sketches that agree in a smaller share of their samples aren't verified: four
 #: and a half standard deviations below what similarity 0.8 makes one expect.
 LEAST_AGREE = 0.5
-#: Documents counted together for common shingles, members of a block.
-CHUNK, BLOCK = 2_500, 256
-#: Shingles counted exactly in one pass over the texts.
-PASS = 2_000_000
+#: Members of a block of a bucket.
+BLOCK = 256
+#: Slots that count shingles, by the mean of a text's distinct ones, and at most.
+SLOTS_EACH, MOST_SLOTS = 8, 1 << 24
 #: What bounds give way to rounding.
 SLACK = 1e-5
-#: Hash places that say which texts may be needed; a bound on what is broadcast.
-PLACES = 1 << 18
+#: Bits for each key that says which texts are needed, and at most: 64 MB are broadcast.
+KEY_BITS, MOST_BITS = 64, 1 << 29
+_BLOCK_BITS = 1 << 15
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -144,63 +149,71 @@ class Sampler:
 # ---------------------------------------------------- common shingles
 
 
+def _of_texts(batch: pa.RecordBatch) -> np.ndarray:
+    """Distinct shingles of each text of the first column, end to end."""
+    return np.concatenate([np.zeros(0, np.uint64), *[shingles(words_of(text or ""))[0] for text in batch.column(0).to_pylist()]])
+
+
 def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> list[tuple[int, int]]:
     """(hash, documents) of all shingles in a share of COMMON of the texts or more.
 
-    A shingle with that share of all texts has it in some chunk, so those that
-    have it in a chunk hold all of them; these are counted exactly, up to PASS
-    of them at a time. At most (mean distinct shingles of a text) / COMMON stay.
+    Two passes over all texts. The first counts shingles by slots of their
+    hashes; a slot's count is no less than any of its shingles', so those of
+    slots that reach the share hold all that do. The second counts these
+    exactly. At most (mean distinct shingles of a text) / COMMON stay, and as
+    many slots, whatever the corpus and the order of its texts.
     """
-    spark = docs.sparkSession
+    spark, least = docs.sparkSession, COMMON * n_docs
     texts = docs.select(text_col)
+    # A text has a shingle to a word, and a word has a byte and a space at least, some six bytes as a rule.
+    mean = (texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / max(n_docs, 1) / 6
+    slots = min(MOST_SLOTS, 1 << max(14, int(SLOTS_EACH * mean / COMMON).bit_length()))
+    mask, piece = np.uint64(slots - 1), min(slots, 1 << 14)
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-        size = 0
+    def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(slots, np.uint32)
+        for batch in batches:
+            place, n = np.unique(_of_texts(batch) & mask, return_counts=True)
+            sums[place.astype(np.int64)] += n.astype(np.uint32)
+        for i in np.flatnonzero(sums.reshape(-1, piece).any(axis=1)).tolist():
+            data = pa.compress(sums[i * piece : (i + 1) * piece].view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data], pa.binary())], names=["piece", "counts"])
+        tidy()
 
-        def out(sets: list[np.ndarray]) -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n >= COMMON * len(sets)].view(np.int64))], names=["h"])
+    def hot_slots(group: pa.Table) -> pa.Table:
+        total = np.zeros(piece, np.int64)
+        for data in group["counts"].to_pylist():
+            total += np.ascontiguousarray(np.frombuffer(pa.decompress(data, 4 * piece, "zstd", asbytes=True), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        return pa.table({"slot": pa.array(np.flatnonzero((total >= least) & (total > 0)) + group["piece"][0].as_py() * piece)})
+
+    # A task for some thousands of texts: each sends all its slots.
+    together = texts.coalesce(max(1, -(-n_docs // 4000)))
+    found = materialize(together.mapInArrow(count_slots, "piece long, counts binary").groupBy("piece").applyInArrow(hot_slots, "slot long"), "dedup-slots")
+    hot = np.zeros(slots, bool)
+    hot[found.toArrow()["slot"].to_numpy()] = True
+    held = spark.sparkContext.broadcast(hot)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, own, size = held.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(own), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(words_of(text or ""))[0])
-                size += len(held[-1])
-                if len(held) >= CHUNK or size >= 1_000_000:
-                    if full:
-                        yield out(full)
-                    full, held, size = held, [], 0
-        # What is left over would make a chunk in which little is common: it joins the last one.
-        if full or held:
-            yield out(full + held)
-        full, held = [], []
+            flat = _of_texts(batch)
+            own.append(flat[hot[(flat & mask).astype(np.int64)]])
+            size += len(own[-1])
+            if size > 1_000_000:
+                yield out()
+                own, size = [], 0
+        if own:
+            yield out()
         tidy()
 
-    def counter(known):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = known.value
-            sums = np.zeros(len(hashes), np.int64)
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    own = shingles(words_of(text or ""))[0]
-                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    sums[at[hashes[at] == own]] += 1
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(sums[some])], names=["h", "n"])
-            tidy()
-
-        return count
-
-    together = texts.coalesce(max(1, -(-n_docs // CHUNK)))
-    found = materialize(together.mapInArrow(maybe, "h long").distinct(), "dedup-common")
-    passes = -(-found.count() // PASS)
-    out: list[tuple[int, int]] = []
-    for k in range(passes):
-        own = found.where(F.pmod("h", F.lit(passes)) == k).toArrow()["h"].to_numpy()
-        known = spark.sparkContext.broadcast(np.sort(own.view(np.uint64)))
-        exact = texts.mapInArrow(counter(known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n_docs)
-        out += [(r["h"], r["n"]) for r in exact.collect()]
+    exact = materialize(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "dedup-common")
+    out = [(r["h"], r["n"]) for r in exact.collect()]
+    discard(found, exact)
     return out
 
 
@@ -250,31 +263,40 @@ def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFram
 # --------------------------------------------------------------- links
 
 
-def _place(doc_id: Column, text_key: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, text_key), F.lit(PLACES))
+def _key(doc_id: Column, text_key: Column) -> Column:
+    return F.xxhash64(doc_id, text_key)
 
 
 def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
-    """`docs` that may be among `keys` (doc_id, text_key), with a struct (doc_id, text_key) of the returned name, and those that aren't.
+    """`docs` that may be among `keys` (key, text_key), with a struct (key, text_key) of the returned name, and those that aren't.
 
-    Places of the keys' hashes decide, at most PLACES of them, so only texts
-    that may be needed are shuffled.
+    A bit map of the keys decides, KEY_BITS bits to a key, so only some texts
+    that aren't needed are shuffled beside those that are; beyond MOST_BITS
+    they grow in share, and no text is missed.
     """
-    places = keys.select(_place(F.col("doc_id"), F.col("text_key")).alias("place")).distinct()
-    own, place = free_name(docs, "row_key"), free_name(docs, "row_place")
-    keyed = docs.withColumn(own, F.struct(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_key")))
-    keyed = keyed.withColumn(place, _place(F.col(f"{own}.doc_id"), F.col(f"{own}.text_key")))
-    places = F.broadcast(places.withColumnRenamed("place", place))
-    return keyed.join(places, place, "left_semi").drop(place), own, keyed.join(places, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bits = min(MOST_BITS, max(_BLOCK_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    place = lambda key: F.pmod(key, F.lit(bits))
+    maps = keys.select(place(F.col("key")).alias("place")).groupBy(F.floor(F.col("place") / _BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("place") % _BLOCK_BITS).alias("map"))
+    own, side = free_name(docs, "row_key"), free_name(docs, "row_map")
+    text_key = F.xxhash64(f"`{text_col}`")
+    keyed = docs.withColumn(own, F.struct(_key(F.col(f"`{id_col}`").cast("long"), text_key).alias("key"), text_key.alias("text_key")))
+    maps = F.broadcast(maps.select(F.struct("*").alias(side)))
+    here = place(F.col(f"`{own}`.key"))
+    joined = keyed.join(maps, F.floor(here / _BLOCK_BITS) == F.col(f"`{side}`.block"), "left")
+    at = here % _BLOCK_BITS
+    byte = F.conv(F.hex(F.substring(F.col(f"`{side}`.map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1, F.lit(False))
+    return joined.where(marked).drop(side), own, joined.where(~marked).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def texts_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (node, text) of the nodes in `needed`."""
-    keys = materialize(needed.join(nodes.select("node", "doc_id", "text_key"), "node"), "dedup-keys")
+    keys = materialize(needed.join(nodes.select("node", _key(F.col("doc_id"), F.col("text_key")).alias("key"), "text_key"), "node"), "dedup-keys")
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     some, own, _ = split_rows(plain, keys, "id", "text")
-    found = some.join(keys, F.col(f"{own}.doc_id").eqNullSafe(keys["doc_id"]) & (F.col(f"{own}.text_key") == keys["text_key"]))
-    texts = materialize(found.dropDuplicates(["node"]).select("node", "text"), "dedup-texts")
+    found = some.select(F.col(f"{own}.key").alias("key"), F.col(f"{own}.text_key").alias("text_key"), "text").join(keys, ["key", "text_key"])
+    # Repeated rows lie where the join has put them, so this shuffles nothing.
+    texts = materialize(found.dropDuplicates(["key", "text_key", "node"]).select("node", "text"), "dedup-texts")
     discard(keys)
     return texts
 
@@ -304,8 +326,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights, id_co
         vector.cache_clear()
         tidy()
 
-    arrow_batches(docs.sparkSession, 128)
-    links = materialize(both.mapInArrow(run, "a binary, b binary"), "dedup-links")
+    links = materialize(both.mapInArrow(run, "a binary, b binary"), "dedup-links", 128)
     discard(texts)
     return links
 
@@ -328,26 +349,28 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             discard(edges)
-            return labels.select("node", "label")
-
+            out = labels.select("node", "label")
+            out.written_at = labels.written_at
+            return out
 
-def _agree(a: Column, b: Column) -> Column:
-    same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)
-    return F.size(same) >= int(LEAST_AGREE * BANDS * ROWS)
 
-
-def similar_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def similar_sketches(pairs: DataFrame, nodes: DataFrame, least_agree: float) -> DataFrame:
     """Those of pairs (a, b) whose sketches may be of similar texts."""
     sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    return materialize(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_agree(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "dedup-pairs")
+    same = F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x)
+    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(F.size(same) >= int(least_agree * BANDS * ROWS))
+    return materialize(both.select("a", "b"), "dedup-pairs")
 
 
-def leader_pairs(bucketed: DataFrame, nodes: DataFrame) -> DataFrame:
+def leader_pairs(bucketed: DataFrame, nodes: DataFrame, least_agree: float) -> DataFrame:
     """Each bucket's members with its leader, as far as their sketches may be of similar texts."""
     company = bucketed.groupBy("node").agg(F.sum("n").alias("company"))
-    leaders = bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"))
-    pairs = bucketed.join(leaders, "key").select(F.col("node").alias("a"), F.col("top.node").alias("b")).where(F.col("a") != F.col("b"))
-    return similar_sketches(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes)
+    # Written, so that the join with a large bucket's members can be split.
+    leaders = materialize(bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", "top.node"), "dedup-leaders")
+    pairs = bucketed.join(leaders.withColumnRenamed("node", "leader"), "key").select(F.col("node").alias("a"), F.col("leader").alias("b")).where(F.col("a") != F.col("b"))
+    found = similar_sketches(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, least_agree)
+    discard(leaders)
+    return found
 
 
 def mixed_members(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -355,8 +378,11 @@ def mixed_members(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
     label = F.coalesce(F.col("label"), F.col("node"))
     placed = bucketed.join(labels, "node", "left").select("key", "node", "n", label.alias("label"))
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", F.col("main.label").alias("main"))
-    return materialize(placed.join(mixed, "key").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dedup-mixed")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    mixed = materialize(mixed.select("key", F.col("main.label").alias("main")), "dedup-main")
+    members = materialize(placed.join(mixed, "key").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dedup-mixed")
+    discard(mixed)
+    return members
 
 
 def reach(texts: DataFrame, labels: DataFrame, weights, similar: float) -> DataFrame:
@@ -387,14 +413,16 @@ def reach(texts: DataFrame, labels: DataFrame, weights, similar: float) -> DataF
     return able
 
 
-def closest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float) -> DataFrame:
+def closest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float, least_agree: float) -> DataFrame:
     """Members outside their bucket's main class, each with the one in it that has least of its own."""
     near = members.join(reached, "node")
-    top = near.where("not outside").groupBy("key").agg(F.max(F.struct(F.col("s") / F.col("w"), "node", "w", "s")).alias("top"))
+    top = materialize(near.where("not outside").groupBy("key").agg(F.max(F.struct(F.col("s") / F.col("w"), "node", "w", "s")).alias("top")), "dedup-top")
     most = F.least("s", "top.s")
     pairs = near.where("outside").join(top, "key").where(most >= (similar - SLACK) * (F.col("w") + F.col("top.w") - most))
     ordered = pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
-    return similar_sketches(ordered.join(done, ["a", "b"], "left_anti"), nodes)
+    found = similar_sketches(ordered.join(done, ["a", "b"], "left_anti"), nodes, least_agree)
+    discard(top)
+    return found
 
 
 def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -408,9 +436,9 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return out_blocks.join(all_blocks, "key").select("key", "out", "all")
 
 
-def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[tuple[dict, dict]]:
+def _compared(batches: Iterator[pa.RecordBatch], similar: float, least_agree: float) -> Iterator[tuple[dict, dict]]:
     """Pairs of members of different classes that may be similar, each in the first bucket they share."""
-    least = int(LEAST_AGREE * BANDS * ROWS)
+    least = int(least_agree * BANDS * ROWS)
     for batch in batches:
         for key, out, every in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             sketch, bands = np.array([m["sketch"] for m in every], np.int32), np.array([m["bands"] for m in every], np.int64)
@@ -427,39 +455,44 @@ def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[tup
                         yield m, x
 
 
-def possible_nodes(members: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+def possible_nodes(members: DataFrame, nodes: DataFrame, similar: float, least_agree: float) -> DataFrame:
     """Members of which the sketch may be similar to that of another class's member in a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[bytes] = set()
-        for m, x in _compared(batches, similar):
+        for m, x in _compared(batches, similar, least_agree):
             found |= {m["node"], x["node"]}
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
                 found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
 
-    arrow_batches(nodes.sparkSession, 16)
     open_ = members.withColumns({"w": F.lit(1.0), "s": F.lit(1.0)})
-    return materialize(_blocks(open_, nodes).mapInArrow(run, "node binary").distinct(), "dedup-possible")
+    return materialize(_blocks(open_, nodes).mapInArrow(run, "node binary").distinct(), "dedup-possible", 16)
 
 
-def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float) -> DataFrame:
+def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float, least_agree: float) -> DataFrame:
     """Pairs of different classes that share a bucket and may be similar; those in `done` left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = [sorted((m["node"], x["node"])) for m, x in _compared(batches, similar)]
-        for i in range(0, len(pairs), 50_000):
-            a, b = zip(*pairs[i : i + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        pairs: list[list[bytes]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for m, x in _compared(batches, similar, least_agree):
+            pairs.append(sorted((m["node"], x["node"])))
+            if len(pairs) == 50_000:
+                yield out()
+                pairs.clear()
+        yield out()
 
-    arrow_batches(nodes.sparkSession, 16)
     found = _blocks(members.join(reached, "node"), nodes).mapInArrow(run, "a binary, b binary").distinct()
-    return materialize(found.join(done, ["a", "b"], "left_anti"), "dedup-rest")
+    return materialize(found.join(done, ["a", "b"], "left_anti"), "dedup-rest", 16)
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Rows (doc_id, text_key, class_id, alone, class), one for each of `docs`; class_id is the class's least doc_id.
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_agree: float = LEAST_AGREE) -> DataFrame:
+    """Rows (doc_id, text_key, class_id, alone, class), one for each of `docs`, written; class_id is the class's least doc_id.
 
     Only `class` tells classes apart: with null or repeated ids, several may
     have one class_id. Null, empty and wordless texts are alone. Repeated rows are copies of one
@@ -467,53 +500,65 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     five words are one shingle, so only copies of them are similar.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     n_docs = docs.count()
     weights = spark.sparkContext.broadcast(Weights(common_shingles(docs, text_col, n_docs), n_docs))
-    arrow_batches(spark)
     signed = signatures(docs, weights, id_col, text_col)
     some = F.min(F.struct("doc_id", "text_key"))
     nodes = signed.where("node is not null").groupBy("node").agg(some.alias("at"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = materialize(nodes.select("node", "at.doc_id", "at.text_key", "bands", "sketch"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-shared")
     bucketed = materialize(rows.join(shared, "key"), "buckets")
-    pairs = leader_pairs(bucketed, nodes)
+    pairs = leader_pairs(bucketed, nodes, least_agree)
     links = verified(pairs, nodes, docs, weights, id_col, text_col, similar)
     labels = components(links)
     members = mixed_members(bucketed, labels)
-    texts = texts_of(possible_nodes(members, nodes, similar), nodes, docs, id_col, text_col)
-    arrow_batches(spark)
+    possible = possible_nodes(members, nodes, similar, least_agree)
+    texts = texts_of(possible, nodes, docs, id_col, text_col)
     reached = reach(texts, labels, weights, similar)
-    discard(texts)
-    second = closest_pairs(members, nodes, reached, pairs, similar)
+    discard(shared, possible, texts)
+    used = [signed, nodes, bucketed, pairs, links, labels, members, reached]
+    second = closest_pairs(members, nodes, reached, pairs, similar, least_agree)
     more = verified(second, nodes, docs, weights, id_col, text_col, similar)
+    used += [second, more]
     if more.take(1):
         links, pairs = links.union(more), pairs.union(second)
         labels = components(links)
         members = mixed_members(bucketed, labels)
-    more = verified(rest_pairs(members, nodes, reached, pairs, similar), nodes, docs, weights, id_col, text_col, similar)
+        used += [labels, members]
+    rest = rest_pairs(members, nodes, reached, pairs, similar, least_agree)
+    more = verified(rest, nodes, docs, weights, id_col, text_col, similar)
+    used += [rest, more]
     if more.take(1):
         labels = components(links.union(more))
+        used.append(labels)
     own = signed.select("doc_id", "text_key", "node").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Ids of a class meet as partial minima; wordless rows have no class.
-    least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return own.join(least, "class", "left").select("doc_id", "text_key", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("class").isNull().alias("alone"), "class")
-
-
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """`docs` with one document of each class: that of the least id, then text hash. Texts without words all stay."""
-    found = materialize(near_classes(docs, id_col=id_col, text_col=text_col, similar=similar).where("not alone"), "classes")
-    each = found.groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    first = each.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("n").alias("n")).where("n > 1")
-    keepers = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
-    several = materialize(found.join(first.select("class"), "class", "left_semi").select("doc_id", "text_key").distinct(), "several")
-    keepers = keepers.withColumn("kept", F.lit(True))
-    marks = materialize(several.alias("s").join(keepers.alias("k"), F.col("s.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("s.text_key") == F.col("k.text_key")), "left").select("s.doc_id", "s.text_key", F.coalesce("kept", F.lit(False)).alias("kept")), "marks")
+    least = materialize(own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id")), "dedup-least")
+    class_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    found = materialize(own.join(least, "class", "left").select("doc_id", "text_key", class_id, F.col("class").isNull().alias("alone"), "class"), "classes")
+    discard(*used, least)
+    return found
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_agree: float = LEAST_AGREE) -> DataFrame:
+    """`docs` with one document of each class: that of the least id, then text hash.
+
+    Null, empty and wordless texts all stay; of repeated rows one stays. All
+    columns are returned, whatever their names. An empty table stays empty.
+    """
+    found = near_classes(docs, id_col=id_col, text_col=text_col, similar=similar, least_agree=least_agree)
+    each = found.where("not alone").groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = materialize(each.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("class", "first"), "dedup-first")
+    key = _key(F.col("doc_id"), F.col("text_key")).alias("key")
+    several = found.join(first.select("class"), "class", "left_semi").select(key, "text_key").distinct()
+    keepers = first.select("first.*").select(key, "text_key", F.lit(True).alias("kept"))
+    marks = materialize(several.join(keepers, ["key", "text_key"], "left").select("key", "text_key", F.coalesce("kept", F.lit(False)).alias("kept")), "marks")
+    discard(found, first)
     may, own, others = split_rows(docs, marks, id_col, text_col)
     mark = free_name(may, "dedup_mark")
     side = marks.select(F.struct("*").alias(mark))
-    joined = may.join(side, F.col(f"`{own}`.doc_id").eqNullSafe(F.col(f"`{mark}`.doc_id")) & (F.col(f"`{own}`.text_key") == F.col(f"`{mark}`.text_key")), "left")
+    joined = may.join(side, (F.col(f"`{own}`.key") == F.col(f"`{mark}`.key")) & (F.col(f"`{own}`.text_key") == F.col(f"`{mark}`.text_key")), "left")
     untouched = joined.where(F.col(f"`{mark}`").isNull())
     kept = joined.where(F.col(f"`{mark}`.kept")).dropDuplicates([own])
     cols = [F.col(f"`{c}`") for c in docs.columns]

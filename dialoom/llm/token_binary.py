@@ -16,6 +16,7 @@ The start index gives any range of ids without decoding the blocks before it.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import struct
 import uuid
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_batches, fresh_path, materialize, table, tidy, worker_cache
+from dialoom.llm.common import fresh_path, materialize, table, tidy, worker_cache
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -178,6 +179,13 @@ _STOP = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,])( |\n|$)"
 _IS_STOP, _IS_LINE = "\x01", "\x03"
 
 
+def piecewise(tok: dict) -> bool:
+    """Whether a tokenizer parts texts at single spaces, stops and line ends as `PieceEncoder` relies on."""
+    pre, model = tok.get("pre_tokenizer") or {}, tok.get("model") or {}
+    plain = not tok.get("normalizer") and not tok.get("truncation") and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return bool(plain and model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
@@ -185,8 +193,8 @@ class PieceEncoder:
     parts a word from a stop or comma after it and from a line's end. So a
     text's ids are those of its words, stops and line starts in order, except
     where white space runs are longer or an added token stands in the text:
-    such texts are encoded whole. Short words are remembered, up to `limit`,
-    then anew.
+    such texts are encoded whole, and so is every text if the tokenizer is of
+    another kind. Short words are remembered, up to `limit`, then anew.
     """
 
     #: Words up to this length come again; most longer ones don't, and aren't remembered.
@@ -196,12 +204,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_piece = piecewise(json.loads(self.tok.to_str()))
         self.limit = limit
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab()
         self.opens = {lead: np.zeros(max(vocab.values()) + 1, bool) for lead in " \n"}
         for lead, mark in ((" ", "Ġ"), ("\n", "Ċ")):
-            self.opens[lead][[i for w, i in vocab.items() if w[0] == mark]] = True
+            self.opens[lead][[i for w, i in vocab.items() if w[:1] == mark]] = True
         self.seen: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -245,6 +254,8 @@ class PieceEncoder:
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Pieces are told apart by Arrow; what a group needs is learnt before it is put together."""
+        if not self.by_piece:
+            return [np.array(x.ids, "<u4") for x in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         alone = np.zeros(len(texts), bool)
         for t in (*self.added, _IS_STOP, _IS_LINE):
             alone |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
@@ -293,27 +304,41 @@ def encoder(path: str) -> PieceEncoder:
 # --------------------------------------------------------------- the writer
 
 
+def _store(path: str):
+    """The file system of a URI, and the folder of the shards in it."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(f"{path}/data")
+    store.create_dir(root, recursive=True)
+    return store, root
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as a URI; one without a scheme is in Hadoop's default file system, as for Spark's own readers."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col: str = "doc_id",
               text_col: str = "text", shard_ids: int = 4 << 20, percentile: float = 0.95) -> DataFrame:
     """Encode `docs` and write shards under `path` in ascending document order; returns the manifest.
 
     Null texts are empty: the end id alone. Null ids come first; rows of one id
-    are ordered by text and stay separate documents. An empty table writes no
-    shard. Other columns, whatever their names, are not read. A task keeps at
+    are ordered by text hash and text and stay separate documents. An empty
+    table writes no shard. Other columns, whatever their names, are not read. A task keeps at
     most `shard_ids` ids and one document in memory. File names are unique to
     the attempt, and only shards that the manifest lists count, so lost
-    executors leave no wrong shard behind.
+    executors leave no wrong shard behind. Texts are brought in order, not
+    ids: compressed, either takes as many bytes.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark, 4096, 5 << 20)
+    path = qualified(docs.sparkSession, path)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    def write(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        store, root = fs.FileSystem.from_uri(f"{path}/data") if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), f"{path}/data")
-        store.create_dir(root, recursive=True)
+        store, root = _store(path)
         names: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -328,19 +353,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
 
         end = np.array([end_id], "<u4")
         gc.disable()  # many small objects live here, in no cycles
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
-                ids = np.concatenate((ids, end))
-                names.append(doc)
-                held.append(ids)
-                size += len(ids)
-                if size >= shard_ids:
-                    yield flush()
-                    names, held, size, seq = [], [], 0, seq + 1
-        if held:
-            yield flush()
-        gc.enable()
-        tidy()
+        try:
+            for batch in arrived:
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                    ids = np.concatenate((ids, end))
+                    names.append(doc)
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= shard_ids:
+                        yield flush()
+                        names, held, size, seq = [], [], 0, seq + 1
+            if held:
+                yield flush()
+        finally:
+            gc.enable()
+            names, held = [], []
+            tidy()
 
     tied = F.xxhash64("text")
     ordered = (
@@ -348,7 +376,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), tied)
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tied, "text")
     )
-    return materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
+    return materialize(ordered.mapInArrow(write, MANIFEST), "manifest", 4096, 5 << 20)
 
 
 # --------------------------------------------------------------- the reader
@@ -358,12 +386,14 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Documents as the files hold them: id, start among all ids, number of ids, their crc32.
 
     Files are read by Spark, from any store it reads; starts are the sums of
-    the manifest's counts before each shard plus the place within it.
+    the manifest's counts before each shard plus the place within it. A shard
+    of the manifest that isn't there in full raises an error; others, which
+    lost attempts have left, are not read.
     """
-    arrow_batches(spark, 1)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def decode(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("", dict)
+        for batch in arrived:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(data.as_buffer().to_pybytes())
                 flat = memoryview(shard.values().astype("<u4").tobytes())
@@ -375,14 +405,21 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                     [pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(shard.doc_ids, pa.int64()),
                      pa.array(starts, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crc, pa.int64())],
                     names=["file", "pos", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+        tidy()
 
+    # A row for each shard, some megabytes of ids: the window's one task and the broadcast hold a millionth of the ids' bytes.
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     bases = manifest.select("file", F.coalesce(F.sum("n_values").over(order), F.lit(0)).alias("base"))
-    files = (
-        spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pfr").load(f"{path}/data")
-        if manifest.take(1) else spark.createDataFrame([], "path string, content binary")
-    )
-    found = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content").mapInArrow(decode, DECODED)
+    if manifest.take(1):
+        files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pfr").load(f"{path}/data")
+        files = files.withColumn("file", F.regexp_extract("path", "[^/]*$", 0))
+        there = manifest.join(files.select("file", "length"), "file", "left").agg(F.count_if(F.col("length").eqNullSafe(F.col("bytes"))).alias("whole"), F.count(F.lit(1)).alias("all")).first()
+        if there["whole"] != there["all"]:
+            raise ValueError(f"{there['all'] - there['whole']} of {there['all']} shards of the manifest are not in {path} in full")
+    else:
+        files = spark.createDataFrame([], "file string, content binary")
+    # Written, so that a worker gets one shard at a time, whatever the session's batches.
+    found = materialize(files.select("file", "content").mapInArrow(decode, DECODED), "decoded", 1)
     return found.join(bases, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -393,7 +430,11 @@ def default_tokenizer() -> str:
 
 
 def ids_roundtrip(docs: DataFrame, tokenizer: str | None = None, *, end_id: int = 2) -> DataFrame:
-    """Write every document's ids, then read the files back."""
+    """Write every document's ids, then read the files back: a row for each of `docs`.
+
+    Null texts, null and repeated ids and empty tables are as in `write_ids`;
+    columns other than doc_id and text are not read.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "ids")
     manifest = write_ids(docs, path, tokenizer or default_tokenizer(), end_id=end_id)

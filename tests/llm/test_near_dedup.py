@@ -82,3 +82,48 @@ def test_dedup_tells_classes_of_one_id_apart(spark):
     rows = [(None, "a b c d e f"), (None, "q r s t u v"), (None, "q r s t u v"), (3, "g h i j k l"), (3, "m n o p q r"), (4, "m n o p q r")]
     kept = nd.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "a b c d e f"), (None, "q r s t u v"), (3, "g h i j k l"), (3, "m n o p q r")], key=str)
+
+
+def plain_common(texts):
+    from collections import Counter
+
+    df = Counter()
+    for t in texts:
+        w = words_of(t)
+        df.update({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0))})
+    return sorted(n for n in df.values() if n >= nd.COMMON * len(texts))
+
+
+def test_common_shingles_are_those_of_a_plain_count(spark):
+    pick = random.Random(7)
+    often = [" ".join(f"o{k}w{i}" for i in range(9)) for k in range(4)]
+    texts = [" ".join([*[f"r{pick.random()}" for _ in range(30)], *([often[i % 4]] if i % 3 == 0 else [])]) for i in range(900)] + ["", "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = nd.common_shingles(docs, "text", len(texts))
+    assert sorted(n for _, n in got) == plain_common(texts)
+
+
+def test_long_texts_give_few_common_shingles(spark):
+    pick = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(50))
+    texts = [" ".join([shared, *[f"{pick.random():.9f}" for _ in range(5_000)]]) for _ in range(270)]
+    got = nd.common_shingles(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), "text", 270)
+    assert 46 <= len(got) <= 60 and max(n for _, n in got) == 270
+
+
+def test_every_pair_is_verified_on_demand(spark):
+    texts = corpus(3, 5, 10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_classes(docs, least_agree=0.0).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_needed_texts_are_found_by_the_bit_map(spark):
+    rows = [(i if i % 9 else None, f"text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    keys = docs.where("cast(substring(text, 6) as int) % 7 = 0").select(nd._key(F.col("doc_id"), F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("text_key"))
+    some, own, others = nd.split_rows(docs, keys, "doc_id", "text")
+    got, left = {r.text for r in some.collect()}, {r.text for r in others.collect()}
+    assert not got & left and len(got | left) == 2000 and {t for _, t in rows if int(t[5:]) % 7 == 0} <= got and len(got) < 400

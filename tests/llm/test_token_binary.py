@@ -55,3 +55,26 @@ def test_small_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
     manifest = tb.write_ids(docs, str(tmp_path), tb.default_tokenizer(), shard_ids=10)
     assert manifest.count() > 5 and sorted(r.doc_id for r in tb.read_ids(spark, str(tmp_path), manifest).collect()) == list(range(50))
+
+
+def test_other_tokenizers_encode_whole_texts(encoder):
+    import json
+
+    spec = json.loads(encoder.tok.to_str())
+    assert tb.piecewise(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
+        assert not tb.piecewise(spec | change)
+    whole = tb.PieceEncoder(tb.default_tokenizer())
+    whole.by_piece = False
+    assert [x.tolist() for x in whole.encode(pa.array(["a b. c\n d", None]))] == [encoder.tok.encode("a b. c\n d").ids, []]
+
+
+def test_missing_shard_is_an_error_and_options_stay(spark, tmp_path):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    manifest = tb.write_ids(docs, str(tmp_path), tb.default_tokenizer(), shard_ids=10)
+    assert tb.read_ids(spark, str(tmp_path), manifest).count() == 50 and [spark.conf.get(k) for k in keys] == before
+    next((tmp_path / "data").glob("*.pfr")).unlink()
+    with pytest.raises(ValueError, match="1 of"):
+        tb.read_ids(spark, str(tmp_path), manifest)
