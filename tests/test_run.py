@@ -71,7 +71,7 @@ def test_replay_and_process(spark, tmp_path):
     pipeline.process(spark, lines, ReplayResponder(known), conf)
     got = jsonl.load(spark, conf.output_path).first()
     assert (got.item.question, got.item.answer) == ("甲", "乙") and got.item.source_text.startswith("网友")
-    assert spark.read.text(str(tmp_path / "extraction_success.log")).where("value = 'QA_PAIR_START'").count() == 1
+    assert spark.read.text(str(tmp_path / "extraction_success.log")).where("value rlike '^[0-9-]{10} [0-9:]{8},[0-9]{3} - INFO - QA_PAIR_START$'").count() == 1
 
 
 def test_jsonl(spark, tmp_path):
@@ -105,6 +105,26 @@ def test_pdf(spark, tmp_path):
     assert documents.page_text(rows, "path").first().page_text == "A\n1   "
 
 
+def test_every_pdf_has_its_row_of_figures(spark, tmp_path, capsys):
+    def reader(content):
+        if content == b"bad":
+            raise ValueError("no such luck")
+        return ([[content.decode() * 200]] if content == b"A" else [[], [" \n"]] if content == b"blank" else []), False, {"title": content.decode()}
+
+    (tmp_path / "in").mkdir()
+    for name, data in (("a", b"A"), ("b", b"bad"), ("c", b"blank"), ("d", b"nothing")):
+        (tmp_path / "in" / f"{name}.pdf").write_bytes(data)
+    blocks = documents.read_pdf(spark, str(tmp_path / "in"), reader)
+    info = {r.path[-5:]: r for r in documents.pdf_info(spark, str(tmp_path / "in"), blocks).collect()}
+    assert info["a.pdf"].metadata == {"title": "A"} and info["b.pdf"].metadata is None and info["d.pdf"].page_count == 0
+    answer = RuleResponder(lambda p: F.lit('{"question": "q", "answer": "a"}'))
+    run = pipeline.process(spark, blocks.withColumn("doc_id", F.substring("path", -5, 5)), answer, Config(output_dir=str(tmp_path / "out")))
+    rows = {r.doc_id: (r.success, r.message, r.pdf_pages) for r in run.stats.collect()}
+    assert rows == {"a.pdf": (True, None, 1), "b.pdf": (False, "no such luck", 0), "c.pdf": (False, "No text blocks to process", 2), "d.pdf": (False, "No text blocks to process", 0)}
+    assert cli.finish(run.stats.orderBy("doc_id").collect(), "x") == 1 and "Failed: no such luck" in capsys.readouterr().out
+    assert cli.finish([], "x") == 1
+
+
 def test_config(tmp_path):
     base = Config()
     assert (base.max_block_size, base.min_block_size, base.extract_ratio, base.temperature, base.enable_qa_filter, len(base.known_prefixes)) == (1500, 100, 1.0, 0.1, False, 11)
@@ -151,7 +171,39 @@ def test_streaming(spark, tmp_path):
     assert streaming.stream_blocks(docs, Config(enable_qa_filter=True)).count() == 1
 
 
-def test_entry_runs_without_the_llm_folders(spark):
+def test_entry_runs_without_the_llm_folders(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "dialoom", tmp_path / "dialoom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    for empty_folder_is_left in (False, True):
+        if empty_folder_is_left:
+            (tmp_path / "dialoom" / "llm").mkdir()
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 30 and set(o) <= set(q) and not any(x.startswith('op') or x == 'pipeline' for x in q)"
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_every_oracle_has_its_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_examples():
+    import importlib.util
+    import pathlib
+
+    path = pathlib.Path(__file__).resolve().parents[1] / "examples" / "extract.py"
+    spec = importlib.util.spec_from_file_location("extract", path)
+    example = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(example)
+    made = {name: way("x.pdf") for name, way in example.WAYS.items()}
+    assert all(c.pdf_filename == "x.pdf" for c in made.values())
+    assert (made["basic"].extract_ratio, made["file"].enable_qa_filter, made["custom"].max_block_size, len(made["custom"].known_prefixes)) == (0.1, True, 2000, 15)
+    assert example.run(Config(ollama_host="http://127.0.0.1:9")) == 1
