@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
@@ -21,19 +21,30 @@ def fenced(reply: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(reply))
 
 
+def brace_spans(text: Column) -> Column:
+    """Array of (start, end) of the top-level brace groups, from 0: a fold over the braces of one row."""
+    marks = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("at"), c.alias("c"))), lambda m: m["c"].isin("{", "}"))
+    none, no_groups = F.lit(None).cast("int"), F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc: Column, m: Column) -> Column:
+        opens, depth, start = m["c"] == "{", acc["depth"], acc["start"]
+        ends = ~opens & (depth == 1) & start.isNotNull()
+        group = F.array(F.struct(start.alias("start"), m["at"].alias("end")))
+        return F.struct(
+            F.when(opens, depth + 1).otherwise(depth - 1).alias("depth"), F.when(opens & (depth == 0), m["at"]).when(~ends, start).alias("start"),
+            F.when(ends, F.concat(acc["found"], group)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("depth"), none.alias("start"), no_groups.alias("found")), step, lambda acc: acc["found"])
+
+
 def brace_objects(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
-    """Rows (keys..., pos, object) of the top-level brace groups of `content`, without Python.
+    """Rows (keys..., pos, object) of the top-level brace groups of `content`, without Python and without a shuffle.
 
     Depth counts braces wherever they stand, in strings too. A stray closing
     brace lowers it below zero, so the next opening brace starts no group.
-    `keys` must tell the rows of `df` apart; a window never leaves its row.
     """
-    chars = df.select(*keys, F.col(content).alias("_text"), F.posexplode(F.split(content, "")).alias("_at", "_ch")).where("_ch in ('{', '}')")
-    here = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = chars.withColumn("_depth", F.sum(F.when(F.col("_ch") == "{", 1).otherwise(-1)).over(here))
-    opened = depth.withColumn("_open", F.max(F.when((F.col("_ch") == "{") & (F.col("_depth") == 1), F.col("_at"))).over(here))
-    ends = opened.where("_ch = '}' and _depth = 0 and _open is not null")
-    return ends.select(*keys, (F.col("_open") + 1).cast("long").alias("pos"), F.expr("substring(_text, _open + 1, _at - _open + 1)").alias("object"))
+    found = df.select(*keys, F.col(content).alias("_text"), F.explode(brace_spans(F.col(content))).alias("_s"))
+    return found.select(*keys, (F.col("_s.start") + 1).cast("long").alias("pos"), F.expr("substring(_text, _s.start + 1, _s.end - _s.start + 1)").alias("object"))
 
 
 def scan_objects(text: str) -> Iterator[str]:
@@ -72,6 +83,11 @@ def parse(content: str) -> list[dict]:
     return [x for x in items if isinstance(x, dict)]
 
 
+def as_question(value) -> str:
+    """Strings as they are, other values as Python writes them."""
+    return str(value)
+
+
 def as_text(value) -> str:
     """Strings as they are, other values as JSON."""
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
@@ -80,7 +96,7 @@ def as_text(value) -> str:
 def valid(item: dict) -> bool:
     """Both fields there, neither empty nor false, with more than white space in them."""
     both = [item.get("question"), item.get("answer")]
-    return all(both) and all(as_text(x).strip() for x in both)
+    return all(both) and all(str(x).strip() for x in both)
 
 
 @F.pandas_udf(PAIRS)
@@ -90,7 +106,7 @@ def parsed_pairs(parts: pd.Series) -> pd.Series:
     def one(row) -> list[dict] | None:
         if row is None:
             return None
-        return [{"question": as_text(x["question"]), "answer": as_text(x["answer"])} for part in row if part is not None for x in parse(part) if valid(x)]
+        return [{"question": as_question(x["question"]), "answer": as_text(x["answer"])} for part in row if part is not None for x in parse(part) if valid(x)]
 
     return parts.map(one)
 

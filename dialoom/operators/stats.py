@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+NO_BLOCKS = "No text blocks to process"
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
@@ -13,8 +16,8 @@ def _ratio(a: Column, b: Column) -> Column:
 def run_stats(results: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Blocks, successes and pairs of each document, with means and extremes of pair lengths.
 
-    Documents without blocks appear when `documents` (doc_id[, pages]) is
-    given, with zeros, success false and a message. Length figures are null
+    Documents without blocks appear when `documents` (doc_id[, pages, error])
+    is given, with zeros, success false and a message: their error, if any. Length figures are null
     without pairs. Lengths are summed within each block before the shuffle.
     """
     lengths = lambda f: F.transform(F.coalesce("qa_pairs", F.array().cast("array<struct<question:string,answer:string,source_text:string>>")), lambda p: F.char_length(p[f]))
@@ -26,16 +29,17 @@ def run_stats(results: DataFrame, documents: DataFrame | None = None) -> DataFra
         F.count(F.lit(1)).alias("total_blocks"), F.count_if("success").alias("successful_blocks"), F.sum("qa_count").alias("qa_pairs_extracted"),
         *[c.alias(f"{f}_{k}") for f in ("question", "answer") for k, c in (("sum", F.sum(f"{f}_sum")), ("min", F.min(f"{f}_min")), ("max", F.max(f"{f}_max")))])
     if documents is not None:
-        sums = documents.select("doc_id", *[c for c in ("pages",) if c in documents.columns]).join(sums, "doc_id", "left")
+        sums = documents.select("doc_id", *[c for c in ("pages", "error") if c in documents.columns]).join(sums, "doc_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     blocks, ok, pairs = n("total_blocks"), n("successful_blocks"), n("qa_pairs_extracted")
+    failed = F.coalesce("error", F.lit(NO_BLOCKS)) if "error" in sums.columns else F.lit(NO_BLOCKS)
     return sums.select(
         "doc_id", blocks.alias("total_blocks"), ok.alias("successful_blocks"), (blocks - ok).alias("failed_blocks"), _ratio(ok, blocks).alias("success_rate"),
         pairs.alias("qa_pairs_extracted"), _ratio(pairs, ok).alias("avg_qa_per_block"),
         (n("pages") if "pages" in sums.columns else F.lit(0).cast("long")).alias("pdf_pages"),
         F.try_divide("question_sum", "qa_pairs_extracted").alias("avg_question_length"), F.try_divide("answer_sum", "qa_pairs_extracted").alias("avg_answer_length"),
         *[F.col(f"{f}_{k}").cast("long").alias(f"{k}_{f}_length") for f in ("question", "answer") for k in ("min", "max")],
-        (blocks > 0).alias("success"), F.when(blocks == 0, "No text blocks to process").alias("message"))
+        (blocks > 0).alias("success"), F.when(blocks == 0, failed).alias("message"))
 
 
 def extraction_quality(records: DataFrame, documents: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from dialoom.functions import replies, text
 from dialoom.operators import pairs, segment, stats
 from dialoom.operators.responders import ReplayResponder, RuleResponder, prompt_key
 from dialoom.plans import fixtures, pipeline
-from dialoom.plans.config import Config
+from dialoom.plans.config import Config, load_config
 from dialoom.sources import documents, jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,18 @@ def layout_paragraphs(spark, sf_dir):
 
 
 def document_text(spark, sf_dir):
+    return documents.joined_parts(fixtures.line_parts(spark, sf_dir))
+
+
+def layout_text(spark, sf_dir):
     return documents.document_text(fixtures.layout(spark, sf_dir))
 
 
+def paragraph_split(spark, sf_dir):
+    spaced = documents.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" \n\n\u3000"), F.replace("text", F.lit("\n"), F.lit("\n\n \n\n")), F.lit("\n \nend")).alias("text"))
+    return spaced.select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("para_no", "text")).withColumn("para_no", F.col("para_no").cast("long"))
+
+
 def page_text(spark, sf_dir):
     return documents.page_text(fixtures.layout(spark, sf_dir)).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "page_text")
 
@@ -39,7 +48,7 @@ def document_info(spark, sf_dir):
 
 def _blocks(max_size: int, min_size: int, interview: bool = False) -> Query:
     def query(spark, sf_dir):
-        parts = fixtures.transcript_parts(spark, sf_dir) if interview else documents.paragraph_arrays(fixtures.layout(spark, sf_dir))
+        parts = fixtures.transcript_parts(spark, sf_dir) if interview else fixtures.line_parts(spark, sf_dir)
         return segment.blocks(parts, "parts", ["doc_id"], max_size=max_size, min_size=min_size)
 
     return query
@@ -157,7 +166,8 @@ def extraction_quality(spark, sf_dir):
 
 
 def text_quality(spark, sf_dir):
-    mixed = F.concat(F.repeat(F.lit("中文字"), (F.col("turn") % 4 * 6).cast("int")), F.substring("para", 1, 120))
+    # Three characters for each 30, 60 or 90 of the turn, so both verdicts occur at any length.
+    mixed = F.concat(F.repeat(F.lit("中文字"), F.floor(F.char_length("para") / (30 * (F.col("turn") % 3 + 1))).cast("int")), "para")
     rows = fixtures.transcript(spark, sf_dir).withColumn("para", mixed)
     return rows.select("doc_id", "turn", text.chinese_count(F.col("para")).alias("chinese"), text.good_text(F.col("para")).alias("good"))
 
@@ -194,7 +204,12 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dialoom-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="dialoom-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -204,6 +219,35 @@ def jsonl_roundtrip(spark, sf_dir):
     return jsonl.load(spark, path).where("valid").select("item.question", "item.answer", "item.source_text")
 
 
+def jsonl_append(spark, sf_dir):
+    path = _scratch(spark, "appended")
+    records = qa_records(spark, sf_dir).select("doc_id", "question", "answer")
+    jsonl.save(records.where("doc_id % 2 = 0"), path)
+    jsonl.save(records.where("doc_id % 2 = 1"), path, append=True)
+    return jsonl.load(spark, path, "doc_id long, question string, answer string").select("item.doc_id", "item.question", "item.answer")
+
+
+def file_size(spark, sf_dir):
+    """Bytes of a text file of ids, one a line."""
+    path = _scratch(spark, "sizes")
+    documents.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("value")).write.option("compression", "none").text(path)
+    return spark.range(1).select(F.lit(jsonl.file_size(spark, path)).cast("long").alias("bytes"))
+
+
+def config_layers(spark, sf_dir):
+    """Settings by name after a YAML file with an unknown key and two variables; the file is the driver's own."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "c.yaml")
+        with open(path, "w", encoding="utf-8") as out:
+            out.write("max_block_size: 700\nunknown: 1\nextract_ratio: 0.5\noutput_dir: yaml\n")
+        merged = load_config(path, {"EXTRACT_RATIO": "0.25", "ENABLE_QA_FILTER": "Yes"})
+    names = ("max_block_size", "min_block_size", "extract_ratio", "enable_qa_filter", "output_dir", "log_level")
+    return spark.createDataFrame([(n, str(getattr(merged, n))) for n in names] + [("known_prefixes", ",".join(merged.known_prefixes))], "name string, value string")
+
+
 def _lines(spark, sf_dir) -> str:
     """A text file of blank, bad, scalar, array and object lines."""
     path = _scratch(spark, "lines")
@@ -230,6 +274,7 @@ QUERIES: dict[str, Query] = {
     "block_results": block_results, "qa_records": qa_records, "pair_numbers": pair_numbers, "run_stats": run_stats, "extraction_quality": extraction_quality,
     "text_quality": text_quality, "error_log": error_log, "success_log": success_log, "replay_pipeline": replay_pipeline, "llm_pipeline": llm_pipeline,
     "jsonl_roundtrip": jsonl_roundtrip, "jsonl_count": jsonl_count, "jsonl_items": jsonl_items,
+    "layout_text": layout_text, "paragraph_split": paragraph_split, "jsonl_append": jsonl_append, "file_size": file_size, "config_layers": config_layers,
 }
 
 

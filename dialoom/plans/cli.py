@@ -7,6 +7,7 @@ import os
 import sys
 from dataclasses import replace
 
+from dialoom.operators.stats import NO_BLOCKS
 from dialoom.plans import config as settings
 from dialoom.plans.config import Config
 from dialoom.plans.logs import logger
@@ -63,6 +64,18 @@ def report(stats: dict, path: str) -> str:
     return "\n".join(out)
 
 
+def finish(rows, path: str) -> int:
+    """Prints the figures of each document; 1 if one failed or there was none."""
+    done = []
+    for row in rows:
+        stats = row.asDict()
+        print(f"{stats['doc_id']}\n{report(stats, path)}")
+        done.append(stats["success"])
+    if not done:
+        print(report({"success": False, "message": NO_BLOCKS}, path))
+    return 0 if done and all(done) else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     out = parser()
     args = out.parse_args(argv)
@@ -95,15 +108,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("dialoom").getOrCreate()
     try:
         blocks = read_pdf(spark, config.pdf_filename).persist()
-        pages = blocks.agg(F.max("page_count")).first()[0] or 0
         run = pipeline.process(spark, blocks.withColumn("doc_id", F.col("path")), responder, config)
-        figures = run.stats.withColumn("pdf_pages", F.lit(pages)).first()
-        stats = figures.asDict() if figures else {"success": False, "message": "No text blocks to process"}
+        return finish(run.stats.orderBy("doc_id").toLocalIterator(), config.output_path)
     except Exception:
         log.exception("the run failed")
         return 1
-    print(report(stats, config.output_path))
-    return 0 if stats["success"] else 1
 
 
 if __name__ == "__main__":

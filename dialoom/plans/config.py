@@ -26,6 +26,7 @@ TRUE_WORDS = ("true", "1", "yes", "on")
 class Config:
     """All settings of a run. `use_intelligent_segmentation` is kept for old files; no operator reads it."""
 
+    # Names and defaults of the settings.
     pdf_filename: str = "uploaded.pdf"
     output_filename: str = "output_final_qa.jsonl"
     output_dir: str = "output"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.sources.documents import table, text_lines
+from dialoom.sources.documents import table, text_lines, text_parts
 
 #: Speakers' markers by role.
 MARKERS = {"user": "网友", "assistant": "段永平", "system": "主持人"}
@@ -16,6 +16,11 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 as paragraph arrays (doc_id, parts), made row by row."""
+    return text_parts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2: a marked paragraph for each turn; even conversations have full-width colons."""
     role = F.coalesce(*[F.when(F.col("role") == k, v) for k, v in MARKERS.items()], F.lit("其他"))

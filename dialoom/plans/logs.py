@@ -6,6 +6,7 @@ import logging
 import os
 
 NAME = "dialoom"
+# Fixed value: the layout of a line.
 FORMAT = "%(asctime)s - %(name)s - %(levelname)s - %(message)s"
 
 

@@ -110,7 +110,19 @@ _DOCS = "SELECT DISTINCT conv_id AS doc_id FROM conversations"
 
 ORACLE_SQL: dict[str, str] = {
     "layout_paragraphs": f"WITH {_T1} SELECT doc_id, CAST(blk_no AS BIGINT) AS blk_no, text FROM t1 WHERE text <> ''",
-    "document_text": f"WITH {_T1} SELECT doc_id, string_agg(text, {_BREAK} ORDER BY blk_no) AS text FROM t1 WHERE text <> '' GROUP BY doc_id",
+    "document_text": f"WITH {_T1} SELECT doc_id, coalesce(string_agg(t1.text, {_BREAK} ORDER BY blk_no), '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT * FROM t1 WHERE text <> '') AS t1 USING (doc_id) GROUP BY doc_id",
+    "layout_text": f"WITH {_T1} SELECT doc_id, coalesce(string_agg(text, {_BREAK} ORDER BY blk_no) FILTER (text <> ''), '') AS text FROM t1 GROUP BY doc_id",
+    "paragraph_split": f"""WITH s AS (SELECT doc_id, ' ' || {_BREAK} || chr(12288) || replace(text, chr(10), {_BREAK} || ' ' || {_BREAK}) || chr(10) || ' ' || chr(10) || 'end' AS x FROM documents),
+u AS (SELECT doc_id, unnest(string_split(x, {_BREAK})) AS p, generate_subscripts(string_split(x, {_BREAK}), 1) AS k FROM s),
+c AS (SELECT doc_id, k, {_strip("p")} AS text FROM u)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS para_no, text FROM c WHERE text <> ''""",
+    "jsonl_append": f"WITH {_RESULTS} SELECT doc_id, question, answer FROM rec",
+    "file_size": "SELECT CAST(sum(length(CAST(conv_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM conversations",
+    "config_layers": f"""SELECT name, value FROM (VALUES ('max_block_size', '700'), ('min_block_size', '100'), ('extract_ratio', '0.25'), ('enable_qa_filter', 'True'), ('output_dir', 'yaml'), ('log_level', 'INFO'),
+       ('known_prefixes', {_lit(",".join(C.KNOWN_PREFIXES))})) AS t(name, value)""",
+    "llm_pipeline": f"""{_B2}, s AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS block_idx, {_lit(TEMPLATE)} || {_BREAK} || {_normal("block")} AS p FROM i),
+q AS (SELECT *, list_last(string_split(p, chr(10))) AS q0 FROM s)
+SELECT doc_id, block_idx, 0::BIGINT AS pair_idx, {_clean("q0", C.KNOWN_PREFIXES)} AS question, sha256(p) AS answer, block AS source_text FROM q WHERE {_strip("q0")} <> ''""",
     "document_info": f"WITH {_T1} SELECT doc_id, 1::BIGINT AS page_count, count(*) AS n_blocks, count(*) FILTER (text <> '') AS n_paragraphs, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM raw JOIN t1 USING (doc_id, blk_no) GROUP BY doc_id",
     "blocks_default": f"{_B1} SELECT * FROM b WHERE length(block) >= 100",
     "blocks_small": f"WITH RECURSIVE {_T1}, {_merge(_OF_T1, 300)} SELECT * FROM b WHERE length(block) >= 50",
@@ -148,7 +160,7 @@ q AS (SELECT doc_id, count(*) AS n, avg(length(question)) AS aq, avg(length(answ
 SELECT doc_id, coalesce(n, 0) AS total_pairs, round(coalesce(aq, 0.0), 6) AS avg_question_length, round(coalesce(aa, 0.0), 6) AS avg_answer_length, coalesce(n <> u, false) AS has_duplicates,
        round(((CASE WHEN aq > 5 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN aa > 10 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN n = u THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN n > 0 THEN 0.2::DOUBLE ELSE 0 END))::DOUBLE, 6) AS quality_score
 FROM ({_DOCS}) LEFT JOIN q USING (doc_id)""",
-    "text_quality": f"""WITH {_T2}, m AS (SELECT doc_id, turn, repeat('中文字', CAST(turn % 4 * 6 AS BIGINT)) || substring(para, 1, 120) AS x FROM t2),
+    "text_quality": f"""WITH {_T2}, m AS (SELECT doc_id, turn, repeat('中文字', CAST(floor(length(para) / (30 * (turn % 3 + 1))) AS BIGINT)) || para AS x FROM t2),
 c AS (SELECT *, len(regexp_extract_all(x, '{C.CHINESE}')) AS n FROM m)
 SELECT doc_id, turn, CAST(n AS BIGINT) AS chinese, length({_strip("x")}) >= 10 AND n >= length(x) * 0.1::DOUBLE AS good FROM c""",
     "error_log": f"WITH {_RESULTS} SELECT doc_id, block_idx + 1 AS block_no, error, response, block FROM res WHERE NOT success",

@@ -13,7 +13,7 @@ from dialoom.operators import pairs, segment, stats
 from dialoom.plans.config import Config
 from dialoom.plans.prompt import prompt
 from dialoom.sources import jsonl
-from dialoom.sources.documents import paragraph_arrays
+from dialoom.sources.documents import document_facts, paragraph_arrays
 
 
 def surviving_blocks(parts: DataFrame, config: Config) -> DataFrame:
@@ -37,27 +37,29 @@ class Run:
     stats: DataFrame
 
 
-def plan(parts: DataFrame, responder, config: Config, path: str | None = None) -> Run:
+def plan(parts: DataFrame, responder, config: Config, path: str | None = None, documents: DataFrame | None = None) -> Run:
     """Blocks, prompts, replies and results of paragraph arrays (doc_id, parts).
 
     With `path`, block results are written there before anything reads them,
     so that each prompt is sent once, whatever is computed from the replies.
     Without it the chain stays lazy, for responders that cost nothing to ask.
+    Statistics have a row for each of `documents` (doc_id[, pages, error]), or
+    else of `parts`, those without a block included.
     """
     asked = responder.respond(prompts(surviving_blocks(parts, config)))
     results = pairs.block_results(asked, config.known_prefixes)
     if path is not None:
         results.write.mode("overwrite").parquet(path)
         results = results.sparkSession.read.schema(results.schema).parquet(path)
-    return Run(results, pairs.qa_records(results), stats.run_stats(results, parts.select("doc_id")))
+    return Run(results, pairs.qa_records(results), stats.run_stats(results, parts.select("doc_id") if documents is None else documents))
 
 
 def process(spark: SparkSession, blocks: DataFrame, responder, config: Config) -> Run:
-    """Run over layout blocks (doc_id, page_no, blk_no, text) and write pairs and logs below the output folder."""
-    run = plan(paragraph_arrays(blocks), responder, config, os.path.join(config.output_dir, "_block_results"))
+    """Run over layout blocks (doc_id, page_no, blk_no, text[, page_count, error]) and write pairs and logs below the output folder."""
+    run = plan(paragraph_arrays(blocks), responder, config, os.path.join(config.output_dir, "_block_results"), document_facts(blocks))
     jsonl.save(run.records.orderBy("doc_id", "block_idx", "pair_idx").select("question", "answer", "source_text"), config.output_path)
     if config.enable_error_log:
-        jsonl.save_log(pairs.error_log(run.results), os.path.join(config.output_dir, "extraction_errors.log"), "BLOCK")
+        jsonl.save_log(pairs.error_log(run.results), os.path.join(config.output_dir, "extraction_errors.log"), "BLOCK", "ERROR")
     if config.enable_success_log:
         jsonl.save_log(pairs.success_log(run.results), os.path.join(config.output_dir, "extraction_success.log"), "QA_PAIR")
     return run

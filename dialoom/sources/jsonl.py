@@ -102,7 +102,8 @@ def save(df: DataFrame, path: str, *, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def save_log(df: DataFrame, path: str, frame: str) -> None:
-    """Rows as framed text: `frame`_START, a line for each column, `frame`_END."""
+def save_log(df: DataFrame, path: str, frame: str, level: str = "INFO") -> None:
+    """Rows as framed text: time, level and `frame`_START, a line for each column, `frame`_END."""
+    opens = F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(f" - {level} - {frame}_START"))
     body = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
-    df.select(F.concat_ws("\n", F.lit(f"{frame}_START"), *body, F.lit(f"{frame}_END")).alias("value")).write.mode("overwrite").text(path)
+    df.select(F.concat_ws("\n", opens, *body, F.lit(f"{frame}_END")).alias("value")).write.mode("overwrite").text(path)

@@ -5,28 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dialoom.functions.text import flatten_lines
 from dialoom.operators import segment
 from dialoom.plans.config import Config
 from dialoom.plans.pipeline import plan
+from dialoom.sources.documents import text_parts
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string", per_trigger: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def stream_parts(docs: DataFrame) -> DataFrame:
-    """Paragraph arrays of plain texts, a line a layout block; no shuffle, so no state."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), flatten_lines)
-    return docs.select("doc_id", F.filter(lines, lambda p: p != "").alias("parts"))
-
-
 def stream_blocks(docs: DataFrame, config: Config) -> DataFrame:
     """Blocks of arriving documents, filtered if the settings say so; sampling needs whole batches."""
-    out = segment.blocks(stream_parts(docs), "parts", ["doc_id"], max_size=config.max_block_size, min_size=config.min_block_size)
+    out = segment.blocks(text_parts(docs), "parts", ["doc_id"], max_size=config.max_block_size, min_size=config.min_block_size)
     return segment.filter_qa(out) if config.enable_qa_filter else out
 
 
@@ -34,7 +27,7 @@ def stream_pairs(docs: DataFrame, responder, config: Config, path: str, checkpoi
     """Writes pairs of each micro-batch below `path`; a batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        run = plan(stream_parts(batch), responder, config, f"{path}/results/batch={number}")
+        run = plan(text_parts(batch), responder, config, f"{path}/results/batch={number}")
         run.records.write.mode("overwrite").parquet(f"{path}/pairs/batch={number}")
         if done:
             done(run.records, number)

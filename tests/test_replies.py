@@ -20,7 +20,7 @@ def test_pairs_of_replies(spark):
     cases = {
         f"x ```json\n[{OK}]\n``` y": one, f"```json {OK} ``` and ```json [{OK}]```": two, f"[{OK}, 7, [{OK}]]": one, OK: one, f"{OK}\n{OK}": two, f"so {OK} stray }} {OK}": one,
         f"```\n{OK}\n```": one, "[[" + OK + "]]": [], "5": [], "": [], "  ": [], "[{": [], '{"question": "q", "answer": " "}': [], '{"question": "q"}': [], "{'question': 'q', 'answer': 'a'}": [],
-        '{"question": "q", "answer": 0}': [], '{"question": 1, "answer": ["x"]}': [("1", '["x"]')], '{"question": "q", "answer": NaN}': [("q", "NaN")], '{"question": "x", "question": "q", "answer": "a"}': one,
+        '{"question": "q", "answer": 0}': [], '{"question": 1, "answer": ["x"]}': [("1", '["x"]')], '{"question": true, "answer": {"k": null}}': [("True", '{"k": null}')], '{"question": ["é"], "answer": 1.5}': [("['é']", "1.5")], '{"question": "q", "answer": NaN}': [("q", "NaN")], '{"question": "x", "question": "q", "answer": "a"}': one,
     }
     assert found(spark, *cases, None) == [*cases.values(), None]
 
