@@ -5,17 +5,27 @@ level, so that a much-captured URL isn't one task's work: the last full
 response of each (URL, time range) is carried over the ranges, and a window
 within a range finds what is nearer. Only ids, digests and headers take part;
 bodies stay where they are.
+
+`read_warc` cuts files into records, `parse_records` reads a record's WARC and
+HTTP headers and digests its body, `resolve_revisits` joins.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import table
+from dialoom.llm.common import free_name, let, table
 
 #: Header fields that a 304 response may update in the stored one.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
+#: Fields that hold one value.
+SINGLE = ("etag", "last-modified", "date", "expires", "content-length", "content-type", "location", "warc-type", "warc-date", "warc-record-id", "warc-target-uri")
 #: Query parameters that don't change what is served.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref)(=|$)"
 
@@ -40,11 +50,102 @@ def http_status(block: Column) -> Column:
 
 
 def http_headers(block: Column) -> Column:
-    """Map of lower-case field names to values; the first of repeated fields counts, lines without a colon don't."""
+    """Map of lower-case field names to values; lines without a colon don't count.
+
+    Values of a repeated field are joined: by a comma, or by a newline for
+    `set-cookie`; of fields that hold one value the first counts.
+    """
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"^[!-9;-~]+:")))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.regexp_extract(x, r"^[^:]*:[ \t]*(.*?)[ \t]*$", 1).alias("v")))
-    names = F.transform(pairs, lambda p: p["k"])
-    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
+
+    def entry(k: Column, pairs: Column) -> Column:
+        values = F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
+        joined = F.when(k == "set-cookie", F.array_join(values, "\n")).otherwise(F.array_join(values, ", "))
+        return F.struct(k.alias("k"), F.when(k.isin(*SINGLE), values[0]).otherwise(joined).alias("v"))
+
+    return let(pairs, lambda p: F.map_from_entries(F.transform(F.array_distinct(F.transform(p, lambda x: x["k"])), lambda k: entry(k, p))))
+
+
+def _records(data: bytes) -> Iterator[bytes]:
+    """Records of a file, gzipped as a whole, by record, or not at all; what no record begins in is skipped."""
+
+    def plain() -> Iterator[bytes]:
+        if data[:2] != b"\x1f\x8b":
+            yield data
+            return
+        left = memoryview(data)
+        while len(left):
+            member = zlib.decompressobj(31)
+            for i in range(0, len(left), 1 << 20):
+                yield member.decompress(left[i : i + (1 << 20)])
+                if member.eof:
+                    left = left[min(i + (1 << 20), len(left)) - len(member.unused_data) :]
+                    break
+            else:
+                return  # cut off: what was whole has been given out
+
+    held = b""
+    for piece in plain():
+        held += piece
+        while True:
+            at = held.find(b"WARC/")
+            end = held.find(b"\r\n\r\n", max(at, 0))
+            if at < 0 or end < 0:
+                break
+            size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", held[at:end])
+            stop = end + 4 + int(size[1] if size else 0)
+            if stop > len(held):
+                break
+            yield held[at:stop]
+            held = held[stop:]
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, record) of the WARC files under `path`, plain or gzipped; a file, of 2 GB at most, is one task's work.
+
+    A record that is cut off at the end of its file is left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
+
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrived:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for record in _records(content.as_buffer().to_pybytes()):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([record], pa.binary())], names=["file", "record"])
+
+    return files.mapInArrow(run, "file string, record binary")
+
+
+def parse_records(records: DataFrame, record: str = "record") -> DataFrame:
+    """Rows (record_id, type, profile, refers_to, url, ts, http, body_sha256) of binary WARC records.
+
+    `ts` is WARC-Date in seconds; `http` the HTTP header block of the content,
+    null where there is none; the digest is of the body of a `response`, after
+    its HTTP header, so a revisit has none. A null record, and one without a
+    header, is null in all. Repeated rows stay.
+    """
+    # Each byte one character, so that lengths and places count bytes.
+    latin = F.decode(F.col(f"`{record}`"), "ISO-8859-1")
+    text = lambda x: F.coalesce(F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string")), x)
+
+    def parts(x: Column) -> Column:
+        head = F.substring_index(x, "\r\n\r\n", 1)
+        fields = F.when(head.startswith("WARC/"), http_headers(text(head)))
+        return F.struct(fields.alias("fields"), F.substring(x, F.char_length(head) + 5, F.char_length(x)).alias("block"))
+
+    def read(p: Column) -> Column:
+        field = lambda name: F.try_element_at(p["fields"], F.lit(name))
+        size = F.coalesce(field("content-length").try_cast("int"), F.char_length(p["block"]))
+        block = F.substring(p["block"], F.lit(1), size)
+        http = F.when(block.startswith("HTTP/"), F.substring_index(block, "\r\n\r\n", 1))
+        body = F.substring(block, F.char_length(http) + 5, F.char_length(block))
+        digest = F.when(F.lower(field("warc-type")) == "response", F.sha2(F.encode(body, "ISO-8859-1"), 256))
+        return F.struct(
+            field("warc-record-id").alias("record_id"), F.lower(field("warc-type")).alias("type"), field("warc-profile").alias("profile"), field("warc-refers-to").alias("refers_to"),
+            F.regexp_replace(field("warc-target-uri"), "^<|>$", "").alias("url"), F.unix_seconds(F.try_to_timestamp(field("warc-date"))).alias("ts"), text(http).alias("http"), digest.alias("body_sha256"))
+
+    name = free_name(records, "parsed")
+    return records.select(let(let(latin, parts), read).alias(name)).select(F.col(f"`{name}`.*"))
 
 
 def same_validators(revisit: Column, full: Column) -> Column:
@@ -72,7 +173,8 @@ def resolve_revisits(records: DataFrame, *, width: int = 86_400) -> DataFrame:
     revisit. Earlier means a lesser ts, or the same and a lesser record_id; a
     null ts comes first. Outcomes: `full`; `resolved`; `changed`, the validators
     differ; `missing`, nothing earlier or no URL; `other`, any other status.
-    Repeated rows are rows of their own and find the same response. `width`
+    Repeated rows are rows of their own and find the same response; other columns
+    are not read; an empty table gives no rows. `width`
     is the length of a time range in units of ts.
     """
     read = records.select(
@@ -106,8 +208,22 @@ def resolve_revisits(records: DataFrame, *, width: int = 86_400) -> DataFrame:
         F.when(got, merged_headers(F.col("headers"), F.col("source.headers"))).otherwise(F.col("headers")).alias("headers"))
 
 
+def warc_record(kind: str, record_id: Column, url: Column, ts: Column, http: Column, body: Column | None = None, profile: str | None = None) -> Column:
+    """A record's bytes."""
+    moment = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    block = F.concat(http, F.lit("\r\n\r\n"), F.coalesce(body, F.lit("")) if body is not None else F.lit(""))
+    fields = [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", F.concat(F.lit("<urn:capture:"), record_id.cast("string"), F.lit(">"))), ("WARC-Target-URI", url), ("WARC-Date", moment),
+              *([("WARC-Profile", F.lit(profile))] if profile else []), ("Content-Type", F.lit("application/http;msgtype=response"))]
+    head = F.concat(F.lit("WARC/1.1"), *[F.coalesce(F.concat(F.lit(f"\r\n{k}: "), v), F.lit("")) for k, v in fields])
+    return let(block, lambda b: F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(b).cast("string"), F.lit("\r\n\r\n"), b).cast("binary"))
+
+
+#: The profile of a revisit that the server has answered with 304.
+NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """Two captures of each page: its full response, and a later revisit by a variant of its URL.
+    """Two WARC records of each page: its full response, and a later revisit by a variant of its URL.
 
     By page_id modulo 4 the revisit has the same entity tag (weak), another
     one, the same date, or no validator.
@@ -122,13 +238,15 @@ def captures(pages: DataFrame) -> DataFrame:
     again = F.concat(
         F.lit("HTTP/1.1 304 Not Modified\r\nContent-Length: 0\r\nCache-Control: max-age=120"), line("Date", later.cast("string")),
         F.when(p % 4 == 0, line("ETag", F.concat(F.lit('W/"'), tag, F.lit('"')))).when(p % 4 == 1, line("ETag", F.lit('"other"'))).when(p % 4 == 2, date).otherwise(""))
-    first = F.struct((p * 2).alias("record_id"), F.col("url").alias("url"), (p * 10).alias("ts"), full.alias("http"), F.sha2("html", 256).alias("body_sha256"))
-    second = F.struct((p * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), later.alias("ts"), again.alias("http"), F.lit(None).cast("string").alias("body_sha256"))
-    return pages.select(F.inline(F.array(first, second)))
+    first = warc_record("response", p * 2, F.col("url"), p * 10, full, F.col("html"))
+    second = warc_record("revisit", p * 2 + 1, F.concat("url", F.lit("#again")), later, again, profile=NOT_MODIFIED)
+    return pages.select(F.explode(F.array(first, second)).alias("record"))
 
 
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve_revisits(captures(table(spark, sf_dir, "pages")), width=20_000)
+    read = parse_records(captures(table(spark, sf_dir, "pages")))
+    read = read.withColumn("record_id", F.regexp_extract("record_id", "([0-9]+)>$", 1).cast("long"))
+    found = resolve_revisits(read, width=20_000)
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     source = F.coalesce("source_id", F.lit(-1)).alias("source_id")  # -1: none
     return found.select("record_id", "canonical", "ts", "outcome", source, "body_sha256", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"))
