@@ -5,10 +5,11 @@ inverse document frequency. Consistent samples of it, banded, bring similar
 texts into common buckets; weighted Jaccard similarity of the whole texts
 decides every link. Classes are the components of the links.
 
-The inverse document frequency runs from 1 (in every text) to `1 + IDF_GAIN`
-(in a share of `COMMON` of the texts or less). The bound is deliberate: with an
-unbounded one, a large group of copies would lower the weight of the very
-shingles that its members share, and so lose its own links.
+The inverse document frequency is log(1 + N / df). Texts of one least shingle
+hash count as one in df and in N: near copies mostly have the same, so a large
+group of copies doesn't lower the weight of what its members share and lose
+its own links. Shingles in less than a share `COMMON` of the texts all weigh as
+those at that share do.
 
 Within a bucket no two members meet unless they must. First each is compared
 with the bucket's leader, the member with most company over all its buckets.
@@ -42,7 +43,7 @@ from dialoom.llm.decontaminate import words_of
 SIZE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 3
-COMMON, IDF_GAIN = 0.01, 0.25
+COMMON = 0.01
 #: Sketches that agree in a smaller share of their samples aren't verified: four
 #: and a half standard deviations below what similarity 0.8 makes one expect.
 LEAST_AGREE = 0.5
@@ -94,14 +95,14 @@ def node_of(words: list[bytes]) -> bytes:
 class Weights:
     """Inverse document frequencies: those of common shingles by hash, the rest alike."""
 
-    def __init__(self, common: list[tuple[int, int]], n_docs: int):
+    def __init__(self, common: list[tuple[int, int]], n_kinds: int):
         rows = sorted((h & (2**64 - 1), df) for h, df in common)
         self.hashes = np.array([h for h, _ in rows], np.uint64)
-        share = np.maximum(np.array([df for _, df in rows], float) / max(n_docs, 1), COMMON)
-        self.idf = 1 + IDF_GAIN * np.log(share) / np.log(COMMON)
+        self.idf = np.log1p(1 / np.maximum(np.array([df for _, df in rows], float) / max(n_kinds, 1), COMMON))
+        self.most = np.log1p(1 / COMMON)
 
     def of(self, sh: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(sh), 1 + IDF_GAIN)
+        idf = np.full(len(sh), self.most)
         if len(self.hashes) and len(sh):
             at = np.minimum(np.searchsorted(self.hashes, sh), len(self.hashes) - 1)
             known = self.hashes[at] == sh
@@ -149,18 +150,20 @@ class Sampler:
 # ---------------------------------------------------- common shingles
 
 
-def _of_texts(batch: pa.RecordBatch) -> np.ndarray:
-    """Distinct shingles of each text of the first column, end to end."""
-    return np.concatenate([np.zeros(0, np.uint64), *[shingles(words_of(text or ""))[0] for text in batch.column(0).to_pylist()]])
+def _of_texts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Distinct shingles, sorted, of each text of the first column that has some."""
+    return [sh for text in batch.column(0).to_pylist() if len(sh := shingles(words_of(text or ""))[0])]
 
 
-def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> list[tuple[int, int]]:
-    """(hash, documents) of all shingles in a share of COMMON of the texts or more.
+def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> tuple[list[tuple[int, int]], int]:
+    """(hash, kinds of texts) of all shingles in a share of COMMON of the texts or more, and the kinds of all texts.
+
+    Texts are of one kind if their least shingle hash is the same.
 
     Two passes over all texts. The first counts shingles by slots of their
     hashes; a slot's count is no less than any of its shingles', so those of
-    slots that reach the share hold all that do. The second counts these
-    exactly. At most (mean distinct shingles of a text) / COMMON stay, and as
+    slots that reach the share hold all that do. The second counts the texts
+    and kinds of these exactly. At most (mean distinct shingles of a text) / COMMON stay, and as
     many slots, whatever the corpus and the order of its texts.
     """
     spark, least = docs.sparkSession, COMMON * n_docs
@@ -173,7 +176,7 @@ def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> list[tuple[i
     def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(slots, np.uint32)
         for batch in batches:
-            place, n = np.unique(_of_texts(batch) & mask, return_counts=True)
+            place, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_of_texts(batch)]) & mask, return_counts=True)
             sums[place.astype(np.int64)] += n.astype(np.uint32)
         for i in np.flatnonzero(sums.reshape(-1, piece).any(axis=1)).tolist():
             data = pa.compress(sums[i * piece : (i + 1) * piece].view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
@@ -194,27 +197,32 @@ def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> list[tuple[i
     held = spark.sparkContext.broadcast(hot)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, own, size = held.value, [], 0
+        hot, own, kinds, size = held.value, [], [], 0
 
         def out() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(own), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            h, kind = np.concatenate(own), np.repeat(np.array(kinds, np.uint64), [len(x) for x in own])
+            _, first, n = np.unique(_mixed(h * _ODD[9] + kind), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(kind[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "kind", "n"])
 
         for batch in batches:
-            flat = _of_texts(batch)
-            own.append(flat[hot[(flat & mask).astype(np.int64)]])
-            size += len(own[-1])
+            for sh in _of_texts(batch):
+                # Hash 0 stands for having any shingle.
+                own.append(np.concatenate((np.zeros(1, np.uint64), sh[hot[(sh & mask).astype(np.int64)]])))
+                kinds.append(sh[0])
+                size += len(own[-1])
             if size > 1_000_000:
                 yield out()
-                own, size = [], 0
+                own, kinds, size = [], [], 0
         if own:
             yield out()
         tidy()
 
-    exact = materialize(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "dedup-common")
-    out = [(r["h"], r["n"]) for r in exact.collect()]
+    each = texts.mapInArrow(count, "h long, kind long, n long").groupBy("h", "kind").agg(F.sum("n").alias("n"))
+    exact = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("h") == 0)), "dedup-common")
+    out = {r["h"]: r["kinds"] for r in exact.collect()}
+    n_kinds = out.pop(0, 0)
     discard(found, exact)
-    return out
+    return list(out.items()), n_kinds
 
 
 # ---------------------------------------------------------- signatures
@@ -267,36 +275,43 @@ def _key(doc_id: Column, text_key: Column) -> Column:
     return F.xxhash64(doc_id, text_key)
 
 
-def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
-    """`docs` that may be among `keys` (key, text_key), with a struct (key, text_key) of the returned name, and those that aren't.
+def in_map(df: DataFrame, key: Column, keys: DataFrame, mark: str) -> DataFrame:
+    """`df` with boolean column `mark`, true wherever `key` is among `keys` (column key), and seldom elsewhere.
 
-    A bit map of the keys decides, KEY_BITS bits to a key, so only some texts
-    that aren't needed are shuffled beside those that are; beyond MOST_BITS
-    they grow in share, and no text is missed.
+    A bit map of the keys decides, KEY_BITS bits to a key and MOST_BITS at
+    most; beyond that more rows are marked than need be, and none is missed.
     """
     bits = min(MOST_BITS, max(_BLOCK_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
     place = lambda key: F.pmod(key, F.lit(bits))
     maps = keys.select(place(F.col("key")).alias("place")).groupBy(F.floor(F.col("place") / _BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("place") % _BLOCK_BITS).alias("map"))
-    own, side = free_name(docs, "row_key"), free_name(docs, "row_map")
-    text_key = F.xxhash64(f"`{text_col}`")
-    keyed = docs.withColumn(own, F.struct(_key(F.col(f"`{id_col}`").cast("long"), text_key).alias("key"), text_key.alias("text_key")))
+    here, side = free_name(df, "map_place"), free_name(df, "map_side")
     maps = F.broadcast(maps.select(F.struct("*").alias(side)))
-    here = place(F.col(f"`{own}`.key"))
-    joined = keyed.join(maps, F.floor(here / _BLOCK_BITS) == F.col(f"`{side}`.block"), "left")
-    at = here % _BLOCK_BITS
+    joined = df.withColumn(here, place(key)).join(maps, F.floor(F.col(f"`{here}`") / _BLOCK_BITS) == F.col(f"`{side}`.block"), "left")
+    at = F.col(f"`{here}`") % _BLOCK_BITS
     byte = F.conv(F.hex(F.substring(F.col(f"`{side}`.map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1, F.lit(False))
-    return joined.where(marked).drop(side), own, joined.where(~marked).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn(mark, F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1, F.lit(False))).drop(here, side)
+
+
+def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """`docs` that may be among `keys` (key, text_key), with a struct (key, text_key) of the returned name, and those that aren't.
+
+    Only some texts that aren't needed are shuffled beside those that are.
+    """
+    own, mark = free_name(docs, "row_key"), free_name(docs, "row_mark")
+    text_key = F.xxhash64(f"`{text_col}`")
+    keyed = docs.withColumn(own, F.struct(_key(F.col(f"`{id_col}`").cast("long"), text_key).alias("key"), text_key.alias("text_key")))
+    marked = in_map(keyed, F.col(f"`{own}`.key"), keys, mark)
+    return marked.where(F.col(f"`{mark}`")).drop(mark), own, marked.where(~F.col(f"`{mark}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def texts_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, text) of the nodes in `needed`."""
+    """Rows of `needed` (node, ...), each node once, with the node's text."""
     keys = materialize(needed.join(nodes.select("node", _key(F.col("doc_id"), F.col("text_key")).alias("key"), "text_key"), "node"), "dedup-keys")
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     some, own, _ = split_rows(plain, keys, "id", "text")
     found = some.select(F.col(f"{own}.key").alias("key"), F.col(f"{own}.text_key").alias("text_key"), "text").join(keys, ["key", "text_key"])
     # Repeated rows lie where the join has put them, so this shuffles nothing.
-    texts = materialize(found.dropDuplicates(["key", "text_key", "node"]).select("node", "text"), "dedup-texts")
+    texts = materialize(found.dropDuplicates(["key", "text_key", "node"]).select(*needed.columns, "text"), "dedup-texts")
     discard(keys)
     return texts
 
@@ -385,8 +400,8 @@ def mixed_members(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
     return members
 
 
-def reach(texts: DataFrame, labels: DataFrame, weights, similar: float) -> DataFrame:
-    """Rows (node, w, s): a text's weight, and the part of it in shingles that a candidate of another class has.
+def reach(texts: DataFrame, weights, similar: float) -> DataFrame:
+    """Rows (node, w, s) of (node, of, text): a text's weight, and the part of it in shingles that a candidate of another class has.
 
     What texts of two classes share is at most the lesser s, which bounds their
     similarity without comparing them. A text of which s is too little is
@@ -396,14 +411,14 @@ def reach(texts: DataFrame, labels: DataFrame, weights, similar: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = weights.value
         for batch in batches:
-            sets = [(sh.view(np.int64), idf.of(sh, counts)) for sh, counts in (shingles(words_of(t)) for t in batch.column(1).to_pylist())]
+            sets = [(sh.view(np.int64), idf.of(sh, counts)) for sh, counts in (shingles(words_of(t)) for t in batch.column(2).to_pylist())]
             hs, ws = pa.array([h for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in sets], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.sum() for _, w in sets], pa.float64()), hs, ws], names=["node", "w", "hs", "ws"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.sum() for _, w in sets], pa.float64()), hs, ws], names=["node", "of", "w", "hs", "ws"])
             del sets, hs, ws, batch
         tidy()
 
-    sets = texts.mapInArrow(run, "node binary, w double, hs array<long>, ws array<float>").join(labels, "node", "left")
-    sets = materialize(sets.select("node", "w", "hs", "ws", F.xxhash64(F.coalesce("label", "node")).alias("of"), F.monotonically_increasing_id().alias("id")), "dedup-sets")
+    sets = texts.mapInArrow(run, "node binary, of long, w double, hs array<long>, ws array<float>")
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "dedup-sets")
     each = sets.select("id", "of", F.inline(F.arrays_zip("hs", "ws")))
     in_one = each.groupBy("hs").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low = high").select("hs")
     own = each.select("id", "hs", "ws").join(in_one, "hs", "left_semi").groupBy("id").agg(F.sum("ws").alias("own"))
@@ -501,21 +516,22 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     n_docs = docs.count()
-    weights = spark.sparkContext.broadcast(Weights(common_shingles(docs, text_col, n_docs), n_docs))
+    weights = spark.sparkContext.broadcast(Weights(*common_shingles(docs, text_col, n_docs)))
     signed = signatures(docs, weights, id_col, text_col)
     some = F.min(F.struct("doc_id", "text_key"))
     nodes = signed.where("node is not null").groupBy("node").agg(some.alias("at"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = materialize(nodes.select("node", "at.doc_id", "at.text_key", "bands", "sketch"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-shared")
-    bucketed = materialize(rows.join(shared, "key"), "buckets")
+    bucketed = materialize(in_map(rows, F.col("key"), shared, "may").where("may").drop("may").join(shared, "key"), "buckets")
     pairs = leader_pairs(bucketed, nodes, least_agree)
     links = verified(pairs, nodes, docs, weights, id_col, text_col, similar)
     labels = components(links)
     members = mixed_members(bucketed, labels)
     possible = possible_nodes(members, nodes, similar, least_agree)
-    texts = texts_of(possible, nodes, docs, id_col, text_col)
-    reached = reach(texts, labels, weights, similar)
+    classed = possible.join(labels, "node", "left").select("node", F.xxhash64(F.coalesce("label", "node")).alias("of"))
+    texts = texts_of(classed, nodes, docs, id_col, text_col)
+    reached = reach(texts, weights, similar)
     discard(shared, possible, texts)
     used = [signed, nodes, bucketed, pairs, links, labels, members, reached]
     second = closest_pairs(members, nodes, reached, pairs, similar, least_agree)

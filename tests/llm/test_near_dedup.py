@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from dialoom.llm import near_dedup as nd
 from dialoom.llm.decontaminate import words_of
 
@@ -19,14 +22,28 @@ def corpus(seed=1, groups=14, alone=40):
     return texts
 
 
+def idf_of(texts):
+    """log(1 + N / df) over kinds of texts, by plain sets; what stands in under one text of a hundred weighs as at one."""
+    kinds, df, n = set(), {}, {}
+    for t in texts:
+        own = set(nd.shingles(words_of(t))[0].tolist())
+        if own:
+            kinds.add(min(own))
+            for h in own:
+                df.setdefault(h, set()).add(min(own))
+                n[h] = n.get(h, 0) + 1
+    return {h: math.log(1 + len(kinds) / max(len(k), 0.01 * len(kinds))) if n[h] >= 0.01 * len(texts) else math.log(101) for h, k in df.items()}
+
+
 def brute(texts):
+    idf = idf_of(texts)
     sets = [nd.shingles(words_of(t)) for t in texts]
-    df = {}
-    for sh, _ in sets:
-        for h in sh.tolist():
-            df[h] = df.get(h, 0) + 1
-    weights = nd.Weights([(h, n) for h, n in df.items() if n >= nd.COMMON * len(texts)], len(texts))
-    vectors = [(sh, weights.of(sh, c)) for sh, c in sets]
+    vectors = [{h: c * idf[h] for h, c in zip(sh.tolist(), counts.tolist(), strict=True)} for sh, counts in sets]
+
+    def similarity(a, b):
+        low = sum(min(w, b[h]) for h, w in a.items() if h in b)
+        return low / (sum(a.values()) + sum(b.values()) - low)
+
     label = list(range(len(texts)))
 
     def top(i):
@@ -36,7 +53,7 @@ def brute(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i][0]) and nd.similarity(vectors[i], vectors[j]) >= nd.SIMILAR:
+            if vectors[i] and vectors[j] and similarity(vectors[i], vectors[j]) >= nd.SIMILAR:
                 a, b = top(i), top(j)
                 label[max(a, b)] = min(a, b)
     return [top(i) for i in range(len(texts))]
@@ -84,23 +101,18 @@ def test_dedup_tells_classes_of_one_id_apart(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "a b c d e f"), (None, "q r s t u v"), (3, "g h i j k l"), (3, "m n o p q r")], key=str)
 
 
-def plain_common(texts):
-    from collections import Counter
-
-    df = Counter()
-    for t in texts:
-        w = words_of(t)
-        df.update({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0))})
-    return sorted(n for n in df.values() if n >= nd.COMMON * len(texts))
-
-
 def test_common_shingles_are_those_of_a_plain_count(spark):
     pick = random.Random(7)
     often = [" ".join(f"o{k}w{i}" for i in range(9)) for k in range(4)]
     texts = [" ".join([*[f"r{pick.random()}" for _ in range(30)], *([often[i % 4]] if i % 3 == 0 else [])]) for i in range(900)] + ["", "..."]
+    texts += [" ".join(f"same{i}" for i in range(40))] * 300
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = nd.common_shingles(docs, "text", len(texts))
-    assert sorted(n for _, n in got) == plain_common(texts)
+    weights = nd.Weights(*nd.common_shingles(docs, "text", len(texts)))
+    want = idf_of(texts)
+    got = weights.of(np.array(list(want), np.uint64), np.ones(len(want)))
+    assert len(weights.hashes) == 4 * 5 + 36 and np.allclose(got, list(want.values()))
+    # Three hundred copies are one text to their shingles.
+    assert abs(max(want.values()) - want[nd.shingles(words_of(texts[-1]))[0][0]]) < 1e-9
 
 
 def test_long_texts_give_few_common_shingles(spark):
@@ -108,7 +120,7 @@ def test_long_texts_give_few_common_shingles(spark):
     shared = " ".join(f"s{i}" for i in range(50))
     texts = [" ".join([shared, *[f"{pick.random():.9f}" for _ in range(5_000)]]) for _ in range(270)]
     got = nd.common_shingles(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), "text", 270)
-    assert 46 <= len(got) <= 60 and max(n for _, n in got) == 270
+    assert 46 <= len(got[0]) <= 60 and max(n for _, n in got[0]) == got[1] > 100
 
 
 def test_every_pair_is_verified_on_demand(spark):
