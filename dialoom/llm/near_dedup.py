@@ -47,8 +47,10 @@ COMMON = 0.01
 #: Sketches that agree in a smaller share of their samples aren't verified: four
 #: and a half standard deviations below what similarity 0.8 makes one expect.
 LEAST_AGREE = 0.5
-#: Members of a block of a bucket.
-BLOCK = 256
+#: Members of a block of a bucket, and blocks of either side that one task compares.
+BLOCK, TILE = 256, 16
+#: Members of a bucket that meet its one row in a task; a larger bucket is dealt over several.
+SLICE = 1024
 #: Slots that count shingles, by the mean of a text's distinct ones, and at most.
 SLOTS_EACH, MOST_SLOTS = 8, 1 << 24
 #: What bounds give way to rounding.
@@ -377,25 +379,33 @@ def similar_sketches(pairs: DataFrame, nodes: DataFrame, least_agree: float) ->
     return materialize(both.select("a", "b"), "dedup-pairs")
 
 
+def sliced_join(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Bucket members (key, node, n, ...) with their bucket's row (key, n, ...), which is repeated for each slice of a large bucket."""
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    own = members.withColumn("slice", F.pmod(F.xxhash64("node"), slices).cast("int"))
+    many = buckets.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("n")
+    return own.join(many, ["key", "slice"]).drop("slice")
+
+
 def leader_pairs(bucketed: DataFrame, nodes: DataFrame, least_agree: float) -> DataFrame:
     """Each bucket's members with its leader, as far as their sketches may be of similar texts."""
     company = bucketed.groupBy("node").agg(F.sum("n").alias("company"))
-    # Written, so that the join with a large bucket's members can be split.
-    leaders = materialize(bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", "top.node"), "dedup-leaders")
-    pairs = bucketed.join(leaders.withColumnRenamed("node", "leader"), "key").select(F.col("node").alias("a"), F.col("leader").alias("b")).where(F.col("a") != F.col("b"))
+    best = bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"), F.max("n").alias("n"))
+    leaders = materialize(best.select("key", "n", F.col("top.node").alias("leader")), "dedup-leaders")
+    pairs = sliced_join(bucketed, leaders).select(F.col("node").alias("a"), F.col("leader").alias("b")).where(F.col("a") != F.col("b"))
     found = similar_sketches(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, least_agree)
     discard(leaders)
     return found
 
 
 def mixed_members(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, node, n, label, outside) of buckets that hold several classes; outside: not of the largest."""
+    """Rows (key, node, n, label, n_outside, outside) of buckets that hold several classes; outside: not of the largest."""
     label = F.coalesce(F.col("label"), F.col("node"))
     placed = bucketed.join(labels, "node", "left").select("key", "node", "n", label.alias("label"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    mixed = materialize(mixed.select("key", F.col("main.label").alias("main")), "dedup-main")
-    members = materialize(placed.join(mixed, "key").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dedup-mixed")
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.max("n").alias("n")).where("classes > 1")
+    mixed = materialize(mixed.select("key", "n", F.col("main.label").alias("main"), (F.col("n") - F.col("main.m")).alias("n_outside")), "dedup-main")
+    members = materialize(sliced_join(placed, mixed).withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dedup-mixed")
     discard(mixed)
     return members
 
@@ -431,9 +441,9 @@ def reach(texts: DataFrame, weights, similar: float) -> DataFrame:
 def closest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float, least_agree: float) -> DataFrame:
     """Members outside their bucket's main class, each with the one in it that has least of its own."""
     near = members.join(reached, "node")
-    top = materialize(near.where("not outside").groupBy("key").agg(F.max(F.struct(F.col("s") / F.col("w"), "node", "w", "s")).alias("top")), "dedup-top")
+    top = materialize(near.where("not outside").groupBy("key").agg(F.max(F.struct(F.col("s") / F.col("w"), "node", "w", "s")).alias("top"), F.max("n").alias("n")), "dedup-top")
     most = F.least("s", "top.s")
-    pairs = near.where("outside").join(top, "key").where(most >= (similar - SLACK) * (F.col("w") + F.col("top.w") - most))
+    pairs = sliced_join(near.where("outside"), top).where(most >= (similar - SLACK) * (F.col("w") + F.col("top.w") - most))
     ordered = pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
     found = similar_sketches(ordered.join(done, ["a", "b"], "left_anti"), nodes, least_agree)
     discard(top)
@@ -441,14 +451,23 @@ def closest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done
 
 
 def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (key, out, all): members outside a bucket's main class, and a block of all its members."""
-    ready = materialize(
-        members.join(nodes.select("node", "sketch", "bands"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("int"))), "dedup-members")
+    """Rows (key, out, all): a block of members outside a bucket's main class, and a block of all its members.
+
+    Both sides of a bucket are dealt by tiles of TILE blocks, so a task gets
+    TILE * TILE pairs of blocks at once, whatever the bucket.
+    """
+    ready = materialize(members.join(nodes.select("node", "sketch", "bands"), "node"), "dedup-members")
     row = F.collect_list(F.struct("node", "label", "sketch", "bands", "w", "s", "outside"))
-    all_blocks = ready.groupBy("key", "block").agg(row.alias("all"))
-    out_blocks = ready.where("outside").groupBy("key", "block").agg(row.alias("out")).select("key", "out")
-    return out_blocks.join(all_blocks, "key").select("key", "out", "all")
+
+    def blocks(some: DataFrame, name: str, own: str, other_name: str, other: str) -> DataFrame:
+        placed = some.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col(own) / BLOCK)).cast("int"))
+        others = F.sequence(F.lit(0), F.ceil(F.col(other) / (BLOCK * TILE)).cast("int") - 1)
+        made = placed.groupBy("key", "block", "n", "n_outside").agg(row.alias(name))
+        return made.select("key", name, F.floor(F.col("block") / TILE).cast("int").alias(f"{name}_tile"), F.explode(others).alias(f"{other_name}_tile"))
+
+    out = blocks(ready.where("outside"), "out", "n_outside", "all", "n")
+    both = out.join(blocks(ready, "all", "n", "out", "n_outside"), ["key", "out_tile", "all_tile"])
+    return both.select("key", "out", "all")
 
 
 def _compared(batches: Iterator[pa.RecordBatch], similar: float, least_agree: float) -> Iterator[tuple[dict, dict]]:

@@ -66,6 +66,26 @@ def test_classes_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_buckets_dealt_over_many_tasks_give_the_same_classes(spark, monkeypatch):
+    for name, few in (("SLICE", 3), ("BLOCK", 4), ("TILE", 2)):
+        monkeypatch.setattr(nd, name, few)
+    # Shared halves bring texts of many classes into common buckets.
+    texts = corpus(4, 6, 30) + corpus(5, 6, 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_classes(docs, least_agree=0.0).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_blocks_bring_each_outside_member_and_member_once(spark, monkeypatch):
+    for name, few in (("BLOCK", 4), ("TILE", 2)):
+        monkeypatch.setattr(nd, name, few)
+    rows = [(k, b"%d" % i, n, b"l", n_out, i < n_out) for k, n, n_out in ((1, 70, 30), (2, 90, 1), (3, 3, 2), (4, 17, 16)) for i in range(n)]
+    members = spark.createDataFrame(rows, "key long, node binary, n long, label binary, n_outside long, outside boolean").selectExpr("*", "1D w", "1D s")
+    nodes = spark.createDataFrame([(b"%d" % i, [i], [i]) for i in range(90)], "node binary, sketch array<int>, bands array<long>")
+    got = [(r.key, bytes(m.node), bytes(x.node)) for r in nd._blocks(members, nodes).collect() for m in r.out for x in r.all]
+    assert sorted(got) == sorted((k, m, x) for k, m, *_, out in rows if out for j, x, *_ in rows if j == k)
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     import numpy as np
 
