@@ -80,14 +80,19 @@ def discard(*written: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tidy() -> None:
-    """Give the memory that a task has freed back to the system; workers outlive tasks."""
-    gc.collect()
+def release() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy() -> None:
+    """Give the memory that a task has freed back to the system; workers outlive tasks."""
+    gc.collect()
+    release()
+
+
 _HELD: dict[str, object] = {}
 
 

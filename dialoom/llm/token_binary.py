@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import fresh_path, materialize, table, tidy, worker_cache
+from dialoom.llm.common import fresh_path, materialize, release, table, tidy, worker_cache
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -111,18 +111,25 @@ def encode_values(values: np.ndarray, percentile: float = 0.95, together: int =
     return starts, b"".join(blocks)
 
 
-def encode_shard(doc_ids: list[int | None], ids: list[np.ndarray], percentile: float = 0.95) -> bytes:
-    """One shard's bytes; `ids` are the documents' id arrays in order."""
-    flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
+def shard_parts(doc_ids: list[int | None], ids: list[np.ndarray], percentile: float = 0.95) -> list[bytes]:
+    """One shard's bytes, in parts; `ids` are the documents' id arrays in order, and are emptied."""
+    lengths = np.array([len(x) for x in ids], "<u8")
+    flat = np.concatenate(ids).astype(np.uint32, copy=False) if ids else np.zeros(0, np.uint32)
+    ids.clear()
     starts, blocks = encode_values(flat, percentile)
-    return b"".join((
-        HEAD.pack(MAGIC, len(ids), len(starts) - 1, BLOCK, len(flat)),
+    return [
+        HEAD.pack(MAGIC, len(lengths), len(starts) - 1, BLOCK, len(flat)),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], "u1").tobytes(),
-        np.array([len(x) for x in ids], "<u8").tobytes(),
+        lengths.tobytes(),
         starts.tobytes(),
         blocks,
-    ))
+    ]
+
+
+def encode_shard(doc_ids: list[int | None], ids: list[np.ndarray], percentile: float = 0.95) -> bytes:
+    """One shard's bytes; `ids` are the documents' id arrays in order."""
+    return b"".join(shard_parts(doc_ids, list(ids), percentile))
 
 
 class Shard:
@@ -242,7 +249,7 @@ class PieceEncoder:
         self.seen.update((p, ids) for p, ids in out.items() if len(p) <= self.SHORT)
         return out
 
-    def encode(self, texts: pa.Array, chars: int = 5_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array, chars: int = 2_500_000) -> Iterator[np.ndarray]:
         """Ids of each text (null: none), in groups of some `chars` bytes."""
         texts = texts.fill_null("")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -265,6 +272,8 @@ class PieceEncoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         index, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        wide = np.int32 if len(marked) and pc.sum(pc.binary_length(marked)).as_py() < 2**31 else np.int64
+        del marked, lists, coded
         heads = bounds[:-1]
         # White space that isn't one space or newline between words touches one of these.
         odd = [i for i, p in enumerate(pieces) if not p or p[-1].isspace() or p[0].isspace() or p[0] == _IS_LINE and (len(p) == 1 or p[1].isspace())]
@@ -276,7 +285,6 @@ class PieceEncoder:
             got = [fresh[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
         pool, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int32, len(got)) // 4
         del got
-        wide = np.int32 if len(marked) and pc.sum(pc.binary_length(marked)).as_py() < 2**31 else np.int64
         first = np.cumsum(size, dtype=wide) - size
         # Heads stand without a space before them, so they are encoded by themselves.
         sizes = size[index]
@@ -345,10 +353,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.pfr"
-            data = encode_shard(names, held, percentile)
+            parts = shard_parts(names, held, percentile)
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(data)
-            row = {"file": name, "part": part, "seq": seq, "n_docs": len(names), "n_values": size, "bytes": len(data)}
+                for data in parts:
+                    out.write(data)
+            row = {"file": name, "part": part, "seq": seq, "n_docs": len(names), "n_values": size, "bytes": sum(map(len, parts))}
+            del parts, data
+            release()
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_values", pa.int64()), ("bytes", pa.int64())]))
 
         end = np.array([end_id], "<u4")
@@ -376,7 +387,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), tied)
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tied, "text")
     )
-    return materialize(ordered.mapInArrow(write, MANIFEST), "manifest", 4096, 5 << 20)
+    return materialize(ordered.mapInArrow(write, MANIFEST), "manifest", 4096, 5 << 19)
 
 
 # --------------------------------------------------------------- the reader
