@@ -246,7 +246,7 @@ class PieceEncoder:
         out.update((p, self.whole(p[1:]).tobytes()) for p in pieces if p[:1] == _IS_STOP)
         words = [p for p in pieces if p[:1] not in (_IS_LINE, _IS_STOP)]
         out.update(zip(words, self._learn(words, " "), strict=True))
-        self.seen.update((p, ids) for p, ids in out.items() if len(p) <= self.SHORT)
+        self.seen.update({p: ids for p, ids in out.items() if len(p) <= self.SHORT})
         return out
 
     def encode(self, texts: pa.Array, chars: int = 2_500_000) -> Iterator[np.ndarray]:
@@ -275,14 +275,18 @@ class PieceEncoder:
         wide = np.int32 if len(marked) and pc.sum(pc.binary_length(marked)).as_py() < 2**31 else np.int64
         del marked, lists, coded
         heads = bounds[:-1]
-        # White space that isn't one space or newline between words touches one of these.
-        odd = [i for i, p in enumerate(pieces) if not p or p[-1].isspace() or p[0].isspace() or p[0] == _IS_LINE and (len(p) == 1 or p[1].isspace())]
-        if odd:
-            alone |= np.logical_or.reduceat(np.isin(index, odd), heads)
         got = list(map(self.seen.get, pieces))
         if None in got:
-            fresh = self.learn([p for p, g in zip(pieces, got, strict=True) if g is None])
-            got = [fresh[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
+            # White space that isn't one space or newline between words touches one of these; none is remembered.
+            missing = [i for i, g in enumerate(got) if g is None]
+            odd = {i for i in missing if not (p := pieces[i]) or p[-1].isspace() or p[0].isspace() or p[0] == _IS_LINE and (len(p) == 1 or p[1].isspace())}
+            if odd:
+                touched = np.zeros(len(pieces), bool)
+                touched[list(odd)] = True
+                alone |= np.logical_or.reduceat(touched[index], heads)
+            fresh = self.learn([pieces[i] for i in missing if i not in odd])
+            for i in missing:
+                got[i] = b"" if i in odd else fresh[pieces[i]]
         pool, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int32, len(got)) // 4
         del got
         first = np.cumsum(size, dtype=wide) - size
@@ -407,7 +411,7 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
         for batch in arrived:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(data.as_buffer().to_pybytes())
-                flat = memoryview(shard.values().astype("<u4").tobytes())
+                flat = memoryview(shard.values().astype("<u4", copy=False).view("u1"))
                 ends = np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
                 crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
