@@ -271,7 +271,7 @@ class PieceEncoder:
         coded = lists.flatten().dictionary_encode()
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
-        index, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        index, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         wide = np.int32 if len(marked) and pc.sum(pc.binary_length(marked)).as_py() < 2**31 else np.int64
         del marked, lists, coded
         heads = bounds[:-1]
