@@ -113,26 +113,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _log_odds(counts: dict[bytes, tuple[int, int]], prior: float) -> dict[bytes, float]:
-    """Each unit's log-odds less the corpus's; a unit's prior is its longest counted prefix."""
+    """Each unit's log-odds less the corpus's; a unit's prior is its longest counted prefix.
+
+    The shares of toxic and of other documents are both kept: along a chain of
+    prefixes seen in many toxic documents only, 1 less the one rounds to 0.
+    """
     tokens = [c for u, c in counts.items() if u[1:2] != b"^"]
     y0, y1 = sum(c[0] for c in tokens), sum(c[1] for c in tokens)
-    root = (y1 + 1) / (y0 + y1 + 2)
-    rates: dict[bytes, float] = {}
+    root = ((y0 + 1) / (y0 + y1 + 2), (y1 + 1) / (y0 + y1 + 2))
+    rates: dict[bytes, tuple[float, float]] = {}
 
-    def rate(u: bytes, chain: list[bytes]) -> float:
+    def rate(u: bytes, chain: list[bytes]) -> tuple[float, float]:
         if u not in rates:
             above = next((c for c in reversed(chain) if c in counts), None)
-            mean = root if above is None else rate(above, chain[: chain.index(above)])
+            other, toxic = root if above is None else rate(above, chain[: chain.index(above)])
             a, b = counts[u]
-            rates[u] = (b + prior * mean) / (a + b + prior)
+            rates[u] = ((a + prior * other) / (a + b + prior), (b + prior * toxic) / (a + b + prior))
         return rates[u]
 
     for u in counts:
         word = u[2:] if u[1:2] == b"^" else u
         chain = [b"%d^%b" % (k, word[:k]) for k in PREFIXES if (k < int(u[:1]) if u[1:2] == b"^" else k < len(word))]
         rate(u, chain)
-    base = math.log(root / (1 - root))
-    return {u: math.log(q / (1 - q)) - base for u, q in rates.items()}
+    base = math.log(root[1] / root[0])
+    return {u: math.log(toxic / other) - base for u, (other, toxic) in rates.items()}
 
 
 def _gumbel(best: np.ndarray, size: np.ndarray) -> tuple[float, float]:

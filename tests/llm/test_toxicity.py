@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -101,3 +102,20 @@ def test_model_parts_by_plain_python():
     x = rng.normal(0, 1, 20_000)
     a, b = tx._logistic(x, (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))).astype(float))
     assert abs(a - 0.5) < 0.1 and abs(b - 1.5) < 0.1
+
+
+def test_log_odds_of_words_in_many_toxic_documents_only():
+    counts = {b"the": (45_000, 5_000), **dict.fromkeys(tx.units(b"vilewords"), (0, 5_000)), **dict.fromkeys(tx.units(b"kindwords"), (45_000, 0))}
+    odds = tx._log_odds(counts, 4.0)
+    # Six levels, each with 4 of 5004 parts of the one above: exact sums in logarithms.
+    y0, y1 = 90_001, 10_001
+    other = math.log(y0 / (y0 + y1)) + 6 * math.log(4 / 5_004)
+    assert abs(odds[b"vilewords"] - (math.log1p(-math.exp(other)) - other - math.log(y1 / y0))) < 1e-9
+    toxic = math.log(y1 / (y0 + y1)) + 6 * math.log(4 / 45_004)
+    assert abs(odds[b"kindwords"] - (toxic - math.log1p(-math.exp(toxic)) - math.log(y1 / y0))) < 1e-9
+
+
+def test_stage_with_a_word_in_many_toxic_documents(spark):
+    docs = spark.range(12_000).selectExpr("id doc_id", "concat('some plain words of number ', id % 50, if(id % 3 = 0, ' vilewordsome', '')) text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) toxic")
+    assert tx.drop_toxic(docs, labels).where("doc_id % 3 = 0").count() == 0
