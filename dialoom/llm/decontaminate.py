@@ -265,37 +265,52 @@ def match_items(docs: DataFrame, items: DataFrame, *, name: str = "matched", tex
         (F.size(a) > 0) & (F.element_at(a, -1)["end"] >= s["start"]),
         F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(a, F.array(s))))
-    united = F.struct(F.col(f"`{parts[0]}`.n_words").alias("n_words"), fused.alias("spans"), F.array_sort(F.array_distinct(F.concat(*[F.col(f"`{p}`.items") for p in parts]))).alias("items"))
+    united = F.struct(F.col(f"`{parts[0]}`.n_words").alias("n_words"), fused.alias("spans"), F.array_sort(F.array_distinct(F.concat(*[F.col(f"`{p}`.items") for p in parts]))).alias("items"), F.lit(None).cast("string").alias("cut"))
     return out.withColumn(name, united).drop(*parts)
 
 
+def _cut_once(found: DataFrame, text_col: str, name: str) -> DataFrame:
+    """`found` with the spans of struct `name` cut from its texts."""
+    text_at, hit_at, made = found.columns.index(text_col), found.columns.index(name), free_name(found, "cut")
+
+    def compute():
+        rows = lambda b: zip(b.column(text_at).to_pylist(), b.column(hit_at).to_pylist(), strict=True)
+        return lambda b: [pa.array([cut(t, [(s["start"], s["end"]) for s in m["spans"]]) for t, m in rows(b)], pa.string())]
+
+    return extend(found, f"`{made}` string", compute).select(*[F.col(f"`{made}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in found.columns])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = 10, max_coverage: float = 0.5,
                   item_id: str = "item_id", item_text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """`docs` without benchmark passages: matching spans are cut from the text.
 
     Every span of `window` words or more (or a whole shorter item) is removed;
     a document of which more than `max_coverage` of the words were hit goes
-    entirely. Texts without a hit are returned unchanged, null ones included.
-    With one automaton, matching and cutting are one pass of one worker.
+    entirely. What the words beside a cut make together is cut as well, until
+    nothing matches. Texts without a hit are returned unchanged, null ones included.
+    With one automaton, matching and cutting are one pass of one worker. With
+    more, cut texts are matched again in a further round, until none is hit:
+    in each round all spans of all items go at once, so the result is the same.
     """
     name = free_name(docs, "matched")
     chosen, shards = _chosen(items, item_id, item_text, shard_chars)
-    if shards == 1:
-        found = _one_pass(docs, text_col, name, [tuple(r) for r in chosen.collect()], window, True)
-        clean = F.col(f"`{name}`.cut")
-    else:
-        found = materialize(match_items(docs, items, name=name, text_col=text_col, window=window, item_id=item_id, item_text=item_text, shard_chars=shard_chars), "matched")
-        text_at, hit_at, made = found.columns.index(text_col), found.columns.index(name), free_name(found, "cut")
-
-        def compute():
-            rows = lambda b: zip(b.column(text_at).to_pylist(), b.column(hit_at).to_pylist(), strict=True)
-            return lambda b: [pa.array([cut(t, [(s["start"], s["end"]) for s in m["spans"]]) if m["spans"] else None for t, m in rows(b)], pa.string())]
-
-        found, clean = extend(found, f"`{made}` string", compute), F.col(f"`{made}`")
     hit = F.aggregate(F.col(f"`{name}`.spans"), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    kept = found.where(hit <= F.col(f"`{name}`.n_words") * max_coverage)
-    text = F.when(hit > 0, clean).otherwise(F.col(f"`{text_col}`")).alias(text_col)
-    return kept.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    few = hit <= F.col(f"`{name}`.n_words") * max_coverage
+    if shards == 1:
+        kept = _one_pass(docs, text_col, name, [tuple(r) for r in chosen.collect()], window, True).where(few)
+        text = F.when(hit > 0, F.col(f"`{name}`.cut")).otherwise(F.col(f"`{text_col}`")).alias(text_col)
+        return kept.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+
+    def match(some: DataFrame) -> DataFrame:
+        return materialize(match_items(some, items, name=name, text_col=text_col, window=window, item_id=item_id, item_text=item_text, shard_chars=shard_chars), "matched")
+
+    kept = match(docs).where(few)
+    clean = kept.where(hit == 0).select(*cols)
+    while (left := kept.where(hit > 0)).take(1):
+        kept = match(_cut_once(left, text_col, name).select(*cols))
+        clean = clean.union(kept.where(hit == 0).select(*cols))
+    return clean
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,17 @@ def test_words_beside_a_cut_make_no_new_passage(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     items = spark.createDataFrame([(1, inner), (2, " ".join(outer))], "item_id long, text string")
     assert decontaminate(docs, items).first().text.split() == [*[f"x{k}" for k in range(60)], "end"]
+
+
+def test_many_automata_cut_until_nothing_matches(spark):
+    layers = [[f"{c}{k}" for k in range(10)] for c in "iop"]
+    text = layers[0]
+    for words in layers[1:]:
+        text = [*words[:5], *text, *words[5:]]
+    rest = [f"x{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join([*rest, *text, "end"])), (1, " ".join(rest)), (2, " ".join(layers[0])), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(layers)], "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate(docs, items, shard_chars=n).collect())) for n in (1_000, 20))
+    assert one == many and len(many) == 3
+    assert [r.text.split() for r in decontaminate(docs, items, shard_chars=20).where("text like '%end'").collect()] == [[*rest, "end"]]
+    assert match_items(docs, items, shard_chars=20).dtypes == match_items(docs, items).dtypes
