@@ -320,9 +320,7 @@ def _store(path: str):
     """The file system of a URI, and the folder of the shards in it."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(f"{path}/data")
-    store.create_dir(root, recursive=True)
-    return store, root
+    return fs.FileSystem.from_uri(f"{path}/data")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -351,6 +349,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
 
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         store, root = _store(path)
+        store.create_dir(root, recursive=True)
         names: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -400,17 +399,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id
 def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Documents as the files hold them: id, start among all ids, number of ids, their crc32.
 
-    Files are read by Spark, from any store it reads; starts are the sums of
+    Workers open the shards in the store that they were written to, so the
+    bytes don't pass through the JVM, whose memory grew by them; starts are the sums of
     the manifest's counts before each shard plus the place within it. A shard
     of the manifest that isn't there in full raises an error; others, which
     lost attempts have left, are not read.
     """
+    path = qualified(spark, path)
 
     def decode(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("", dict)
+        store, root = _store(path)
         for batch in arrived:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(data.as_buffer().to_pybytes())
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{name}") as data:
+                    shard = Shard(data.read())
                 flat = memoryview(shard.values().astype("<u4", copy=False).view("u1"))
                 ends = np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
@@ -425,16 +428,16 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     # A row for each shard, some megabytes of ids: the window's one task and the broadcast hold a millionth of the ids' bytes.
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     bases = manifest.select("file", F.coalesce(F.sum("n_values").over(order), F.lit(0)).alias("base"))
-    if manifest.take(1):
+    n_shards = manifest.count()
+    if n_shards:
         files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pfr").load(f"{path}/data")
-        files = files.withColumn("file", F.regexp_extract("path", "[^/]*$", 0))
-        there = manifest.join(files.select("file", "length"), "file", "left").agg(F.count_if(F.col("length").eqNullSafe(F.col("bytes"))).alias("whole"), F.count(F.lit(1)).alias("all")).first()
-        if there["whole"] != there["all"]:
-            raise ValueError(f"{there['all'] - there['whole']} of {there['all']} shards of the manifest are not in {path} in full")
-    else:
-        files = spark.createDataFrame([], "file string, content binary")
-    # Written, so that a worker gets one shard at a time, whatever the session's batches.
-    found = materialize(files.select("file", "content").mapInArrow(decode, DECODED), "decoded", 1)
+        files = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "length")
+        whole = manifest.join(files, "file", "left").agg(F.count_if(F.col("length").eqNullSafe(F.col("bytes"))).alias("whole")).first()["whole"]
+        if whole != n_shards:
+            raise ValueError(f"{n_shards - whole} of {n_shards} shards of the manifest are not in {path} in full")
+    # As many tasks as shards; written, so that a worker gets one shard at a time, whatever the session's batches.
+    names = manifest.select("file").repartition(max(n_shards, 1), "file")
+    found = materialize(names.mapInArrow(decode, DECODED), "decoded", 1)
     return found.join(bases, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -78,3 +78,15 @@ def test_missing_shard_is_an_error_and_options_stay(spark, tmp_path):
     next((tmp_path / "data").glob("*.pfr")).unlink()
     with pytest.raises(ValueError, match="1 of"):
         tb.read_ids(spark, str(tmp_path), manifest)
+
+
+def test_shards_are_read_without_passing_through_the_jvm(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    manifest = tb.write_ids(docs, str(tmp_path), tb.default_tokenizer(), shard_ids=10)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")  # bytes: any shard that Spark reads itself raises an error
+    try:
+        assert sorted(r.doc_id for r in tb.read_ids(spark, str(tmp_path), manifest).collect()) == list(range(50))
+    finally:
+        spark.conf.set(key, before)
