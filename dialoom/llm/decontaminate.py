@@ -27,8 +27,13 @@ _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 SHARD_CHARS = 2_000_000
 
 
+def folded(text: str) -> bytes:
+    """Its words, lower-cased, with spaces in place of all else."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD)
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return folded(text).split()
 
 
 @dataclass

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm.common import discard, free_name, materialize, table, tidy, worker_cache
-from dialoom.llm.decontaminate import words_of
+from dialoom.llm.decontaminate import folded
 
 SIZE = 5
 SIMILAR = 0.8
@@ -58,18 +58,12 @@ SLACK = 1e-5
 #: Bits for each key that says which texts are needed, and at most: 64 MB are broadcast.
 KEY_BITS, MOST_BITS = 64, 1 << 29
 _BLOCK_BITS = 1 << 15
+#: Bytes of words that are hashed side by side; longer words, which are few, are hashed one by one.
+LONG_WORD = 64
 
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _Hashes(dict):
-    """Word hashes, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
+#: The first 0 to 8 bytes of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,16 +71,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded texts, laid end to end, and the place of each text's first and of the end.
+
+    Words are hashed side by side, eight bytes of each at a time; a call for each word takes most of the operator's time.
+    """
+    raw = b" ".join([b"", *texts, b" " * 8])
+    data = np.frombuffer(raw, np.uint8)
+    inside = data != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+
+    def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at].view("<u8")[:, 0] & _BYTES[np.minimum(left, 8)]
+
+    out = _mixed(sizes.astype(np.uint64) * _ODD[30] + part(starts, sizes) * _ODD[31])
+    done, more = 8, np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    while len(more):
+        out[more] = _mixed(out[more] * _ODD[32] + part(starts[more] + done, sizes[more] - done) * _ODD[31])
+        done += 8
+        more = more[sizes[more] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    return out, np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+
+
+def shingle_sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct hashes, sorted, of the five-word shingles of each folded text, and their counts; a shorter text is one shingle."""
+    worker_cache("", dict)  # other operators' caches go
+    words, at = word_hashes(texts)
+    n = max(len(words) - SIZE + 1, 0)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(SIZE):
+        rolled += words[k : n + k] * _ODD[k]
+    rolled, out = _mixed(rolled), []
+    for first, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if end - first >= SIZE:
+            own = rolled[first : end - SIZE + 1]
+        else:
+            own = _mixed((words[first:end] * _ODD[: end - first]).sum(keepdims=True)) if end > first else words[:0]
+        out.append(np.unique(own, return_counts=True))
+    return out
+
+
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of five-word shingles and their counts; a shorter text is one shingle."""
-    h = np.fromiter(map(worker_cache("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
-    n = min(SIZE, len(h))
-    if not n:
-        return h, np.zeros(0, np.int64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out += h[k : len(h) - n + 1 + k] * _ODD[k]
-    return np.unique(_mixed(out), return_counts=True)
+    """Those of one text, by its words."""
+    return shingle_sets([b" ".join(words)])[0]
 
 
 def node_of(words: list[bytes]) -> bytes:
@@ -154,7 +185,7 @@ class Sampler:
 
 def _of_texts(batch: pa.RecordBatch) -> list[np.ndarray]:
     """Distinct shingles, sorted, of each text of the first column that has some."""
-    return [sh for text in batch.column(0).to_pylist() if len(sh := shingles(words_of(text or ""))[0])]
+    return [sh for sh, _ in shingle_sets([folded(t or "") for t in batch.column(0).to_pylist()]) if len(sh)]
 
 
 def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> tuple[list[tuple[int, int]], int]:
@@ -240,14 +271,14 @@ def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), weights.value
         for batch in batches:
-            words = [words_of(t or "") for t in batch.column(2).to_pylist()]
-            nodes = [node_of(w) if w else None for w in words]
-            sets = [shingles(w) for w in words if w]
+            texts = [folded(t or "") for t in batch.column(2).to_pylist()]
+            nodes = [node_of(w) if (w := t.split()) else None for t in texts]
+            sets = [s for s in shingle_sets(texts) if len(s[0])]
             bands, sketches = [], []
             at = 0
             while at < len(sets):
                 end, size = at, 0
-                while end < len(sets) and (end == at or size + len(sets[end][0]) <= 300_000):
+                while end < len(sets) and (end == at or size + len(sets[end][0]) <= 80_000):
                     size += len(sets[end][0])
                     end += 1
                 flat, counts = (np.concatenate(x) for x in zip(*sets[at:end], strict=True))
@@ -263,7 +294,7 @@ def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFram
             whole = iter(zip(bands, sketches, strict=True))
             pairs = [next(whole) if n is not None else (None, None) for n in nodes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array([p[0] for p in pairs], schema.field(3).type), pa.array([p[1] for p in pairs], schema.field(4).type)], schema=schema)
-            del words, sets, bands, sketches, whole, pairs, batch
+            del texts, sets, bands, sketches, whole, pairs, batch
         tidy()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -332,7 +363,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights, id_co
 
         @lru_cache(maxsize=16)
         def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            sh, counts = shingles(words_of(text))
+            sh, counts = shingle_sets([folded(text)])[0]
             return sh, idf.of(sh, counts)
 
         for batch in batches:
@@ -421,7 +452,7 @@ def reach(texts: DataFrame, weights, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = weights.value
         for batch in batches:
-            sets = [(sh.view(np.int64), idf.of(sh, counts)) for sh, counts in (shingles(words_of(t)) for t in batch.column(2).to_pylist())]
+            sets = [(sh.view(np.int64), idf.of(sh, counts)) for sh, counts in shingle_sets([folded(t) for t in batch.column(2).to_pylist()])]
             hs, ws = pa.array([h for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in sets], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.sum() for _, w in sets], pa.float64()), hs, ws], names=["node", "of", "w", "hs", "ws"])
             del sets, hs, ws, batch

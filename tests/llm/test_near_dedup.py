@@ -86,6 +86,33 @@ def test_blocks_bring_each_outside_member_and_member_once(spark, monkeypatch):
     assert sorted(got) == sorted((k, m, x) for k, m, *_, out in rows if out for j, x, *_ in rows if j == k)
 
 
+def test_words_are_hashed_alike_wherever_they_stand_and_without_a_call_each(monkeypatch):
+    pick, calls, one = random.Random(5), [], nd.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(nd.xxhash, "xxh3_64_intdigest", lambda word: calls.append(word) or one(word))
+    # Words of all lengths around those of eight bytes, and such that differ in one byte only.
+    base = [pick.choice("abé字9") * n for n in (*range(1, 40), 63, 64, 65, 66, 300)]
+    words = sorted({w.encode() for b in base for w in (b, b + "x", "x" + b, b[: len(b) // 2] + "q" + b[len(b) // 2 :])})
+    texts = [b" ".join(pick.choices(words, k=k)) for k in (0, 1, 4, 5, 6, 200, 0, 3, 900, 0)] + [b"  ", b" ".join(words), b"  ".join([b"", *words, b""])]
+    hashes, at = nd.word_hashes(texts)
+    seen = {}
+    for i, t in enumerate(texts):
+        own = hashes[at[i] : at[i + 1]].tolist()
+        assert len(own) == len(t.split())
+        for w, h in zip(t.split(), own, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert at[-1] == len(hashes) and set(seen) == set(words) and len(set(seen.values())) == len(words)
+    assert calls and all(len(w) > nd.LONG_WORD for w in calls)
+    # The shingles of a text don't depend on what stands beside it, and are as many as a plain count finds.
+    for t, (sh, counts) in zip(texts, nd.shingle_sets(texts), strict=True):
+        own = nd.shingles(w := t.split())
+        assert (sh == own[0]).all() and (counts == own[1]).all() and (np.diff(sh.astype(object)) > 0).all()
+        plain = {}
+        for i in range(max(1, len(w) - 4) if w else 0):
+            plain[tuple(w[i : i + 5])] = plain.get(tuple(w[i : i + 5]), 0) + 1
+        assert sorted(counts.tolist()) == sorted(plain.values())
+    assert nd.shingle_sets([]) == []
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     import numpy as np
 
