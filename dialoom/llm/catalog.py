@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dialoom.llm import oracles
+from dialoom.llm.audit import op13_filter_audit
 from dialoom.llm.chat import op1_chat_format
 from dialoom.llm.decontaminate import op3_decontaminate
+from dialoom.llm.kmeans import op11_kmeans
 from dialoom.llm.lm import op7_lm_score
 from dialoom.llm.mixing import op2_mixing
 from dialoom.llm.near_dedup import op6_near_dedup
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_toxicity": op10_toxicity,
+    "op11_kmeans": op11_kmeans,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -33,4 +37,6 @@ ORACLE_SQL = {
     "op3_decontaminate": oracles.OP3,
     "op8_quality": oracles.OP8,
     "op9_warc_revisit": oracles.OP9,
+    "op11_kmeans": oracles.OP11,
+    "op13_filter_audit": oracles.OP13,
 }

@@ -109,3 +109,55 @@ SELECT record_id, key AS canonical, ts, outcome, CASE outcome WHEN 'full' THEN r
               || coalesce(chr(10) || 'etag: ' || e, '') || coalesce(chr(10) || 'last-modified: ' || l, '')) AS headers_sha256
 FROM h
 """
+
+
+def _op11(k: int = 40, dim: int = 64, rounds: int = 5) -> str:
+    """Rounds one after the other. Doubles are exact here: their integers stay far below 2^53."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, min(d) AS distance, arg_min(c, d * {k} + c) AS c
+  FROM (SELECT rid, c, list_dot_product(v, v) - 2 * list_dot_product(v, x) + list_dot_product(x, x) AS d FROM v CROSS JOIN c{r}) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.x, o.x) AS x FROM c{r} o LEFT JOIN (
+    SELECT c, list(m ORDER BY j) AS x FROM (
+      SELECT c, j, floor(sum(v[j]) / count(*)) AS m FROM v JOIN a{r} USING (rid), range(1, {dim + 1}) t(j) GROUP BY c, j) GROUP BY c) n ON o.c = n.c)""")
+    text = ",\n".join(steps)
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) = {dim}),
+v AS MATERIALIZED (SELECT rid, vec_id, list_transform(x, lambda y: floor(256 * y)) AS v FROM e
+      WHERE len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS x FROM v ORDER BY sha256('2:' || vec_id), v LIMIT {k}),
+{text}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(z.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (rid) JOIN c{rounds} z ON a.c = z.c
+"""
+
+
+OP11 = _op11()
+
+#: Each order is a row of five filters; a document leaves at the first one that it fails.
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+             {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(least < d.doc_id, false)} AS x
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+m AS (SELECT part, x.A AS A, x.B AS B, x.C AS C, x.D AS D, x.E AS E, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+g AS (SELECT *, list_concat(CASE WHEN A THEN ['A'] ELSE [] END, CASE WHEN B THEN ['B'] ELSE [] END, CASE WHEN C THEN ['C'] ELSE [] END, CASE WHEN D THEN ['D'] ELSE [] END, CASE WHEN E THEN ['E'] ELSE [] END) AS fails FROM m),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, n, good, bad, fails, list_contains(fails, substr(filter_order, step, 1)) AS hit,
+             len(list_filter(fails, lambda z: instr(filter_order, z) < step)) AS before FROM g, o, range(1, 6) t(step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f, sum(CASE WHEN NOT hit AND before = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN hit AND before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND len(fails) = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN hit AND before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND before = 0 THEN bad ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
