@@ -10,6 +10,7 @@ from dialoom.llm.kmeans import op11_kmeans
 from dialoom.llm.lm import op7_lm_score
 from dialoom.llm.mixing import op2_mixing
 from dialoom.llm.near_dedup import op6_near_dedup
+from dialoom.llm.pages import op12_html_extract
 from dialoom.llm.pii import op5_pii
 from dialoom.llm.quality import op8_quality
 from dialoom.llm.token_binary import op4_token_binary
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_warc_revisit": op9_warc_revisit,
     "op10_toxicity": op10_toxicity,
     "op11_kmeans": op11_kmeans,
+    "op12_html_extract": op12_html_extract,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL = {
     "op8_quality": oracles.OP8,
     "op9_warc_revisit": oracles.OP9,
     "op11_kmeans": oracles.OP11,
+    "op12_html_extract": oracles.OP12,
     "op13_filter_audit": oracles.OP13,
 }

@@ -161,3 +161,12 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM r
 """
+
+#: What the extractor must find in pages whose one `article` holds only headings and paragraphs, with no other references than these.
+OP12 = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS b FROM pages),
+t AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM t)
+"""
