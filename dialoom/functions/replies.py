@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from dialoom.functions.folds import emitted, let
 from dialoom.functions.text import strip
 
+#: Characters of a reply that one substring is counted over.
+STRETCH = 256
+
 PAIRS = ArrayType(StructType([StructField("question", StringType()), StructField("answer", StringType())]))
 
 
@@ -22,19 +26,18 @@ def fenced(reply: Column) -> Column:
 
 
 def brace_spans(text: Column) -> Column:
-    """Array of (start, end) of the top-level brace groups, from 0: a fold over the braces of one row."""
+    """Array of (start, end) of the top-level brace groups, from 0: a scan over the braces of one row."""
     marks = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("at"), c.alias("c"))), lambda m: m["c"].isin("{", "}"))
-    none, no_groups = F.lit(None).cast("int"), F.array().cast("array<struct<start:int,end:int>>")
+    opens = lambda s, m: m["c"] == "{"
+    ends = lambda s, m: ~opens(s, m) & (s["depth"] == 1) & s["start"].isNotNull()
 
-    def step(acc: Column, m: Column) -> Column:
-        opens, depth, start = m["c"] == "{", acc["depth"], acc["start"]
-        ends = ~opens & (depth == 1) & start.isNotNull()
-        group = F.array(F.struct(start.alias("start"), m["at"].alias("end")))
-        return F.struct(
-            F.when(opens, depth + 1).otherwise(depth - 1).alias("depth"), F.when(opens & (depth == 0), m["at"]).when(~ends, start).alias("start"),
-            F.when(ends, F.concat(acc["found"], group)).otherwise(acc["found"]).alias("found"))
+    def step(s: Column, m: Column) -> Column:
+        start = F.when(opens(s, m) & (s["depth"] == 0), m["at"]).when(~ends(s, m), s["start"])
+        return F.struct(F.when(opens(s, m), s["depth"] + 1).otherwise(s["depth"] - 1).alias("depth"), start.alias("start"))
 
-    return F.aggregate(marks, F.struct(F.lit(0).alias("depth"), none.alias("start"), no_groups.alias("found")), step, lambda acc: acc["found"])
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("start"))
+    group = lambda s, m: F.struct(s["start"].alias("start"), m["at"].alias("end"))
+    return emitted(marks, zero, step, ends, group, "struct<start:int,end:int>")
 
 
 def brace_objects(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
@@ -43,8 +46,20 @@ def brace_objects(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
     Depth counts braces wherever they stand, in strings too. A stray closing
     brace lowers it below zero, so the next opening brace starts no group.
     """
-    found = df.select(*keys, F.col(content).alias("_text"), F.explode(brace_spans(F.col(content))).alias("_s"))
-    return found.select(*keys, (F.col("_s.start") + 1).cast("long").alias("pos"), F.expr("substring(_text, _s.start + 1, _s.end - _s.start + 1)").alias("object"))
+    def objects(text: Column) -> Column:
+        # A substring is counted from the text's start: it is taken from a stretch of STRETCH characters instead.
+        stretches = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / STRETCH).cast("int")), lambda k: F.substring(text, k * STRETCH + 1, F.lit(STRETCH)))
+
+        def cut(ps: Column) -> Column:
+            def group(s: Column) -> Column:
+                near = F.array_join(F.transform(F.sequence(F.floor(s["start"] / STRETCH).cast("int"), F.floor(s["end"] / STRETCH).cast("int")), lambda j: F.get(ps, j)), "")
+                return F.struct((s["start"] + 1).cast("long").alias("pos"), F.substring(near, s["start"] % STRETCH + 1, s["end"] - s["start"] + 1).alias("object"))
+
+            return F.transform(brace_spans(text), group)
+
+        return let(stretches, cut)
+
+    return df.select(*keys, F.inline(objects(F.col(content))))
 
 
 def scan_objects(text: str) -> Iterator[str]:

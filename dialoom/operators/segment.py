@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.functions.folds import emitted, let
 from dialoom.functions.text import has_qa
 
 
@@ -13,29 +14,30 @@ def merge_blocks(parts: Column, max_size: int, min_size: int) -> Column:
 
     A paragraph too long by itself is a block of its own. Blocks shorter than
     `min_size`, separators included, go; numbers stay those before that. A
-    fold finds where blocks start; they are joined after it, so no block's
-    text is copied while it grows.
+    scan finds where blocks start; they are joined after it, so no block's
+    text is copied while it grows. Time grows with the paragraphs.
     """
-    none = F.array().cast("array<int>")
-    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), none.alias("starts"))
 
-    def step(acc: Column, p: Column) -> Column:
-        n = F.char_length(p)
-        opens = (acc["i"] == 0) | (acc["size"] + n > max_size)
-        return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(opens, n).otherwise(acc["size"] + n).alias("size"),
-            F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"))
+    def opens(s: Column, p: Column) -> Column:
+        return (s["i"] == 0) | (s["size"] + F.char_length(p) > max_size)
 
-    def join(starts: Column) -> Column:
-        def block(a: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(starts, k + 1), F.size(parts))
-            return F.struct(k.alias("seg_no"), F.array_join(F.slice(parts, a + 1, end - a), "\n\n").alias("block"))
+    def step(s: Column, p: Column) -> Column:
+        return F.struct((s["i"] + 1).alias("i"), F.when(opens(s, p), F.char_length(p)).otherwise(s["size"] + F.char_length(p)).alias("size"))
 
-        return F.transform(starts, block)
+    def join(ps: Column) -> Column:
+        def joined(starts: Column) -> Column:
+            def block(a: Column, k: Column) -> Column:
+                # Element by element: `slice` goes through the whole array for each block.
+                end = F.coalesce(F.get(starts, k + 1), F.size(ps))
+                own = F.transform(F.sequence(a, end - 1), lambda j: F.get(ps, j))
+                return F.struct(k.alias("seg_no"), F.array_join(own, "\n\n").alias("block"))
 
-    starts = F.aggregate(parts, first, step, lambda acc: acc["starts"])
-    blocks = F.element_at(F.transform(F.array(starts), join), 1)
-    return F.filter(blocks, lambda b: F.char_length(b["block"]) >= min_size)
+            return F.transform(starts, block)
+
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"))
+        return let(emitted(ps, zero, step, opens, lambda s, p: s["i"], "int"), joined)
+
+    return F.filter(let(parts, join), lambda b: F.char_length(b["block"]) >= min_size)
 
 
 def blocks(df: DataFrame, parts: str, keys: list[str], *, max_size: int = 1500, min_size: int = 100) -> DataFrame:
@@ -44,13 +46,34 @@ def blocks(df: DataFrame, parts: str, keys: list[str], *, max_size: int = 1500,
     return df.select(*keys, F.inline(merge_blocks(F.col(parts), max_size, min_size))).select(*keys, F.col("seg_no").cast("long").alias("seg_no"), "block")
 
 
+def leading(blocks: Column, ratio: float) -> Column:
+    """The leading share of an array, at least one element; all from ratio 1, none up to 0."""
+    if ratio >= 1:
+        return blocks
+    if ratio <= 0:
+        return F.slice(blocks, 1, 0)
+    return let(blocks, lambda b: F.slice(b, F.lit(1), F.greatest((F.size(b) * F.lit(float(ratio))).cast("int"), F.lit(1))))
+
+
+def chosen_blocks(df: DataFrame, parts: str, keys: list[str], *, max_size: int = 1500, min_size: int = 100, qa_only: bool = False, ratio: float = 1.0) -> DataFrame:
+    """Rows (keys..., seg_no, block, block_idx) of a document's blocks: those with question and answer if `qa_only`, then their leading share, numbered from 0.
+
+    All of it happens within the document's row: nothing is shuffled.
+    """
+    found = merge_blocks(F.col(parts), max_size, min_size)
+    if qa_only:
+        found = F.filter(found, lambda b: has_qa(b["block"]))
+    rows = df.select(*keys, F.posexplode(leading(found, ratio)).alias("_at", "_block"))
+    return rows.select(*keys, F.col("_block.seg_no").cast("long").alias("seg_no"), "_block.block", F.col("_at").cast("long").alias("block_idx"))
+
+
 def filter_qa(df: DataFrame, block: str = "block") -> DataFrame:
     """Blocks that hold question and answer; to be applied before a sample is taken."""
     return df.where(has_qa(F.col(block)))
 
 
 def sample_prefix(df: DataFrame, ratio: float, *, key: str = "doc_id", order: str = "seg_no") -> DataFrame:
-    """The leading share of each document's blocks, at least one; all from ratio 1, none up to 0."""
+    """The leading share of each document's block rows, at least one; all from ratio 1, none up to 0. For blocks that are rows already; see `chosen_blocks`."""
     if ratio >= 1:
         return df
     if ratio <= 0:
@@ -61,5 +84,5 @@ def sample_prefix(df: DataFrame, ratio: float, *, key: str = "doc_id", order: st
 
 
 def index_blocks(df: DataFrame, *, key: str = "doc_id", order: str = "seg_no") -> DataFrame:
-    """Dense numbers from 0 of the blocks that are left."""
+    """Dense numbers from 0 of the block rows that are left."""
     return df.withColumn("block_idx", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long"))

@@ -18,10 +18,7 @@ from dialoom.sources.documents import document_facts, paragraph_arrays
 
 def surviving_blocks(parts: DataFrame, config: Config) -> DataFrame:
     """Rows (doc_id, seg_no, block, block_idx) of paragraph arrays (doc_id, parts); filter, then sample, then number."""
-    out = segment.blocks(parts, "parts", ["doc_id"], max_size=config.max_block_size, min_size=config.min_block_size)
-    if config.enable_qa_filter:
-        out = segment.filter_qa(out)
-    return segment.index_blocks(segment.sample_prefix(out, config.extract_ratio))
+    return segment.chosen_blocks(parts, "parts", ["doc_id"], max_size=config.max_block_size, min_size=config.min_block_size, qa_only=config.enable_qa_filter, ratio=config.extract_ratio)
 
 
 def prompts(blocks: DataFrame) -> DataFrame:
