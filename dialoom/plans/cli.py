@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
         out.add_argument(name, action="store_true")
     out.add_argument("--quiet", "-q", action="store_true")
     out.add_argument("--verbose", "-v", action="store_true")
+    out.add_argument("--resume", action="store_true", help="go on where a run that died has left off: only prompts without a reply are sent")
     out.add_argument("--version", action="version", version="%(prog)s 1.0.0")
     return out
 
@@ -108,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("dialoom").getOrCreate()
     try:
         blocks = read_pdf(spark, config.pdf_filename).persist()
-        run = pipeline.process(spark, blocks.withColumn("doc_id", F.col("path")), responder, config)
+        run = pipeline.process(spark, blocks.withColumn("doc_id", F.col("path")), responder, config, resume=args.resume, retry_failed=args.resume)
         return finish(run.stats.orderBy("doc_id").toLocalIterator(), config.output_path)
     except Exception:
         log.exception("the run failed")

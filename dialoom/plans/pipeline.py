@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.text import normalize_markers
 from dialoom.operators import pairs, segment, stats
+from dialoom.operators.ledger import Ledger, ask_key
 from dialoom.plans.config import Config
 from dialoom.plans.prompt import prompt
 from dialoom.sources import jsonl
@@ -34,31 +36,62 @@ class Run:
     stats: DataFrame
 
 
-def plan(parts: DataFrame, responder, config: Config, path: str | None = None, documents: DataFrame | None = None) -> Run:
+def questions(blocks: DataFrame) -> DataFrame:
+    """Blocks with their prompt and its key in the ledger of replies."""
+    return prompts(blocks).withColumn("ask_key", ask_key(F.col("doc_id"), F.col("block_idx"), F.col("prompt")))
+
+
+def plan(
+    parts: DataFrame, responder, config: Config, path: str | None = None, documents: DataFrame | None = None, *,
+    resume: bool = False, retry_failed: bool = False, chunk_rows: int = 5000, after: Callable[[DataFrame, int], None] | None = None) -> Run:
     """Blocks, prompts, replies and results of paragraph arrays (doc_id, parts).
 
-    With `path`, block results are written there before anything reads them,
-    so that each prompt is sent once, whatever is computed from the replies.
-    Without it the chain stays lazy, for responders that cost nothing to ask.
+    With `path`, replies are committed there in chunks, in document and block
+    order, before anything reads them: each prompt is sent once, whatever is
+    computed from the replies. With `resume`, committed replies of an earlier
+    run at `path` are used and only the other prompts are sent; without, such
+    replies go first. `after(results, chunk)` sees each chunk's block results.
+    Without `path` the chain stays lazy, for responders that cost nothing to ask.
     Statistics have a row for each of `documents` (doc_id[, pages, error]), or
     else of `parts`, those without a block included.
     """
-    asked = responder.respond(prompts(surviving_blocks(parts, config)))
-    results = pairs.block_results(asked, config.known_prefixes)
-    if path is not None:
-        results.write.mode("overwrite").parquet(path)
-        results = results.sparkSession.read.schema(results.schema).parquet(path)
+    results_of = lambda asked: pairs.block_results(asked, config.known_prefixes)
+    if path is None:
+        results = results_of(responder.respond(prompts(surviving_blocks(parts, config))))
+    else:
+        ledger = Ledger(parts.sparkSession, f"{path}/replies")
+        if not resume:
+            ledger.clear()
+        seen = after and (lambda rows, chunk: after(results_of(rows), chunk))
+        asked = ledger.answer(questions(surviving_blocks(parts, config)), responder, ["doc_id", "block_idx"], chunk_rows=chunk_rows, retry_failed=retry_failed, after=seen)
+        results = results_of(asked)
+        results.write.mode("overwrite").parquet(f"{path}/results")
+        results = results.sparkSession.read.schema(results.schema).parquet(f"{path}/results")
     return Run(results, pairs.qa_records(results), stats.run_stats(results, parts.select("doc_id") if documents is None else documents))
 
 
-def process(spark: SparkSession, blocks: DataFrame, responder, config: Config) -> Run:
-    """Run over layout blocks (doc_id, page_no, blk_no, text[, page_count, error]) and write pairs and logs below the output folder."""
-    run = plan(paragraph_arrays(blocks), responder, config, os.path.join(config.output_dir, "_block_results"), document_facts(blocks))
+def process(spark: SparkSession, blocks: DataFrame, responder, config: Config, *, resume: bool = False, retry_failed: bool = False, chunk_rows: int = 5000) -> Run:
+    """Run over layout blocks (doc_id, page_no, blk_no, text[, page_count, error]) and write pairs and logs below the output folder.
+
+    The output is emptied first. While the run lasts, pairs of each committed
+    chunk are added to it, so that what a run leaves that dies is a valid
+    prefix; at the end the whole is written in order. With `resume`, a run
+    goes on where the one before it died, and ends with the same output.
+    """
+    if not resume:
+        jsonl.remove(spark, config.output_path)
+
+    def add(results: DataFrame, chunk: int) -> None:
+        records = pairs.qa_records(results).orderBy("doc_id", "block_idx", "pair_idx")
+        jsonl.save(records.select("question", "answer", "source_text"), f"{config.output_path.rstrip('/')}/chunk={chunk:06d}")
+
+    path = os.path.join(config.output_dir, "_block_results")
+    run = plan(paragraph_arrays(blocks), responder, config, path, document_facts(blocks), resume=resume, retry_failed=retry_failed, chunk_rows=chunk_rows, after=add)
     jsonl.save(run.records.orderBy("doc_id", "block_idx", "pair_idx").select("question", "answer", "source_text"), config.output_path)
     if config.enable_error_log:
-        jsonl.save_log(pairs.error_log(run.results), os.path.join(config.output_dir, "extraction_errors.log"), "BLOCK", "ERROR")
+        jsonl.save_log(pairs.error_log(run.results), os.path.join(config.output_dir, "extraction_errors.log"), "BLOCK", "ERROR", order=["doc_id", "block_no"])
     if config.enable_success_log:
-        jsonl.save_log(pairs.success_log(run.results), os.path.join(config.output_dir, "extraction_success.log"), "QA_PAIR")
+        jsonl.save_log(pairs.success_log(run.results), os.path.join(config.output_dir, "extraction_success.log"), "QA_PAIR", order=["doc_id", "pair_no"])
     return run
 
 

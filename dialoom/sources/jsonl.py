@@ -26,6 +26,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete `path` with all below it, if it is there."""
+    where, fs = _path(spark, path)
+    fs.delete(where, True)
+
+
+def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers n, in order, of the folders `name`=n in `path`."""
+    if not exists(spark, path):
+        return []
+    where, fs = _path(spark, f"{path.rstrip('/')}/{name}=*")
+    return sorted(int(f.getPath().getName().split("=", 1)[1]) for f in fs.globStatus(where) or [])
+
+
 def ensure_dir(spark: SparkSession, path: str) -> str:
     where, fs = _path(spark, path)
     fs.mkdirs(where)
@@ -102,8 +116,13 @@ def save(df: DataFrame, path: str, *, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def save_log(df: DataFrame, path: str, frame: str, level: str = "INFO") -> None:
-    """Rows as framed text: time, level and `frame`_START, a line for each column, `frame`_END."""
+def save_log(df: DataFrame, path: str, frame: str, level: str = "INFO", order: list[str] | None = None) -> None:
+    """Rows as framed text: time, level and `frame`_START, a line for each column, `frame`_END.
+
+    With `order`, each file holds a range of those columns, in order, and
+    files follow each other by name: read in name order, they are one log.
+    """
     opens = F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(f" - {level} - {frame}_START"))
     body = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
-    df.select(F.concat_ws("\n", opens, *body, F.lit(f"{frame}_END")).alias("value")).write.mode("overwrite").text(path)
+    rows = df.orderBy(*order) if order else df
+    rows.select(F.concat_ws("\n", opens, *body, F.lit(f"{frame}_END")).alias("value")).write.mode("overwrite").text(path)
