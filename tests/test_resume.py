@@ -134,3 +134,49 @@ def test_chunks_that_were_cut_off_do_not_count(spark, tmp_path):
     done = ledger.answer(asks, upper, ["doc_id", "block_idx"], chunk_rows=10)
     assert sorted((r.prompt, r.response) for r in done.collect()) == sorted((p, p.upper()) for _, _, p in rows * 2)
     assert ledger.replies().count() == 40 and ledger.answer(asks.limit(0), upper, ["doc_id"]).count() == 0
+
+
+def test_calls_are_made_side_by_side_and_in_order(spark, server):
+    host, calls, failing, gauge = server
+    gauge["pause"] = 0.1
+    failing.add("7")
+    prompts = [None if i == 20 else f"p{i:02d}" for i in range(64)]
+    df = spark.createDataFrame(list(enumerate(prompts)), "i int, prompt string").coalesce(1)
+    asked = HttpResponder("m", host, in_flight=8)
+    asked.respond(df.limit(1)).collect()
+    calls.clear()
+    gauge["most"] = 0
+    began = time.time()
+    rows = asked.respond(df).collect()  # a sort would ask twice: it samples its input first
+    took = time.time() - began
+    assert [r.prompt for r in rows] == prompts and sorted(calls) == sorted(p for p in prompts if p)
+    assert all((r.response is None) == (r.prompt is None or "7" in r.prompt) and (r.response is None or r.prompt in r.response) for r in rows)
+    assert 2 < gauge["most"] <= 8 and took < 5  # 63 calls one by one take 6.3 seconds
+
+
+def test_each_host_has_its_own_places(server):
+    host, calls, _, gauge = server
+    gauge["pause"] = 0.05
+    both = HttpResponder("m", host, in_flight=1, more_hosts=(host.replace("127.0.0.1", "localhost"),))
+    assert [("p" in r) for r in both.ask_all(f"p{i}" for i in range(10))] == [True] * 10
+    assert gauge["most"] == 2 and len(calls) == 10
+    # A call that hangs holds back neither the other host nor what is already done.
+    slow = HttpResponder("m", "http://127.0.0.1:9", in_flight=1, more_hosts=(host,), timeout=1)
+    got = list(slow.ask_all(f"p{i}" for i in range(6)))
+    assert len(got) == 6 and any(got)
+
+
+def test_a_window_is_bounded():
+    from dialoom.operators.responders import in_order
+
+    taken = []
+
+    def items():
+        for i in range(100):
+            taken.append(i)
+            yield i
+
+    gate = threading.Event()
+    out = in_order(items(), lambda i: (gate.wait(5) if i == 0 else None, i)[1], 3)
+    threading.Timer(0.3, gate.set).start()
+    assert next(out) == 0 and len(taken) <= 12 and list(out) == list(range(1, 100))
