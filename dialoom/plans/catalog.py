@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import replies, text
 from dialoom.operators import pairs, segment, stats
+from dialoom.operators.ledger import Ledger
 from dialoom.operators.responders import ReplayResponder, RuleResponder, prompt_key
 from dialoom.plans import fixtures, pipeline
 from dialoom.plans.config import Config, load_config
 from dialoom.sources import documents, jsonl
+from dialoom.sources.paged import TextPages, paged_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,6 +202,41 @@ def llm_pipeline(spark, sf_dir):
     return pipeline.plan(fixtures.transcript_parts(spark, sf_dir), reply, config).records
 
 
+def resumed_run(spark, sf_dir):
+    """Records of a run that was cut off after one of its four chunks and called again."""
+    reply = RuleResponder(lambda p: F.to_json(F.array(F.struct(F.substring_index(p, "\n", -1).alias("question"), F.sha2(p, 256).alias("answer")))))
+    config, path = Config(max_block_size=600, min_block_size=100), _scratch(spark, "resumed")
+    parts = fixtures.transcript_parts(spark, sf_dir)
+    asks = pipeline.questions(pipeline.surviving_blocks(parts, config))
+    ledger = Ledger(spark, f"{path}/replies")
+    ledger.answer(asks, reply, ["doc_id", "block_idx"], chunk_rows=1, max_chunks=4, stop_after=1)
+    return pipeline.plan(parts, reply, config, path, resume=True).records
+
+
+def _paged(spark, sf_dir):
+    """The documents as text files of some hundred pages each, a page a document, read by page ranges."""
+    path = _scratch(spark, "paged")
+    docs = documents.table(spark, sf_dir, "documents").where("text is not null")
+    pages = docs.select(F.concat("text", F.lit("\f")).alias("value"), (F.col("doc_id") % 10).alias("file"), "doc_id")
+    pages.repartition(10, "file").sortWithinPartitions("file", "doc_id").select("value", "file").write.partitionBy("file").option("lineSep", "\n").text(path)
+    spark.dataSource.register(paged_source(TextPages, "paged_text"))
+    found = spark.read.format("paged_text").option("splitBytes", 65536).option("pathGlobFilter", "*.txt").load(path)
+    return found.withColumn("file", F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long"))
+
+
+def paged_files(spark, sf_dir):
+    blocks = _paged(spark, sf_dir)
+    # A page ends with a form feed, so what the writer puts after it leads the next page.
+    found = blocks.where("text <> ''")
+    return found.select("file", F.col("page_no").cast("long").alias("page_no"), "text", F.col("page_count").cast("long").alias("page_count"))
+
+
+def file_info(spark, sf_dir):
+    about = documents.file_info(_paged(spark, sf_dir))
+    file = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file")
+    return about.select(file, F.col("page_count").cast("long").alias("page_count"), "file_size", "is_encrypted", "is_pdf")
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
@@ -275,6 +312,7 @@ QUERIES: dict[str, Query] = {
     "text_quality": text_quality, "error_log": error_log, "success_log": success_log, "replay_pipeline": replay_pipeline, "llm_pipeline": llm_pipeline,
     "jsonl_roundtrip": jsonl_roundtrip, "jsonl_count": jsonl_count, "jsonl_items": jsonl_items,
     "layout_text": layout_text, "paragraph_split": paragraph_split, "jsonl_append": jsonl_append, "file_size": file_size, "config_layers": config_layers,
+    "resumed_run": resumed_run, "paged_files": paged_files, "file_info": file_info,
 }
 
 

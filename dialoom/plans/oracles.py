@@ -108,6 +108,11 @@ k AS (SELECT DISTINCT {_normal("block")} AS p FROM s WHERE (doc_id + block_idx)
 a AS (SELECT s.*, k.p IS NOT NULL AS known, substring(block, 1, 20) AS q0, substring(block, 21, 40) AS a0 FROM s LEFT JOIN k ON k.p = {_normal("block")})"""
 _DOCS = "SELECT DISTINCT conv_id AS doc_id FROM conversations"
 
+#: The chain with a reply for each prompt: its last line, and its digest.
+_RULED = f"""{_B2}, s AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS block_idx, {_lit(TEMPLATE)} || {_BREAK} || {_normal("block")} AS p FROM i),
+q AS (SELECT *, list_last(string_split(p, chr(10))) AS q0 FROM s)
+SELECT doc_id, block_idx, 0::BIGINT AS pair_idx, {_clean("q0", C.KNOWN_PREFIXES)} AS question, sha256(p) AS answer, block AS source_text FROM q WHERE {_strip("q0")} <> ''"""
+
 ORACLE_SQL: dict[str, str] = {
     "layout_paragraphs": f"WITH {_T1} SELECT doc_id, CAST(blk_no AS BIGINT) AS blk_no, text FROM t1 WHERE text <> ''",
     "document_text": f"WITH {_T1} SELECT doc_id, coalesce(string_agg(t1.text, {_BREAK} ORDER BY blk_no), '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT * FROM t1 WHERE text <> '') AS t1 USING (doc_id) GROUP BY doc_id",
@@ -120,9 +125,10 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS para_no
     "file_size": "SELECT CAST(sum(length(CAST(conv_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM conversations",
     "config_layers": f"""SELECT name, value FROM (VALUES ('max_block_size', '700'), ('min_block_size', '100'), ('extract_ratio', '0.25'), ('enable_qa_filter', 'True'), ('output_dir', 'yaml'), ('log_level', 'INFO'),
        ('known_prefixes', {_lit(",".join(C.KNOWN_PREFIXES))})) AS t(name, value)""",
-    "llm_pipeline": f"""{_B2}, s AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS block_idx, {_lit(TEMPLATE)} || {_BREAK} || {_normal("block")} AS p FROM i),
-q AS (SELECT *, list_last(string_split(p, chr(10))) AS q0 FROM s)
-SELECT doc_id, block_idx, 0::BIGINT AS pair_idx, {_clean("q0", C.KNOWN_PREFIXES)} AS question, sha256(p) AS answer, block AS source_text FROM q WHERE {_strip("q0")} <> ''""",
+    "llm_pipeline": _RULED, "resumed_run": _RULED,
+    "paged_files": r"""WITH d AS (SELECT doc_id % 10 AS file, text, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS page_no, count(*) OVER (PARTITION BY doc_id % 10) + 1 AS page_count FROM documents WHERE text IS NOT NULL)
+SELECT file, page_no, text, page_count FROM (SELECT file, page_no, page_count, unnest(string_split(text, chr(10))) AS text FROM d) WHERE text <> ''""",
+    "file_info": """SELECT doc_id % 10 AS file, count(*) + 1 AS page_count, CAST(sum(strlen(text) + 2) AS BIGINT) AS file_size, false AS is_encrypted, true AS is_pdf FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
     "document_info": f"WITH {_T1} SELECT doc_id, 1::BIGINT AS page_count, count(*) AS n_blocks, count(*) FILTER (text <> '') AS n_paragraphs, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM raw JOIN t1 USING (doc_id, blk_no) GROUP BY doc_id",
     "blocks_default": f"{_B1} SELECT * FROM b WHERE length(block) >= 100",
     "blocks_small": f"WITH RECURSIVE {_T1}, {_merge(_OF_T1, 300)} SELECT * FROM b WHERE length(block) >= 50",

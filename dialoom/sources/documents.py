@@ -116,5 +116,12 @@ def pdf_info(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
         "path", "page_count", "metadata", F.col("length").alias("file_size"), "is_encrypted", F.when(F.col("page_count").isNotNull(), True).alias("is_pdf"))
 
 
+def file_info(blocks: DataFrame) -> DataFrame:
+    """`pdf_info` of rows of the paged source, which carry their file's size: no second listing."""
+    facts = blocks.groupBy("path").agg(
+        F.max("page_count").alias("page_count"), F.any_value("metadata", ignoreNulls=F.lit(True)).alias("metadata"), F.max("file_size").alias("file_size"), F.bool_or("encrypted").alias("is_encrypted"))
+    return facts.withColumn("is_pdf", F.when(F.col("page_count").isNotNull(), True))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
