@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import replies, text
 from dialoom.operators import pairs, segment, stats
 from dialoom.operators.ledger import Ledger
+from dialoom.operators.long_blocks import long_blocks
 from dialoom.operators.responders import ReplayResponder, RuleResponder, prompt_key
 from dialoom.plans import fixtures, pipeline
 from dialoom.plans.config import Config, load_config
@@ -64,6 +65,12 @@ def blocks_dropped(spark, sf_dir):
     return _blocks(1500, 0)(spark, sf_dir).where(F.char_length("block") < 100)
 
 
+def blocks_long(spark, sf_dir):
+    """The same blocks from paragraph rows, a document dealt over segments of sixteen."""
+    paras = fixtures.line_parts(spark, sf_dir).select("doc_id", F.posexplode("parts").alias("para_no", "text"))
+    return long_blocks(paras, segment_rows=16)
+
+
 def normalize_markers(spark, sf_dir):
     padded = F.concat("para", F.lit("\n \n\t\n\n"), F.lit("阶段:"), "para")
     return fixtures.transcript(spark, sf_dir).select("doc_id", "turn", text.normalize_markers(padded).alias("text"))
@@ -304,7 +311,7 @@ def jsonl_items(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "layout_paragraphs": layout_paragraphs, "document_text": document_text, "page_text": page_text, "document_info": document_info,
-    "blocks_default": _blocks(1500, 100), "blocks_small": _blocks(300, 50), "blocks_interview": _blocks(2000, 50, True), "blocks_dropped": blocks_dropped,
+    "blocks_default": _blocks(1500, 100), "blocks_small": _blocks(300, 50), "blocks_interview": _blocks(2000, 50, True), "blocks_dropped": blocks_dropped, "blocks_long": blocks_long,
     "normalize_markers": normalize_markers, "has_qa": has_qa, "has_qa_parts": has_qa_parts, "sample_prefix": sample_prefix, "filter_then_sample": filter_then_sample,
     "prompts": prompts, "fenced_json": fenced_json, "brace_objects": brace_objects, "parsed_pairs": parsed_pairs, "strict_pairs": strict_pairs,
     "clean_known": _clean(), "clean_fallback": clean_fallback, "clean_custom": _clean(["张三", "投资者 甲"]),

@@ -131,6 +131,7 @@ SELECT file, page_no, text, page_count FROM (SELECT file, page_no, page_count, u
     "file_info": """SELECT doc_id % 10 AS file, count(*) + 1 AS page_count, CAST(sum(strlen(text) + 2) AS BIGINT) AS file_size, false AS is_encrypted, true AS is_pdf FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
     "document_info": f"WITH {_T1} SELECT doc_id, 1::BIGINT AS page_count, count(*) AS n_blocks, count(*) FILTER (text <> '') AS n_paragraphs, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM raw JOIN t1 USING (doc_id, blk_no) GROUP BY doc_id",
     "blocks_default": f"{_B1} SELECT * FROM b WHERE length(block) >= 100",
+    "blocks_long": f"{_B1} SELECT * FROM b WHERE length(block) >= 100",
     "blocks_small": f"WITH RECURSIVE {_T1}, {_merge(_OF_T1, 300)} SELECT * FROM b WHERE length(block) >= 50",
     "blocks_interview": f"WITH RECURSIVE {_T2}, {_merge(_OF_T2, 2000)} SELECT * FROM b WHERE length(block) >= 50",
     "blocks_dropped": f"{_B1} SELECT * FROM b WHERE length(block) < 100",
