@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from dialoom.functions.folds import emitted, let
 from dialoom.functions.text import strip
@@ -98,6 +99,14 @@ def parse(content: str) -> list[dict]:
     return [x for x in items if isinstance(x, dict)]
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def encodable(text: str) -> str:
+    """Halves of surrogate pairs, which no encoding can hold, as the replacement character."""
+    return _LONE.sub("\ufffd", text)
+
+
 def as_question(value) -> str:
     """Strings as they are, other values as Python writes them."""
     return str(value)
@@ -121,29 +130,41 @@ def parsed_pairs(parts: pd.Series) -> pd.Series:
     def one(row) -> list[dict] | None:
         if row is None:
             return None
-        return [{"question": as_question(x["question"]), "answer": as_text(x["answer"])} for part in row if part is not None for x in parse(part) if valid(x)]
+        return [{"question": encodable(as_question(x["question"])), "answer": encodable(as_text(x["answer"]))} for part in row if part is not None for x in parse(part) if valid(x)]
 
     return parts.map(one)
 
 
 def pairs_of(reply: Column) -> Column:
-    """Valid pairs of a reply; null for no reply."""
-    return F.when(reply.isNotNull(), parsed_pairs(fenced(reply)))
+    """Valid pairs of a reply; null for no reply. Strict replies don't go through Python: there their place is null."""
+    strict = strict_json(reply)
+    return F.when(strict, strict_pairs(reply)).when(reply.isNotNull(), parsed_pairs(F.when(~strict, fenced(reply))))
+
 
+#: Marks that stand for a question, an answer and a pair; JSON allows them nowhere.
+_Q, _A, _PAIR = "\x01", "\x02", "\x03"
+#: Longer replies are left to Python: parsers of this kind bound the length of a string.
+STRICT_CHARS = 10_000_000
 
-@F.pandas_udf(BooleanType())
-def whole_json(replies: pd.Series) -> pd.Series:
-    """Whether a reply is, as a whole, a JSON object with string fields or an array of such."""
 
-    def one(text: str | None) -> bool:
-        try:
-            value = json.loads(text or "")
-        except (ValueError, RecursionError):
-            return False
-        items = value if isinstance(value, list) else [value]
-        return all(isinstance(x, dict) and all(isinstance(x.get(k, ""), str) for k in ("question", "answer")) for x in items)
+def strict_json(content: Column) -> Column:
+    """Whether content is, as a whole, a JSON object of just a question and an answer, both strings, or an array of such.
 
-    return replies.map(one)
+    Told without parsing: escapes, then strings, then pairs are replaced by
+    one mark each; what is left must be a bare list of pairs. False for null,
+    and for some valid content (other fields, escaped surrogates).
+    """
+    text = strip(content)
+    bare = F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})', "x")
+    # Without escapes, each quote opens or closes a string, and a backslash left over is a bad escape.
+    field = lambda name: f'"{name}"[ \\t\\n\\r]*+:[ \\t\\n\\r]*+"[^"\\\\\\x00-\\x1f]*+"'
+    marked = F.regexp_replace(F.regexp_replace(bare, field("question"), _Q), field("answer"), _A)
+    pairs = F.regexp_replace(F.regexp_replace(marked, r"[ \t\n\r]+", ""), rf"\{{(?:{_Q},{_A}|{_A},{_Q})\}}", _PAIR)
+    # Possessive, so that long lists are matched in a loop.
+    listed = pairs.rlike(rf"\A(?:{_PAIR}|\[\]|\[{_PAIR}(?:,{_PAIR})*+\])\z")
+    # A fence within a string would be taken for the reply's own.
+    plain = ~text.rlike(f"[{_Q}{_A}{_PAIR}]|```json") & (F.char_length(text) <= STRICT_CHARS)
+    return F.coalesce(plain & listed, F.lit(False))
 
 
 def strict_pairs(content: Column) -> Column:

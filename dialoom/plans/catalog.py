@@ -17,6 +17,7 @@ from dialoom.plans import fixtures, pipeline
 from dialoom.plans.config import Config, load_config
 from dialoom.sources import documents, jsonl
 from dialoom.sources.paged import TextPages, paged_source
+from dialoom.streaming import blocks as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,7 +120,7 @@ def parsed_pairs(spark, sf_dir):
 
 
 def strict_pairs(spark, sf_dir):
-    sure = fixtures.responses(spark, sf_dir).where(replies.whole_json(F.col("response")))
+    sure = fixtures.responses(spark, sf_dir).where(replies.strict_json(F.col("response")))
     found = sure.select("doc_id", "block_idx", F.posexplode(replies.strict_pairs(F.col("response"))).alias("pair_idx", "p"))
     return found.select("doc_id", "block_idx", F.col("pair_idx").cast("long").alias("pair_idx"), "p.question", "p.answer")
 
@@ -174,6 +175,44 @@ def extraction_quality(spark, sf_dir):
     return _rounded(stats.extraction_quality(pairs.qa_records(_results(spark, sf_dir)), every))
 
 
+def _in_batches(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """What three batches of blocks leave, one after the other."""
+    path = _scratch(spark, name)
+    for k, own in enumerate(("block_idx % 3 = 0", "block_idx % 3 = 1", "block_idx % 3 = 2")):
+        made = stats.partial_stats(df.where(own)) if name == "stats" else stats.question_sets(df.where(own))
+        made.write.parquet(f"{path}/batch={k}")
+    return spark.read.parquet(path).drop("batch")
+
+
+def merged_stats(spark, sf_dir):
+    every = documents.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    found = stats.finished_stats(stats.merged_stats(_in_batches(_results(spark, sf_dir), spark, "stats")), every)
+    return _rounded(found.withColumns({c: F.col(c).cast("double") for c in found.columns if c.startswith(("min_", "max_"))}))
+
+
+def merged_quality(spark, sf_dir):
+    every = documents.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    results = _results(spark, sf_dir)
+    sums, sets = _in_batches(results, spark, "stats"), _in_batches(pairs.qa_records(results), spark, "questions")
+    return _rounded(stats.finished_quality(stats.merged_stats(sums), sets, every))
+
+
+def stream_pair_numbers(spark, sf_dir):
+    """Pairs that arrive in three micro-batches, in block order, numbered from a document's kept state."""
+    path, records = _scratch(spark, "stream"), pairs.qa_records(_results(spark, sf_dir)).select("doc_id", "block_idx", "pair_idx")
+    for own in ("block_idx < 3", "block_idx between 3 and 5", "block_idx > 5"):
+        records.where(own).write.mode("append").parquet(f"{path}/in")
+    before = spark.conf.get(streaming.STATE_STORE[0])
+    spark.conf.set(*streaming.STATE_STORE)
+    try:
+        arriving = spark.readStream.schema(records.schema).parquet(f"{path}/in")
+        sink = streaming.number_stream(arriving).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(streaming.STATE_STORE[0], before)
+    return spark.read.parquet(f"{path}/out")
+
+
 def text_quality(spark, sf_dir):
     # Three characters for each 30, 60 or 90 of the turn, so both verdicts occur at any length.
     mixed = F.concat(F.repeat(F.lit("中文字"), F.floor(F.char_length("para") / (30 * (F.col("turn") % 3 + 1))).cast("int")), "para")
@@ -320,6 +359,7 @@ QUERIES: dict[str, Query] = {
     "jsonl_roundtrip": jsonl_roundtrip, "jsonl_count": jsonl_count, "jsonl_items": jsonl_items,
     "layout_text": layout_text, "paragraph_split": paragraph_split, "jsonl_append": jsonl_append, "file_size": file_size, "config_layers": config_layers,
     "resumed_run": resumed_run, "paged_files": paged_files, "file_info": file_info,
+    "merged_stats": merged_stats, "merged_quality": merged_quality, "stream_pair_numbers": stream_pair_numbers,
 }
 
 

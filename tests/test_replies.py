@@ -1,9 +1,11 @@
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from dialoom.functions import replies
+from dialoom.functions.replies import as_question, as_text, pairs_of, parse, strict_json, strict_pairs, valid
 from dialoom.operators import pairs, stats
 
 OK = '{"question": "q", "answer": "a"}'
@@ -65,3 +67,48 @@ def test_strict_pairs_takes_replies_by_content(spark, monkeypatch):
     monkeypatch.setattr(catalog.fixtures, "responses", lambda spark, sf_dir: given)
     got = sorted((r.doc_id, r.pair_idx, r.question, r.answer) for r in catalog.strict_pairs(spark, "").collect())
     assert got == [(0, 0, "q", "a"), (8, 0, "q", "a"), (8, 1, "q", "a"), (56, 0, "q", "a")]
+
+
+def hostile(pick):
+    """A reply that is strict, nearly strict, or broken in one place."""
+    text = lambda: "".join(pick.choice(['a', '"', "\\", "é", "\n", "问", "{", "}", "[", "]", ",", ":", " ", " ", "question", "😀", "\x00", "\x01", "x" * 40]) for _ in range(pick.randint(0, 6)))
+    value = lambda: pick.choice([text(), text(), text(), text(), 7, None, True, [], {"question": "q"}, float("nan")]) if pick.random() < 0.3 else text()
+    item = lambda: dict(pick.sample([("question", value()), ("answer", value()), ("other", value())], k=pick.choice([2, 2, 2, 3, 1]))) if pick.random() < 0.3 else {"question": text(), "answer": text()}
+    shape = pick.choice([item(), [item() for _ in range(pick.randint(0, 4))], [item(), 7], []])
+    out = json.dumps(shape, ensure_ascii=pick.random() < 0.5, indent=pick.choice([None, None, 1]), separators=pick.choice([None, (",", ":"), (" , ", " : ")]))
+    for _ in range(pick.choice([0, 0, 0, 1, 2])):
+        at = pick.randint(0, len(out))
+        out = pick.choice([
+            out[:at] + pick.choice(['"', "\\", ",", "{", "}", "[", "]", "\t", "\x03", "\\u00e9", "\\ud800", "\\q", '"question":"x"', ",{}", "null", "﻿", "```json", "'"]) + out[at:],
+            out[:at] + out[at + 1 :], out[:at], out + out, " " + out + "　\n", '{"question": "a", "question": "b", "answer": "c"}', out + ",{}"])
+    return out
+
+
+def test_strict_replies_need_no_python(spark):
+    pick = random.Random(11)
+    replies = [hostile(pick) for _ in range(4000)] + [None, "", "[]", '{"question": "q", "answer": "a"}', '[{"question":"q","answer":"a"},]', '[,{"question":"q","answer":"a"}]', '[{"question":"q","answer":"a"}],{"question":"q","answer":"a"}', '[{"question":"q","answer":"a"}{"question":"q","answer":"a"}]', '{"question" "q":"x", "answer": "a"}']
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    plan = df.where(strict_json(F.col("reply"))).select(strict_pairs(F.col("reply")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+    both = df.select("i", strict_json(F.col("reply")).alias("strict"), strict_pairs(F.col("reply")).alias("fast"), pairs_of(F.col("reply")).alias("found")).collect()
+    sure = 0
+    for r in both:
+        reply = replies[r.i]
+        fences = re.findall(r"```json\s*(.*?)\s*```", reply or "", re.S) or [reply]
+        want = None if reply is None else [(as_question(x["question"]), as_text(x["answer"])) for part in fences for x in parse(part) if valid(x)]
+        got = None if r.found is None else [(p.question, p.answer) for p in r.found]
+        if want is not None:
+            want = [tuple(re.sub("[\ud800-\udfff]", "\ufffd", x) for x in p) for p in want]
+        assert got == want, reply
+        if r.strict:
+            sure += 1
+            assert [(p.question, p.answer) for p in r.fast] == want, reply
+            json.loads(reply.strip())
+    assert sure > 1000
+
+
+def test_long_strict_replies(spark):
+    many = json.dumps([{"question": "q\n" * 50, "answer": "a\\\"" * 20}] * 20_000)
+    one = json.dumps({"answer": "\téx" * 500_000, "question": "q"})
+    rows = spark.createDataFrame([(many,), (one,)], "reply string").select(strict_json(F.col("reply")), F.size(strict_pairs(F.col("reply")))).collect()
+    assert [tuple(r) for r in rows] == [(True, 20_000), (True, 1)]
