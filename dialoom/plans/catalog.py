@@ -44,10 +44,12 @@ def page_text(spark, sf_dir):
 
 
 def document_info(spark, sf_dir):
-    blocks = fixtures.layout(spark, sf_dir)
-    filled = text.flatten_lines(F.col("text")) != ""
-    return blocks.groupBy("doc_id").agg(
-        F.max("page_no").cast("long").alias("page_count"), F.count(F.lit(1)).alias("n_blocks"), F.count_if(filled).alias("n_paragraphs"), F.sum(F.char_length("text")).alias("n_chars"))
+    """Figures of documents by the library's own facts: pages, layout blocks, paragraphs and characters."""
+    blocks = fixtures.layout(spark, sf_dir).withColumn("page_count", F.lit(1))
+    facts = documents.document_facts(blocks).select("doc_id", F.col("pages").cast("long").alias("page_count"))
+    filled = documents.layout_paragraphs(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
+    sizes = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.char_length("text")).alias("n_chars"))
+    return facts.join(sizes, "doc_id").join(filled, "doc_id", "left").select("doc_id", "page_count", "n_blocks", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "n_chars")
 
 
 def _blocks(max_size: int, min_size: int, interview: bool = False) -> Query:
@@ -318,15 +320,17 @@ def file_size(spark, sf_dir):
 
 
 def config_layers(spark, sf_dir):
-    """Settings by name after a YAML file with an unknown key and two variables; the file is the driver's own."""
+    """Settings that suit the conversations, by name: sizes from their turns go to a YAML file, the share of answers to a variable; an unknown key is there, too."""
     import os
     import tempfile
 
+    turns = documents.table(spark, sf_dir, "conversations")
+    n = turns.agg(F.max(F.char_length("text")).alias("most"), F.count_distinct("conv_id").alias("chats"), F.count_if(F.col("role") == "assistant").alias("answers"), F.count(F.lit(1)).alias("turns")).first()
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "c.yaml")
         with open(path, "w", encoding="utf-8") as out:
-            out.write("max_block_size: 700\nunknown: 1\nextract_ratio: 0.5\noutput_dir: yaml\n")
-        merged = load_config(path, {"EXTRACT_RATIO": "0.25", "ENABLE_QA_FILTER": "Yes"})
+            out.write(f"max_block_size: {n['most']}\nunknown: 1\nextract_ratio: 0.5\noutput_dir: chats-{n['chats']}\n")
+        merged = load_config(path, {"EXTRACT_RATIO": str(n["answers"] * 100 // n["turns"] / 100), "ENABLE_QA_FILTER": "Yes"})
     names = ("max_block_size", "min_block_size", "extract_ratio", "enable_qa_filter", "output_dir", "log_level")
     return spark.createDataFrame([(n, str(getattr(merged, n))) for n in names] + [("known_prefixes", ",".join(merged.known_prefixes))], "name string, value string")
 
@@ -344,6 +348,13 @@ def jsonl_count(spark, sf_dir):
     return jsonl.lines(spark, _lines(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def jsonl_observed(spark, sf_dir):
+    """Lines, blank and bad ones, and the rows of the same pass over the file."""
+    rows, counts = jsonl.load_whole(spark, _lines(spark, sf_dir), "question string")
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid"), F.count("item").alias("items"))
+    return one.select(*[F.lit(counts[c]).cast("long").alias(c) for c in ("lines", "blank", "bad")], "rows", "valid", "items")
+
+
 def jsonl_items(spark, sf_dir):
     return jsonl.load(spark, _lines(spark, sf_dir)).select("value", "valid", F.col("item.question").alias("question"))
 
@@ -358,7 +369,7 @@ QUERIES: dict[str, Query] = {
     "text_quality": text_quality, "error_log": error_log, "success_log": success_log, "replay_pipeline": replay_pipeline, "llm_pipeline": llm_pipeline,
     "jsonl_roundtrip": jsonl_roundtrip, "jsonl_count": jsonl_count, "jsonl_items": jsonl_items,
     "layout_text": layout_text, "paragraph_split": paragraph_split, "jsonl_append": jsonl_append, "file_size": file_size, "config_layers": config_layers,
-    "resumed_run": resumed_run, "paged_files": paged_files, "file_info": file_info,
+    "jsonl_observed": jsonl_observed, "resumed_run": resumed_run, "paged_files": paged_files, "file_info": file_info,
     "merged_stats": merged_stats, "merged_quality": merged_quality, "stream_pair_numbers": stream_pair_numbers,
 }
 

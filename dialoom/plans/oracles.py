@@ -123,8 +123,9 @@ c AS (SELECT doc_id, k, {_strip("p")} AS text FROM u)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS para_no, text FROM c WHERE text <> ''""",
     "jsonl_append": f"WITH {_RESULTS} SELECT doc_id, question, answer FROM rec",
     "file_size": "SELECT CAST(sum(length(CAST(conv_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM conversations",
-    "config_layers": f"""SELECT name, value FROM (VALUES ('max_block_size', '700'), ('min_block_size', '100'), ('extract_ratio', '0.25'), ('enable_qa_filter', 'True'), ('output_dir', 'yaml'), ('log_level', 'INFO'),
-       ('known_prefixes', {_lit(",".join(C.KNOWN_PREFIXES))})) AS t(name, value)""",
+    "config_layers": f"""WITH n AS (SELECT max(length(text)) AS most, count(DISTINCT conv_id) AS chats, count(*) FILTER (role = 'assistant') AS answers, count(*) AS turns FROM conversations)
+SELECT unnest(['max_block_size', 'min_block_size', 'extract_ratio', 'enable_qa_filter', 'output_dir', 'log_level', 'known_prefixes']) AS name,
+       unnest([CAST(most AS VARCHAR), '100', CAST((answers * 100 // turns) / 100 AS VARCHAR), 'True', 'chats-' || chats, 'INFO', {_lit(",".join(C.KNOWN_PREFIXES))}]) AS value FROM n""",
     "llm_pipeline": _RULED, "resumed_run": _RULED,
     "paged_files": r"""WITH d AS (SELECT doc_id % 10 AS file, text, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS page_no, count(*) OVER (PARTITION BY doc_id % 10) + 1 AS page_count FROM documents WHERE text IS NOT NULL)
 SELECT file, page_no, text, page_count FROM (SELECT file, page_no, page_count, unnest(string_split(text, chr(10))) AS text FROM d) WHERE text <> ''""",
@@ -180,6 +181,8 @@ SELECT doc_id, block_idx, good AS success, CASE WHEN NOT known THEN 'LLM call fa
        CASE WHEN good THEN {_clean("('问：' || q0)", C.KNOWN_PREFIXES)} END AS question, CASE WHEN good THEN a0 END AS answer FROM ok""",
     "jsonl_roundtrip": f"WITH {_RESULTS} SELECT question, answer, source_text FROM rec",
     "jsonl_count": "SELECT count(*) AS n FROM conversations WHERE turn % 5 <> 0",
+    "jsonl_observed": """SELECT count(*) AS lines, count(*) FILTER (s = 0) AS blank, count(*) FILTER (s = 1) AS bad, count(*) FILTER (s > 0) AS rows, count(*) FILTER (s > 1) AS valid, count(*) FILTER (s = 4) AS items
+FROM (SELECT turn % 5 AS s FROM conversations)""",
     "jsonl_items": """WITH j AS (SELECT turn % 5 AS s, text, CAST(to_json({'question': text}) AS VARCHAR) AS o FROM conversations WHERE turn % 5 <> 0)
 SELECT CASE s WHEN 1 THEN 'not json' WHEN 2 THEN '7' WHEN 3 THEN '[' || o || ']' ELSE o END AS value, s <> 1 AS valid, CASE WHEN s = 4 THEN text END AS question FROM j""",
     "page_text": "SELECT doc_id, 1::BIGINT AS page_no, replace(text, chr(10), '') AS page_text FROM documents WHERE text IS NOT NULL",

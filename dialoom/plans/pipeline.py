@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ class Run:
     results: DataFrame
     records: DataFrame
     stats: DataFrame
+    config_used: dict[str, object] = field(default_factory=dict)
+
+
+#: Settings that a run's figures echo.
+ECHOED = ("model_name", "max_block_size", "min_block_size", "extract_ratio", "enable_qa_filter", "temperature")
 
 
 def questions(blocks: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def plan(
         results = results_of(asked)
         results.write.mode("overwrite").parquet(f"{path}/results")
         results = results.sparkSession.read.schema(results.schema).parquet(f"{path}/results")
-    return Run(results, pairs.qa_records(results), stats.run_stats(results, parts.select("doc_id") if documents is None else documents))
+    return Run(results, pairs.qa_records(results), stats.run_stats(results, parts.select("doc_id") if documents is None else documents), {k: getattr(config, k) for k in ECHOED})
 
 
 def process(spark: SparkSession, blocks: DataFrame, responder, config: Config, *, resume: bool = False, retry_failed: bool = False, chunk_rows: int = 5000) -> Run:

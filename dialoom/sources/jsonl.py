@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from dialoom.functions.text import strip
+from dialoom.plans.logs import logger
 
 _LINES = StructType([StructField("value", StringType())])
 
@@ -92,22 +93,58 @@ def _is_json(text: pd.Series) -> pd.Series:
             return False
         return True
 
-    return text.map(one)
+    return text.map(lambda x: None if x is None else one(x))
 
 
-def load(spark: SparkSession, path: str, schema: str = "question string, answer string, source_text string") -> DataFrame:
+PAIR_FIELDS = "question string, answer string, source_text string"
+
+
+def observed(spark: SparkSession, path: str, schema: str = PAIR_FIELDS, *, keep: bool = False) -> tuple[DataFrame, Observation]:
+    """Rows as `load` gives them, and counts of the same pass: `lines`, `blank` and `bad` ones.
+
+    The counts are there once an action has read the rows. A file that can't
+    be read to its end fails the action, or with `keep` gives the rows before.
+    """
+    counts = Observation()
+    found = [F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value") == "").alias("blank"), F.count_if((F.col("value") != "") & ~F.col("valid")).alias("bad")]
+    if exists(spark, path):
+        read = spark.read.option("ignoreCorruptFiles", keep).text(path).select(strip(F.col("value")).alias("value"))
+    else:
+        read = spark.createDataFrame([], _LINES)
+    # Blank lines aren't handed to Python; a line is tested once, for its row and for the counts.
+    tested = read.withColumn("valid", F.coalesce(_is_json(F.when(F.col("value") != "", F.col("value"))), F.lit(False))).observe(counts, *found)
+    rows = tested.where("value <> ''")
+    return rows.withColumn("item", F.when(F.col("valid") & F.col("value").startswith("{"), F.from_json("value", schema))), counts
+
+
+def load(spark: SparkSession, path: str, schema: str = PAIR_FIELDS) -> DataFrame:
     """Rows (value, valid, item): the line, whether it is JSON, and its fields where it is an object.
 
     Other values than objects keep their line and have no item; bad lines are
     rows that aren't valid, for the reader to count or drop.
     """
-    read = lines(spark, path).withColumn("valid", _is_json("value").cast("boolean"))
-    return read.withColumn("item", F.when(F.col("valid") & F.col("value").startswith("{"), F.from_json("value", schema)))
+    return observed(spark, path, schema)[0]
+
+
+def load_whole(spark: SparkSession, path: str, schema: str = PAIR_FIELDS) -> tuple[DataFrame, dict[str, int]]:
+    """Rows and counts in one job, all or none: no rows, and zeros, if a file can't be read to its end.
+
+    The rows are kept by the executors until they are unpersisted.
+    """
+    rows, counts = observed(spark, path, schema)
+    kept = rows.persist()
+    try:
+        kept.count()
+    except Exception as e:  # an unreadable file is an empty load, as a missing one is
+        kept.unpersist()
+        logger().error("cannot load %s: %s", path, e)
+        return spark.createDataFrame([], rows.schema), {"lines": 0, "blank": 0, "bad": 0}
+    return kept, dict(counts.get)
 
 
 def iterate(spark: SparkSession, path: str) -> Iterator[object]:
-    """Values of the valid lines, a partition at a time on the driver."""
-    for row in load(spark, path).where("valid").select("value").toLocalIterator():
+    """Values of the valid lines, a partition at a time on the driver; of a file that can't be read to its end, those before that."""
+    for row in observed(spark, path, keep=True)[0].where("valid").select("value").toLocalIterator():
         yield json.loads(row["value"])
 
 

@@ -207,3 +207,38 @@ def test_examples():
     assert all(c.pdf_filename == "x.pdf" for c in made.values())
     assert (made["basic"].extract_ratio, made["file"].enable_qa_filter, made["custom"].max_block_size, len(made["custom"].known_prefixes)) == (0.1, True, 2000, 15)
     assert example.run(Config(ollama_host="http://127.0.0.1:9")) == 1
+
+
+def test_a_file_that_breaks_off(spark, tmp_path):
+    import gzip
+
+    text = "".join(f'{{"question": "q{i}"}}\n' + ("\n" if i % 100 == 0 else "bad\n" if i % 100 == 1 else "") for i in range(20_000))
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "cut").mkdir()
+    packed = gzip.compress(text.encode())
+    (tmp_path / "whole" / "a.jsonl.gz").write_bytes(packed)
+    (tmp_path / "cut" / "a.jsonl.gz").write_bytes(packed[: len(packed) // 2])
+    rows, counts = jsonl.load_whole(spark, str(tmp_path / "whole"))
+    assert counts == {"lines": 20_400, "blank": 200, "bad": 200} and rows.count() == 20_200 and rows.where("valid").count() == 20_000
+    rows.unpersist()
+    none, zeros = jsonl.load_whole(spark, str(tmp_path / "cut"))
+    assert none.count() == 0 and set(zeros.values()) == {0} and none.columns == rows.columns
+    some = [x["question"] for x in jsonl.iterate(spark, str(tmp_path / "cut"))]
+    assert some == [f"q{i}" for i in range(len(some))] and 0 < len(some) < 20_000
+    assert jsonl.load_whole(spark, str(tmp_path / "missing"))[0].count() == 0
+
+
+def test_logs_are_in_order_over_files(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("doc_id"), F.lit("e").alias("error")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    jsonl.save_log(rows, str(tmp_path / "log"), "BLOCK", "ERROR", order=["doc_id"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "log").glob("part-*"))
+    lines = [x for f in files for x in f.read_text(encoding="utf-8").splitlines()]
+    assert len(files) > 1 and [x for x in lines if x.startswith("doc_id")] == [f"doc_id: {i}" for i in range(5000)]
+    assert lines[0].endswith("ERROR - BLOCK_START") and lines[3] == "BLOCK_END" and len(lines) == 20_000
+
+
+def test_settings_are_echoed(spark):
+    run = pipeline.plan(parts(spark), RuleResponder(lambda p: F.lit(None).cast("string")), Config(max_block_size=7, model_name="m"))
+    assert run.config_used == {"model_name": "m", "max_block_size": 7, "min_block_size": 100, "extract_ratio": 1.0, "enable_qa_filter": False, "temperature": 0.1}
