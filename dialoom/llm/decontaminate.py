@@ -250,11 +250,13 @@ def match_items(docs: DataFrame, items: DataFrame, *, name: str = "matched", tex
 
     Null and wordless texts match nothing. Items without a word are left out;
     an item's null id is the empty string; rows that repeat an item count as
-    one. Other columns stay as they are; `name` must be free. Items of up to
+    one. Other columns stay as they are; if `name` is taken, the new column
+    has underscores before it. Items of up to
     `shard_chars` characters make one broadcast automaton; a larger benchmark
     is dealt by a hash of its text into automata of that size, one pass each,
     whose spans and items are united.
     """
+    name = free_name(docs, name)
     chosen, shards = _chosen(items, item_id, item_text, shard_chars)
     if shards == 1:
         return _one_pass(docs, text_col, name, [tuple(r) for r in chosen.collect()], window)
@@ -319,6 +321,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents; null texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = match_items(docs, table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("matched.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

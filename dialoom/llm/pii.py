@@ -134,9 +134,10 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", name: str = "pii", thre
     """`docs` with column `name`: array of (kind, start, end, score), code points, end exclusive.
 
     Null and empty texts have no spans. Spans of different kinds may overlap.
-    Each row stands alone: repeated rows repeat their spans, other columns stay.
+    Each row stands alone: repeated rows repeat their spans, other columns
+    stay. If `name` is taken, the new column has underscores before it.
     """
-    place = docs.columns.index(text_col)
+    place, name = docs.columns.index(text_col), free_name(docs, name)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def compute():
@@ -149,7 +150,11 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", name: str = "pii", thre
 
 
 def mask_pii(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.6) -> DataFrame:
-    """`docs` with each reported span replaced by its kind in brackets; overlapping spans become one."""
+    """`docs` with each reported span replaced by its kind in brackets; overlapping spans become one.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike, and
+    all other columns stay, whatever their names. No rows give no rows.
+    """
     place, made = docs.columns.index(text_col), free_name(docs, "masked")
 
     def masked(text: str | None) -> str | None:
@@ -171,6 +176,7 @@ def _joined(spans) -> F.Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents, counted by kind and digested; null texts have none."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in BASE]

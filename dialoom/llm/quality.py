@@ -98,24 +98,28 @@ def host_verdicts(failures: DataFrame, limits: dict[str, float] = RULES) -> Data
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep` of `docs` with struct `m` of measures, `base_failed` and `kept`.
+    """Columns `keep` of `docs` with struct `m` of measures, `base_failed` and `kept`; of these, one whose name is among `keep` has underscores before it.
 
     Null and wordless texts have no words and fail. The null host is a host.
     Repeated rows count as often as they stand. Documents of hot hosts are
     counted before they meet; the join back splits hot hosts at run time.
     """
-    host = free_name(docs, "host")
-    narrow = materialize(docs.select(*keep, F.col(f"`{host_col}`").alias(host), measures(F.col(f"`{text_col}`")).alias("m")), "quality")
-    failed = rule_failures(F.col("m"))
+    own = docs.select(*[F.col(f"`{c}`") for c in keep])
+    host, m, base_failed, kept = (free_name(own, x) for x in ("host", "m", "base_failed", "kept"))
+    keep_cols = [F.col(f"`{c}`") for c in keep]
+    narrow = materialize(docs.select(*keep_cols, F.col(f"`{host_col}`").alias(host), measures(F.col(f"`{text_col}`")).alias(m)), "quality")
+    failed = rule_failures(F.col(m))
     verdicts = host_verdicts(narrow.select(F.col(host).alias("host"), *[c.alias(r) for r, c in failed.items()]))
-    bad = verdicts.where("rejected").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    base = F.col("m.n_words").isNull() | failed["short"] | failed["repetitive"]
+    side = free_name(narrow, "bad_host")
+    bad = verdicts.where("rejected").select(F.struct("host").alias(side))
+    base = F.col(f"{m}.n_words").isNull() | failed["short"] | failed["repetitive"]
     return (
-        narrow.join(bad, F.col(host).eqNullSafe(F.col("bad_host")), "left")
-        .select(*keep, "m", base.alias("base_failed"), (~base & ~failed["symbols"] & ~failed["dup_lines"] & F.col("bad").isNull()).alias("kept"))
+        narrow.join(bad, F.col(host).eqNullSafe(F.col(f"{side}.host")), "left")
+        .select(*keep_cols, m, base.alias(base_failed), (~base & ~failed["symbols"] & ~failed["dup_lines"] & F.col(side).isNull()).alias(kept))
     )
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents; null texts have no words."""
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", F.col("m.lines.dup").alias("n_dup_lines"), "m.n_repeat_words", "base_failed", "kept")

@@ -140,7 +140,11 @@ def _log_odds(counts: dict[bytes, tuple[int, int]], prior: float) -> dict[bytes,
 
 
 def _gumbel(best: np.ndarray, size: np.ndarray) -> tuple[float, float]:
-    """Rate and log K of the law of best segments, by moments, lengths taken out."""
+    """Rate and log K of the law of best segments, by moments, lengths taken out.
+
+    Fewer than thirty ordinary texts, or such that are all alike, have no
+    moments worth the name: for them a rate of 1 and a log K of 0 stand.
+    """
     if len(best) < 30 or best.std() == 0:
         return 1.0, 0.0
     rate = 1.0
@@ -235,10 +239,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     """`docs` with struct `name`: score (0 to 1) and passages (start, end in words, beyond).
 
     Null and empty texts have no passage and the least score. Only the text is
-    read; other columns stay as they are; repeated rows get equal scores.
+    read; other columns stay as they are; repeated rows get equal scores. If
+    `name` is taken, the new column has underscores before it.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place, name = docs.columns.index(text_col), free_name(docs, name)
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("beyond", pa.float64())])))])
 
     def compute():
@@ -269,6 +274,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", th
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score(docs, train_model(docs, table(spark, sf_dir, "labels")))
     value = F.col("toxicity.score")
