@@ -20,10 +20,10 @@ that if more than a fifth of its weight is in shingles that no candidate of
 another class has, and a pair if what its texts can share is too little: both
 are exact bounds. So a group of n copies takes n steps.
 
-What can be lost is lost by sampling, with known odds. At similarity 0.8 a pair
-shares no bucket in (1 - 0.8**3)**12 = 0.00018 of cases, and in 0.00001 its
-sketches agree in fewer than `LEAST_AGREE` of their samples, in which case it
-isn't verified; `least_agree=0` verifies every pair that would be.
+What can be lost is lost by sampling, with known odds: at similarity 0.8 a pair
+shares no bucket in (1 - 0.8**3)**12 = 0.00018 of cases. Within buckets, pairs
+are left out by bounds that hold for all pairs: of what they can share, and of
+their weights, as similarity is no more than the lesser over the greater.
 """
 
 from __future__ import annotations
@@ -44,9 +44,6 @@ SIZE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 3
 COMMON = 0.01
-#: Sketches that agree in a smaller share of their samples aren't verified: four
-#: and a half standard deviations below what similarity 0.8 makes one expect.
-LEAST_AGREE = 0.5
 #: Members of a block of a bucket, and blocks of either side that one task compares.
 BLOCK, TILE = 256, 16
 #: Members of a bucket that meet its one row in a task; a larger bucket is dealt over several.
@@ -261,12 +258,12 @@ def common_shingles(docs: DataFrame, text_col: str, n_docs: int) -> tuple[list[t
 # ---------------------------------------------------------- signatures
 
 
-SIGNED = "doc_id long, text_key long, node binary, bands array<long>, sketch array<int>"
+SIGNED = "doc_id long, text_key long, node binary, bands array<long>, weight double"
 
 
 def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text_key, node, bands, sketch); a text without words has node null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+    """Rows (doc_id, text_key, node, bands, weight); a text without words has node null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), weights.value
@@ -274,7 +271,7 @@ def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFram
             texts = [folded(t or "") for t in batch.column(2).to_pylist()]
             nodes = [node_of(w) if (w := t.split()) else None for t in texts]
             sets = [s for s in shingle_sets(texts) if len(s[0])]
-            bands, sketches = [], []
+            bands, totals = [], []
             at = 0
             while at < len(sets):
                 end, size = at, 0
@@ -282,19 +279,20 @@ def signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFram
                     size += len(sets[end][0])
                     end += 1
                 flat, counts = (np.concatenate(x) for x in zip(*sets[at:end], strict=True))
-                got = sampler.sketch(flat, idf.of(flat, counts), np.array([len(s[0]) for s in sets[at:end]]))
+                weighed, sizes = idf.of(flat, counts), np.array([len(s[0]) for s in sets[at:end]])
+                got = sampler.sketch(flat, weighed, sizes)
                 rows = got.reshape(len(got), BANDS, ROWS)
                 key = np.zeros(rows.shape[:2], np.uint64)
                 for k in range(ROWS):
                     key = _mixed(key + rows[:, :, k] * _ODD[8 + k])
                 key += np.arange(BANDS, dtype=np.uint64) * _ODD[20]
                 bands += key.view(np.int64).tolist()
-                sketches += (got & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()
+                totals += np.add.reduceat(weighed, np.cumsum(sizes) - sizes).tolist()
                 at = end
-            whole = iter(zip(bands, sketches, strict=True))
+            whole = iter(zip(bands, totals, strict=True))
             pairs = [next(whole) if n is not None else (None, None) for n in nodes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array([p[0] for p in pairs], schema.field(3).type), pa.array([p[1] for p in pairs], schema.field(4).type)], schema=schema)
-            del texts, sets, bands, sketches, whole, pairs, batch
+            del texts, sets, bands, totals, whole, pairs, batch
         tidy()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -402,14 +400,6 @@ def components(links: DataFrame) -> DataFrame:
             return out
 
 
-def similar_sketches(pairs: DataFrame, nodes: DataFrame, least_agree: float) -> DataFrame:
-    """Those of pairs (a, b) whose sketches may be of similar texts."""
-    sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    same = F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x)
-    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(F.size(same) >= int(least_agree * BANDS * ROWS))
-    return materialize(both.select("a", "b"), "dedup-pairs")
-
-
 def sliced_join(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """Bucket members (key, node, n, ...) with their bucket's row (key, n, ...), which is repeated for each slice of a large bucket."""
     slices = F.ceil(F.col("n") / SLICE).cast("int")
@@ -418,21 +408,22 @@ def sliced_join(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return own.join(many, ["key", "slice"]).drop("slice")
 
 
-def leader_pairs(bucketed: DataFrame, nodes: DataFrame, least_agree: float) -> DataFrame:
-    """Each bucket's members with its leader, as far as their sketches may be of similar texts."""
+def leader_pairs(bucketed: DataFrame, similar: float) -> DataFrame:
+    """Each bucket's members with its leader, as far as their weights may be of similar texts."""
     company = bucketed.groupBy("node").agg(F.sum("n").alias("company"))
-    best = bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"), F.max("n").alias("n"))
-    leaders = materialize(best.select("key", "n", F.col("top.node").alias("leader")), "dedup-leaders")
-    pairs = sliced_join(bucketed, leaders).select(F.col("node").alias("a"), F.col("leader").alias("b")).where(F.col("a") != F.col("b"))
-    found = similar_sketches(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, least_agree)
+    best = bucketed.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node", "weight")).alias("top"), F.max("n").alias("n"))
+    leaders = materialize(best.select("key", "n", F.col("top.node").alias("leader"), F.col("top.weight").alias("most")), "dedup-leaders")
+    able = F.least("weight", "most") >= (similar - SLACK) * F.greatest("weight", "most")
+    pairs = sliced_join(bucketed, leaders).where(able & (F.col("node") != F.col("leader")))
+    found = materialize(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "dedup-pairs")
     discard(leaders)
     return found
 
 
 def mixed_members(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, node, n, label, n_outside, outside) of buckets that hold several classes; outside: not of the largest."""
+    """Rows (key, node, n, weight, label, n_outside, outside) of buckets that hold several classes; outside: not of the largest."""
     label = F.coalesce(F.col("label"), F.col("node"))
-    placed = bucketed.join(labels, "node", "left").select("key", "node", "n", label.alias("label"))
+    placed = bucketed.join(labels, "node", "left").select("key", "node", "n", "weight", label.alias("label"))
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.max("n").alias("n")).where("classes > 1")
     mixed = materialize(mixed.select("key", "n", F.col("main.label").alias("main"), (F.col("n") - F.col("main.m")).alias("n_outside")), "dedup-main")
@@ -469,14 +460,14 @@ def reach(texts: DataFrame, weights, similar: float) -> DataFrame:
     return able
 
 
-def closest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float, least_agree: float) -> DataFrame:
+def closest_pairs(members: DataFrame, reached: DataFrame, done: DataFrame, similar: float) -> DataFrame:
     """Members outside their bucket's main class, each with the one in it that has least of its own."""
     near = members.join(reached, "node")
     top = materialize(near.where("not outside").groupBy("key").agg(F.max(F.struct(F.col("s") / F.col("w"), "node", "w", "s")).alias("top"), F.max("n").alias("n")), "dedup-top")
     most = F.least("s", "top.s")
     pairs = sliced_join(near.where("outside"), top).where(most >= (similar - SLACK) * (F.col("w") + F.col("top.w") - most))
     ordered = pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
-    found = similar_sketches(ordered.join(done, ["a", "b"], "left_anti"), nodes, least_agree)
+    found = materialize(ordered.join(done, ["a", "b"], "left_anti"), "dedup-pairs")
     discard(top)
     return found
 
@@ -487,8 +478,8 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     Both sides of a bucket are dealt by tiles of TILE blocks, so a task gets
     TILE * TILE pairs of blocks at once, whatever the bucket.
     """
-    ready = materialize(members.join(nodes.select("node", "sketch", "bands"), "node"), "dedup-members")
-    row = F.collect_list(F.struct("node", "label", "sketch", "bands", "w", "s", "outside"))
+    ready = materialize(members.join(nodes.select("node", "bands"), "node"), "dedup-members")
+    row = F.collect_list(F.struct("node", "label", "bands", "w", "s", "outside"))
 
     def blocks(some: DataFrame, name: str, own: str, other_name: str, other: str) -> DataFrame:
         placed = some.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col(own) / BLOCK)).cast("int"))
@@ -501,17 +492,16 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("key", "out", "all")
 
 
-def _compared(batches: Iterator[pa.RecordBatch], similar: float, least_agree: float) -> Iterator[tuple[dict, dict]]:
+def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[tuple[dict, dict]]:
     """Pairs of members of different classes that may be similar, each in the first bucket they share."""
-    least = int(least_agree * BANDS * ROWS)
     for batch in batches:
         for key, out, every in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            sketch, bands = np.array([m["sketch"] for m in every], np.int32), np.array([m["bands"] for m in every], np.int64)
+            bands = np.array([m["bands"] for m in every], np.int64)
             w, s = (np.array([m[k] for m in every]) for k in "ws")
             for m in out:
                 most = np.minimum(s, m["s"])
                 same = bands == np.array(m["bands"], np.int64)
-                may = (most >= (similar - SLACK) * (w + m["w"] - most)) & ((sketch == np.array(m["sketch"], np.int32)).sum(axis=1) >= least)
+                may = most >= (similar - SLACK) * (w + m["w"] - most)
                 may &= bands[np.arange(len(bands)), same.argmax(axis=1)] == key
                 for j in np.flatnonzero(may):
                     x = every[j]
@@ -520,23 +510,23 @@ def _compared(batches: Iterator[pa.RecordBatch], similar: float, least_agree: fl
                         yield m, x
 
 
-def possible_nodes(members: DataFrame, nodes: DataFrame, similar: float, least_agree: float) -> DataFrame:
-    """Members of which the sketch may be similar to that of another class's member in a bucket."""
+def possible_nodes(members: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """Members of which the weight lets them be similar to another class's member in a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[bytes] = set()
-        for m, x in _compared(batches, similar, least_agree):
+        for m, x in _compared(batches, similar):
             found |= {m["node"], x["node"]}
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
                 found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
 
-    open_ = members.withColumns({"w": F.lit(1.0), "s": F.lit(1.0)})
+    open_ = members.withColumns({"w": F.col("weight"), "s": F.col("weight")})
     return materialize(_blocks(open_, nodes).mapInArrow(run, "node binary").distinct(), "dedup-possible", 16)
 
 
-def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float, least_agree: float) -> DataFrame:
+def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: DataFrame, similar: float) -> DataFrame:
     """Pairs of different classes that share a bucket and may be similar; those in `done` left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,7 +535,7 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: D
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-        for m, x in _compared(batches, similar, least_agree):
+        for m, x in _compared(batches, similar):
             pairs.append(sorted((m["node"], x["node"])))
             if len(pairs) == 50_000:
                 yield out()
@@ -556,7 +546,7 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, reached: DataFrame, done: D
     return materialize(found.join(done, ["a", "b"], "left_anti"), "dedup-rest", 16)
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_agree: float = LEAST_AGREE) -> DataFrame:
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """Rows (doc_id, text_key, class_id, alone, class), one for each of `docs`, written; class_id is the class's least doc_id.
 
     Only `class` tells classes apart: with null or repeated ids, several may
@@ -569,22 +559,22 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     weights = spark.sparkContext.broadcast(Weights(*common_shingles(docs, text_col, n_docs)))
     signed = signatures(docs, weights, id_col, text_col)
     some = F.min(F.struct("doc_id", "text_key"))
-    nodes = signed.where("node is not null").groupBy("node").agg(some.alias("at"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    nodes = materialize(nodes.select("node", "at.doc_id", "at.text_key", "bands", "sketch"), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = signed.where("node is not null").groupBy("node").agg(some.alias("at"), F.any_value("bands").alias("bands"), F.any_value("weight").alias("weight"))
+    nodes = materialize(nodes.select("node", "at.doc_id", "at.text_key", "bands", "weight"), "nodes")
+    rows = nodes.select("node", "weight", F.explode("bands").alias("key"))
     shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-shared")
     bucketed = materialize(in_map(rows, F.col("key"), shared, "may").where("may").drop("may").join(shared, "key"), "buckets")
-    pairs = leader_pairs(bucketed, nodes, least_agree)
+    pairs = leader_pairs(bucketed, similar)
     links = verified(pairs, nodes, docs, weights, id_col, text_col, similar)
     labels = components(links)
     members = mixed_members(bucketed, labels)
-    possible = possible_nodes(members, nodes, similar, least_agree)
+    possible = possible_nodes(members, nodes, similar)
     classed = possible.join(labels, "node", "left").select("node", F.xxhash64(F.coalesce("label", "node")).alias("of"))
     texts = texts_of(classed, nodes, docs, id_col, text_col)
     reached = reach(texts, weights, similar)
     discard(shared, possible, texts)
     used = [signed, nodes, bucketed, pairs, links, labels, members, reached]
-    second = closest_pairs(members, nodes, reached, pairs, similar, least_agree)
+    second = closest_pairs(members, reached, pairs, similar)
     more = verified(second, nodes, docs, weights, id_col, text_col, similar)
     used += [second, more]
     if more.take(1):
@@ -592,7 +582,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
         members = mixed_members(bucketed, labels)
         used += [labels, members]
-    rest = rest_pairs(members, nodes, reached, pairs, similar, least_agree)
+    rest = rest_pairs(members, nodes, reached, pairs, similar)
     more = verified(rest, nodes, docs, weights, id_col, text_col, similar)
     used += [rest, more]
     if more.take(1):
@@ -607,13 +597,13 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return found
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_agree: float = LEAST_AGREE) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """`docs` with one document of each class: that of the least id, then text hash.
 
     Null, empty and wordless texts all stay; of repeated rows one stays. All
     columns are returned, whatever their names. An empty table stays empty.
     """
-    found = near_classes(docs, id_col=id_col, text_col=text_col, similar=similar, least_agree=least_agree)
+    found = near_classes(docs, id_col=id_col, text_col=text_col, similar=similar)
     each = found.where("not alone").groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     first = materialize(each.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("class", "first"), "dedup-first")
     key = _key(F.col("doc_id"), F.col("text_key")).alias("key")

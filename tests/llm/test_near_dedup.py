@@ -72,7 +72,7 @@ def test_buckets_dealt_over_many_tasks_give_the_same_classes(spark, monkeypatch)
     # Shared halves bring texts of many classes into common buckets.
     texts = corpus(4, 6, 30) + corpus(5, 6, 30)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in nd.near_classes(docs, least_agree=0.0).collect()}
+    got = {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
@@ -173,7 +173,7 @@ def test_long_texts_give_few_common_shingles(spark):
 def test_every_pair_is_verified_on_demand(spark):
     texts = corpus(3, 5, 10)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in nd.near_classes(docs, least_agree=0.0).collect()}
+    got = {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
@@ -186,3 +186,53 @@ def test_needed_texts_are_found_by_the_bit_map(spark):
     some, own, others = nd.split_rows(docs, keys, "doc_id", "text")
     got, left = {r.text for r in some.collect()}, {r.text for r in others.collect()}
     assert not got & left and len(got | left) == 2000 and {t for _, t in rows if int(t[5:]) % 7 == 0} <= got and len(got) < 400
+
+
+def similar_pairs(sets, df, similar):
+    """All pairs of weighted sets of this similarity or more: such share one of each other's rarest shingles, which are over a fifth of the weight."""
+    index, found = {}, set()
+    for i, (sh, w) in enumerate(sets):
+        order = sorted(range(len(sh)), key=lambda k: (df[int(sh[k])], int(sh[k])))
+        total, seen, near = w.sum(), 0.0, set()
+        for k in order:
+            near |= set(index.get(int(sh[k]), ()))
+            index.setdefault(int(sh[k]), []).append(i)
+            seen += w[k]
+            if seen > (1 - similar + 1e-6) * total:
+                break
+        found |= {(j, i) for j in near if nd.similarity(sets[i], sets[j]) >= similar}
+    return found
+
+
+def test_all_similar_pairs_of_a_given_table_are_in_one_class(spark):
+    import collections
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        return
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    rows = docs.collect()
+    weights = nd.Weights(*nd.common_shingles(docs, "text", len(rows)))
+    raw = [nd.shingles(words_of(r.text or "")) for r in rows]
+    df = collections.Counter(int(h) for sh, _ in raw for h in sh)
+    sets = [(sh, weights.of(sh, counts)) for sh, counts in raw]
+    pairs = similar_pairs(sets, df, nd.SIMILAR)
+    got = {r.doc_id: r["class"] for r in nd.near_classes(docs).collect()}
+    same = [got[rows[i].doc_id] == got[rows[j].doc_id] is not None for i, j in pairs]
+    near = [s for s, (i, j) in zip(same, pairs) if rows[i].text != rows[j].text]
+    assert len(pairs) > 50 and len(near) > 3 and sum(same) >= 0.99 * len(same) and sum(near) >= 0.9 * len(near)
+    # Nothing else is: a class is held together by such pairs.
+    label = list(range(len(rows)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in pairs:
+        label[max(top(i), top(j))] = min(top(i), top(j))
+    own = {}
+    for i, r in enumerate(rows):
+        if got[r.doc_id] is not None:
+            assert own.setdefault(got[r.doc_id], top(i)) == top(i)
