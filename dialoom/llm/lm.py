@@ -11,9 +11,11 @@ probabilities sum to one.
 No task holds the model. Texts are read once, into chunks of word numbers that
 are written. Each chunk sends its distinct n-grams, as sorted 64-bit keys or
 less, to the parts of the key space; a part adds up what was seen in training
-and sends the sums back in the order asked. With them a chunk has the part of
-the automaton that its texts can reach, and walks it from left to right, all
-texts at once. `Automaton` is the same model in memory, for small corpora.
+and sends the sums back in the order asked. With them a chunk builds the part
+of the automaton that its texts can reach (`Arcs`): states, arcs, failure arcs
+and their weights. Its tokens, in lanes side by side, walk it once from left to
+right and carry their states. `Automaton` is the same model in memory, for
+small corpora.
 
 Keys of words have 64 bits, or as many as leave one chance in thousands that
 any two words of the corpus share one; those of longer n-grams have `SPARE` bits more
@@ -296,56 +298,134 @@ def counts_of(chunks: DataFrame, word_bits: int, bits: int, parts: int) -> DataF
         tidy()
         return pa.Table.from_batches([_columns(out, TOLD)])
 
-    return materialize(chunks.mapInArrow(ask, ASKED_DDL).groupBy("part").applyInArrow(add, TOLD_DDL), "lm-counts")
+    return materialize(chunks.mapInArrow(ask, ASKED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(add, TOLD_DDL), "lm-counts")
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def walked(own: _Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n_tokens: int, n_words: int) -> list[np.ndarray]:
-    """For each text: known tokens, log10 probability by words alone, and along the automaton.
+class Arcs:
+    """The part of the automaton that a chunk's texts can reach, as arrays.
 
-    Step k brings every token to its state of k words: where that context is
-    known the token takes its arc, or the failure arc to what the state of k - 1
-    words gave; elsewhere it stays in that.
+    State 0 is the root, state 1 + w the context of word w; longer contexts
+    follow by length. All arcs are one sorted array of state * words + word,
+    with log10 probabilities and the states they lead to. Where a state has no
+    arc for a word, its failure arc adds its weight and hands the word to the
+    next shorter context; the root has an arc for every word.
     """
-    seen = word_counts.astype(np.float64)[own.rank][own.ids]
-    base = (seen + 1) / (n_tokens + n_words + 1)
+
+    def __init__(self, own: _Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n_tokens: int, n_words: int):
+        self.own, self.n = own, len(own.sorted)
+        self.word = own.rank[own.ids].astype(np.int32)
+        seen = word_counts.astype(np.int64)
+        self.root = np.log10((seen + 1.0) / (n_tokens + n_words + 1))
+        self.first = np.where(seen > 0, np.arange(1, self.n + 1), 0).astype(np.int32)
+        fail, weight = [np.zeros(1 + self.n, np.int32)], [np.concatenate(([0.0], np.log10(PRIOR[0] / (seen + PRIOR[0]))))]
+        keys, logs, to, states = [], [], [], 1 + self.n
+        # Of the n-gram that starts at each token: its count, its state as a context, its arc's log10 probability.
+        count, state, log = seen[self.word], self.first[self.word], self.root[self.word]
+        for size, (at, c) in enumerate(zip(own.places, _in_place(own, gram_counts), strict=True), 2):
+            at, c = at[c > 0], c[c > 0]
+            last = self.word[at + size - 1]
+            k = PRIOR[size - 2]
+            # An n-gram seen in training has its last words seen there, too: their arc is the one that failure would lead to.
+            p = np.log10((c + k * 10.0 ** log[at + 1]) / (count[at] + k))
+            key, one, same = np.unique(state[at].astype(np.int64) * self.n + last, return_index=True, return_inverse=True)
+            shorter = state[at + 1]
+            keys.append(key)
+            logs.append(p[one])
+            if size < ORDER:
+                new = np.arange(states, states + len(key), dtype=np.int32)
+                fail.append(shorter[one])
+                weight.append(np.log10(PRIOR[size - 1] / (c[one] + PRIOR[size - 1])))
+                to.append(new)
+                states += len(key)
+                count, state, log = (np.zeros(len(self.word), kind) for kind in (np.int64, np.int32, float))
+                count[at], state[at], log[at] = c, new[same], p
+            else:
+                to.append(shorter[one])
+        # A key beyond all others ends the search.
+        self.keys, self.logs, self.to = np.concatenate([*keys, [1 << 62]]), np.concatenate([*logs, [0.0]]), np.concatenate([*to, np.zeros(1, np.int32)])
+        self.fail, self.weight = np.concatenate(fail), np.concatenate(weight)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of words in states, side by side, and the states after them."""
+        cost, out, after = np.zeros(len(word)), self.root[word], self.first[word]
+        state, left = state.copy(), np.flatnonzero(state)
+        while len(left):
+            key = state[left].astype(np.int64) * self.n + word[left]
+            at = np.searchsorted(self.keys, key)
+            hit = self.keys[at] == key
+            here, at = left[hit], at[hit]
+            out[here], after[here] = self.logs[at], self.to[at]
+            left = left[~hit]
+            cost[left] += self.weight[state[left]]
+            state[left] = self.fail[state[left]]
+            left = left[state[left] > 0]
+        return cost + out, after
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of each token: one traversal from left to right, which carries the state.
+
+        The tokens are cut into lanes that walk side by side. A state depends on
+        the last ORDER - 1 words only, so a lane that begins within a text takes
+        those first.
+        """
+        n, begins = len(self.word), np.zeros(len(self.word) + 1, bool)
+        begins[self.own.starts] = True
+        lanes = max(1, min(LANES, n // 64))
+        width = -(-n // lanes)
+        at = np.arange(0, n, width)
+        text = self.own.starts[np.searchsorted(self.own.starts, at, side="right") - 1]
+        state, out = np.zeros(len(at), np.int32), np.empty(n)
+        for back in range(ORDER - 1, 0, -1):
+            within = np.flatnonzero(at - back >= text)
+            state[within] = self.step(state[within], self.word[at[within] - back])[1]
+        for _ in range(width):
+            at, state = at[at < n], state[: np.count_nonzero(at < n)]
+            state[begins[at]] = 0
+            out[at], state = self.step(state, self.word[at])
+            at = at + 1
+        return out
+
+
+#: Stretches of a chunk that are walked side by side, at most.
+LANES = 8192
+
+
+def _in_place(own: _Chunk, gram_counts: np.ndarray) -> list[np.ndarray]:
+    """How often training has the n-gram at each of the chunk's places, by size, from counts in the order of the keys."""
     every = np.concatenate(own.keys)
+    counts = np.zeros(len(every), np.int64)
     if len(every):
         order = np.argsort(every)
         keys = every[order]
-        rank = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
-        counts = np.empty(len(every), np.float64)
-        counts[order] = gram_counts.astype(np.float64)[rank]
-        del order, keys, rank
-    p, context, from_ = base.copy(), seen, 0
-    for size, at in enumerate(own.places, 2):
-        own_counts = counts[from_ : from_ + len(at)] if len(at) else np.zeros(0)
-        from_ += len(at)
-        k, last = PRIOR[size - 2], at + size - 1
-        # The n-gram's context is the shorter one that starts at the same token.
-        whole = context[at]
-        p[last] = np.where(whole > 0, (own_counts + k * p[last]) / (whole + k), p[last])
-        context = np.zeros(len(seen))
-        context[at] = own_counts
-    return [np.add.reduceat(x, own.starts) for x in ((seen > 0).astype(np.int64), np.log10(base), np.log10(p))]
-
-
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
+        counts[order] = gram_counts.astype(np.int64)[np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))]
+    return np.split(counts, np.cumsum([len(k) for k in own.keys])[:-1])
+
+
+def walked(own: _Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n_tokens: int, n_words: int) -> list[np.ndarray]:
+    """For each text: known tokens, log10 probability by words alone, and along the automaton."""
+    arcs = Arcs(own, word_counts, gram_counts, n_tokens, n_words)
+    known = (arcs.first > 0)[arcs.word].astype(np.int64)
+    return [np.add.reduceat(x, own.starts) for x in (known, arcs.root[arcs.word], arcs.walk())]
+
+
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART, spare: int = SPARE) -> DataFrame:
     """Per row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows where `train` is true.
 
     A null `train` is false. A null or empty text is the end token alone.
     Repeated rows count and are scored each by itself; null ids stay null;
     other columns, whatever their names, are not read. No rows give no rows;
-    without training rows every token is unknown.
+    without training rows every token is unknown. `spare` bits more than count
+    the corpus's n-grams are in their keys; 63 make keys as wide as those of words.
     """
     # An end token for each text, as many bytes as a word has.
     n_bytes = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + TOKEN_BYTES), F.lit(0.0)).alias("n")).first()["n"]
     about = max(1, math.ceil(n_bytes / TOKEN_BYTES))
     tasks, parts = math.ceil(about / chunk), math.ceil(1.7 * about / part)
     # Tokens take two bytes at least, so there are fewer than n_bytes of them.
-    word_bits, bits = min(64, max(40, 2 * about.bit_length() + 4)), min(63, max(40, about.bit_length() + 1 + SPARE))
+    word_bits, bits = min(64, max(40, 2 * about.bit_length() + 4)), min(63, max(40, about.bit_length() + 1 + spare))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     chunks = chunks_of(texts, tasks, word_bits, chunk)
     told = counts_of(chunks, word_bits, bits, parts)

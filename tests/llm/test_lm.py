@@ -82,3 +82,38 @@ def test_empty_table(spark):
     assert lm.score(docs, F.lit(True)).count() == 0
     one = spark.createDataFrame([(1, "a b")], docs.schema)
     assert lm.score(one, F.lit(None).cast("boolean")).first().n_known == 0
+
+
+def test_states_are_carried_over_lanes(monkeypatch):
+    """One walk of a chunk gives what the automaton in memory gives, wherever its tokens are cut into lanes."""
+    pick = random.Random(7)
+    texts = [" ".join(pick.choice("aaabbcde") for _ in range(pick.choice([0, 1, 2, 3, 40, 500]))) for _ in range(60)]
+    train = np.array([pick.random() < 0.7 for _ in texts])
+    auto = lm.Automaton([t for t, x in zip(texts, train) if x])
+    own = [lm.tokens(t) for t in texts]
+    names = {}
+    ids = np.array([names.setdefault(w, len(names)) for t in own for w in t])
+    hashes = np.array([hash(w) & (2**64 - 1) for w in names], np.uint64)
+    sizes = np.array([len(t) for t in own])
+    row = {"n": len(ids), "words": lm._planes(hashes, 8), "n_words": len(names), "ids": lm._planes(ids), "sizes": sizes.astype("<u4").tobytes(), "train": train.tobytes()}
+    chunk = lm._Chunk(row, 63)
+    learnt = chunk.token_train()
+    words = np.bincount(chunk.rank[chunk.ids], learnt, len(names))
+    every = np.concatenate(chunk.keys)
+    seen = np.concatenate([learnt[at] for at in chunk.places])
+    keys, place = np.unique(every, return_inverse=True)
+    grams = np.bincount(place, seen, len(keys))
+    want = [auto.walk(t) for t in own]
+    for lanes in (1, 7, 100, 8192):
+        monkeypatch.setattr(lm, "LANES", lanes)
+        known, base, total = lm.walked(chunk, words, grams, auto.n_tokens, auto.n_words)
+        assert np.allclose(total, want, rtol=1e-12) and known.sum() == sum((0, w) in auto.arcs for t in own for w in t)
+    arcs = lm.Arcs(chunk, words, grams, auto.n_tokens, auto.n_words)
+    assert (np.diff(arcs.keys) > 0).all() and len(arcs.keys) - 1 == len(auto.arcs) - sum(s == 0 for s, _ in auto.arcs)
+
+
+def test_a_chunk_without_training():
+    row = {"n": 3, "words": lm._planes(np.array([5, 9], np.uint64), 8), "n_words": 2, "ids": lm._planes(np.array([0, 0, 1])), "sizes": np.array([3], "<u4").tobytes(), "train": np.array([False]).tobytes()}
+    chunk = lm._Chunk(row, 63)
+    known, base, total = lm.walked(chunk, np.zeros(2), np.zeros(3), 0, 0)
+    assert known.tolist() == [0] and base.tolist() == total.tolist() == [0.0]
