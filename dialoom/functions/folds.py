@@ -32,20 +32,20 @@ def emitted(items: Column, zero: Column, step: Callable, emits: Callable, out: C
         own = lambda c: F.sequence(c * PIECE, F.least(c * PIECE + PIECE, F.size(xs)) - 1)
         pieces = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / PIECE).cast("int"))
         through = lambda s, c: F.aggregate(own(c), s, lambda a, i: step(a, F.get(xs, i)))
-        # States are kept as an array, one for each piece.
-        first = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("entered"))
-        entered = F.aggregate(
-            pieces, first, lambda a, c: F.struct(through(a["now"], c).alias("now"), F.concat(a["entered"], F.array(a["now"])).alias("entered")), lambda a: a["entered"])
+        # States are kept as an array, one for each piece; what the last one is left with is of no use.
+        first = F.struct(zero.alias("now"), F.array(zero).alias("entered"))
+        more = lambda a, c: let(through(a["now"], c), lambda s: F.struct(s.alias("now"), F.concat(a["entered"], F.array(s)).alias("entered")))
+        entered = F.aggregate(let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1)), first, more, lambda a: a["entered"])
 
         def piece(s: Column, c: Column) -> Column:
             start = F.struct(s.alias("now"), F.array().cast(f"array<{kind}>").alias("found"))
 
-            def more(a: Column, i: Column) -> Column:
+            def add(a: Column, i: Column) -> Column:
                 x = F.get(xs, i)
                 found = F.when(emits(a["now"], x), F.concat(a["found"], F.array(out(a["now"], x)))).otherwise(a["found"])
                 return F.struct(step(a["now"], x).alias("now"), found.alias("found"))
 
-            return F.aggregate(own(c), start, more, lambda a: a["found"])
+            return F.aggregate(own(c), start, add, lambda a: a["found"])
 
         return F.flatten(F.transform(entered, piece))
 

@@ -18,11 +18,11 @@ def merge_blocks(parts: Column, max_size: int, min_size: int) -> Column:
     text is copied while it grows. Time grows with the paragraphs.
     """
 
-    def opens(s: Column, p: Column) -> Column:
-        return (s["i"] == 0) | (s["size"] + F.char_length(p) > max_size)
+    def opens(s: Column, n: Column) -> Column:
+        return (s["i"] == 0) | (s["size"] + n > max_size)
 
-    def step(s: Column, p: Column) -> Column:
-        return F.struct((s["i"] + 1).alias("i"), F.when(opens(s, p), F.char_length(p)).otherwise(s["size"] + F.char_length(p)).alias("size"))
+    def step(s: Column, n: Column) -> Column:
+        return F.struct((s["i"] + 1).alias("i"), (n + F.when(opens(s, n), 0).otherwise(s["size"])).alias("size"))
 
     def join(ps: Column) -> Column:
         def joined(starts: Column) -> Column:
@@ -35,7 +35,7 @@ def merge_blocks(parts: Column, max_size: int, min_size: int) -> Column:
             return F.transform(starts, block)
 
         zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"))
-        return let(emitted(ps, zero, step, opens, lambda s, p: s["i"], "int"), joined)
+        return let(emitted(F.transform(ps, F.char_length), zero, step, opens, lambda s, n: s["i"], "int"), joined)
 
     return F.filter(let(parts, join), lambda b: F.char_length(b["block"]) >= min_size)
 
