@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -21,14 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_folder() -> str:
+    """One folder for the process, on local masters; the session's settings stay as they are."""
+    return tempfile.mkdtemp(prefix="dialoom-")
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one only on a local master that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="dialoom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_folder()
     return found.rstrip("/")
 
 
