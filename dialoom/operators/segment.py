@@ -86,3 +86,24 @@ def sample_prefix(df: DataFrame, ratio: float, *, key: str = "doc_id", order: st
 def index_blocks(df: DataFrame, *, key: str = "doc_id", order: str = "seg_no") -> DataFrame:
     """Dense numbers from 0 of the block rows that are left."""
     return df.withColumn("block_idx", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long"))
+
+
+def index_long(df: DataFrame, ratio: float = 1.0, *, key: str = "doc_id", order: str = "seg_no", stretch: int = 10_000) -> DataFrame:
+    """The leading share of each document's block rows, numbered from 0, as `sample_prefix` and `index_blocks` do it, for documents of any length.
+
+    Rows are ranked within stretches of `order`; stretches are counted, and
+    their counts added up along each document. No task gets a document's rows.
+    """
+    if ratio <= 0:
+        return df.limit(0).withColumn("block_idx", F.lit(0).cast("long"))
+    placed = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    own = Window.partitionBy(key)
+    counts = placed.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    sums = counts.select(
+        F.struct(F.col(key).alias("k"), F.col("_stretch").alias("s"), (F.sum("_n").over(own.orderBy("_stretch")) - F.col("_n")).alias("before"), F.sum("_n").over(own).alias("all")).alias("_sums"))
+    same = F.col(key).eqNullSafe(F.col("_sums.k")) & (F.col("_stretch") == F.col("_sums.s"))
+    rank = F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(order)) - 1
+    ranked = placed.withColumn("_rank", rank).join(sums, same).withColumn("block_idx", (F.col("_rank") + F.col("_sums.before")).cast("long"))
+    if ratio < 1:
+        ranked = ranked.where(F.col("block_idx") < F.greatest((F.col("_sums.all") * F.lit(float(ratio))).cast("long"), F.lit(1)))
+    return ranked.select(*df.columns, "block_idx")

@@ -48,3 +48,35 @@ def test_one_long_document_is_dealt_over_tasks(spark):
     got = long_blocks(rows, max_size=100, min_size=1, segment_rows=10_000).select("seg_no", F.char_length(F.replace("block", F.lit("\n"), F.lit(""))).alias("n")).toPandas().sort_values("seg_no")
     opens = merged(np.arange(n) % 7 + 1, 0, 100)
     assert got.seg_no.tolist() == list(range(opens.sum())) and got.n.sum() == (np.arange(n) % 7 + 1).sum() and got.n.max() <= 100
+
+
+def test_numbers_and_shares_by_stretches(spark):
+    pick = random.Random(3)
+    rows = [(d if d != 5 else None, s, f"b{s}") for d in range(12) for s in sorted(pick.sample(range(200), pick.choice([1, 3, 60])))]
+    df = spark.createDataFrame(rows, "doc_id long, seg_no long, block string").repartition(4)
+    for ratio in (1.0, 0.5, 0.29, 0.001, 0.0, 2.0):
+        want = segment.index_blocks(segment.sample_prefix(df, ratio))
+        for stretch in (1, 7, 1000):
+            got = segment.index_long(df, ratio, stretch=stretch)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_runs_over_long_documents_end_alike(spark, tmp_path):
+    from dialoom.operators.responders import RuleResponder
+    from dialoom.plans import pipeline
+    from dialoom.plans.config import Config
+
+    pick = random.Random(6)
+    rows = [(d, p, b, pick.choice(["网友：", "段永平：", " ", "听说"]) + "x" * pick.randint(0, 30) + "\n") for d in range(6) for p in range(1, 9) for b in range(pick.randint(0, 9))]
+    layout = spark.createDataFrame(rows, "doc_id long, page_no int, blk_no int, text string")
+    reply = RuleResponder(lambda p: F.to_json(F.array(F.struct(F.right(p, F.lit(9)).alias("question"), F.sha2(p, 256).alias("answer")))))
+    for qa, ratio in ((True, 0.5), (False, 1.0)):
+        runs = []
+        for long in (False, True):
+            conf = Config(output_dir=str(tmp_path / f"{qa}{long}"), max_block_size=60, min_block_size=5, enable_qa_filter=qa, extract_ratio=ratio)
+            run = pipeline.process(spark, layout, reply, conf, long=long)
+            runs.append((sorted(map(str, run.results.collect())), sorted(map(str, run.stats.collect())), [r.value for r in spark.read.text(conf.output_path).collect()]))
+        assert runs[0] == runs[1] and len(runs[0][2]) > 5
+    conf = Config(max_block_size=60, min_block_size=5)
+    few = pipeline.surviving_long_blocks(layout, conf, segment_rows=3)
+    assert sorted(few.collect()) == sorted(pipeline.surviving_long_blocks(layout, conf).collect())
