@@ -31,7 +31,7 @@ from dialoom.llm.common import batches, extend, free_name, sliced, table, tidy
 # Elements by what they mean for the text in them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("template noscript svg select button object canvas audio video datalist".split())
+UNSEEN = frozenset("template noscript svg select button object canvas audio video datalist label option optgroup".split())
 BLOCKS = frozenset(
     "html body article section nav aside h1 h2 h3 h4 h5 h6 hgroup header footer address main p pre blockquote ol ul menu li dl dt dd figure figcaption div center details "
     "summary dialog fieldset legend form table caption colgroup thead tbody tfoot tr td th search".split())
@@ -39,14 +39,16 @@ MENU_TAGS = frozenset("nav aside footer form menu dialog search".split())
 MENU_ROLES = frozenset("navigation complementary contentinfo search banner dialog alertdialog alert form menu menubar".split())
 
 # Words in class names and ids that tell what an element holds.
-COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond responses discussion feedback reactions guestbook".split())
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar pagination pager ad ads adv advert adverts advertisement advertising adsense adsbygoogle "
     "adslot sponsor sponsored sponsors promo promos promoted promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing "
-    "social related recommended recommendations trending popular widget widgets copyright search skip paywall".split())
+    "social related recommended recommendations trending popular widget widgets copyright search skip paywall disclaimer announcement infobar rail side sidenav teaser teasers "
+    "topnav mainnav sitenav submenu megamenu dropdown tabs sitemap foot ftr colophon imprint logo brand tagline advertorial adbox adbanner adunit adspace adcontainer taboola outbrain".split())
 INLINE_NOISE = frozenset("ad ads advert advertisement adsbygoogle adslot sponsored hidden".split())
-HEADER_WORDS = frozenset("header".split())
+HEADER_WORDS = frozenset("header head hdr".split())
 CONTENT_WORDS = frozenset("article content post entry story".split())
+MAIN_WORDS = frozenset("main maincontent articlebody bodytext".split())
 #: Words before a name that make it say something of the page, not of the element: `has-sidebar`, `no-ads`.
 ABOUT = frozenset("has with no without not hide".split())
 
@@ -91,7 +93,9 @@ def _meaning(tag: str, attributes: str) -> int:
         return CONTENT
     if any(w & CONTENT_WORDS for w in names):
         return CONTENT if not any(w & HEADER_WORDS for w in names) else PLAIN
-    return HEADER if tag == "header" or any(w & HEADER_WORDS for w in names) else PLAIN
+    if tag == "header" or any(w & HEADER_WORDS for w in names):
+        return HEADER
+    return CONTENT if any(w & MAIN_WORDS for w in names) else PLAIN
 
 
 _meaning_of_common = lru_cache(8192)(_meaning)

@@ -71,6 +71,9 @@ LAYOUTS = {
         <form><label>Your comment</label><p>{MORE}</p><input type=submit></form></section>""",
     "roles": f"""<div role="banner">Daily Paper</div><div role="navigation"><a href=/>Home</a></div><form id="aspnet"><div role="main"><h1>A bridge</h1>
         <p>{LONG}</p><ins class="adsbygoogle">{MORE}</ins><p>Short.</p></div></form><div role="dialog">{MORE}</div><div class="newsletter-signup"><p>{MORE}</p></div>""",
+    "names": f"""<div class="logo">Daily Paper</div><div id="mainNav"><p>Home and away, all news of the day</p></div><div class="main-header">{MORE}</div><div id="disclaimer">{MORE}</div>
+        <div id="main"><h1>A bridge</h1><p>{LONG}</p><p class="adbox">{MORE}</p><label>Your name</label><p>Short.</p></div><div class="right-rail">{MORE}</div>
+        <div class="reader-comments"><h3>Feedback</h3><p>{LONG} {MORE} {LONG}</p></div><div id="siteFoot">{MORE}</div>""",
     "bare": f"""<ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Sport</a></li></ul><h1>A bridge</h1><p>{LONG}</p><p>Short.</p>
         <ul><li><a href=/x>More</a></li><li><a href=/y>Other</a></li></ul>""",
 }
