@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import free_name, let, table
+from dialoom.llm.common import free_name, let, materialize, table
 
 #: Header fields that a 304 response may update in the stored one.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -182,6 +182,8 @@ def resolve_revisits(records: DataFrame, *, width: int = 86_400) -> DataFrame:
         http_headers(F.col("http")).alias("headers"), "body_sha256").withColumn("range", F.floor(F.coalesce("ts", F.lit(0)) / width))
     full = (F.col("status") == 200) & F.col("body_sha256").isNotNull()
     read = read.withColumn("kind", F.when(full, "full").when(F.col("status") == 304, "revisit").otherwise("other"))
+    # Written once: four branches read it, and headers are parsed and bodies digested for all of them.
+    read = materialize(read, "warc-read")
     facts = F.struct("record_id", "headers", "body_sha256")
     known = read.where("key is not null and kind <> 'other'").withColumn("fact", F.when(F.col("kind") == "full", facts))
     order = F.struct("ts", "record_id")
