@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.sources.documents import table, text_lines, text_parts
+from dialoom.sources.documents import spread, table, text_lines, text_parts
 
 #: Speakers' markers by role.
 MARKERS = {"user": "网友", "assistant": "段永平", "system": "主持人"}
@@ -13,12 +13,12 @@ MARKERS = {"user": "网友", "assistant": "段永平", "system": "主持人"}
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1: a layout block for each line of a document."""
-    return text_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return text_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 as paragraph arrays (doc_id, parts), made row by row."""
-    return text_parts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return text_parts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,5 +123,15 @@ def file_info(blocks: DataFrame) -> DataFrame:
     return facts.withColumn("is_pdf", F.when(F.col("page_count").isNotNull(), True))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files, dealt over all cores if it has fewer partitions than there are: a small table may be one row group.
+
+    Large tables, which have more, stay as they are. For plain scans only: it
+    asks for their partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
