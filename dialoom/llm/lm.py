@@ -298,7 +298,7 @@ def counts_of(chunks: DataFrame, word_bits: int, bits: int, parts: int) -> DataF
         tidy()
         return pa.Table.from_batches([_columns(out, TOLD)])
 
-    return materialize(chunks.mapInArrow(ask, ASKED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(add, TOLD_DDL), "lm-counts")
+    return materialize(chunks.mapInArrow(ask, ASKED_DDL).groupBy("part").applyInArrow(add, TOLD_DDL), "lm-counts")
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -315,7 +315,7 @@ class Arcs:
     """
 
     def __init__(self, own: _Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n_tokens: int, n_words: int):
-        self.own, self.n = own, len(own.sorted)
+        self.starts, self.n = own.starts, len(own.sorted)
         self.word = own.rank[own.ids].astype(np.int32)
         seen = word_counts.astype(np.int64)
         self.root = np.log10((seen + 1.0) / (n_tokens + n_words + 1))
@@ -324,11 +324,14 @@ class Arcs:
         keys, logs, to, states = [], [], [], 1 + self.n
         # Of the n-gram that starts at each token: its count, its state as a context, its arc's log10 probability.
         count, state, log = seen[self.word], self.first[self.word], self.root[self.word]
-        for size, (at, c) in enumerate(zip(own.places, _in_place(own, gram_counts), strict=True), 2):
+        counts = _in_place(own, gram_counts)
+        for size in range(2, ORDER + 1):
+            at, c = own.places[size - 2], counts.pop(0)
             at, c = at[c > 0], c[c > 0]
             last = self.word[at + size - 1]
             k = PRIOR[size - 2]
             # An n-gram seen in training has its last words seen there, too: their arc is the one that failure would lead to.
+            c = c.astype(np.int64)
             p = np.log10((c + k * 10.0 ** log[at + 1]) / (count[at] + k))
             key, one, same = np.unique(state[at].astype(np.int64) * self.n + last, return_index=True, return_inverse=True)
             shorter = state[at + 1]
@@ -372,11 +375,11 @@ class Arcs:
         those first.
         """
         n, begins = len(self.word), np.zeros(len(self.word) + 1, bool)
-        begins[self.own.starts] = True
+        begins[self.starts] = True
         lanes = max(1, min(LANES, n // 64))
         width = -(-n // lanes)
         at = np.arange(0, n, width)
-        text = self.own.starts[np.searchsorted(self.own.starts, at, side="right") - 1]
+        text = self.starts[np.searchsorted(self.starts, at, side="right") - 1]
         state, out = np.zeros(len(at), np.int32), np.empty(n)
         for back in range(ORDER - 1, 0, -1):
             within = np.flatnonzero(at - back >= text)
@@ -401,14 +404,15 @@ def _in_place(own: _Chunk, gram_counts: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(every)
         keys = every[order]
         counts[order] = gram_counts.astype(np.int64)[np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))]
-    return np.split(counts, np.cumsum([len(k) for k in own.keys])[:-1])
+    own.keys.clear()  # of no use any more
+    return [np.array(c, np.uint32) for c in np.split(counts, np.cumsum([len(at) for at in own.places])[:-1])]
 
 
-def walked(own: _Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n_tokens: int, n_words: int) -> list[np.ndarray]:
+def walked(arcs: Arcs) -> list[np.ndarray]:
     """For each text: known tokens, log10 probability by words alone, and along the automaton."""
-    arcs = Arcs(own, word_counts, gram_counts, n_tokens, n_words)
+    total = np.add.reduceat(arcs.walk(), arcs.starts)
     known = (arcs.first > 0)[arcs.word].astype(np.int64)
-    return [np.add.reduceat(x, own.starts) for x in (known, arcs.root[arcs.word], arcs.walk())]
+    return [np.add.reduceat(known, arcs.starts), np.add.reduceat(arcs.root[arcs.word], arcs.starts), total]
 
 
 def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART, spare: int = SPARE) -> DataFrame:
@@ -438,12 +442,16 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
             return SCORED.empty_table()
         row = rows.to_pylist()[0]
         own = _Chunk(row, bits)
+        ids = pa.array(np.frombuffer(row["docs"], "<i8"), mask=np.frombuffer(row["no_id"], bool))
+        train, sizes = own.train, own.sizes
         parts_ = sorted(counts.to_pylist(), key=lambda r: r["part"])
         words, grams = (np.concatenate([_unplanes(r[f"{x}s"], r[f"n_{x}s"]) for r in parts_]) for x in ("word", "gram"))
-        known, base, total = walked(own, words, grams, n_tokens, n_words)
-        ids = pa.array(np.frombuffer(row["docs"], "<i8"), mask=np.frombuffer(row["no_id"], bool))
-        out = pa.table([ids, pa.array(own.train), pa.array(own.sizes), pa.array(known), pa.array(base), pa.array(total)], schema=SCORED)
-        del own, words, grams, row, parts_
+        del row, parts_
+        arcs = Arcs(own, words, grams, n_tokens, n_words)
+        del own, words, grams  # the walk needs the arcs only
+        known, base, total = walked(arcs)
+        out = pa.table([ids, pa.array(train), pa.array(sizes), pa.array(known), pa.array(base), pa.array(total)], schema=SCORED)
+        del arcs
         tidy()
         return out
 

@@ -104,16 +104,16 @@ def test_states_are_carried_over_lanes(monkeypatch):
     keys, place = np.unique(every, return_inverse=True)
     grams = np.bincount(place, seen, len(keys))
     want = [auto.walk(t) for t in own]
+    arcs = lm.Arcs(chunk, words, grams, auto.n_tokens, auto.n_words)
     for lanes in (1, 7, 100, 8192):
         monkeypatch.setattr(lm, "LANES", lanes)
-        known, base, total = lm.walked(chunk, words, grams, auto.n_tokens, auto.n_words)
+        known, base, total = lm.walked(arcs)
         assert np.allclose(total, want, rtol=1e-12) and known.sum() == sum((0, w) in auto.arcs for t in own for w in t)
-    arcs = lm.Arcs(chunk, words, grams, auto.n_tokens, auto.n_words)
     assert (np.diff(arcs.keys) > 0).all() and len(arcs.keys) - 1 == len(auto.arcs) - sum(s == 0 for s, _ in auto.arcs)
 
 
 def test_a_chunk_without_training():
     row = {"n": 3, "words": lm._planes(np.array([5, 9], np.uint64), 8), "n_words": 2, "ids": lm._planes(np.array([0, 0, 1])), "sizes": np.array([3], "<u4").tobytes(), "train": np.array([False]).tobytes()}
     chunk = lm._Chunk(row, 63)
-    known, base, total = lm.walked(chunk, np.zeros(2), np.zeros(3), 0, 0)
+    known, base, total = lm.walked(lm.Arcs(chunk, np.zeros(2), np.zeros(3), 0, 0))
     assert known.tolist() == [0] and base.tolist() == total.tolist() == [0.0]
