@@ -66,21 +66,26 @@ def quality(spark: SparkSession, path: str) -> DataFrame:
     return stats.finished_quality(stats.merged_stats(_left(spark, path, "stats")), _left(spark, path, "questions"), _left(spark, path, "documents").distinct())
 
 
-class _Numbering(StatefulProcessor):
-    """A document's last pair number is its state; the pairs of a batch go on from there, in block order."""
+def _numbering() -> StatefulProcessor:
+    """Made here, so that it goes to workers whole: those of the driver don't see what was sent to executors."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "n long")
+    class Numbering(StatefulProcessor):
+        """A document's last pair number is its state; the pairs of a batch go on from there, in block order."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["block_idx", "pair_idx"], kind="stable")
-        last = self._last.get()[0] if self._last.exists() else 0
-        own["pair_no"] = range(last + 1, last + 1 + len(own))
-        self._last.update((last + len(own),))
-        yield own
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._last = handle.getValueState("last", "n long")
 
-    def close(self) -> None:
-        pass
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            own = pd.concat(list(rows)).sort_values(["block_idx", "pair_idx"], kind="stable")
+            last = self._last.get()[0] if self._last.exists() else 0
+            own["pair_no"] = range(last + 1, last + 1 + len(own))
+            self._last.update((last + len(own),))
+            yield own
+
+        def close(self) -> None:
+            pass
+
+    return Numbering()
 
 
 #: What keyed state needs of the session.
@@ -97,4 +102,4 @@ def number_stream(records: DataFrame) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*records.schema.fields, StructField("pair_no", LongType())])
-    return records.groupBy("doc_id").transformWithStateInPandas(_Numbering(), schema, "append", "none")
+    return records.groupBy("doc_id").transformWithStateInPandas(_numbering(), schema, "append", "none")
