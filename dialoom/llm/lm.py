@@ -45,7 +45,7 @@ ORDER = 3
 #: Weight of what the shorter context gives, by the length of the context.
 PRIOR = (1000.0, 4.0)
 #: Tokens taken together in a task; n-grams, as chunks have them, to a part.
-CHUNK, PART = 2_000_000, 3_000_000
+CHUNK, PART = 1_000_000, 3_000_000
 #: Bytes of text to a token, about; bits of a key beyond those that count the corpus's n-grams.
 TOKEN_BYTES, SPARE = 6.4, 16
 
