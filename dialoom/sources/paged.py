@@ -5,7 +5,7 @@
 
 Files are only listed to plan a read; how many pages one has is found by the
 task that opens it. A large file is dealt to several tasks by shares of its
-pages, small ones are put together.
+pages, at most `SHARES`, small ones are put together.
 """
 
 from __future__ import annotations
@@ -13,14 +13,21 @@ from __future__ import annotations
 import fnmatch
 import io
 import posixpath
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, page_no int, blk_no int, text string, page_count int, encrypted boolean, metadata map<string,string>, error string, file_size long"
 
+#: A share's task goes through the whole file to count its pages, so a file has so many shares at most, however large it is.
+SHARES = 8
+#: Bytes of a text that are read at once.
+STRETCH = 1 << 20
+
 
 class Pages(Protocol):
     """An open file: how many pages it has, what is said of it, and the layout blocks of one page, from 0."""
@@ -55,22 +62,45 @@ class TextPages:
     """A text in UTF-8 with form feeds between its pages, as converters of PDF files write it; a line is a block.
 
     A page that isn't UTF-8 can't be read, nor can a file that is a PDF itself.
+    One pass counts the pages; then a page is read from the stretch of bytes
+    that it begins in, so a page and a stretch are held, never a file.
     """
 
     encrypted = False
 
     def __init__(self, content: io.RawIOBase):
-        data = content.read()
-        if data.startswith(b"%PDF"):
-            raise ValueError("a PDF file, not its text")
-        self._pages = data.split(b"\f") if data else []
-        self.count, self.metadata = len(self._pages), {"format": "text"}
+        self._content, self._starts, self._before, size = content, [], [0], 0
+        while data := content.read(STRETCH):
+            if not size and data.startswith(b"%PDF"):
+                raise ValueError("a PDF file, not its text")
+            self._starts.append(size)
+            self._before.append(self._before[-1] + data.count(b"\f"))
+            size += len(data)
+        self.count, self.metadata = self._before[-1] + 1 if size else 0, {"format": "text"}
+        self._next, self._rest = -1, iter(())
+
+    def _from(self, start: int) -> Iterator[bytes]:
+        """Pages from byte `start` on; the first is what is left of it there."""
+        self._content.seek(start)
+        parts: list[bytes] = []
+        while data := self._content.read(STRETCH):
+            *ends, rest = data.split(b"\f")
+            for end in ends:
+                yield b"".join([*parts, end])
+                parts = []
+            parts.append(rest)
+        yield b"".join(parts)
 
     def page(self, i: int) -> list[str]:
-        return self._pages[i].decode().split("\n") if self._pages[i] else []
+        if i != self._next:
+            k = max(bisect_left(self._before, i) - 1, 0)
+            self._rest = islice(self._from(self._starts[k]), i - self._before[k], None)
+        self._next = i + 1
+        data = next(self._rest)
+        return data.decode().split("\n") if data else []
 
     def close(self) -> None:
-        self._pages = []
+        self._rest = iter(())
 
 
 @dataclass(frozen=True)
@@ -111,10 +141,10 @@ def listed(path: str, glob: str) -> list[Found]:
 
 
 def dealt(files: list[Found], split_bytes: int) -> list[Share]:
-    """Shares of large files, each by itself, and small files together, of some `split_bytes` bytes."""
+    """Shares of large files, each by itself, and small files together, of some `split_bytes` bytes; more where a file would have over `SHARES`."""
     out, some, size = [], [], 0
     for f in files:
-        shares = max(1, -(-f.size // split_bytes))
+        shares = min(max(1, -(-f.size // split_bytes)), SHARES)
         if shares > 1:
             out += [Share(((f, k, shares),)) for k in range(shares)]
             continue
@@ -216,7 +246,7 @@ def paged_source(opened=MuPages, name: str = "paged") -> type[DataSource]:
     """A data source of files that `opened` reads: it takes a binary file and gives an open one (`Pages`).
 
     Options: `path`, `pathGlobFilter`, `splitBytes` (bytes of a file to a
-    task, 8 MB by default), and for streams `maxFilesPerTrigger`.
+    task, 8 MB by default, more for files of over `SHARES` times that), and for streams `maxFilesPerTrigger`.
     """
 
     class Paged(DataSource):

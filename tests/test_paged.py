@@ -1,4 +1,6 @@
+import io
 import os
+import random
 import time
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from dialoom.operators.responders import RuleResponder
 from dialoom.plans import pipeline
 from dialoom.plans.config import Config
-from dialoom.sources import documents
+from dialoom.sources import documents, paged
 from dialoom.sources.paged import Found, TextPages, dealt, listed, paged_source
 
 
@@ -81,3 +83,24 @@ def test_files_are_read_as_they_arrive(spark, tmp_path):
     time.sleep(0.05)
     (tmp_path / "in" / "g.txt").write_text("new")
     assert run() == want + [("g.txt", 1, "new")]
+
+
+class Sparing(io.BytesIO):
+    """Never read whole."""
+
+    def read(self, n=-1):
+        assert 0 < n <= paged.STRETCH
+        return super().read(n)
+
+
+def test_a_large_text_is_read_by_stretches_and_a_bounded_number_of_times(monkeypatch):
+    assert [len(dealt([Found("a", size, 0)], 1 << 16)) for size in (1 << 17, 1 << 22, 1 << 40)] == [2, paged.SHARES, paged.SHARES]
+    pick = random.Random(4)
+    for stretch in (1, 3, 8, 1000):
+        monkeypatch.setattr(paged, "STRETCH", stretch)
+        for _ in range(40):
+            data = bytes(pick.choice(b"ab\n\f\f") for _ in range(pick.randint(1, 60)))
+            doc, want = TextPages(Sparing(data)), [p.decode().split("\n") if p else [] for p in data.split(b"\f")]
+            asked = [*range(doc.count), *pick.choices(range(doc.count), k=9)]
+            assert doc.count == len(want) and [doc.page(i) for i in asked] == [want[i] for i in asked]
+    assert TextPages(Sparing(b"")).count == 0
