@@ -46,6 +46,22 @@ def transitions(lengths: np.ndarray, max_size: int) -> tuple[np.ndarray, np.ndar
     return out, np.where(stays, 0, opened[first])
 
 
+def steps(out: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table as steps: starts, and from each on what is left with and opened; where nothing opens, what is added.
+
+    A segment of n paragraphs has n + 2 steps at most, so tables are no larger than lengths.
+    """
+    value = out - np.where(opened == 0, np.arange(len(out)), 0)
+    starts = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (opened[1:] != opened[:-1])]))
+    return starts, value[starts], opened[starts]
+
+
+def stepped(starts: np.ndarray, value: np.ndarray, opened: np.ndarray, size: int) -> tuple[int, int]:
+    """The table's entry for `size`."""
+    at = np.searchsorted(starts, size, side="right") - 1
+    return int(value[at]) + (size if opened[at] == 0 else 0), int(opened[at])
+
+
 def merged(lengths: np.ndarray, entered: int, max_size: int) -> np.ndarray:
     """Which paragraphs open a block, if the open one is `entered` long at the start (0: there is none)."""
     opens, size, some = np.zeros(len(lengths), bool), entered, entered > 0
@@ -62,8 +78,8 @@ def long_blocks(paras: DataFrame, *, key: str = "doc_id", order: str = "para_no"
     `order` numbers a document's paragraphs; `segment` is a number that grows
     with it and cuts the document into pieces of bounded size (by default
     `order` over `segment_rows`). Empty and null paragraphs don't count. A task
-    holds a segment of lengths, a table of `max_size` entries or a segment's
-    text, never a document; a null key is a document.
+    holds a segment of lengths, its table or a segment's text, never a
+    document; a null key is a document.
     """
     seg = (F.floor(F.col(order) / segment_rows) if segment is None else segment).cast("long")
     rows = paras.where(F.col(text) != "").select(F.col(key).alias("k"), seg.alias("s"), F.col(order).cast("long").alias("o"), F.col(text).alias("t"))
@@ -71,22 +87,23 @@ def long_blocks(paras: DataFrame, *, key: str = "doc_id", order: str = "para_no"
 
     def table(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by("o")
-        out, opened = transitions(batch.column("n").to_numpy(), max_size)
-        return pa.table({"k": batch.column("k").slice(0, 1), "s": batch.column("s").slice(0, 1), "out": pa.array([out.tolist()], pa.list_(pa.int32())), "opened": pa.array([opened.tolist()], pa.list_(pa.int32()))})
+        made = steps(*transitions(batch.column("n").to_numpy(), max_size))
+        return pa.table({"k": batch.column("k").slice(0, 1), "s": batch.column("s").slice(0, 1)} | {c: pa.array([x], pa.list_(pa.int32())) for c, x in zip(("starts", "value", "opened"), made)})
 
     lengths = rows.select("k", "s", "o", F.char_length("t").alias("n"))
-    tables = lengths.groupBy("k", "s").applyInArrow(table, f"k {kind}, s long, out array<int>, opened array<int>")
+    tables = lengths.groupBy("k", "s").applyInArrow(table, f"k {kind}, s long, starts array<int>, value array<int>, opened array<int>")
 
     def compose(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, size, number = object(), 0, 0
         for batch in arrived:
             sizes, numbers = [], []
-            for k, out, opened in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            for k, *made in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
                 if k != at:
                     at, size, number = k, 0, 0
                 sizes.append(size)
                 numbers.append(number)
-                size, number = out.values[size].as_py(), number + opened.values[size].as_py()
+                size, more = stepped(*(x.values.to_numpy() for x in made), size)
+                number += more
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int64())], names=["k", "s", "size", "first"])
 
     # A document's tables go by in order; only the length and number so far are held.

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from dialoom.operators import segment
-from dialoom.operators.long_blocks import long_blocks, merged, transitions
+from dialoom.operators.long_blocks import long_blocks, merged, stepped, steps, transitions
 
 
 def test_tables_equal_merging_from_each_length():
@@ -21,6 +21,17 @@ def test_tables_equal_merging_from_each_length():
             assert (out[start], opened[start]) == (min(size, most + 1), opens.sum()), (lengths, most, start)
 
 
+def test_tables_are_no_larger_than_their_segments():
+    pick = random.Random(12)
+    for _ in range(200):
+        most = pick.choice([5, 40, 1500])
+        lengths = np.array([pick.randint(1, pick.choice([3, 30, 2000])) for _ in range(pick.randint(1, 16))])
+        out, opened = transitions(lengths, most)
+        made = steps(out, opened)
+        assert {len(x) for x in made} == {len(made[0])} and len(made[0]) <= len(lengths) + 2
+        assert [stepped(*made, size) for size in range(most + 2)] == list(zip(out.tolist(), opened.tolist()))
+
+
 def test_rows_give_the_blocks_of_arrays(spark):
     pick = random.Random(9)
     docs = [(None if i == 7 else i, ["x" * pick.choice([0, 1, 5, pick.randint(1, 80)]) for _ in range(pick.choice([0, 1, 3, 60]))]) for i in range(120)]
