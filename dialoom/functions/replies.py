@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -123,16 +123,25 @@ def valid(item: dict) -> bool:
     return all(both) and all(str(x).strip() for x in both)
 
 
-@F.pandas_udf(PAIRS)
-def parsed_pairs(parts: pd.Series) -> pd.Series:
-    """Valid pairs of an array of reply parts, in order. A null array gives null."""
+_PAIRS_ARROW = pa.list_(pa.struct([("question", pa.string()), ("answer", pa.string())]))
+#: Replies that a worker holds as Python objects at a time.
+_AT_ONCE = 256
 
+
+# Not deterministic to the optimizer, which else parses anew for each filter on what was found.
+@F.arrow_udf(PAIRS)
+def _parsed_pairs(parts: pa.Array) -> pa.Array:
     def one(row) -> list[dict] | None:
         if row is None:
             return None
         return [{"question": encodable(as_question(x["question"])), "answer": encodable(as_text(x["answer"]))} for part in row if part is not None for x in parse(part) if valid(x)]
 
-    return parts.map(one)
+    pieces = [pa.array([one(row) for row in parts.slice(at, _AT_ONCE).to_pylist()], _PAIRS_ARROW) for at in range(0, len(parts), _AT_ONCE)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], _PAIRS_ARROW)
+
+
+parsed_pairs = _parsed_pairs.asNondeterministic()
+parsed_pairs.__doc__ = "Valid pairs of an array of reply parts, in order. A null array gives null."
 
 
 def pairs_of(reply: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -84,8 +84,8 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return lines(spark, path).count()
 
 
-@F.pandas_udf(BooleanType())
-def _is_json(text: pd.Series) -> pd.Series:
+@F.arrow_udf(BooleanType())
+def _is_json(text: pa.Array) -> pa.Array:
     def one(x: str) -> bool:
         try:
             json.loads(x)
@@ -93,7 +93,7 @@ def _is_json(text: pd.Series) -> pd.Series:
             return False
         return True
 
-    return text.map(lambda x: None if x is None else one(x))
+    return pa.array([None if (x := value.as_py()) is None else one(x) for value in text], pa.bool_())
 
 
 PAIR_FIELDS = "question string, answer string, source_text string"

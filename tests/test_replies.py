@@ -112,3 +112,13 @@ def test_long_strict_replies(spark):
     one = json.dumps({"answer": "\téx" * 500_000, "question": "q"})
     rows = spark.createDataFrame([(many,), (one,)], "reply string").select(strict_json(F.col("reply")), F.size(strict_pairs(F.col("reply")))).collect()
     assert [tuple(r) for r in rows] == [(True, 20_000), (True, 1)]
+
+
+def test_replies_are_parsed_once(spark):
+    from dialoom.operators import pairs
+
+    good = '{"question": "q", "answer": "a", "more": 1}'
+    rows = spark.createDataFrame([(i, 0, "b", None if i == 3 else f"so {good}" * (i % 3)) for i in range(600)], "doc_id long, block_idx long, block string, response string")
+    records = pairs.qa_records(pairs.block_results(rows))
+    assert records._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.pair_idx) for r in records.collect()) == sorted((i, k) for i in range(600) if i != 3 for k in range(i % 3))
