@@ -200,8 +200,11 @@ def merged_quality(spark, sf_dir):
 
 
 def stream_pair_numbers(spark, sf_dir):
-    """Pairs that arrive in three micro-batches, in block order, numbered from a document's kept state."""
-    path, records = _scratch(spark, "stream"), pairs.qa_records(_results(spark, sf_dir)).select("doc_id", "block_idx", "pair_idx")
+    """Pairs that arrive in three writes, in block order, numbered from a document's kept state."""
+    path = _scratch(spark, "stream")
+    pairs.qa_records(_results(spark, sf_dir)).select("doc_id", "block_idx", "pair_idx").write.parquet(f"{path}/records")
+    # From here on replies are not parsed again.
+    records = spark.read.parquet(f"{path}/records")
     for own in ("block_idx < 3", "block_idx between 3 and 5", "block_idx > 5"):
         records.where(own).write.mode("append").parquet(f"{path}/in")
     before = spark.conf.get(streaming.STATE_STORE[0])

@@ -88,3 +88,19 @@ def test_records_as_a_stream(spark, tmp_path):
     assert rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(200)
     want = pipeline.plan(text_parts(docs), REPLY, conf).records
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want.collect())) and want.count() > 0
+
+
+def test_streamed_pairs_are_parsed_once(spark, monkeypatch):
+    from dialoom.plans import catalog, fixtures
+
+    given, seen, tables = fixtures.responses, spark.sparkContext.accumulator(0), "/root/testdata/sf0.001"
+
+    def note(reply):
+        seen.add(1)
+        return reply
+
+    monkeypatch.setattr(fixtures, "responses", lambda *of: given(*of).withColumn("response", F.udf(note, "string").asNondeterministic()("response")))
+    found = catalog.stream_pair_numbers(spark, tables)
+    assert seen.value == given(spark, tables).count() > 0
+    want = pairs.number_pairs(pairs.qa_records(pairs.block_results(given(spark, tables)))).select(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
